@@ -31,6 +31,7 @@ MARKS = b"!?.,;:\"'()[]{}=+-_/\\@~^`"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long, n_marks long"
 #: Statistics that a rule may test: name and SQL over the counts.
 RATIOS = {
+    "length": "n_words",
     "mean_word": "word_chars / greatest(n_words, 1)",
     "symbol_share": "n_symbols / greatest(n_words, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
@@ -157,17 +158,17 @@ def fit(x: dict[str, np.ndarray], good: np.ndarray, precision: float = 0.99, lea
         rule = _grow({k: v[g] for k, v in x.items()}, bad[g], conditions)
         if not rule:
             break
-        xp, bp = {k: v[p] for k, v in x.items()}, bad[p]
 
-        def worth(r: Rule) -> float:
-            c = _holds(r, xp, len(bp))
-            return (int(bp[c].sum()) - int((~bp[c]).sum())) / max(1, int(c.sum()))
+        def pure(r: Rule, rows: np.ndarray) -> bool:
+            c = _holds(r, x, len(bad)) & rows
+            return not c.any() or bad[c].mean() >= precision
 
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule = rule[:-1]
+        # Pruning: the shortest beginning of the rule that is as pure as asked for on the rows it grew from and on all rows.
+        rule = next((rule[:k] for k in range(1, len(rule) + 1) if pure(rule[:k], g) and pure(rule[:k], g | p)), None)
+        if rule is None:
+            break
         whole = _holds(rule, x, len(bad)) & left
-        c = _holds(rule, xp, len(bp))
-        if whole.sum() < least or bad[whole].mean() < precision or (c.any() and bp[c].mean() < precision):
+        if whole.sum() < least:
             break
         found.append(rule)
         left &= ~whole

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, quality, telephony
+from . import bpe, licences, packing, quality, telephony
 from .common import documents
 
 
@@ -17,6 +18,16 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    back = bpe.decoded(bpe.encoded(documents(spark, sf_dir), path), path)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality.learn(docs, documents(spark, sf_dir, "labels"))
@@ -30,7 +41,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_licences": op2_licences,
+    "op3_packing": op3_packing,
     "op5_quality": op5_quality,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
