@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, packing, quality, telephony
+from . import bpe, licences, packing, pseudonyms, quality, telephony
 from .common import documents
 
 
@@ -38,12 +38,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, count_col="n_replaced")
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_licences": op2_licences,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_pseudonyms": op7_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {}
