@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, packing, pseudonyms, quality, telephony
+from . import bpe, licences, neardup, packing, pseudonyms, quality, telephony
 from .common import documents
 
 
@@ -43,6 +43,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(docs, count_col="n_replaced")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(spark, documents(spark, sf_dir), percent=85)
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_licences": op2_licences,
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_pseudonyms": op7_pseudonyms,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
