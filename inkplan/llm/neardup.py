@@ -117,17 +117,19 @@ def slot(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows of df whose id may be in ids: a filter of FILTER_BITS bits, whatever the number of ids, is
-    broadcast, so that df is neither shuffled nor sorted. Rows let through in error do no harm."""
-    bits = ids.select(slot(F.col(column)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("number"))
+def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id", other: str = "doc_id", flag: bool = False) -> DataFrame:
+    """Rows of df whose `column` may be in `other` of ids (flag: all rows, with that as `maybe`): a filter of FILTER_BITS bits,
+    whatever the number of ids, is broadcast, so that df is neither shuffled nor sorted. Rows let through in error do no harm."""
+    bits = ids.select(slot(F.col(other)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("number"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     number, place = fresh(df, "number"), fresh(df, "place")
     bits = F.broadcast(bits.withColumnRenamed("number", number).withColumnRenamed("bits", fresh(df, "bits")))
     held = fresh(df, "bits")
     out = df.withColumn(place, F.bitmap_bit_position(slot(F.col(column)))).withColumn(number, F.bitmap_bucket_number(slot(F.col(column))))
     byte = F.conv(F.hex(F.substring(F.col(held), F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return out.join(bits, number).where(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1).select(*df.columns)
+    hit = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
+    out = out.join(bits, number, "left")
+    return out.select(*df.columns, hit.alias("maybe")) if flag else out.where(hit).select(*df.columns)
 
 
 def confirmed(spark: SparkSession, df: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, neardup, packing, pseudonyms, quality, telephony
-from .common import documents
+from . import bpe, licences, neardup, packing, pseudonyms, quality, suffixes, superkmers, telephony
+from .common import documents, unkeyed
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(spark, documents(spark, sf_dir), percent=85)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.digests(spark, documents(spark, sf_dir))
+    return out.withColumn("doc_id", unkeyed())
+
+
+def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = superkmers.digests(spark, documents(spark, sf_dir))
+    return out.withColumn("doc_id", unkeyed())
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_licences": op2_licences,
@@ -55,6 +65,8 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_pseudonyms": op7_pseudonyms,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_super_kmers": op10_super_kmers,
 }
 
 ORACLE_SQL: dict[str, str] = {}
