@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, neardup, packing, pseudonyms, quality, suffixes, superkmers, telephony
+from . import bpe, licences, lm, neardup, packing, pseudonyms, quality, suffixes, superkmers, telephony
 from .common import documents, unkeyed
 
 
@@ -57,10 +57,15 @@ def op10_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("doc_id", unkeyed())
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(spark, documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_licences": op2_licences,
     "op3_packing": op3_packing,
+    "op4_recurrent_lm": op4_recurrent_lm,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_pseudonyms": op7_pseudonyms,
