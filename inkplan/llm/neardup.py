@@ -129,7 +129,8 @@ def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id", other: str =
     byte = F.conv(F.hex(F.substring(F.col(held), F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     hit = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
     out = out.join(bits, number, "left")
-    return out.select(*df.columns, hit.alias("maybe")) if flag else out.where(hit).select(*df.columns)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return out.select(*names, hit.alias("maybe")) if flag else out.where(hit).select(*names)
 
 
 def confirmed(spark: SparkSession, df: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
@@ -173,3 +174,13 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 80, shingle: int =
     out = out.union(sigs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     kept = (F.col("doc_id") == F.col("component_id")).alias("kept")
     return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("component_id"), kept)
+
+
+def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80) -> DataFrame:
+    """df without the documents that aren't the least doc_id of their group, with all its columns. Only documents that may have
+    to go are shuffled."""
+    gone = groups(spark, df, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = stored(spark, gone, "gone")
+    some = maybe_in(df, gone, "doc_id", "gone", True)
+    left = some.where("maybe").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return some.where("not maybe").select(*df.columns).union(left.select(*df.columns))

@@ -12,11 +12,14 @@ threshold; repeated rows get equal results; columns that clash with ours are not
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows
+from .common import fresh, id_text, map_rows
 
 #: The most labelled documents that learn() uses, those with the least hash of their id.
 MAX_LABELLED = 20_000
@@ -184,13 +187,14 @@ def learn(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Ru
     return fit({n: rows[n].to_numpy(float) for n in RATIOS}, rows.good.to_numpy())
 
 
-def condition(rules: list[Rule]) -> Column:
-    """The number of the first rule that holds, from 1; 0 if none does."""
+def condition(rules: list[Rule], within: str | None = None) -> Column:
+    """The number of the first rule that holds, from 1; 0 if none does. within: a struct column that has the counts."""
+    names = "|".join(part.split()[0] for part in COUNTS.split(","))
     case = None
     for k, rule in enumerate(rules, 1):
         test = F.lit(True)
         for name, sign, at in rule:
-            value = F.expr(RATIOS[name])
+            value = F.expr(re.sub(rf"\b({names})\b", rf"`{within}`.\1", RATIOS[name]) if within else RATIOS[name])
             test = test & (value < at if sign == "<" else value >= at)
         case = F.when(test, k) if case is None else case.when(test, k)
     return F.lit(0) if case is None else case.otherwise(0)
@@ -199,3 +203,15 @@ def condition(rules: list[Rule]) -> Column:
 def judge(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """The counts with `rule` (of condition()) for each document."""
     return measure(df).withColumn("rule", condition(rules).cast("int"))
+
+
+def accepted(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of df that no rule rejects, with all their columns."""
+
+    @F.pandas_udf(COUNTS)
+    def stats(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(t) for t in texts], columns=[part.split()[0] for part in COUNTS.split(",")])
+
+    held = fresh(df, "stats")
+    measured = df.withColumn(held, stats(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    return measured.where(condition(rules, held) == 0).drop(held)

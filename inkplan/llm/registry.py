@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import bpe, licences, lm, neardup, packing, pseudonyms, quality, suffixes, superkmers, telephony
 from .common import documents, unkeyed
 
@@ -72,6 +74,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_super_kmers": op10_super_kmers,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

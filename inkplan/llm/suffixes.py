@@ -18,10 +18,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import repeats
-from .common import id_text, keyed
+from .common import NO_ID, fresh, id_text, keyed
+from .neardup import maybe_in
 from .shingles import mix, odd
 
 WINDOW, MINIMISER = 100, 24
@@ -143,3 +146,25 @@ def digests(spark: SparkSession, df: DataFrame) -> DataFrame:
 def deduplicated(spark: SparkSession, df: DataFrame) -> DataFrame:
     """(doc_id, kept binary): what is left of each text."""
     return kept(spark, df, "kept binary", lambda raw, ranges: (left_of(raw, ranges),))
+
+
+def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df with what is left of each text, and all its other columns; characters cut in two go as a whole, and n_chars, if
+    df has it, follows. Only documents that may have lost something are shuffled."""
+    found = covered(spark, df)
+    key, doc, rows = fresh(df, "_key"), fresh(df, "_doc"), fresh(df, "_rows")
+    listed = repeats.by_document(found, (repeats.SPAN,), ("start", "n")).select(F.col("doc").alias(doc), F.col("rows").alias(rows))
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(text, some):
+            if text is None or some is None:
+                return text
+            return left_of(text.encode("utf-8", "surrogatepass"), repeats.covered(list(some), WINDOW)).decode("utf-8", "ignore")
+
+        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+
+    some = maybe_in(df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), found, key, "doc", True)
+    met = some.where("maybe").join(listed, F.col(key) == F.col(doc), "left").withColumn("text", rest("text", rows))
+    met = met.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else met
+    return some.where("not maybe").select(*df.columns).union(met.select(*df.columns))
