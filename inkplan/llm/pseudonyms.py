@@ -38,13 +38,13 @@ ANY = "|".join(f"(?:{p.replace(chr(92) + '1', chr(92) + 'k<sep>').replace('([/.]
 DAYS = (250, 294)
 
 
-def _sum(key: str, kind: str, turn: Column, half: Column) -> Column:
+def _sum(key: str, kind: Column, turn: Column, half: Column) -> Column:
     """The keyed round function: a number under 2^56."""
-    text = F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), half.cast("string"))
+    text = F.concat_ws("|", F.lit(key), kind, turn.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 14), 16, 10).cast("long")
 
 
-def feistel(a: Column, b: Column, over_a: Column, over_b: Column, key: str, kind: str) -> Column:
+def feistel(a: Column, b: Column, over_a: Column, over_b: Column, key: str, kind: Column) -> Column:
     """struct<a, b>: a permutation of pairs with 0 <= a < over_a, 0 <= b < over_b."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
@@ -56,17 +56,6 @@ def feistel(a: Column, b: Column, over_a: Column, over_b: Column, key: str, kind
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
-def permuted_digits(digits: Column, key: str, kind: str) -> Column:
-    """A digit string of 2 to 36 digits, permuted among those of its length."""
-    n = F.length(digits)
-    left = F.floor(n / 2).cast("int")
-    right = n - left
-    # Cast before hashing: the length is part of the key, so that each length has its own permutation.
-    ten = lambda k: F.pow(F.lit(10), k).cast("long")
-    s = feistel(F.substring(digits, F.lit(1), left), F.substring(digits, left + 1, right), ten(left), ten(right), key, kind)
-    return F.concat(F.lpad(s["a"].cast("string"), left, "0"), F.lpad(s["b"].cast("string"), right, "0"))
-
-
 def luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10 of a digit string; 0 if its last digit is the right check digit."""
     n = F.length(digits)
@@ -79,6 +68,11 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add), F.lit(10))
 
 
+def check_digit(body: Column) -> Column:
+    """The digit that completes a card number."""
+    return F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+
+
 def refilled(found: Column, digits: Column) -> Column:
     """found with its digits replaced, in order, by those of `digits`."""
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
@@ -93,41 +87,47 @@ def refilled(found: Column, digits: Column) -> Column:
     return F.aggregate(F.split(found, ""), start, put)["text"]
 
 
-def _number(found: Column, key: str, kind: str) -> Column:
-    digits = F.regexp_replace(found, "[^0-9]", "")
-    return refilled(found, permuted_digits(digits, key, kind))
-
-
-def _phone(found: Column, key: str) -> Column:
-    prefix = F.regexp_extract(found, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    return F.concat(prefix, _number(F.substring(found, F.length(prefix) + 1, F.length(found)), key, "phone"))
-
+def _halves(x: Column) -> list[Column]:
+    """a, b, over_a, over_b of a find: the two numbers that are permuted and their ranges. Digit strings are cut in the middle,
+    addresses into two pairs, dates by their number of days; all NULL where a check fails or nothing is permuted."""
+    kind, body = x["kind"], x["body"]
+    left = F.floor(F.length(body) / 2).cast("int")
+    ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
+    part = [F.try_to_number(F.get(F.split(x["found"], r"\."), F.lit(k)), F.lit("999")).cast("long") for k in range(4)]
+    number = kind.isin("phone", "social", "card")
 
-def _card(found: Column, key: str) -> Column:
-    digits = F.regexp_replace(found, "[^0-9]", "")
-    body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn(digits) == 0, refilled(found, F.concat(body, check))).otherwise(found)
+    def of(ip: Column, date: Column, digits: Column) -> Column:
+        return F.when(kind == "ip", ip).when(kind == "date", date).when(number & x["ok"], digits)
 
+    return [
+        of(part[0] * 256 + part[1], F.floor(x["days"] / DAYS[1]), F.substring(body, F.lit(1), left).cast("long")).alias("a"),
+        of(part[2] * 256 + part[3], F.pmod(x["days"], F.lit(DAYS[1])), F.substring(body, left + 1, F.length(body)).cast("long")).alias("b"),
+        of(F.lit(65536).cast("long"), F.lit(DAYS[0]).cast("long"), ten(left)).alias("over_a"),
+        of(F.lit(65536).cast("long"), F.lit(DAYS[1]).cast("long"), ten(F.length(body) - left)).alias("over_b"),
+    ]
 
-def _ip(found: Column, key: str) -> Column:
-    part = [F.split(found, r"\.")[k].cast("long") for k in range(4)]
-    s = feistel(part[0] * 256 + part[1], part[2] * 256 + part[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, "ip")
-    return F.concat_ws(".", *[x.cast("string") for h in ("a", "b") for x in (F.shiftright(s[h], 8), s[h].bitwiseAND(255))])
 
-
-def _date(found: Column, key: str) -> Column:
-    iso = found.substr(5, 1) == "-"
+def _days(found: Column) -> Column:
+    """Days from 1900-01-01 of a written date, NULL if the calendar has no such day."""
     form = F.regexp_replace(found, r"[/.]", "-")
     day = F.coalesce(F.try_to_timestamp(form, F.lit("yyyy-MM-dd")), F.try_to_timestamp(form, F.lit("dd-MM-yyyy"))).cast("date")
-    n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-    s = feistel(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), F.lit(DAYS[0]).cast("long"), F.lit(DAYS[1]).cast("long"), key, "date")
+    return F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
+
+
+def _written(x: Column, key: str) -> Column:
+    """The pseudonym of a find from its permuted halves."""
+    found, kind, s = x["found"], x["kind"], x["s"]
     moved = F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * DAYS[1] + s["b"]).cast("int"))
     sep = found.substr(3, 1)
-    out = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(
+    date = F.when(found.substr(5, 1) == "-", F.date_format(moved, "yyyy-MM-dd")).otherwise(
         F.concat(F.date_format(moved, "dd"), sep, F.date_format(moved, "MM"), sep, F.date_format(moved, "yyyy"))
     )
-    return F.coalesce(out, found)
+    ip = F.concat_ws(".", *[n.cast("string") for h in ("a", "b") for n in (F.shiftright(s[h], 8), s[h].bitwiseAND(255))])
+    return (
+        F.when(kind == "mail", _mail(found, key)).when(kind == "secret", _secret(found, key)).when(s["a"].isNull(), found)
+        .when(kind == "ip", ip).when(kind == "date", date)
+        .otherwise(F.concat(x["prefix"], refilled(F.substring(found, F.length(x["prefix"]) + 1, F.length(found)), x["digits"])))
+    )
 
 
 def _hashed(found: Column, key: str, kind: str) -> Column:
@@ -160,13 +160,44 @@ def kind_of(found: Column) -> Column:
     )
 
 
-def pseudonym(found: Column, key: str = KEY) -> Column:
-    kind = kind_of(found)
-    return (
-        F.when(kind == "mail", _mail(found, key)).when(kind == "ip", _ip(found, key)).when(kind == "date", _date(found, key))
-        .when(kind == "secret", _secret(found, key)).when(kind == "card", _card(found, key)).when(kind == "social", _number(found, key, "social"))
-        .otherwise(_phone(found, key))
-    )
+def pseudonyms(finds: Column, key: str = KEY) -> Column:
+    """An array of finds to the array of their pseudonyms. Each step names what the next one uses, so that nothing is worked out twice."""
+
+    def step(array: Column, make) -> Column:
+        return F.transform(array, make)
+
+    x = step(finds, lambda m: F.struct(m.alias("found"), kind_of(m).alias("kind")))
+    x = step(x, lambda x: F.struct(
+        x["found"].alias("found"), x["kind"].alias("kind"),
+        F.when(x["kind"] == "phone", F.regexp_extract(x["found"], r"^\+[0-9]{1,3}(?=[ .(-])", 0)).otherwise("").alias("prefix"),
+        F.when(x["kind"] == "date", _days(x["found"])).alias("days"),
+    ))
+    x = step(x, lambda x: F.struct(
+        *[x[c].alias(c) for c in ("found", "kind", "prefix", "days")],
+        F.regexp_replace(F.substring(x["found"], F.length(x["prefix"]) + 1, F.length(x["found"])), "[^0-9]", "").alias("all"),
+    ))
+    x = step(x, lambda x: F.struct(
+        *[x[c].alias(c) for c in ("found", "kind", "prefix", "days")],
+        F.when(x["kind"] == "card", F.substring(x["all"], F.lit(1), F.length(x["all"]) - 1)).otherwise(x["all"]).alias("body"),
+        ((x["kind"] != "card") | (luhn(x["all"]) == 0)).alias("ok"),
+    ))
+    x = step(x, lambda x: F.struct(*[x[c].alias(c) for c in ("found", "kind", "prefix", "body")], *_halves(x)))
+    x = step(x, lambda x: F.struct(
+        *[x[c].alias(c) for c in ("found", "kind", "prefix", "body")],
+        F.when(x["a"].isNotNull(), feistel(x["a"], x["b"], x["over_a"], x["over_b"], key, F.concat(x["kind"], F.length(x["body"]).cast("string")))).alias("s"),
+    ))
+    x = step(x, lambda x: F.struct(
+        *[x[c].alias(c) for c in ("found", "kind", "prefix", "s")],
+        F.concat(
+            F.lpad(x["s"]["a"].cast("string"), F.floor(F.length(x["body"]) / 2).cast("int"), "0"),
+            F.lpad(x["s"]["b"].cast("string"), F.ceil(F.length(x["body"]) / 2).cast("int"), "0"),
+        ).alias("new"),
+    ))
+    x = step(x, lambda x: F.struct(
+        *[x[c].alias(c) for c in ("found", "kind", "prefix", "s")],
+        F.when((x["kind"] == "card") & x["new"].isNotNull(), F.concat(x["new"], check_digit(x["new"]))).otherwise(x["new"]).alias("digits"),
+    ))
+    return step(x, lambda x: _written(x, key))
 
 
 def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
@@ -176,7 +207,7 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: str = KEY, count_co
     text = F.col(f"`{text_col}`")
     none = F.array().cast("array<string>")
     found = df.withColumn(hits, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
-    found = found.withColumn(out, F.transform(F.coalesce(hits, none), lambda m: pseudonym(m, key)))
+    found = found.withColumn(out, pseudonyms(F.coalesce(hits, none), key))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(out), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     changed = F.size(F.filter(F.arrays_zip(F.col(hits).alias("a"), F.col(out).alias("b")), lambda p: p["a"] != p["b"]))
     columns = [(F.when(F.size(out) > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in df.columns]
