@@ -1,0 +1,37 @@
+"""Replies of vision models as rows. A bad reply is an error column, never a failed task."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..schemas import FIELD_REPLY, GRID_REPLY
+
+
+def _json(reply: Column) -> Column:
+    return F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+
+
+def field_reply(reply: Column) -> Column:
+    """JSN1: struct<text, confidence, error> of a reply for one field, which may stand in a fence or among other words."""
+    p = F.from_json(_json(reply), FIELD_REPLY)
+    value = F.trim(p["text"])
+    error = (
+        F.when(_json(reply) == "", "no object").when(value.isNull() | (value == ""), "no text").when(p["confidence"].isNull(), "no confidence")
+        .when(~p["confidence"].between(0.0, 1.0), "confidence out of range")
+    )
+    return F.struct(F.when(error.isNull(), value).alias("text"), F.when(error.isNull(), p["confidence"]).alias("confidence"), error.alias("error"))
+
+
+def grid_reply(df: DataFrame, reply: str, least: int, most: int) -> DataFrame:
+    """JSN2: a row for each usable row of a reply: its number is in range, it has text; a bad confidence is 0."""
+    rows = F.from_json(_json(F.col(reply)), GRID_REPLY)["rows"]
+    out = df.withColumn("r", F.explode(rows)).where(F.col("r.row").between(least, most) & (F.trim(F.coalesce("r.text", F.lit(""))) != ""))
+    sure = F.when(F.col("r.confidence").between(0.0, 1.0), F.col("r.confidence")).otherwise(0.0)
+    return out.select(*[c for c in df.columns if c != reply], F.col("r.row").alias("row"), F.trim("r.text").alias("text"), sure.alias("confidence"))
+
+
+def prompt(label: Column, kind: Column) -> Column:
+    """REC9: what a vision model is asked for one field."""
+    rule = F.when(kind == "cin", "eight digits").when(kind == "date", "a date as JJ/MM/AAAA").when(kind == "serie", "three or four digits").when(kind == "identifiant", "six digits").otherwise("text as written")
+    return F.concat(F.lit('Read the field "'), label, F.lit('". Expected: '), rule, F.lit('. Answer only with JSON: {"text": "...", "confidence": 0.0}'))
