@@ -63,20 +63,21 @@ def dim_alias(spark: SparkSession) -> DataFrame:
 def label_key(norm):
     """JN1 as an expression over the fixed registry: exact alias, else the first alias of four letters or more that begins the text
     as a whole word. No join: the registry is part of the plan."""
-    aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(key).alias("key"), F.lit(len(a) >= 4).alias("long")) for a, key in ALIASES])
+    entries = F.split(F.lit("|".join(f"{a}={key}" for a, key in ALIASES)), r"\|")  # one folded constant, which keeps plans small
 
     def of(n):  # bound by transform(), so that the text is normalised once and not for each alias
-        exact = F.filter(aliases, lambda x: x["alias"] == n)
-        prefix = F.filter(aliases, lambda x: x["long"] & n.startswith(F.concat(x["alias"], F.lit(" "))))
-        return F.coalesce(F.get(exact, F.lit(0))["key"], F.get(prefix, F.lit(0))["key"])
+        exact = F.filter(entries, lambda x: x.startswith(F.concat(n, F.lit("="))))
+        prefix = F.filter(entries, lambda x: (F.length(F.substring_index(x, "=", 1)) >= 4) & n.startswith(F.concat(F.substring_index(x, "=", 1), F.lit(" "))))
+        return F.substring_index(F.coalesce(F.get(exact, F.lit(0)), F.get(prefix, F.lit(0))), "=", -1)
 
     return F.get(F.transform(F.array(norm), of), F.lit(0))
 
 
-def longest_label(df: DataFrame, spark: SparkSession, norm: str, out: str = "key") -> DataFrame:
+def longest_label(df: DataFrame, norm: str, out: str = "key") -> DataFrame:
     """JN2: the key of the longest alias that the text contains; ties go to the registry's order."""
-    scored = F.array(*[F.struct((-F.lit(len(a))).alias("n"), F.lit(k).alias("ord"), F.lit(key).alias("key"), F.lit(a).alias("alias")) for k, (a, key) in enumerate(ALIASES)])
-    best = F.transform(F.array(F.col(norm)), lambda n: F.array_min(F.filter(scored, lambda s: F.contains(n, s["alias"])))["key"])
+    by_length = sorted(ALIASES, key=lambda x: -len(x[0]))
+    entries = F.split(F.lit("|".join(f"{a}={key}" for a, key in by_length)), r"\|")
+    best = F.transform(F.array(F.col(norm)), lambda n: F.substring_index(F.get(F.filter(entries, lambda x: F.contains(n, F.substring_index(x, "=", 1))), F.lit(0)), "=", -1))
     return df.withColumn(out, F.get(best, F.lit(0)))
 
 

@@ -134,7 +134,7 @@ SELECT doc_id, key FROM (SELECT doc_id, key, row_number() OVER (PARTITION BY doc
 def label_longest_alias(spark, sf_dir):
     """JN2 over whole texts."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", text.keyword(F.col("text")).alias("norm"))
-    return fields.longest_label(docs, spark, "norm").where("key is not null").select("doc_id", "key")
+    return fields.longest_label(docs, "norm").where("key is not null").select("doc_id", "key")
 
 
 @query(f"""WITH {_labelled(fx.NUMBERS)}, w AS (SELECT page_id, item_idx, confidence, (x0 + x1) / 2.0 AS cx, (y0 + y1) / 2.0 AS cy, clean FROM val WHERE regexp_matches(clean, '^[0-9]{{8}}$')),
@@ -506,7 +506,7 @@ def row_chunks(spark, sf_dir):
     return bands.chunked(fx.fixture(spark, sf_dir, _BANDS).select("page_id", "row_no"), 2)
 
 
-_BOXES = f"SELECT l_orderkey AS page_id, {_ROW} AS box, CAST(l_extendedprice AS INT) % 400 AS y FROM lineitem"
+_BOXES = f"SELECT l_orderkey AS page_id, {_ROW} AS box, CAST(floor(l_extendedprice) AS INT) % 400 AS y FROM lineitem"
 
 
 @query(f"WITH b AS ({_BANDS}), x AS ({_BOXES}), m AS (SELECT x.page_id, x.box, b.row_no AS band, abs(x.y - (b.y0 + b.y1) / 2.0) AS distance FROM x JOIN b ON x.page_id = b.page_id) SELECT page_id, box, band, distance FROM (SELECT *, row_number() OVER (PARTITION BY page_id, box ORDER BY distance, band) AS rn FROM m) WHERE rn = 1")
