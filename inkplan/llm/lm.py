@@ -31,7 +31,7 @@ from .shingles import lower_words
 
 VOCABULARY, CLASSES, HIDDEN = 512, 16, 16
 LANES, STEPS, RATE, CLIP = 512, 16, 0.1, 5.0
-#: Most frequent words whose counts are broadcast.
+#: The most frequent words whose counts are broadcast, at most so many.
 KEPT = 100_000
 #: Words counted in a task before they are handed on.
 MOST_COUNTED = 400_000
@@ -224,6 +224,22 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of the most frequent words, most frequent first: all words of the highest frequency steps that make up `most` at most. Steps are
+    eighths of a power of two, so their table has a few hundred rows, and no task sorts or sends more than what is kept."""
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = dict(counts.groupBy(step.alias("s")).agg(F.count("*")).collect())
+    total, least = 0, None
+    for s in sorted(sizes, reverse=True):
+        total += sizes[s]
+        if total > most:
+            break
+        least = s
+    if least is None:
+        return []
+    return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))
+
+
 def symbols(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
     """Ranks of words among the most frequent, -1 for others."""
     return np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
@@ -287,7 +303,7 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
     counts = stored(spark, counted(docs), "counts")
     words = F.col("word") != F.lit(b"")
     n, v, docs_n = counts.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(~words, F.col("c"))), F.lit(0))).first()
-    top = counts.where(words).orderBy(F.desc("c"), "word").limit(KEPT).collect()  # KEPT rows at most
+    top = most_frequent(counts.where(words), KEPT)
     number = {bytes(r.word): k for k, r in enumerate(top)}
     c = np.array([r.c for r in top] or [0], np.float64)
     shown = c[: VOCABULARY - 2] if top else c[:0]
