@@ -38,6 +38,9 @@ MOST_COUNTED = 400_000
 #: Tokens of documents that are sorted by length together.
 BLOCK = 1 << 20
 END, OTHER = 0, VOCABULARY - 1
+#: Logits are held within this, so that sums of exponentials stay finite without a maximum for each row.
+LOGIT = 60.0
+ONES = np.ones(VOCABULARY, np.float32)
 
 
 class Model:
@@ -68,7 +71,7 @@ class Model:
     def gates(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
         """States after each of the inputs x (steps, lanes) from the state h, the last of them, and what backward() needs."""
         n, u = HIDDEN, self.p["U"]
-        gx = self.p["G"][x]
+        gx = np.take(self.p["G"], x, axis=0)
         out, held = np.empty((*x.shape, n), np.float32), []
         for t in range(len(x)):
             hu = h @ u
@@ -85,9 +88,9 @@ class Model:
         """Natural log-probabilities of the symbols y after the states s; with grad, also the states' gradient of minus their sum."""
         c, k = y % CLASSES, y // CLASSES
         logits = s @ self.p["Wc"] + self.p["bc"]
-        logits -= logits.max(1, keepdims=True)
+        np.clip(logits, -LOGIT, LOGIT, out=logits)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ ONES[: e.shape[1]]
         rows = np.arange(len(y))
         logp = logits[rows, c] - np.log(total)
         ds = None
@@ -105,9 +108,9 @@ class Model:
                 continue
             w, sj = self.p["Wo"][j], s[i]
             a = sj @ w + self.p["bo"][j]
-            a -= a.max(1, keepdims=True)
+            np.clip(a, -LOGIT, LOGIT, out=a)
             e = np.exp(a)
-            total = e.sum(1)
+            total = e @ ONES[: e.shape[1]]
             m = np.arange(len(i))
             logp[i] += a[m, k[i]] - np.log(total)
             if grad is not None:
