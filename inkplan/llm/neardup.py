@@ -117,8 +117,8 @@ def slot(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id", other: str = "doc_id", flag: bool = False) -> DataFrame:
-    """Rows of df whose `column` may be in `other` of ids (flag: all rows, with that as `maybe`): a filter of FILTER_BITS bits,
+def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id", other: str = "doc_id", flag: str | None = None) -> DataFrame:
+    """Rows of df whose `column` may be in `other` of ids (flag: all rows, with that as a column of this name): a filter of FILTER_BITS bits,
     whatever the number of ids, is broadcast, so that df is neither shuffled nor sorted. Rows let through in error do no harm."""
     bits = ids.select(slot(F.col(other)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("number"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
@@ -130,7 +130,7 @@ def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id", other: str =
     hit = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
     out = out.join(bits, number, "left")
     names = [F.col(f"`{c}`") for c in df.columns]
-    return out.select(*names, hit.alias("maybe")) if flag else out.where(hit).select(*names)
+    return out.select(*names, hit.alias(flag)) if flag else out.where(hit).select(*names)
 
 
 def confirmed(spark: SparkSession, df: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
@@ -181,6 +181,7 @@ def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80) -> DataFr
     to go are shuffled."""
     gone = groups(spark, df, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     gone = stored(spark, gone, "gone")
-    some = maybe_in(df, gone, "doc_id", "gone", True)
-    left = some.where("maybe").join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    return some.where("not maybe").select(*df.columns).union(left.select(*df.columns))
+    maybe = fresh(df, "maybe")
+    some = maybe_in(df, gone, "doc_id", "gone", maybe)
+    left = some.where(F.col(maybe)).join(gone, some["doc_id"] == gone["gone"], "left_anti")
+    return some.where(~F.col(maybe)).select(*df.columns).union(left.select(*df.columns))

@@ -309,7 +309,7 @@ def without(docs: DataFrame, found: DataFrame, apply: Callable, window: int, sch
     """apply(text, ranges) for each row of docs: ranges are the sorted, disjoint covered [first, end) of its text. Only
     documents that may have some are shuffled."""
     listed = by_document(found, (SPAN,), ("start", "n"))
-    some = maybe_in(docs, found.select("doc"), "doc_id", "doc", True)
+    some = maybe_in(docs, found.select("doc"), "doc_id", "doc", "maybe")
     none = some.where("not maybe").select("doc_id", "text", F.array().cast("array<struct<start:bigint,n:int>>").alias("rows"))
     met = some.where("maybe").join(listed, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "rows")
     names = [p.split()[0] for p in schema.split(",")]

@@ -152,7 +152,7 @@ def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df with what is left of each text, and all its other columns; characters cut in two go as a whole, and n_chars, if
     df has it, follows. Only documents that may have lost something are shuffled."""
     found = covered(spark, df)
-    key, doc, rows = fresh(df, "_key"), fresh(df, "_doc"), fresh(df, "_rows")
+    key, doc, rows, maybe = fresh(df, "_key"), fresh(df, "_doc"), fresh(df, "_rows"), fresh(df, "_maybe")
     listed = repeats.by_document(found, (repeats.SPAN,), ("start", "n")).select(F.col("doc").alias(doc), F.col("rows").alias(rows))
 
     @F.pandas_udf("string")
@@ -164,7 +164,7 @@ def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    some = maybe_in(df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), found, key, "doc", True)
-    met = some.where("maybe").join(listed, F.col(key) == F.col(doc), "left").withColumn("text", rest("text", rows))
+    some = maybe_in(df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), found, key, "doc", maybe)
+    met = some.where(F.col(maybe)).join(listed, F.col(key) == F.col(doc), "left").withColumn("text", rest("text", rows))
     met = met.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else met
-    return some.where("not maybe").select(*df.columns).union(met.select(*df.columns))
+    return some.where(~F.col(maybe)).select(*df.columns).union(met.select(*df.columns))
