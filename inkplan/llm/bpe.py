@@ -13,7 +13,6 @@ surrogates are encoded as three bytes each; null doc_ids stay; repeated rows get
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 from array import array
 
@@ -47,18 +46,40 @@ def mapped(raw: bytes) -> str:
     return raw.decode("latin-1").translate(TO_CHARACTER)
 
 
-def model_of(path: str) -> tuple[models.BPE, dict[str, int]]:
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def model_of(path: str) -> models.BPE:
     """A BPE model from a tokenizers JSON file, or from a file of ranks: there any two neighbours whose
     union has a rank may merge, in order of that rank, and a piece that has a rank is one token."""
     if path.endswith(".json"):
-        return Tokenizer.from_file(path).model, json.load(open(path, encoding="utf-8"))["model"]["vocab"]
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return Tokenizer.from_file(path).model
+    ranks = ranks_of(path)
     merges = [
         (mapped(t[:k]), mapped(t[k:])) for t in sorted(ranks, key=ranks.__getitem__) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
     ]
-    vocab = {mapped(t): k for t, k in ranks.items()}
-    return models.BPE(vocab=vocab, merges=merges, ignore_merges=True), vocab
+    return models.BPE(vocab={mapped(t): k for t, k in ranks.items()}, merges=merges, ignore_merges=True)
+
+
+_tables: dict[str, dict[int, bytes]] = {}
+
+
+def bytes_of(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs, by way of the characters' bytes. One for each file and worker."""
+    if path not in _tables:
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                vocab = json.load(f)["model"]["vocab"]
+        else:
+            vocab = {mapped(t): k for t, k in ranks_of(path).items()}
+        _tables[path] = {k: bytes(TO_BYTE[c] for c in t) for t, k in vocab.items() if all(c in TO_BYTE for c in t)}
+    return _tables[path]
+
+
+def decode(table: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class _Spaces(Exception):
@@ -71,8 +92,7 @@ class Bpe:
     _open: dict[str, "Bpe"] = {}
 
     def __init__(self, path: str):
-        self.model, vocab = model_of(path)
-        self.bytes_of = {k: bytes(TO_BYTE[c] for c in t) for t, k in vocab.items() if all(c in TO_BYTE for c in t)}
+        self.path, self.model = path, model_of(path)
         self.pieces: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
@@ -142,7 +162,7 @@ class Bpe:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return decode(bytes_of(self.path), ids)
 
 
 def encoded(df: DataFrame, path: str) -> DataFrame:
@@ -159,11 +179,11 @@ def decoded(df: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids, raw binary): the bytes that the ids stand for."""
 
     def make():
-        bpe = Bpe.of(path)
+        table = bytes_of(path)
 
         def each(batch):
             ids = batch.column(1).to_pylist()
-            return {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": batch.column(1), "raw": [bpe.decode(x) for x in ids]}
+            return {"doc_id": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": batch.column(1), "raw": [decode(table, x) for x in ids]}
 
         return each
 
@@ -183,7 +203,3 @@ def with_offsets(df: DataFrame, path: str) -> DataFrame:
         return each
 
     return map_rows(id_text(df), make, "doc_id long, ids array<long>, starts array<long>, ends array<long>")
-
-
-def digest(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
