@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from .common import id_text, map_rows
+from .common import HELD, id_text, map_rows
 
 #: Units and pieces whose ids a worker keeps; beyond that it forgets all and starts again.
 MOST_KEPT = 300_000
@@ -172,7 +172,7 @@ def encoded(df: DataFrame, path: str) -> DataFrame:
         bpe = Bpe.of(path)
         return lambda batch: {"doc_id": batch.column(0), "ids": [bpe.encode(t) for t in batch.column(1).to_pylist()]}
 
-    return map_rows(id_text(df), make, "doc_id long, ids binary")
+    return map_rows(id_text(df), make, "doc_id long, ids binary", "bpe")
 
 
 def decoded(df: DataFrame, path: str) -> DataFrame:
@@ -187,7 +187,7 @@ def decoded(df: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_rows(df.select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids binary, raw binary")
+    return map_rows(df.select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids binary, raw binary", "bpe")
 
 
 def with_offsets(df: DataFrame, path: str) -> DataFrame:
@@ -202,4 +202,12 @@ def with_offsets(df: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_rows(id_text(df), make, "doc_id long, ids array<long>, starts array<long>, ends array<long>")
+    return map_rows(id_text(df), make, "doc_id long, ids array<long>, starts array<long>, ends array<long>", "bpe")
+
+
+def _drop() -> None:
+    Bpe._open.clear()
+    _tables.clear()
+
+
+HELD["bpe"] = _drop

@@ -41,11 +41,23 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Python over Arrow batches. make() runs once in each task and returns a function
-    from a pyarrow RecordBatch to a dict of columns (lists or arrays) of any length."""
+#: What operators keep in a worker between tasks, by name, and how to let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def let_go(but: str | None = None) -> None:
+    """Frees what other operators keep in this worker: workers are reused, and their memory adds up over the stages of a pipeline."""
+    for name, drop in HELD.items():
+        if name != but:
+            drop()
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, holds: str | None = None) -> DataFrame:
+    """Python over Arrow batches. make() runs once in each task and returns a function from a pyarrow RecordBatch to a dict of columns
+    (lists or arrays) of any length. holds: the name in HELD of what make() uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(holds)
         each, target = make(), None
         for batch in batches:
             if not batch.num_rows:

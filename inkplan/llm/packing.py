@@ -53,7 +53,7 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
 
         return each
 
-    return map_rows(id_text(df), make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long")
+    return map_rows(id_text(df), make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long", "bpe")
 
 
 def patterns(size: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, map_rows
+from .common import fresh, id_text, let_go, map_rows
 
 #: The most labelled documents that learn() uses, those with the least hash of their id.
 MAX_LABELLED = 20_000
@@ -210,6 +210,7 @@ def accepted(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFr
 
     @F.pandas_udf(COUNTS)
     def stats(texts: pd.Series) -> pd.DataFrame:
+        let_go()
         return pd.DataFrame([counts(t) for t in texts], columns=[part.split()[0] for part in COUNTS.split(",")])
 
     held = fresh(df, "stats")

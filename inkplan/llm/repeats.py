@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_rows, stored
+from .common import arrow_schema, let_go, map_rows, stored
 from .neardup import maybe_in
 from .shingles import mix, odd
 
 #: Window starts handled at a time; longer texts are cut there, with the overlap that windows need.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 PLACE_BITS = np.uint64(24)
 PLACES = np.uint64((1 << 24) - 1)
 #: Different strings at one minimiser beyond which its windows are dealt out singly.
@@ -203,6 +203,7 @@ def resolve(rows: DataFrame, keep_first: bool) -> DataFrame:
     names = [p.split()[0] for p in ROW.split(",")]
 
     def run(batches):
+        let_go()
         held: list[dict[str, np.ndarray]] = []
 
         def give(t):
@@ -270,6 +271,7 @@ def sort_buckets(strings: DataFrame, repeated: Callable, most: int) -> DataFrame
     rows = strings.select("a", "doc", "start", "n", "many", "packed").repartition("a").sortWithinPartitions("a", "doc", "start")
 
     def run(batches):
+        let_go()
         target = arrow_schema(ROW)
         held, size = [], 0
 
