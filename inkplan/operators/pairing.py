@@ -104,28 +104,33 @@ def greedy(entries: list[dict]) -> list[tuple[str, dict]]:
     return out
 
 
+def flat(entries: DataFrame) -> DataFrame:
+    """Entries with all that greedy() needs, for a grouped function."""
+    value = text.value_part(F.col("raw"))
+    inl = F.when(text.has_colon(F.col("raw")) & (value != ""), fields.label_key(text.keyword(text.label_part(F.col("raw")))))
+    noise = text.is_noise(F.col("clean")) | F.col("raw").rlike("[:：]$")
+    return entries.select("page_id", "item_idx", "raw", "clean", "confidence", "box", F.col("label_key").alias("key"), noise.alias("noise"), inl.alias("inline_key"), value.alias("inline_value"), "rect.*")
+
+
+def as_entries(pdf) -> list[dict]:
+    """One page of flat() as the dicts that greedy() takes, in reading order."""
+    return [
+        {"idx": r.item_idx, "raw": r.raw, "clean": r.clean, "conf": r.confidence, "box": r.box, "key": r.key, "noise": r.noise,
+         "inline": (r.inline_key, r.inline_value) if r.inline_key else None, "rect": (r.x0, r.y0, r.x1, r.y1)}
+        for r in pdf.sort_values("item_idx").itertuples()
+    ]
+
+
 def greedy_pages(entries: DataFrame) -> DataFrame:
     """JN6 over whole pages: (page_id, occurrence, key, value, confidence, box)."""
-    inl = F.when(
-        text.has_colon(F.col("raw")) & (text.value_part(F.col("raw")) != ""),
-        F.struct(fields.label_key(text.keyword(text.label_part(F.col("raw")))).alias("key"), text.value_part(F.col("raw")).alias("value")),
-    )
-    noise = text.is_noise(F.col("clean")) | F.col("raw").rlike("[:：]$")
-    rows = entries.select("page_id", "item_idx", "raw", "clean", "confidence", "box", F.col("label_key").alias("key"), noise.alias("noise"), inl["key"].alias("inline_key"), inl["value"].alias("inline_value"), "rect.*")
 
     def page(pdf):
         import pandas as pd
 
-        some = pdf.sort_values("item_idx")
-        found = greedy([
-            {"idx": r.item_idx, "raw": r.raw, "clean": r.clean, "conf": r.confidence, "box": r.box, "key": r.key, "noise": r.noise,
-             "inline": (r.inline_key, r.inline_value) if r.inline_key else None, "rect": (r.x0, r.y0, r.x1, r.y1)}
-            for r in some.itertuples()
-        ])
-        rows = [(some.page_id.iloc[0], k, key, v["raw"], v["conf"], [list(p) for p in v["box"]] if v["box"] is not None else None) for k, (key, v) in enumerate(found)]
+        rows = [(pdf.page_id.iloc[0], k, key, v["raw"], v["conf"], [list(p) for p in v["box"]] if v["box"] is not None else None) for k, (key, v) in enumerate(greedy(as_entries(pdf)))]
         return pd.DataFrame(rows, columns=["page_id", "occurrence", "key", "value", "confidence", "box"])
 
-    return rows.groupBy("page_id").applyInPandas(page, "page_id long, occurrence int, key string, value string, confidence double, box array<array<int>>")
+    return flat(entries).groupBy("page_id").applyInPandas(page, "page_id long, occurrence int, key string, value string, confidence double, box array<array<int>>")
 
 
 def numeric_harvest(labels: DataFrame, values: DataFrame, key: str, length: int, slack: int = 1) -> DataFrame:

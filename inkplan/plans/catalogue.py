@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, decode, geometry, text
-from ..operators import bands, batches, fields, matching, pairing, report, rules, store, vision
+from ..operators import bands, batches, fields, forms, matching, pairing, report, rules, store, vision
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,3 +611,23 @@ def noisy_dates(spark, sf_dir):
 def greedy_pairing(spark, sf_dir):
     """JN6: pages whose labels compete for a value, in reading order."""
     return pairing.greedy_pages(pairing.normalised(fx.items(spark, sf_dir, fx.DATED))).select("page_id", "occurrence", "key", "value", "confidence")
+
+
+@query()
+def form_analysis(spark, sf_dir):
+    """The chain of sections 2.4, 2.6, 2.7 and 2.10 over whole pages: JN6, JN7, JN9, TXT5, DT7, all rules."""
+    return forms.analysed(fx.items(spark, sf_dir, fx.ITEMS)).select("page_id", "key", "value", "confidence", "status")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_counts(spark, sf_dir):
+    """STR1, STR3: the same counts as a batch, through a file stream that ends with what is there."""
+    import uuid
+
+    from ..streaming import jobs
+
+    schema = fx.table(spark, sf_dir, "events").schema
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/inkplan-streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = f"{sf_dir}/events.parquet"
+    jobs.start(spark, source, schema, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"))

@@ -42,7 +42,7 @@ class Settings:
 
 def files(spark: SparkSession, path: str, settings: Settings = Settings()) -> DataFrame:
     """SRC1, SRC2: path, name, size, content of each file under a folder, with an error where it isn't taken. The content of files that
-    are too large isn't read into later stages."""
+    are too large isn't read into later stages. Spark's source doesn't list files of no bytes; batches.split_uploads() rejects those of a file list."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     error = upload_error(name, F.col("length"), settings.max_file_mb << 20)
