@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, keyed, map_rows, stored, unkeyed
+from .common import arrow_schema, id_text, keyed, let_go, slices, stored, unkeyed
 from .shingles import lower_words
 
 VOCABULARY, CLASSES, HIDDEN = 512, 16, 16
@@ -34,7 +34,7 @@ LANES, STEPS, RATE, CLIP = 512, 16, 0.1, 5.0
 #: The most frequent words whose counts are broadcast, at most so many.
 KEPT = 100_000
 #: Words counted in a task before they are handed on.
-MOST_COUNTED = 400_000
+MOST_COUNTED = 300_000
 #: Tokens of documents that are sorted by length together.
 BLOCK = 1 << 20
 END, OTHER = 0, VOCABULARY - 1
@@ -215,7 +215,8 @@ def counted(docs: DataFrame) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
+        let_go()
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(lower_words(text))
                 if len(seen) > MOST_COUNTED:
@@ -264,7 +265,7 @@ def fitted(spark: SparkSession, docs: DataFrame, number: dict[bytes, int], start
         model = Model(np.ones(VOCABULARY)).load(first)
         memory = {k: np.full_like(v, 1e-3) for k, v in model.p.items()}
         held, size, tokens = [], 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 held.append(to_symbols(symbols(lower_words(text), number)))
                 size += len(held[-1])
@@ -319,21 +320,19 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
     flat = model.flat()
     log_c = np.append(np.log10(c + 1), 0.0)  # the last for words that are not in `number`
 
-    def make():
-        own = Model(np.ones(VOCABULARY)).load(flat)
+    names = "doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double"
 
-        def each(batch):
-            out = {k: [] for k in ("doc_id", "held_out", "word", "times", "n_tokens", "n_known", "base_score", "score")}
-            held, kept, size = [], [], 0
+    def score(batches):
+        own, schema = Model(np.ones(VOCABULARY)).load(flat), arrow_schema(names)
+        let_go()
+        held, kept, rare, size = [], [], [], 0
 
-            def give():
-                nonlocal held, kept, size
-                for r, like in zip(kept, likelihoods(own, held)):
-                    r["score"] += float(like) / np.log(10)
-                    for k, x in r.items():
-                        out[k].append(x)
-                held, kept, size = [], [], 0
+        def give():
+            likes = likelihoods(own, held)
+            rows = [(*r[:7], r[7] + float(like) / np.log(10)) for r, like in zip(kept, likes)] + rare
+            return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), schema)], schema=schema)
 
+        for batch in slices(batches):
             for doc, text, fold in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = lower_words(text)
                 ranks = symbols(words, number)
@@ -341,22 +340,18 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
                 beyond = (ranks < 0) | (ranks >= VOCABULARY - 2)
                 held.append(to_symbols(ranks))
                 size += len(held[-1])
-                kept.append({
-                    "doc_id": doc, "held_out": fold, "word": b"\0" + str(doc).encode(), "times": 0, "n_tokens": len(words) + 1,
-                    "n_known": len(words) - len(away) + end_known, "base_score": float(log_c[ranks].sum()) + end_log - base * (len(words) + 1),
-                    "score": float(log_c[ranks[beyond]].sum()) - float(others) * int(beyond.sum()),
-                })
-                for w, times in Counter([words[i] for i in away]).items():
-                    for k, x in zip(out, (doc, fold, w, times, 0, 0, 0.0, 0.0)):
-                        out[k].append(x)
+                kept.append((
+                    doc, fold, b"\0" + str(doc).encode(), 0, len(words) + 1, len(words) - len(away) + end_known,
+                    float(log_c[ranks].sum()) + end_log - base * (len(words) + 1), float(log_c[ranks[beyond]].sum()) - float(others) * int(beyond.sum()),
+                ))
+                rare += [(doc, fold, w, times, 0, 0, 0.0, 0.0) for w, times in Counter([words[i] for i in away]).items()]
                 if size >= BLOCK:
-                    give()
-            give()
-            return out
-
-        return each
+                    yield give()
+                    held, kept, rare, size = [], [], [], 0
+        if held:
+            yield give()
 
-    rows = map_rows(keyed(docs), make, "doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double")
+    rows = keyed(docs).mapInArrow(score, names)
     met = rows.join(counts, "word", "left")
     known = F.when(F.col("c") > 0, F.col("times")).otherwise(0)
     more = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
