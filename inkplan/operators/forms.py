@@ -154,10 +154,6 @@ def analysed(items: DataFrame) -> DataFrame:
     """Items (page_id, item_idx, text, confidence, box) to (page_id, occurrence, key, value, confidence, corrections, status). The steps that take
     items away from one another run page by page in one grouped function; the rules' windows reuse its partitioning."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = page_fields(pairing.as_entries(pdf))
-        return pd.DataFrame([(pdf.page_id.iloc[0], k, *r) for k, r in enumerate(rows)], columns=["page_id", "occurrence", "key", "value", "confidence"])
-
     rows = pairing.flat(pairing.normalised(items))
-    found = rows.groupBy("page_id").applyInPandas(page, "page_id long, occurrence int, key string, value string, confidence double")
+    found = pairing.per_page(rows, page_fields, "page_id long, occurrence int, key string, value string, confidence double")
     return rules.validated(with_corrections(found))

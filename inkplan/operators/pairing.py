@@ -112,25 +112,46 @@ def flat(entries: DataFrame) -> DataFrame:
     return entries.select("page_id", "item_idx", "raw", "clean", "confidence", "box", F.col("label_key").alias("key"), noise.alias("noise"), inl.alias("inline_key"), value.alias("inline_value"), "rect.*")
 
 
-def as_entries(pdf) -> list[dict]:
-    """One page of flat() as the dicts that greedy() takes, in reading order."""
-    return [
-        {"idx": r.item_idx, "raw": r.raw, "clean": r.clean, "conf": r.confidence, "box": r.box, "key": r.key, "noise": r.noise,
-         "inline": (r.inline_key, r.inline_value) if r.inline_key else None, "rect": (r.x0, r.y0, r.x1, r.y1)}
-        for r in pdf.sort_values("item_idx").itertuples()
-    ]
+def per_page(rows: DataFrame, found, schema: str) -> DataFrame:
+    """found(entries) for each page of flat() rows: pages are sorted together by one shuffle and come as they are in the Arrow batches, which costs
+    far less than a pandas frame for each page. found gives tuples after (page_id, occurrence)."""
+    names = [p.split(":")[0] if ":" in p else p.split()[0] for p in re.split(r",(?![^<]*>)\s*", schema)]
+
+    def entry(r: dict) -> dict:
+        inline = (r["inline_key"], r["inline_value"]) if r["inline_key"] else None
+        rect = (r["x0"], r["y0"], r["x1"], r["y1"])
+        return {"idx": r["item_idx"], "raw": r["raw"], "clean": r["clean"], "conf": r["confidence"], "box": r["box"], "key": r["key"], "noise": r["noise"], "inline": inline, "rect": rect}
+
+    def run(batches):
+        import pyarrow as pa
+
+        def give(pages):
+            out = [(p, k, *f) for p, entries in pages for k, f in enumerate(found(entries))]
+            return pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=types)
+
+        box = pa.list_(pa.list_(pa.int32()))
+        kinds = {"page_id": pa.int64(), "occurrence": pa.int32(), "key": pa.string(), "value": pa.string(), "confidence": pa.float64(), "box": box}
+        types = pa.schema([(n, kinds[n]) for n in names])
+        open_: tuple | None = None
+        for batch in batches:
+            pages = [open_] if open_ is not None else []  # a page may go on from one batch to the next
+            for r in batch.to_pylist():
+                if open_ is None or open_[0] != r["page_id"]:
+                    open_ = (r["page_id"], [])
+                    pages.append(open_)
+                open_[1].append(entry(r))
+            if pages[:-1]:
+                yield give(pages[:-1])
+        if open_ is not None:
+            yield give([open_])
+
+    return rows.repartition("page_id").sortWithinPartitions("page_id", "item_idx").mapInArrow(run, schema)
 
 
 def greedy_pages(entries: DataFrame) -> DataFrame:
     """JN6 over whole pages: (page_id, occurrence, key, value, confidence, box)."""
-
-    def page(pdf):
-        import pandas as pd
-
-        rows = [(pdf.page_id.iloc[0], k, key, v["raw"], v["conf"], [list(p) for p in v["box"]] if v["box"] is not None else None) for k, (key, v) in enumerate(greedy(as_entries(pdf)))]
-        return pd.DataFrame(rows, columns=["page_id", "occurrence", "key", "value", "confidence", "box"])
-
-    return flat(entries).groupBy("page_id").applyInPandas(page, "page_id long, occurrence int, key string, value string, confidence double, box array<array<int>>")
+    found = lambda page: [(key, v["raw"], v["conf"], v["box"]) for key, v in greedy(page)]
+    return per_page(flat(entries), found, "page_id long, occurrence int, key string, value string, confidence double, box array<array<int>>")
 
 
 def numeric_harvest(labels: DataFrame, values: DataFrame, key: str, length: int, slack: int = 1) -> DataFrame:

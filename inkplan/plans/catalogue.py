@@ -628,6 +628,6 @@ def stream_counts(spark, sf_dir):
 
     schema = fx.table(spark, sf_dir, "events").schema
     base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/inkplan-streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source = f"{sf_dir}/events.parquet"
+    source = f"{sf_dir}/events.parque[t]"  # as a pattern it may be a file or a folder
     jobs.start(spark, source, schema, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"))

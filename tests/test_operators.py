@@ -71,7 +71,9 @@ def test_greedy_is_one_to_one_and_agrees_where_uncontested(spark):
         page += [(f"v{k}", 0.9, box(x := rng.randrange(200, 700), y := rng.randrange(0, 900), x + 100, y + 34)) for k in range(4)]
         pages.append(page)
     entries = pairing.normalised(items(spark, *pages)).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # pages go over the ends of batches
     greedy = pairing.greedy_pages(entries).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plain = pairing.paired(entries).cache()
     contested = {r.page_id for r in pairing.contested_pages(plain).collect()}
     assert len({(r.page_id, r.value) for r in greedy}) == len(greedy)
