@@ -1,4 +1,4 @@
-"""Near-duplicate documents: one-permutation MinHash, banded buckets, star-shaped candidate links.
+"""Near-duplicate documents: one-permutation MinHash, banded buckets, star-shaped candidate links and what these leave open.
 
 A document's set of five-word shingles is hashed once and dealt into BINS bins, the least hash of each bin is its signature,
 and an empty bin borrows from another by its own fixed random sequence of bins (optimal densification). Bands of ROWS signature
@@ -16,10 +16,11 @@ node of the graph, and each gets its row; other columns are not read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, id_text, keyed, map_rows, stored, unkeyed
+from .common import arrow_schema, fresh, id_text, keyed, let_go, map_rows, stored, unkeyed
 from .graphs import components
 from .shingles import lower_words, mix, odd, shingle_set
 
@@ -30,6 +31,8 @@ SHINGLE = 5
 SLACK = 0.15
 #: Bits of the filter over the documents in links; its size, 1 MB, is the same for every input.
 FILTER_BITS = 1 << 23
+#: Rows of a bucket compared with one another in one piece.
+BLOCK = 2000
 
 _EDGES = (np.arange(BINS + 1, dtype=np.float64) * (2.0**64 / BINS)).astype(object)
 EDGES = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
@@ -87,20 +90,88 @@ def signatures(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_rows(keyed(id_text(df)), make, "doc_id long, n long, set_a long, set_b long, buckets array<long>, sig binary")
 
 
-def star_links(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from nodes (doc_id, buckets): each bucket's rows with its least and its greatest."""
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """(doc_id, bucket, lo, hi, size) from nodes (doc_id, buckets): the rows of each bucket of two or more, with its least, greatest and number."""
     rows = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
-    ends = rows.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    met = rows.join(ends, "bucket")
+    ends = rows.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    return rows.join(ends, "bucket").select("doc_id", "bucket", "lo", "hi", "size")
+
+
+def star_links(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, from bucket_rows(): each bucket's rows with its least and its greatest."""
     pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("hi").alias("b")))).alias("p"))
     return pairs.select("p.*").where("a < b").distinct()
 
 
+def rest_links(spark: SparkSession, met: DataFrame, nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
+    """Distinct (a, b), a < b: every other pair of a bucket that isn't in one component yet and whose sizes and signatures allow the
+    similarity; None without any bucket to look at. A bucket of more than BLOCK rows is dealt out by pairs of its blocks."""
+    rows = met.where("size > 3 and doc_id != lo and doc_id != hi").select("doc_id", "bucket")
+    rows = rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("label", "doc_id").alias("label"))
+    rows = stored(spark, rows, "crowded")
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = stored(spark, mixed.where("lo < hi").select("bucket", "blocks"), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("doc_id", "label", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    rows = rows.join(nodes.select("doc_id", "n", "sig"), "doc_id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
+    least = least_shared(percent)
+
+    def run(batches):
+        let_go()
+        target = arrow_schema("a long, b long")
+
+        def give(t):
+            ids, label, n, side = (np.concatenate([np.asarray(p[c]) for p in t]) for c in ("doc_id", "label", "n", "side"))
+            sig = np.frombuffer(b"".join(x for p in t for x in p["sig"]), np.uint16).reshape(-1, BINS).T.copy()
+            last = np.searchsorted(100 * n, 10000 * n // percent + 100)
+            a, b = [], []
+            for i in range(len(ids) - 1):
+                to = slice(i + 1, int(last[i]))
+                may = (label[to] != label[i]) & ((side[to] != side[i]) | (side[i] == 2)) & (percent * n[to] <= 100 * n[i])
+                if not may.any():
+                    continue
+                may &= (sig[:, to] == sig[:, i : i + 1]).sum(0, dtype=np.uint8) >= least
+                j = i + 1 + np.flatnonzero(may)
+                a.append(np.minimum(ids[j], ids[i]))
+                b.append(np.maximum(ids[j], ids[i]))
+            if a:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], schema=target)
+
+        held, at = [], None
+        for batch in batches:
+            bucket, x, y, block = (batch.column(c).to_numpy() for c in (2, 3, 4, 5))
+            side = np.where(x == y, 2, block == y)  # 2: every pair of the block
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for first, end in zip([0, *cuts], [*cuts, len(bucket)]):
+                if first == end:
+                    continue
+                here = (bucket[first], x[first], y[first])
+                if held and here != at:
+                    made = give(held)
+                    held = []
+                    if made is not None:
+                        yield made
+                at = here
+                part = batch.slice(first, end - first)
+                held.append({"doc_id": part.column(0).to_numpy(), "label": part.column(1).to_numpy(), "n": part.column(6).to_numpy(), "sig": part.column(7).to_pylist(), "side": side[first:end]})
+        if held and (made := give(held)) is not None:
+            yield made
+
+    return rows.select("doc_id", "label", "bucket", "x", "y", "block", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def least_shared(percent: int) -> int:
+    return int(BINS * (percent / 100 - SLACK))
+
+
 def close(links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The links whose sizes and signatures allow the similarity."""
     side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     met = links.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    least = int(BINS * (percent / 100 - SLACK))
+    least = least_shared(percent)
 
     def make():
         def each(batch):
@@ -160,6 +231,21 @@ def confirmed(spark: SparkSession, df: DataFrame, links: DataFrame, percent: int
     return map_rows(met, make, "a long, b long")
 
 
+def joined(spark: SparkSession, df: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(node, label) of the components: first by the stars, then by the pairs of a bucket that these leave open."""
+    met = stored(spark, bucket_rows(nodes), "met")
+    links = stored(spark, close(star_links(met), nodes, percent), "near")
+    sure = stored(spark, confirmed(spark, df, links, percent, shingle), "sure")
+    label = components(spark, sure)
+    more = rest_links(spark, met, nodes, label, percent)
+    if more is None:
+        return label
+    more = stored(spark, more, "more")
+    if not more.limit(1).count():
+        return label
+    return components(spark, sure.union(confirmed(spark, df, more, percent, shingle)))
+
+
 def groups(spark: SparkSession, df: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df."""
     sigs = stored(spark, signatures(df, shingle), "signatures")
@@ -168,8 +254,7 @@ def groups(spark: SparkSession, df: DataFrame, percent: int = 80, shingle: int =
     member = some.select("doc_id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"]).select("doc_id", "n", "rep")
     nodes = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nodes = stored(spark, nodes.select("doc_id", "n", "buckets", "sig"), "classes")
-    links = stored(spark, close(star_links(nodes), nodes, percent), "near")
-    label = components(spark, confirmed(spark, df, links, percent, shingle))
+    label = joined(spark, df, nodes, percent, shingle)
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component_id"))
     out = out.union(sigs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     kept = (F.col("doc_id") == F.col("component_id")).alias("kept")

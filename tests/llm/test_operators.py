@@ -213,6 +213,23 @@ def test_near_duplicates_on_the_tables(spark, sf_dir):
     assert {r.doc_id: r.component_id for r in neardup.groups(spark, docs, 85).collect()} == want
 
 
+@pytest.mark.parametrize("block", [2000, 20])
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, block):
+    """Two like documents amid many that share the template only, by less than the limit."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(8)
+    template = [f"t{k}" for k in range(500)]
+
+    def member(own: int) -> str:
+        return " ".join(template + [f"w{rng.getrandbits(40)}" for _ in range(own)])
+
+    rows = [(k, member(150)) for k in range(150)] + [(k, member(25)) for k in (1000, 1001)] + [(k, member(150)) for k in range(2000, 2150)]
+    want = brute_components(rows, 85)
+    assert want[1001] == 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.groups(spark, df, 85).collect()} == want
+
+
 def brute_bytes(rows) -> dict:
     seen, out = set(), {}
     for i, t in sorted(((common.NO_ID if i is None else i), raw(t)) for i, t in rows):
