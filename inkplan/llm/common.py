@@ -29,6 +29,16 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
+def text_key(column: str = "text") -> Column:
+    """With the doc_id, what tells a text from others of the same doc_id."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """(doc_id, text, key) as keyed(), with the text's key."""
+    return keyed(id_text(df)).withColumn("key", text_key())
+
+
 def unkeyed(column: str = "doc_id") -> Column:
     return F.nullif(F.col(column), F.lit(NO_ID)).alias(column)
 

@@ -184,19 +184,19 @@ def close(links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_rows(met.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
 
 
-def slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+def slot(columns: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
 
 
-def maybe_in(df: DataFrame, ids: DataFrame, column: str = "doc_id", other: str = "doc_id", flag: str | None = None) -> DataFrame:
-    """Rows of df whose `column` may be in `other` of ids (flag: all rows, with that as a column of this name): a filter of FILTER_BITS bits,
+def maybe_in(df: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("doc_id",), others: tuple[str, ...] = ("doc_id",), flag: str | None = None) -> DataFrame:
+    """Rows of df whose `columns` may be in `others` of ids (flag: all rows, with that as a column of this name): a filter of FILTER_BITS bits,
     whatever the number of ids, is broadcast, so that df is neither shuffled nor sorted. Rows let through in error do no harm."""
-    bits = ids.select(slot(F.col(other)).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("number"))
+    bits = ids.select(slot(others).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("number"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     number, place = fresh(df, "number"), fresh(df, "place")
     bits = F.broadcast(bits.withColumnRenamed("number", number).withColumnRenamed("bits", fresh(df, "bits")))
     held = fresh(df, "bits")
-    out = df.withColumn(place, F.bitmap_bit_position(slot(F.col(column)))).withColumn(number, F.bitmap_bucket_number(slot(F.col(column))))
+    out = df.withColumn(place, F.bitmap_bit_position(slot(columns))).withColumn(number, F.bitmap_bucket_number(slot(columns)))
     byte = F.conv(F.hex(F.substring(F.col(held), F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     hit = F.coalesce(F.getbit(byte, (F.col(place) % 8).cast("int")) == 1, F.lit(False))
     out = out.join(bits, number, "left")
@@ -267,6 +267,6 @@ def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80) -> DataFr
     gone = groups(spark, df, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
     gone = stored(spark, gone, "gone")
     maybe = fresh(df, "maybe")
-    some = maybe_in(df, gone, "doc_id", "gone", maybe)
+    some = maybe_in(df, gone, ("doc_id",), ("gone",), maybe)
     left = some.where(F.col(maybe)).join(gone, some["doc_id"] == gone["gone"], "left_anti")
     return some.where(~F.col(maybe)).select(*df.columns).union(left.select(*df.columns))

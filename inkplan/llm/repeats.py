@@ -12,6 +12,9 @@ minimiser need to meet. Three steps find every repeated window:
 3. packed(): only those strings themselves, cut from the texts, travel to the minimiser's bucket, where a sort settles which of
    their windows are equal. A minimiser with more than HOT different strings is split: its windows go on one by one, by hash.
 
+A text is known by its doc_id and a key of its own, so that texts without a doc_id, or with the same, each meet their own places only; in
+one doc_id, texts are ordered by their keys.
+
 Symbols come as 64-bit hashes. Hashes that decide anything are 128 bits wide.
 """
 
@@ -37,7 +40,7 @@ HOT = 4000
 _A, _B, _C = odd(8, 23), odd(8, 29), odd(8, 31)
 
 QUERY, SPAN, STRING, WINDOWS = 0, 1, 2, 3
-ROW = "a long, h long, doc long, start long, n int, many boolean, kind int"
+ROW = "a long, h long, doc long, key long, start long, n int, many boolean, kind int"
 
 
 class Powers:
@@ -102,10 +105,10 @@ def super_kmers(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     return {"text": text, "first": first, "n": count, "a": mix(kmers[p]).view(np.int64), "b": b.view(np.int64)}
 
 
-def chunks(docs: np.ndarray, symbols: Callable[[int], np.ndarray], window: int):
-    """Texts in order of their ids, laid end to end up to CHUNK: (hashes, starts, ends, docs, bases)."""
+def chunks(docs: np.ndarray, keys: np.ndarray, symbols: Callable[[int], np.ndarray], window: int):
+    """Texts in order of their ids and keys, laid end to end up to CHUNK: (hashes, starts, ends, docs, keys, bases)."""
     held, size, rows = [], 0, []
-    for i in np.argsort(docs, kind="stable"):
+    for i in np.lexsort((keys, docs)):
         h = symbols(i)
         for base in range(0, max(1, len(h) - window + 1), CHUNK):
             part = h[base : base + CHUNK + window - 1]
@@ -114,22 +117,22 @@ def chunks(docs: np.ndarray, symbols: Callable[[int], np.ndarray], window: int):
             if size and size + len(part) > CHUNK + window:
                 yield np.concatenate(held), *map(np.array, zip(*rows))
                 held, size, rows = [], 0, []
-            rows.append((size, size + len(part), docs[i], base))
+            rows.append((size, size + len(part), docs[i], keys[i], base))
             held.append(part)
             size += len(part)
     if held:
         yield np.concatenate(held), *map(np.array, zip(*rows))
 
 
-def merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that follow one another in a document, as one."""
+def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of windows that follow one another in a text, as one."""
     if not len(doc):
-        return doc, start, n
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + n[:-1])]))
+        return {"doc": doc, "key": key, "start": start, "n": n}
+    order = np.lexsort((start, key, doc))
+    doc, key, start, n = doc[order], key[order], start[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] > start[:-1] + n[:-1])]))
     last = np.append(new[1:], len(doc)) - 1
-    return doc[new], start[new], start[last] + n[last] - start[new]
+    return {"doc": doc[new], "key": key[new], "start": start[new], "n": start[last] + n[last] - start[new]}
 
 
 def _row(kind: int, **columns: np.ndarray) -> dict[str, np.ndarray]:
@@ -142,30 +145,30 @@ def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return {c: np.concatenate([p[c] for p in parts]) if parts else [] for c in names}
 
 
-def local(a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, keep_first: bool) -> list[dict[str, np.ndarray]]:
+def local(a: np.ndarray, b: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray, keep_first: bool) -> list[dict[str, np.ndarray]]:
     """Rows in document order to one QUERY row for each (a, b), and SPANs for what is settled already."""
     order = np.lexsort((b, a))
     x, y = a[order], b[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
     first = order[new]
     many = np.diff(np.append(np.flatnonzero(new), len(x))) > 1
-    out = [_row(QUERY, a=a[first], h=b[first], doc=doc[first], start=start[first], n=n[first], many=many)]
+    out = [_row(QUERY, a=a[first], h=b[first], doc=doc[first], key=key[first], start=start[first], n=n[first], many=many)]
     again = order[~new] if keep_first else order[np.repeat(many, np.diff(np.append(np.flatnonzero(new), len(x))))]
-    d, s, m = merged(doc[again], start[again], n[again])
-    out.append(_row(SPAN, a=mix((d * 31 + s).view(np.uint64)).view(np.int64), doc=d, start=s, n=m))
+    some = merged(doc[again], key[again], start[again], n[again])
+    out.append(_row(SPAN, a=mix((some["doc"] * 31 + some["key"] + some["start"]).view(np.uint64)).view(np.int64), **some))
     return out
 
 
 def describe(df: DataFrame, symbols: Callable[[str], np.ndarray], window: int, k: int, keep_first: bool) -> DataFrame:
-    """Step 1. df: (doc_id, text). keep_first: the earliest occurrence of a window isn't itself repeated."""
+    """Step 1. df: (doc_id, text, key). keep_first: the earliest occurrence of a window isn't itself repeated."""
 
     def make():
         def each(batch):
-            docs, texts = batch.column(0).to_numpy(), batch.column(1)
+            docs, texts, keys = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
             out = []
-            for h, starts, ends, ids, bases in chunks(docs, lambda i: symbols(texts[int(i)].as_py()), window):
+            for h, starts, ends, ids, own, bases in chunks(docs, keys, lambda i: symbols(texts[int(i)].as_py()), window):
                 s = super_kmers(h, starts, ends, window, k)
-                out += local(s["a"], s["b"], ids[s["text"]], bases[s["text"]] + s["first"] - starts[s["text"]], s["n"], keep_first)
+                out += local(s["a"], s["b"], ids[s["text"]], own[s["text"]], bases[s["text"]] + s["first"] - starts[s["text"]], s["n"], keep_first)
             return _joined(out)
 
         return each
@@ -175,8 +178,8 @@ def describe(df: DataFrame, symbols: Callable[[str], np.ndarray], window: int, k
 
 def settle(t: dict[str, np.ndarray], keep_first: bool) -> list[dict[str, np.ndarray]]:
     """Step 2 on the rows of whole minimisers: SPANs that are settled, STRINGs and WINDOWS that must be looked at."""
-    order = np.lexsort((t["start"], t["doc"], t["h"], t["a"]))
-    a, h, doc, start, n, many = (t[c][order] for c in ("a", "h", "doc", "start", "n", "many"))
+    order = np.lexsort((t["start"], t["key"], t["doc"], t["h"], t["a"]))
+    a, h, doc, key, start, n, many = (t[c][order] for c in ("a", "h", "doc", "key", "start", "n", "many"))
     if not len(a):
         return []
     new_a = np.concatenate([[True], a[1:] != a[:-1]])
@@ -187,11 +190,10 @@ def settle(t: dict[str, np.ndarray], keep_first: bool) -> list[dict[str, np.ndar
     strings = np.diff(np.append(np.flatnonzero(new_a[at]), len(at)))  # different strings at each minimiser
     strings = np.repeat(strings, strings)
     done = ~new if keep_first else np.repeat(group_many, size)
-    d, s, m = merged(doc[done], start[done], n[done])
-    out = [_row(SPAN, doc=d, start=s, n=m)]
+    out = [_row(SPAN, **merged(doc[done], key[done], start[done], n[done]))]
     for kind, which in ((STRING, (strings > 1) & (strings <= HOT)), (WINDOWS, strings > HOT)):
         i = at[which]
-        out.append(_row(kind, a=a[i], h=h[i], doc=doc[i], start=start[i], n=n[i], many=group_many[which]))
+        out.append(_row(kind, a=a[i], h=h[i], doc=doc[i], key=key[i], start=start[i], n=n[i], many=group_many[which]))
     return out
 
 
@@ -228,36 +230,36 @@ def resolve(rows: DataFrame, keep_first: bool) -> DataFrame:
 
 
 def by_document(rows: DataFrame, kinds: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
-    """One row for each document, with a list of its rows: as many as the document has windows at most."""
-    return rows.where(F.col("kind").isin(*kinds)).groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    """One row for each text, with a list of its rows: as many as the text has windows at most."""
+    return rows.where(F.col("kind").isin(*kinds)).groupBy("doc", F.col("key").alias("doc_key")).agg(F.collect_list(F.struct(*columns)).alias("rows"))
 
 
 def packed(docs: DataFrame, found: DataFrame, symbols: Callable[[str], np.ndarray], cut: Callable, window: int) -> DataFrame:
     """Step 3. STRING rows to be sorted in buckets, and windows dealt out singly as QUERY rows."""
     wanted = by_document(found, (STRING, WINDOWS), ("a", "start", "n", "many", "kind"))
-    met = maybe_in(docs, found.where(F.col("kind").isin(STRING, WINDOWS)).select("doc"), "doc_id", "doc").join(wanted, F.col("doc_id") == F.col("doc"))
-    met = met.select("doc_id", "text", "rows")
+    met = maybe_in(docs, found.where(F.col("kind").isin(STRING, WINDOWS)).select("doc", "key"), ("doc_id", "key"), ("doc", "key"))
+    met = met.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key"))).select("doc_id", "text", "rows", "key")
 
     def make():
         def each(batch):
-            out = {c: [] for c in ("a", "h", "doc", "start", "n", "many", "kind", "packed")}
+            out = {c: [] for c in ("a", "h", "doc", "key", "start", "n", "many", "kind", "packed")}
 
             def put(*values):
                 for c, v in zip(out, values):
                     out[c].append(v)
 
-            for doc, text, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for doc, text, rows, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 piece = cut(text)
                 powers = None
                 for r in rows:
                     if r["kind"] == STRING:
-                        put(r["a"], 0, doc, r["start"], r["n"], r["many"], STRING, piece(r["start"], r["start"] + r["n"] + window - 1))
+                        put(r["a"], 0, doc, key, r["start"], r["n"], r["many"], STRING, piece(r["start"], r["start"] + r["n"] + window - 1))
                         continue
                     powers = powers or Powers(symbols(text), window)
                     at = np.arange(r["start"], r["start"] + r["n"])
                     x, y = mix(powers.runs(at, window, _B)).view(np.int64), mix(powers.runs(at, window, _C)).view(np.int64)
                     for i in range(len(at)):
-                        put(int(x[i]), int(y[i]), doc, int(at[i]), 1, r["many"], QUERY, None)
+                        put(int(x[i]), int(y[i]), doc, key, int(at[i]), 1, r["many"], QUERY, None)
             return out
 
         return each
@@ -268,7 +270,7 @@ def packed(docs: DataFrame, found: DataFrame, symbols: Callable[[str], np.ndarra
 def sort_buckets(strings: DataFrame, repeated: Callable, most: int) -> DataFrame:
     """SPANs of the windows that `repeated` finds in each bucket: whole minimisers, as many as make up `most` bytes.
     repeated(list of strings, n, many, order) gives a bool for each window, string after string."""
-    rows = strings.select("a", "doc", "start", "n", "many", "packed").repartition("a").sortWithinPartitions("a", "doc", "start")
+    rows = strings.select("a", "doc", "start", "n", "many", "packed", "key").repartition("a").sortWithinPartitions("a", "doc", "key", "start")
 
     def run(batches):
         let_go()
@@ -276,16 +278,17 @@ def sort_buckets(strings: DataFrame, repeated: Callable, most: int) -> DataFrame
         held, size = [], 0
 
         def give(rows):
-            doc, start, n, many = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
-            hit = repeated([r[5] for r in rows], n, many, np.lexsort((start, doc)).argsort())
+            doc, start, n, many, key = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4, 6))
+            hit = repeated([r[5] for r in rows], n, many, np.lexsort((start, key, doc)).argsort())
             at = np.repeat(np.arange(len(n)), n)
             within = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            d, s, m = merged(doc[at[hit]], (start[at] + within)[hit], np.ones(int(hit.sum()), np.int64))
-            made = _row(SPAN, doc=d, start=s, n=m)
+            made = _row(SPAN, **merged(doc[at[hit]], key[at[hit]], (start[at] + within)[hit], np.ones(int(hit.sum()), np.int64)))
             return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in target], schema=target)
 
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if held and held[-1][:3] == r[:3] and held[-1][6] == r[6]:  # of a repeated row
+                    continue
                 if held and size >= most and held[-1][0] != r[0]:
                     yield give(held)
                     held, size = [], 0
@@ -298,22 +301,22 @@ def sort_buckets(strings: DataFrame, repeated: Callable, most: int) -> DataFrame
 
 
 def spans(spark: SparkSession, docs: DataFrame, symbols: Callable, cut: Callable, repeated: Callable, window: int, k: int, keep_first: bool, most: int) -> DataFrame:
-    """SPAN rows (doc, start, n): n consecutive repeated windows from a place of a document."""
+    """SPAN rows (doc, key, start, n): n consecutive repeated windows from a place of a text."""
     found = stored(spark, resolve(describe(docs, symbols, window, k, keep_first), keep_first), "found")
     more = stored(spark, packed(docs, found, symbols, cut, window), "packed")
     single = resolve(more.where(F.col("kind") == QUERY).drop("packed"), keep_first)
     sorted_ = sort_buckets(more.where(F.col("kind") == STRING), repeated, most)
     out = found.where(F.col("kind") == SPAN).union(sorted_).union(single.where(F.col("kind") == SPAN))
-    return stored(spark, out.select("doc", "start", "n", "kind"), "spans")
+    return stored(spark, out.select("doc", "key", "start", "n", "kind"), "spans")
 
 
 def without(docs: DataFrame, found: DataFrame, apply: Callable, window: int, schema: str) -> DataFrame:
     """apply(text, ranges) for each row of docs: ranges are the sorted, disjoint covered [first, end) of its text. Only
     documents that may have some are shuffled."""
     listed = by_document(found, (SPAN,), ("start", "n"))
-    some = maybe_in(docs, found.select("doc"), "doc_id", "doc", "maybe")
+    some = maybe_in(docs, found.select("doc", "key"), ("doc_id", "key"), ("doc", "key"), "maybe")
     none = some.where("not maybe").select("doc_id", "text", F.array().cast("array<struct<start:bigint,n:int>>").alias("rows"))
-    met = some.where("maybe").join(listed, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "rows")
+    met = some.where("maybe").join(listed, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key")), "left").select("doc_id", "text", "rows")
     names = [p.split()[0] for p in schema.split(",")]
 
     def make():

@@ -6,11 +6,12 @@ cover sample. The sample holds the places whose remainder modulo V lies in a dif
 offset d < V for which i + d and j + d are both sampled. Two suffixes that agree on V bytes agree on `window` bytes exactly if the
 sample suffixes at such a d have a common prefix of window - d bytes, which the sorted sample and its prefix lengths say.
 
-A byte is removed if a `window`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same one.
+A byte is removed if a `window`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same one
+(of several texts with one doc_id, the one of smaller key is first).
 
 Defined cases: null or empty text: no bytes, nothing removed, the digest of nothing; texts shorter than the window are kept
-whole; a null doc_id orders before all others; rows that repeat a doc_id are occurrences in one document, and what is covered goes
-from each of them; cutting may split characters, so kept text is bytes; other columns are not read.
+whole; a null doc_id orders before all others; texts that share a doc_id, or have none, are told apart by a hash, and each loses its own
+repeats; cutting may split characters, so kept text is bytes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import NO_ID, fresh, id_text, keyed
+from .common import NO_ID, fresh, text_key, texts
 from .neardup import maybe_in
 from .shingles import mix, odd
 
@@ -112,7 +113,7 @@ def later(strings: list[bytes], n: np.ndarray, order: np.ndarray, window: int =
 def covered(spark: SparkSession, df: DataFrame) -> DataFrame:
     """SPAN rows of repeats: the windows of each document that start earlier somewhere."""
     return repeats.spans(
-        spark, keyed(id_text(df)), symbols, cut, lambda strings, n, many, order: later(strings, n, order), WINDOW, MINIMISER, True, BUCKET
+        spark, texts(df), symbols, cut, lambda strings, n, many, order: later(strings, n, order), WINDOW, MINIMISER, True, BUCKET
     )
 
 
@@ -122,7 +123,7 @@ def kept(spark: SparkSession, df: DataFrame, schema: str, result) -> DataFrame:
     def apply(text: str, ranges: list[tuple[int, int]]) -> tuple:
         return result(text.encode("utf-8", "surrogatepass"), ranges)
 
-    return repeats.without(keyed(id_text(df)), covered(spark, df), apply, WINDOW, f"doc_id long, {schema}")
+    return repeats.without(texts(df), covered(spark, df), apply, WINDOW, f"doc_id long, {schema}")
 
 
 def left_of(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -152,8 +153,8 @@ def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df with what is left of each text, and all its other columns; characters cut in two go as a whole, and n_chars, if
     df has it, follows. Only documents that may have lost something are shuffled."""
     found = covered(spark, df)
-    key, doc, rows, maybe = fresh(df, "_key"), fresh(df, "_doc"), fresh(df, "_rows"), fresh(df, "_maybe")
-    listed = repeats.by_document(found, (repeats.SPAN,), ("start", "n")).select(F.col("doc").alias(doc), F.col("rows").alias(rows))
+    key, own, doc, doc_own, rows, maybe = (fresh(df, c) for c in ("_key", "_own", "_doc", "_doc_own", "_rows", "_maybe"))
+    listed = repeats.by_document(found, (repeats.SPAN,), ("start", "n")).toDF(doc, doc_own, rows)
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -164,7 +165,8 @@ def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    some = maybe_in(df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))), found, key, "doc", maybe)
-    met = some.where(F.col(maybe)).join(listed, F.col(key) == F.col(doc), "left").withColumn("text", rest("text", rows))
+    some = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_key())
+    some = maybe_in(some, found, (key, own), ("doc", "key"), maybe)
+    met = some.where(F.col(maybe)).join(listed, (F.col(key) == F.col(doc)) & (F.col(own) == F.col(doc_own)), "left").withColumn("text", rest("text", rows))
     met = met.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else met
     return some.where(~F.col(maybe)).select(*df.columns).union(met.select(*df.columns))

@@ -6,8 +6,8 @@ minimiser's bucket. There the windows are sorted by hash and neighbours compared
 A word is removed if a window that covers it occurs anywhere else as well, in the same document or another.
 
 Defined cases: null or empty text: no words, the digest of nothing; texts shorter than a window are kept whole; a null doc_id is a
-document like others; rows that repeat a doc_id are occurrences in one document, and what is covered goes from each of them; other
-columns are not read.
+document like others; texts that share a doc_id, or have none, are told apart by a hash, and each loses its own repeats; a row given
+twice is two occurrences; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import repeats
-from .common import id_text, keyed
+from .common import texts
 from .shingles import word_hashes
 
 WINDOW, MINIMISER = 35, 8
@@ -70,7 +70,7 @@ def repeated(strings: list[bytes], n: np.ndarray, many: np.ndarray, window: int
 def covered(spark: SparkSession, df: DataFrame) -> DataFrame:
     """SPAN rows of repeats: the windows of each document that occur elsewhere too."""
     return repeats.spans(
-        spark, keyed(id_text(df)), symbols, cut, lambda strings, n, many, order: repeated(strings, n, many), WINDOW, MINIMISER, False, BUCKET
+        spark, texts(df), symbols, cut, lambda strings, n, many, order: repeated(strings, n, many), WINDOW, MINIMISER, False, BUCKET
     )
 
 
@@ -84,7 +84,7 @@ def left_of(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
 
 def kept(spark: SparkSession, df: DataFrame, schema: str, result) -> DataFrame:
     """result(words, removed ranges) for each row, under the columns of schema after doc_id."""
-    return repeats.without(keyed(id_text(df)), covered(spark, df), lambda text, ranges: result(words_of(text), ranges), WINDOW, f"doc_id long, {schema}")
+    return repeats.without(texts(df), covered(spark, df), lambda text, ranges: result(words_of(text), ranges), WINDOW, f"doc_id long, {schema}")
 
 
 def digests(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -262,6 +262,43 @@ def test_super_kmers(spark, docs, rows, monkeypatch):
             assert got[i].kept == b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
 
 
+def shared_ids() -> list[tuple]:
+    """Many null ids and ids on several texts, short ones among them, that share passages in different places."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passages = [prose(60) for _ in range(4)]
+    some = [(None, prose(3)), (5, prose(2)), (None, None)]
+    for k in range(24):
+        some.append((None if k % 3 == 0 else k // 6, prose(5 + 3 * k) + " " + passages[k % 4][: 150 + 6 * k] + " " + prose(k)))
+    return some
+
+
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_shared_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr("inkplan.llm.repeats.HOT", hot)
+    rows = shared_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {r.text: (r.id, r.key) for r in common.texts(df).selectExpr("doc_id as id", "text", "key").collect()}
+    seen, want = set(), Counter()
+    for t in sorted(order, key=order.get):
+        b, gone = raw(t), np.zeros(len(raw(t)), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[order[t][0], bytes(np.frombuffer(b, np.uint8)[~gone])] += 1
+    some = lambda i: common.NO_ID if i is None else i
+    assert Counter((some(r.doc_id), bytes(r.kept)) for r in suffixes.deduplicated(spark, df).collect()) == want
+    assert Counter((some(r.doc_id), raw(r.text)) for r in suffixes.rewritten(spark, df).collect()) == want
+    words = [(some(i), raw(t).split()) for i, t in rows]
+    times = Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
+    left = Counter()
+    for i, w in words:
+        gone = {j for k in range(len(w) - 34) if times[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        left[i, b" ".join(x for j, x in enumerate(w) if j not in gone)] += 1
+    assert Counter((some(r.doc_id), raw(r.kept)) for r in superkmers.deduplicated(spark, df).collect()) == left
+
+
 def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr("inkplan.llm.repeats.CHUNK", 150)
     rng = random.Random(6)
