@@ -9,8 +9,8 @@ enough signature are confirmed on the full shingle sets, and the confirmed ones
 A pair at similarity 0.85 shares no bucket with probability (1 - 0.85^4)^32 = 6e-11, at 0.8 with 5e-8.
 
 Defined cases: null or empty text, or one without words: an empty set, linked with nothing; fewer than five words: the whole
-sequence is the one shingle; a null doc_id counts as the least id and comes back as null; rows that repeat a doc_id are one
-node of the graph, and each gets its row; other columns are not read.
+sequence is the one shingle; a null doc_id counts as the least id and comes back as null; rows without a doc_id, or with the same, are
+linked by their texts alone, and of each component exactly one row is kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh, id_text, keyed, let_go, map_rows, stored, unkeyed
+from .common import NO_ID, arrow_schema, fresh, let_go, map_rows, stored, text_key, texts, unkeyed
 from .graphs import components
 from .shingles import lower_words, mix, odd, shingle_set
 
@@ -66,7 +66,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, set_a, set_b, buckets, sig): set_a and set_b are 128 bits over the whole set."""
+    """(doc_id, key, n, set_a, set_b, buckets, sig): set_a and set_b are 128 bits over the whole set."""
 
     def make():
         def each(batch):
@@ -83,40 +83,40 @@ def signatures(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 out["set_b"].append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)))
                 out["buckets"].append(bands(sig))
                 out["sig"].append(sig.astype(np.uint16).tobytes())
-            return {"doc_id": batch.column(0), **out}
+            return {"doc_id": batch.column(0), "key": batch.column(2), **out}
 
         return each
 
-    return map_rows(keyed(id_text(df)), make, "doc_id long, n long, set_a long, set_b long, buckets array<long>, sig binary")
+    return map_rows(texts(df), make, "doc_id long, key long, n long, set_a long, set_b long, buckets array<long>, sig binary")
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(doc_id, bucket, lo, hi, size) from nodes (doc_id, buckets): the rows of each bucket of two or more, with its least, greatest and number."""
-    rows = nodes.select("doc_id", F.explode("buckets").alias("bucket"))
-    ends = rows.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    return rows.join(ends, "bucket").select("doc_id", "bucket", "lo", "hi", "size")
+    """(node, bucket, lo, hi, size) from nodes (node, buckets): the rows of each bucket of two or more, with its least, greatest and number."""
+    rows = nodes.select("node", F.explode("buckets").alias("bucket"))
+    ends = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    return rows.join(ends, "bucket").select("node", "bucket", "lo", "hi", "size")
 
 
 def star_links(met: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, from bucket_rows(): each bucket's rows with its least and its greatest."""
-    pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("hi").alias("b")))).alias("p"))
+    pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p"))
     return pairs.select("p.*").where("a < b").distinct()
 
 
 def rest_links(spark: SparkSession, met: DataFrame, nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
     """Distinct (a, b), a < b: every other pair of a bucket that isn't in one component yet and whose sizes and signatures allow the
     similarity; None without any bucket to look at. A bucket of more than BLOCK rows is dealt out by pairs of its blocks."""
-    rows = met.where("size > 3 and doc_id != lo and doc_id != hi").select("doc_id", "bucket")
-    rows = rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("label", "doc_id").alias("label"))
+    rows = met.where("size > 3 and node != lo and node != hi").select("node", "bucket")
+    rows = rows.join(label, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
     rows = stored(spark, rows, "crowded")
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mixed = stored(spark, mixed.where("lo < hi").select("bucket", "blocks"), "mixed")
     if not mixed.limit(1).count():
         return None
-    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("doc_id", "label", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    rows = rows.join(nodes.select("doc_id", "n", "sig"), "doc_id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
+    rows = rows.select("node", "label", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    rows = rows.join(nodes.select("node", "n", "sig"), "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
     least = least_shared(percent)
 
     def run(batches):
@@ -124,7 +124,7 @@ def rest_links(spark: SparkSession, met: DataFrame, nodes: DataFrame, label: Dat
         target = arrow_schema("a long, b long")
 
         def give(t):
-            ids, label, n, side = (np.concatenate([np.asarray(p[c]) for p in t]) for c in ("doc_id", "label", "n", "side"))
+            ids, label, n, side = (np.concatenate([np.asarray(p[c]) for p in t]) for c in ("node", "label", "n", "side"))
             sig = np.frombuffer(b"".join(x for p in t for x in p["sig"]), np.uint16).reshape(-1, BINS).T.copy()
             last = np.searchsorted(100 * n, 10000 * n // percent + 100)
             a, b = [], []
@@ -156,11 +156,11 @@ def rest_links(spark: SparkSession, met: DataFrame, nodes: DataFrame, label: Dat
                         yield made
                 at = here
                 part = batch.slice(first, end - first)
-                held.append({"doc_id": part.column(0).to_numpy(), "label": part.column(1).to_numpy(), "n": part.column(6).to_numpy(), "sig": part.column(7).to_pylist(), "side": side[first:end]})
+                held.append({"node": part.column(0).to_numpy(), "label": part.column(1).to_numpy(), "n": part.column(6).to_numpy(), "sig": part.column(7).to_pylist(), "side": side[first:end]})
         if held and (made := give(held)) is not None:
             yield made
 
-    return rows.select("doc_id", "label", "bucket", "x", "y", "block", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("node", "label", "bucket", "x", "y", "block", "n", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def least_shared(percent: int) -> int:
@@ -169,7 +169,7 @@ def least_shared(percent: int) -> int:
 
 def close(links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The links whose sizes and signatures allow the similarity."""
-    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     met = links.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     least = least_shared(percent)
 
@@ -204,14 +204,16 @@ def maybe_in(df: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("doc_id"
     return out.select(*names, hit.alias(flag)) if flag else out.where(hit).select(*names)
 
 
-def confirmed(spark: SparkSession, df: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
-    """The links with 100 * intersection >= percent * union on the full sets."""
-    ids = links.select(F.col("a").alias("doc_id")).union(links.select("b"))
+def confirmed(spark: SparkSession, df: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
+    """The links with 100 * intersection >= percent * union on the full sets. nodes: (node, doc_id, key)."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    ids = stored(spark, nodes.join(ends, "node", "left_semi").select("node", "doc_id", "key"), "ends")
+    some = maybe_in(texts(df), ids, ("doc_id", "key"), ("doc_id", "key")).dropDuplicates(["doc_id", "key"])
 
     def make_sets():
-        return lambda batch: {"doc_id": batch.column(0), "items": [shingle_set(lower_words(t), shingle).tobytes() for t in batch.column(1).to_pylist()]}
+        return lambda batch: {"node": batch.column(0), "items": [shingle_set(lower_words(t), shingle).tobytes() for t in batch.column(1).to_pylist()]}
 
-    sets = stored(spark, map_rows(maybe_in(keyed(id_text(df)), ids), make_sets, "doc_id long, items binary"), "sets")
+    sets = stored(spark, map_rows(some.join(ids, ["doc_id", "key"]).select("node", "text"), make_sets, "node long, items binary"), "sets")
 
     def make():
         def each(batch):
@@ -226,7 +228,7 @@ def confirmed(spark: SparkSession, df: DataFrame, links: DataFrame, percent: int
 
         return each
 
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("items").alias(f"items_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
     met = links.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b")
     return map_rows(met, make, "a long, b long")
 
@@ -235,7 +237,7 @@ def joined(spark: SparkSession, df: DataFrame, nodes: DataFrame, percent: int, s
     """(node, label) of the components: first by the stars, then by the pairs of a bucket that these leave open."""
     met = stored(spark, bucket_rows(nodes), "met")
     links = stored(spark, close(star_links(met), nodes, percent), "near")
-    sure = stored(spark, confirmed(spark, df, links, percent, shingle), "sure")
+    sure = stored(spark, confirmed(spark, df, nodes, links, percent, shingle), "sure")
     label = components(spark, sure)
     more = rest_links(spark, met, nodes, label, percent)
     if more is None:
@@ -243,30 +245,41 @@ def joined(spark: SparkSession, df: DataFrame, nodes: DataFrame, percent: int, s
     more = stored(spark, more, "more")
     if not more.limit(1).count():
         return label
-    return components(spark, sure.union(confirmed(spark, df, more, percent, shingle)))
+    return components(spark, sure.union(confirmed(spark, df, nodes, more, percent, shingle)))
 
 
-def groups(spark: SparkSession, df: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of df."""
-    sigs = stored(spark, signatures(df, shingle), "signatures")
+def grouped(spark: SparkSession, df: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(doc_id, key, n, component_id, kept) for each row of df, with NO_ID for a missing doc_id. A node of the graph is a class of equal
+    sets, by the number of one of its rows; in each component one row is kept, of the least doc_id."""
+    sigs = stored(spark, signatures(df, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sigs.where("n > 0")
-    classes = some.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
-    member = some.select("doc_id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"]).select("doc_id", "n", "rep")
-    nodes = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nodes = stored(spark, nodes.select("doc_id", "n", "buckets", "sig"), "classes")
+    first = F.min(F.struct("doc_id", "key", "row"))
+    classes = some.groupBy("set_a", "set_b", "n").agg(first.alias("rep")).select("set_a", "set_b", "n", F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("least"))
+    classes = stored(spark, classes, "reps")
+    nodes = some.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    nodes = stored(spark, nodes.select("node", "doc_id", "key", "n", "buckets", "sig"), "classes")
     label = joined(spark, df, nodes, percent, shingle)
-    out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = out.union(sigs.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    kept = (F.col("doc_id") == F.col("component_id")).alias("kept")
-    return out.select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("component_id"), kept)
+    linked = label.join(nodes.select("node", "doc_id", "key", F.col("node").alias("row")), "node")
+    heads = linked.groupBy("label").agg(first.alias("head")).select("label", F.col("head.doc_id").alias("head_id"), F.col("head.row").alias("head"))
+    linked = label.join(heads, "label").select("node", "head_id", "head")
+    out = some.select("doc_id", "key", "n", "set_a", "set_b", "row").join(classes, ["set_a", "set_b", "n"]).join(linked, "node", "left")
+    kept = (F.col("row") == F.coalesce("head", "node")).alias("kept")
+    out = out.select("doc_id", "key", "n", F.coalesce("head_id", "least").alias("component_id"), kept)
+    return out.union(sigs.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
+def groups(spark: SparkSession, df: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of df."""
+    return grouped(spark, df, percent, shingle).select(unkeyed(), F.col("n").alias("n_shingles"), unkeyed("component_id"), "kept")
 
 
 def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80) -> DataFrame:
-    """df without the documents that aren't the least doc_id of their group, with all its columns. Only documents that may have
-    to go are shuffled."""
-    gone = groups(spark, df, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    gone = stored(spark, gone, "gone")
-    maybe = fresh(df, "maybe")
-    some = maybe_in(df, gone, ("doc_id",), ("gone",), maybe)
-    left = some.where(F.col(maybe)).join(gone, some["doc_id"] == gone["gone"], "left_anti")
+    """df with one row of each group, of its least doc_id, and all columns. Only documents that may have to go are shuffled."""
+    found = grouped(spark, df, percent, SHINGLE).where("n > 0").groupBy(F.col("doc_id").alias("gone"), F.col("key").alias("gone_key"))
+    found = stored(spark, found.agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1"), "gone")
+    doc, own, maybe = fresh(df, "_doc"), fresh(df, "_own"), fresh(df, "_maybe")
+    some = df.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_key())
+    gone = found.where("not stays").select(F.col("gone").alias(f"{doc}_gone"), F.col("gone_key").alias(f"{own}_gone"))
+    some = maybe_in(some, gone, (doc, own), (f"{doc}_gone", f"{own}_gone"), maybe)
+    left = some.where(F.col(maybe)).join(gone, (F.col(doc) == F.col(f"{doc}_gone")) & (F.col(own) == F.col(f"{own}_gone")), "left_anti")
     return some.where(~F.col(maybe)).select(*df.columns).union(left.select(*df.columns))

@@ -230,6 +230,24 @@ def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in neardup.groups(spark, df, 85).collect()} == want
 
 
+def test_near_duplicates_with_shared_ids(spark):
+    """A third of the rows has no id, and ids stand on two texts: links depend on the texts alone, and one row of each group stays."""
+    rng = random.Random(9)
+    prose = lambda: [f"w{rng.getrandbits(30)}" for _ in range(150)]
+    rows = []
+    for k in range(12):
+        words = prose()
+        near = words[:-4] + ["other"]
+        rows += [(None, words), (None if k % 2 else 50 + k, near), (k // 2, near[1:])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(None, ""), (None, None)]
+    want = brute_components([(k, t) for k, (_, t) in enumerate(rows)], 85)
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    left = neardup.one_of_each(spark, df, 85).collect()
+    assert sorted(want[r.row] for r in left) == sorted(set(want.values()))
+    assert Counter(r.kept for r in neardup.groups(spark, df, 85).collect())[True] == len(left)
+    assert all(r.doc_id is None for r in left)
+
+
 def brute_bytes(rows) -> dict:
     seen, out = set(), {}
     for i, t in sorted(((common.NO_ID if i is None else i), raw(t)) for i, t in rows):
