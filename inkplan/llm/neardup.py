@@ -204,6 +204,16 @@ def maybe_in(df: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("doc_id"
     return out.select(*names, hit.alias(flag)) if flag else out.where(hit).select(*names)
 
 
+def first_of_equal(spark: SparkSession, df: DataFrame, keys: tuple[str, str], again: DataFrame, others: tuple[str, str], name: str) -> DataFrame:
+    """df with the column `name`: false for all but one of the rows with equal `keys`, where these are in `others` of again."""
+    maybe, number = fresh(df, "_again"), fresh(df, "_number")
+    some = maybe_in(df, again, keys, others, maybe)
+    held = stored(spark, some.where(F.col(maybe)).withColumn(number, F.monotonically_increasing_id()), "again")
+    first = held.groupBy(*keys).agg(F.min(number).alias(number)).select(number, F.lit(True).alias(name))
+    out = held.join(first, number, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return some.where(~F.col(maybe)).select(*df.columns, F.lit(True).alias(name)).union(out.select(*df.columns, name))
+
+
 def confirmed(spark: SparkSession, df: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
     """The links with 100 * intersection >= percent * union on the full sets. nodes: (node, doc_id, key)."""
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -281,5 +291,10 @@ def one_of_each(spark: SparkSession, df: DataFrame, percent: int = 80) -> DataFr
     some = df.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_key())
     gone = found.where("not stays").select(F.col("gone").alias(f"{doc}_gone"), F.col("gone_key").alias(f"{own}_gone"))
     some = maybe_in(some, gone, (doc, own), (f"{doc}_gone", f"{own}_gone"), maybe)
+    once = fresh(some, "_once")
+    again = found.where("stays and rows > 1").select("gone", "gone_key")
     left = some.where(F.col(maybe)).join(gone, (F.col(doc) == F.col(f"{doc}_gone")) & (F.col(own) == F.col(f"{own}_gone")), "left_anti")
-    return some.where(~F.col(maybe)).select(*df.columns).union(left.select(*df.columns))
+    left = some.where(~F.col(maybe)).select(*df.columns, doc, own).union(left.select(*df.columns, doc, own))
+    if again.limit(1).count():
+        left = first_of_equal(spark, left, (doc, own), again, ("gone", "gone_key"), once).where(once)
+    return left.select(*df.columns)

@@ -15,6 +15,9 @@ minimiser need to meet. Three steps find every repeated window:
 A text is known by its doc_id and a key of its own, so that texts without a doc_id, or with the same, each meet their own places only; in
 one doc_id, texts are ordered by their keys.
 
+Where only the earliest occurrence stays, a row given several times (same doc_id, same text) has the same places, none of them earlier:
+AGAIN rows name such texts, and all but one of their rows go as a whole.
+
 Symbols come as 64-bit hashes. Hashes that decide anything are 128 bits wide.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, let_go, map_rows, stored
-from .neardup import maybe_in
+from .neardup import first_of_equal, maybe_in
 from .shingles import mix, odd
 
 #: Window starts handled at a time; longer texts are cut there, with the overlap that windows need.
@@ -39,10 +42,14 @@ PLACES = np.uint64((1 << 24) - 1)
 HOT = 4000
 _A, _B, _C = odd(8, 23), odd(8, 29), odd(8, 31)
 
-QUERY, SPAN, STRING, WINDOWS = 0, 1, 2, 3
+QUERY, SPAN, STRING, WINDOWS, AGAIN = 0, 1, 2, 3, 4
 ROW = "a long, h long, doc long, key long, start long, n int, many boolean, kind int"
 
 
+#: Covers the whole of any text.
+WHOLE = (0, 2**31 - 1)
+
+
 class Powers:
     """Hashes of all runs of 1, 2, 4, ... symbols, and from them of runs of any length."""
 
@@ -166,6 +173,13 @@ def describe(df: DataFrame, symbols: Callable[[str], np.ndarray], window: int, k
         def each(batch):
             docs, texts, keys = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
             out = []
+            if keep_first:  # each text of the batch once
+                order = np.lexsort((keys, docs))
+                equal = np.concatenate([np.zeros(min(1, len(docs)), bool), (docs[order[1:]] == docs[order[:-1]]) & (keys[order[1:]] == keys[order[:-1]])])
+                twice = np.array([i for i in order[equal] if len(symbols(texts[int(i)].as_py())) >= window], np.int64)
+                out.append(_row(AGAIN, doc=docs[twice], key=keys[twice], start=np.zeros(len(twice), np.int64), n=np.zeros(len(twice), np.int64)))
+                rows = np.sort(order[~equal])
+                docs, keys, texts = docs[rows], keys[rows], texts.take(pa.array(rows)) if equal.any() else texts
             for h, starts, ends, ids, own, bases in chunks(docs, keys, lambda i: symbols(texts[int(i)].as_py()), window):
                 s = super_kmers(h, starts, ends, window, k)
                 out += local(s["a"], s["b"], ids[s["text"]], own[s["text"]], bases[s["text"]] + s["first"] - starts[s["text"]], s["n"], keep_first)
@@ -190,7 +204,14 @@ def settle(t: dict[str, np.ndarray], keep_first: bool) -> list[dict[str, np.ndar
     strings = np.diff(np.append(np.flatnonzero(new_a[at]), len(at)))  # different strings at each minimiser
     strings = np.repeat(strings, strings)
     done = ~new if keep_first else np.repeat(group_many, size)
-    out = [_row(SPAN, **merged(doc[done], key[done], start[done], n[done]))]
+    out = []
+    if keep_first:
+        same = ~new & np.concatenate([[False], (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (start[1:] == start[:-1])])
+        done &= ~same
+        i = np.flatnonzero(same)
+        i = i[np.unique(np.stack([doc[i], key[i]]), axis=1, return_index=True)[1]] if len(i) else i
+        out.append(_row(AGAIN, doc=doc[i], key=key[i], start=np.zeros(len(i), np.int64), n=np.zeros(len(i), np.int64)))
+    out += [_row(SPAN, **merged(doc[done], key[done], start[done], n[done]))]
     for kind, which in ((STRING, (strings > 1) & (strings <= HOT)), (WINDOWS, strings > HOT)):
         i = at[which]
         out.append(_row(kind, a=a[i], h=h[i], doc=doc[i], key=key[i], start=start[i], n=n[i], many=group_many[which]))
@@ -198,7 +219,7 @@ def settle(t: dict[str, np.ndarray], keep_first: bool) -> list[dict[str, np.ndar
 
 
 def resolve(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """Step 2. SPANs pass; QUERY rows meet by minimiser, sorted so that whole minimisers come in turn and memory is bounded by
+    """Step 2. SPANs and AGAINs pass; QUERY rows meet by minimiser, sorted so that whole minimisers come in turn and memory is bounded by
     the batch and the largest minimiser."""
     schema = ROW
     sorted_rows = rows.repartition("a").sortWithinPartitions("a")
@@ -209,7 +230,7 @@ def resolve(rows: DataFrame, keep_first: bool) -> DataFrame:
         held: list[dict[str, np.ndarray]] = []
 
         def give(t):
-            made = _joined(settle({c: v[t["kind"] == QUERY] for c, v in t.items()}, keep_first) + [{c: v[t["kind"] == SPAN] for c, v in t.items()}])
+            made = _joined(settle({c: v[t["kind"] == QUERY] for c, v in t.items()}, keep_first) + [{c: v[np.isin(t["kind"], (SPAN, AGAIN))] for c, v in t.items()}])
             return pa.RecordBatch.from_arrays([pa.array(made[c], type_of[c]) for c in names], schema=target)
 
         target = arrow_schema(schema)
@@ -306,14 +327,25 @@ def spans(spark: SparkSession, docs: DataFrame, symbols: Callable, cut: Callable
     more = stored(spark, packed(docs, found, symbols, cut, window), "packed")
     single = resolve(more.where(F.col("kind") == QUERY).drop("packed"), keep_first)
     sorted_ = sort_buckets(more.where(F.col("kind") == STRING), repeated, most)
-    out = found.where(F.col("kind") == SPAN).union(sorted_).union(single.where(F.col("kind") == SPAN))
+    out = found.where(F.col("kind").isin(SPAN, AGAIN)).union(sorted_).union(single.where(F.col("kind") == SPAN))
     return stored(spark, out.select("doc", "key", "start", "n", "kind"), "spans")
 
 
-def without(docs: DataFrame, found: DataFrame, apply: Callable, window: int, schema: str) -> DataFrame:
+def twice_given(found: DataFrame) -> DataFrame | None:
+    """(again, again_key) of the texts that several rows hold; None without any."""
+    out = found.where(F.col("kind") == AGAIN).select(F.col("doc").alias("again"), F.col("key").alias("again_key")).distinct()
+    return out if out.limit(1).count() else None
+
+
+def without(spark: SparkSession, docs: DataFrame, found: DataFrame, apply: Callable, window: int, schema: str) -> DataFrame:
     """apply(text, ranges) for each row of docs: ranges are the sorted, disjoint covered [first, end) of its text. Only
     documents that may have some are shuffled."""
     listed = by_document(found, (SPAN,), ("start", "n"))
+    again, whole = twice_given(found), None
+    if again is not None:
+        docs = first_of_equal(spark, docs, ("doc_id", "key"), again, ("again", "again_key"), "first")
+        whole = docs.where("not first").select("doc_id", "text", F.array(F.struct(F.lit(WHOLE[0]).cast("long").alias("start"), F.lit(WHOLE[1]).alias("n"))).alias("rows"))
+        docs = docs.where("first").drop("first")
     some = maybe_in(docs, found.select("doc", "key"), ("doc_id", "key"), ("doc", "key"), "maybe")
     none = some.where("not maybe").select("doc_id", "text", F.array().cast("array<struct<start:bigint,n:int>>").alias("rows"))
     met = some.where("maybe").join(listed, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key")), "left").select("doc_id", "text", "rows")
@@ -328,7 +360,8 @@ def without(docs: DataFrame, found: DataFrame, apply: Callable, window: int, sch
 
         return each
 
-    return map_rows(met.union(none), make, schema)
+    met = met.union(none) if whole is None else met.union(none).union(whole)
+    return map_rows(met, make, schema)
 
 
 def covered(rows: list[dict], window: int) -> list[tuple[int, int]]:

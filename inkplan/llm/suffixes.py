@@ -11,7 +11,8 @@ A byte is removed if a `window`-byte string that covers it also starts earlier:
 
 Defined cases: null or empty text: no bytes, nothing removed, the digest of nothing; texts shorter than the window are kept
 whole; a null doc_id orders before all others; texts that share a doc_id, or have none, are told apart by a hash, and each loses its own
-repeats; cutting may split characters, so kept text is bytes; other columns are not read.
+repeats; of a row given several times, one is treated so and the others are later, and lose all their text if it is as long as the window;
+cutting may split characters, so kept text is bytes; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .common import NO_ID, fresh, text_key, texts
-from .neardup import maybe_in
+from .neardup import first_of_equal, maybe_in
 from .shingles import mix, odd
 
 WINDOW, MINIMISER = 100, 24
@@ -123,7 +124,7 @@ def kept(spark: SparkSession, df: DataFrame, schema: str, result) -> DataFrame:
     def apply(text: str, ranges: list[tuple[int, int]]) -> tuple:
         return result(text.encode("utf-8", "surrogatepass"), ranges)
 
-    return repeats.without(texts(df), covered(spark, df), apply, WINDOW, f"doc_id long, {schema}")
+    return repeats.without(spark, texts(df), covered(spark, df), apply, WINDOW, f"doc_id long, {schema}")
 
 
 def left_of(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -166,7 +167,14 @@ def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
     some = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_key())
+    again, names = repeats.twice_given(found), df.columns
+    if again is not None:
+        once = fresh(some, "_once")
+        some = first_of_equal(spark, some, (key, own), again, ("again", "again_key"), once)
+        more = some.where(~F.col(once)).select(*names, F.array(F.struct(F.lit(repeats.WHOLE[0]).cast("long").alias("start"), F.lit(repeats.WHOLE[1]).alias("n"))).alias(rows))
+        some = some.where(once).drop(once)
     some = maybe_in(some, found, (key, own), ("doc", "key"), maybe)
-    met = some.where(F.col(maybe)).join(listed, (F.col(key) == F.col(doc)) & (F.col(own) == F.col(doc_own)), "left").withColumn("text", rest("text", rows))
+    met = some.where(F.col(maybe)).join(listed, (F.col(key) == F.col(doc)) & (F.col(own) == F.col(doc_own)), "left").select(*names, rows)
+    met = (met if again is None else met.union(more)).withColumn("text", rest("text", rows))
     met = met.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else met
     return some.where(~F.col(maybe)).select(*df.columns).union(met.select(*df.columns))

@@ -84,7 +84,7 @@ def left_of(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
 
 def kept(spark: SparkSession, df: DataFrame, schema: str, result) -> DataFrame:
     """result(words, removed ranges) for each row, under the columns of schema after doc_id."""
-    return repeats.without(texts(df), covered(spark, df), lambda text, ranges: result(words_of(text), ranges), WINDOW, f"doc_id long, {schema}")
+    return repeats.without(spark, texts(df), covered(spark, df), lambda text, ranges: result(words_of(text), ranges), WINDOW, f"doc_id long, {schema}")
 
 
 def digests(spark: SparkSession, df: DataFrame) -> DataFrame:

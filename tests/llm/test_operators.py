@@ -317,6 +317,26 @@ def test_shared_ids(spark, monkeypatch, hot):
     assert Counter((some(r.doc_id), raw(r.kept)) for r in superkmers.deduplicated(spark, df).collect()) == left
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_rows_given_twice(spark, docs, sf_dir, parts):
+    """Of equal rows one stays, in a batch and across batches, by itself and in the pipeline."""
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    rows = [(7, prose(50)), (8, prose(60)), (None, prose(40)), (9, "short")]
+    rows.append((10, rows[0][1][:120] + prose(30)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), True, "x", 1, 2, "r") for i, t in rows * 2 + rows[:1]], SCHEMA).repartition(parts)
+    want = {i: raw(t) for i, t in rows} | {10: raw(rows[4][1][120:])}
+    cut = Counter((None if r.doc_id == common.NO_ID else r.doc_id, bytes(r.kept)) for r in suffixes.deduplicated(spark, df).collect())
+    assert cut == Counter(want.items()) + Counter({(7, b""): 2, (8, b""): 1, (None, b""): 1, (9, b"short"): 1, (10, b""): 1})
+    stage = dict(corpus_pipeline.STAGES)
+    again = stage["suffix_dedup"](spark, df, sf_dir)
+    assert again.columns == df.columns and Counter((r.doc_id, raw(r.text)) for r in again.collect()) == cut
+    near = stage["near_duplicates"](spark, df, sf_dir)
+    assert near.columns == df.columns and Counter((r.doc_id, r.text) for r in near.collect()) == Counter(rows)
+    left = stage["suffix_dedup"](spark, near, sf_dir).collect()
+    assert {r.doc_id: raw(r.text) for r in left} == want and len(left) == len(rows)
+
+
 def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr("inkplan.llm.repeats.CHUNK", 150)
     rng = random.Random(6)
