@@ -2,10 +2,14 @@
 
 A document's set of five-word shingles is hashed once and dealt into BINS bins, the least hash of each bin is its signature,
 and an empty bin borrows from another by its own fixed random sequence of bins (optimal densification). Bands of ROWS signature
-values name buckets. Documents with equal sets become one class first, so copies never meet in buckets. In a bucket, each class is
-linked to the least and to the greatest one only: links grow with the rows of a bucket, not with its pairs. Links with a close
+values name buckets. Documents with equal sets (by SHA-256) become one class first, so copies never meet in buckets. In a bucket, each
+class is linked to the least and to the greatest one only: links grow with the rows of a bucket, not with its pairs. Links with a close
 enough signature are confirmed on the full shingle sets, and the confirmed ones joined to components.
 
+Two rows of a bucket may be alike though neither is like its ends. So where a bucket's rows aren't in one component after that, its
+other rows meet once more, in blocks, with their full sets: each is compared with those that it isn't joined to yet and whose size
+allows it. Only the links found leave the block; no pair is emitted, and a pair that shares several buckets is compared in the first.
+
 A pair at similarity 0.85 shares no bucket with probability (1 - 0.85^4)^32 = 6e-11, at 0.8 with 5e-8.
 
 Defined cases: null or empty text, or one without words: an empty set, linked with nothing; fewer than five words: the whole
@@ -15,24 +19,26 @@ linked by their texts alone, and of each component exactly one row is kept; othe
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, arrow_schema, fresh, let_go, map_rows, stored, text_key, texts, unkeyed
+from .common import NO_ID, arrow_schema, fresh, let_go, map_rows, slices, stored, text_key, texts, unkeyed
 from .graphs import components
 from .shingles import lower_words, mix, odd, shingle_set
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 SHINGLE = 5
-#: Signature similarity may fall short of the true one by this much, nearly five standard deviations.
-SLACK = 0.15
+#: The signature's share of equal values may fall short of the similarity by so many standard deviations.
+DEVIATIONS = 5
 #: Bits of the filter over the documents in links; its size, 1 MB, is the same for every input.
 FILTER_BITS = 1 << 23
-#: Rows of a bucket compared with one another in one piece.
-BLOCK = 2000
+#: Rows of a bucket compared with one another in one piece, and the shingles of these.
+BLOCK, ITEMS = 2000, 2_000_000
 
 _EDGES = (np.arange(BINS + 1, dtype=np.float64) * (2.0**64 / BINS)).astype(object)
 EDGES = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
@@ -66,7 +72,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, n, set_a, set_b, buckets, sig): set_a and set_b are 128 bits over the whole set."""
+    """(doc_id, key, n, set_a, set_b, buckets, sig): set_a and set_b are 128 bits of the SHA-256 of the whole set."""
 
     def make():
         def each(batch):
@@ -79,8 +85,9 @@ def signatures(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         out[k].append(None)
                     continue
                 sig = signature(s)
-                out["set_a"].append(int(mix(s).sum().view(np.int64)))
-                out["set_b"].append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)))
+                whole = hashlib.sha256(s.tobytes()).digest()
+                out["set_a"].append(int.from_bytes(whole[:8], "little", signed=True))
+                out["set_b"].append(int.from_bytes(whole[8:16], "little", signed=True))
                 out["buckets"].append(bands(sig))
                 out["sig"].append(sig.astype(np.uint16).tobytes())
             return {"doc_id": batch.column(0), "key": batch.column(2), **out}
@@ -98,90 +105,33 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def star_links(met: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from bucket_rows(): each bucket's rows with its least and its greatest."""
-    pairs = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p"))
-    return pairs.select("p.*").where("a < b").distinct()
+    """Distinct (a, b, hub), a < b, from bucket_rows(): each bucket's rows with its least and its greatest, which is the hub."""
+    pairs = met.select(F.explode(F.array(F.struct("lo", "node", F.col("lo").alias("hub")), F.struct(F.col("hi").alias("lo"), "node", F.col("hi").alias("hub")))).alias("p"))
+    pairs = pairs.select(F.least("p.lo", "p.node").alias("a"), F.greatest("p.lo", "p.node").alias("b"), "p.hub").where("a < b")
+    return pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
 
 
-def rest_links(spark: SparkSession, met: DataFrame, nodes: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
-    """Distinct (a, b), a < b: every other pair of a bucket that isn't in one component yet and whose sizes and signatures allow the
-    similarity; None without any bucket to look at. A bucket of more than BLOCK rows is dealt out by pairs of its blocks."""
-    rows = met.where("size > 3 and node != lo and node != hi").select("node", "bucket")
-    rows = rows.join(label, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
-    rows = stored(spark, rows, "crowded")
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mixed = stored(spark, mixed.where("lo < hi").select("bucket", "blocks"), "mixed")
-    if not mixed.limit(1).count():
-        return None
-    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "label", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    rows = rows.join(nodes.select("node", "n", "sig"), "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "n")
-    least = least_shared(percent)
-
-    def run(batches):
-        let_go()
-        target = arrow_schema("a long, b long")
-
-        def give(t):
-            ids, label, n, side = (np.concatenate([np.asarray(p[c]) for p in t]) for c in ("node", "label", "n", "side"))
-            sig = np.frombuffer(b"".join(x for p in t for x in p["sig"]), np.uint16).reshape(-1, BINS).T.copy()
-            last = np.searchsorted(100 * n, 10000 * n // percent + 100)
-            a, b = [], []
-            for i in range(len(ids) - 1):
-                to = slice(i + 1, int(last[i]))
-                may = (label[to] != label[i]) & ((side[to] != side[i]) | (side[i] == 2)) & (percent * n[to] <= 100 * n[i])
-                if not may.any():
-                    continue
-                may &= (sig[:, to] == sig[:, i : i + 1]).sum(0, dtype=np.uint8) >= least
-                j = i + 1 + np.flatnonzero(may)
-                a.append(np.minimum(ids[j], ids[i]))
-                b.append(np.maximum(ids[j], ids[i]))
-            if a:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], schema=target)
-
-        held, at = [], None
-        for batch in batches:
-            bucket, x, y, block = (batch.column(c).to_numpy() for c in (2, 3, 4, 5))
-            side = np.where(x == y, 2, block == y)  # 2: every pair of the block
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            for first, end in zip([0, *cuts], [*cuts, len(bucket)]):
-                if first == end:
-                    continue
-                here = (bucket[first], x[first], y[first])
-                if held and here != at:
-                    made = give(held)
-                    held = []
-                    if made is not None:
-                        yield made
-                at = here
-                part = batch.slice(first, end - first)
-                held.append({"node": part.column(0).to_numpy(), "label": part.column(1).to_numpy(), "n": part.column(6).to_numpy(), "sig": part.column(7).to_pylist(), "side": side[first:end]})
-        if held and (made := give(held)) is not None:
-            yield made
-
-    return rows.select("node", "label", "bucket", "x", "y", "block", "n", "sig").mapInArrow(run, "a long, b long").distinct()
-
-
-def least_shared(percent: int) -> int:
-    return int(BINS * (percent / 100 - SLACK))
+def least_shared(percent: int, n: np.ndarray) -> np.ndarray:
+    """Equal signature values that a pair at the similarity has at least; n: shingles of the smaller set. With few shingles, few bins
+    hold values of their own, so the share of equal values varies as that of so many draws."""
+    p = percent / 100
+    return BINS * (p - DEVIATIONS * np.sqrt(p * (1 - p) * (1 / BINS + 1 / np.maximum(n, 1))))
 
 
 def close(links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The links whose sizes and signatures allow the similarity."""
+    """The links (a, b, hub) whose sizes and signatures allow the similarity."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     met = links.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    least = least_shared(percent)
 
     def make():
         def each(batch):
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in (2, 3))
-            keep = (x == y).sum(1) >= least
-            return {c: batch.column(c).to_numpy()[keep] for c in ("a", "b")}
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BINS) for k in (3, 4))
+            keep = (x == y).sum(1) >= least_shared(percent, batch.column(5).to_numpy())
+            return {c: batch.column(c).to_numpy()[keep] for c in ("a", "b", "hub")}
 
         return each
 
-    return map_rows(met.select("a", "b", "sig_a", "sig_b"), make, "a long, b long")
+    return map_rows(met.select("a", "b", "hub", "sig_a", "sig_b", F.least("n_a", "n_b").alias("n")), make, "a long, b long, hub long")
 
 
 def slot(columns: tuple[str, ...]) -> Column:
@@ -214,33 +164,127 @@ def first_of_equal(spark: SparkSession, df: DataFrame, keys: tuple[str, str], ag
     return some.where(~F.col(maybe)).select(*df.columns, F.lit(True).alias(name)).union(out.select(*df.columns, name))
 
 
-def confirmed(spark: SparkSession, df: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
-    """The links with 100 * intersection >= percent * union on the full sets. nodes: (node, doc_id, key)."""
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    ids = stored(spark, nodes.join(ends, "node", "left_semi").select("node", "doc_id", "key"), "ends")
+def sets_of(spark: SparkSession, df: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, items): the full sets, sorted, of the nodes in wanted. nodes: (node, doc_id, key)."""
+    ids = stored(spark, nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "key"), "ends")
     some = maybe_in(texts(df), ids, ("doc_id", "key"), ("doc_id", "key")).dropDuplicates(["doc_id", "key"])
 
-    def make_sets():
+    def make():
         return lambda batch: {"node": batch.column(0), "items": [shingle_set(lower_words(t), shingle).tobytes() for t in batch.column(1).to_pylist()]}
 
-    sets = stored(spark, map_rows(some.join(ids, ["doc_id", "key"]).select("node", "text"), make_sets, "node long, items binary"), "sets")
+    return stored(spark, map_rows(some.join(ids, ["doc_id", "key"]).select("node", "text"), make, "node long, items binary"), "sets")
 
-    def make():
-        def each(batch):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+
+def confirmed(spark: SparkSession, df: DataFrame, nodes: DataFrame, links: DataFrame, percent: int, shingle: int = SHINGLE) -> DataFrame:
+    """The (a, b) of links (a, b, hub) with 100 * intersection >= percent * union on the full sets. A hub's set travels once for each BLOCK of
+    its links."""
+    links = links.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"))
+    sets = sets_of(spark, df, nodes, links.select("node").union(links.select("hub")).distinct(), shingle)
+    hubs = links.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    members = links.join(hubs, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = members.select("hub", "part", "node").join(sets, "node").select("hub", "part", "node", "items")
+    hubs = hubs.join(sets.withColumnRenamed("node", "hub"), "hub")
+    hubs = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("node"), "items")
+    rows = hubs.union(members).repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("node"))
+
+    def run(batches):
+        let_go()
+        x = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for hub, node, items in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                y = np.frombuffer(items, np.uint64)
+                if node is None:  # the hub comes first
+                    x = y
+                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            return {c: batch.column(c).to_numpy()[keep] for c in ("a", "b")}
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    a.append(min(hub, node))
+                    b.append(max(hub, node))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow_schema("a long, b long"))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def links_among(ids: np.ndarray, label: np.ndarray, side: np.ndarray, buckets: np.ndarray, items: list[bytes], band: int, percent: int) -> list[tuple[int, int]]:
+    """Links that join the labels of the rows of a block, or of two blocks: side 0 and 1 are the blocks', between which pairs count, and 2 a
+    single block's. Pairs that share a bucket of an earlier band are left to that."""
+    n = np.array([len(x) // 8 for x in items])
+    order = np.argsort(n, kind="stable")
+    ids, label, side, buckets, n = ids[order], label[order].copy(), side[order], buckets[order], n[order]
+    known, item = np.unique(np.frombuffer(b"".join(items[i] for i in order), np.uint64), return_inverse=True)
+    item, first = item.astype(np.int32), np.cumsum(n) - n
+    last = np.searchsorted(percent * n, 100 * n, "right")  # a larger set may have 100 / percent times the size
+    mark, out = np.zeros(len(known), bool), []
+    for i in range(len(ids) - 1):
+        to = slice(i + 1, int(last[i]))
+        may = (label[to] != label[i]) & ((side[to] != side[i]) | (side[i] == 2))
+        if not may.any():
+            continue
+        j = i + 1 + np.flatnonzero(may)
+        if band:
+            j = j[~(buckets[j, :band] == buckets[i, :band]).any(1)]
+        if not len(j):
+            continue
+        own = item[first[i] : first[i] + n[i]]
+        mark[own] = True
+        begin = np.cumsum(n[j]) - n[j]
+        hit = mark[item[np.repeat(first[j] - begin, n[j]) + np.arange(int(n[j].sum()))]]
+        mark[own] = False
+        shared = np.add.reduceat(hit, begin, dtype=np.int64)
+        for k in j[100 * shared >= percent * (n[i] + n[j] - shared)]:
+            if label[k] != label[i]:
+                out.append((int(min(ids[i], ids[k])), int(max(ids[i], ids[k]))))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def rest_links(spark: SparkSession, df: DataFrame, met: DataFrame, nodes: DataFrame, label: DataFrame, percent: int, shingle: int) -> DataFrame | None:
+    """(a, b), a < b: the links between rows of a bucket that neither its ends nor other links join; None if no bucket has rows to look at.
+    A bucket of more than BLOCK rows, or ITEMS shingles, is dealt out by pairs of its blocks."""
+    rows = met.where("size > 3 and node != lo and node != hi").select("node", "bucket")
+    rows = rows.join(label, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+    rows = stored(spark, rows.join(nodes.select("node", "n"), "node"), "crowded")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ITEMS)).cast("int")
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks"))
+    mixed = stored(spark, mixed.where("lo < hi").select("bucket", "blocks"), "mixed")
+    if not mixed.limit(1).count():
+        return None
+    rows = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = stored(spark, rows.drop("n"), "open")
+    sets = sets_of(spark, df, nodes, rows.select("node").distinct(), shingle).join(nodes.select("node", "buckets"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", "label", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    rows = rows.join(sets, "node").select("node", "label", "bucket", "x", "y", "block", "buckets", "items")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
-        return each
+    def run(batches):
+        let_go()
+        held, at = [], None
 
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}"))
-    met = links.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b")
-    return map_rows(met, make, "a long, b long")
+        def give():
+            ids, label_, own = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 5))
+            _, x, y = at
+            buckets = np.array([r[6] for r in held], np.int64)
+            side = np.full(len(ids), 2) if x == y else (own == y).astype(int)
+            found = links_among(ids, label_, side, buckets, [r[7] for r in held], int(np.flatnonzero(buckets[0] == at[0])[0]), percent)
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow_schema("a long, b long"))
+
+        for batch in slices(batches):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if held and r[2:5] != at:
+                    yield give()
+                    held = []
+                at = r[2:5]
+                held.append(r)
+        if held:
+            yield give()
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def joined(spark: SparkSession, df: DataFrame, nodes: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -249,13 +293,11 @@ def joined(spark: SparkSession, df: DataFrame, nodes: DataFrame, percent: int, s
     links = stored(spark, close(star_links(met), nodes, percent), "near")
     sure = stored(spark, confirmed(spark, df, nodes, links, percent, shingle), "sure")
     label = components(spark, sure)
-    more = rest_links(spark, met, nodes, label, percent)
+    more = rest_links(spark, df, met, nodes, label, percent, shingle)
     if more is None:
         return label
     more = stored(spark, more, "more")
-    if not more.limit(1).count():
-        return label
-    return components(spark, sure.union(confirmed(spark, df, nodes, more, percent, shingle)))
+    return components(spark, sure.union(more)) if more.limit(1).count() else label
 
 
 def grouped(spark: SparkSession, df: DataFrame, percent: int, shingle: int) -> DataFrame:

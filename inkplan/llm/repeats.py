@@ -3,22 +3,19 @@ super-k-mers have in common.
 
 A window's minimiser is the k-mer of least hash in it, the leftmost of equals. Consecutive windows of a text that share a
 minimiser's place form one super-k-mer; equal windows have equal minimisers at the same place, so only super-k-mers with the same
-minimiser need to meet. Three steps find every repeated window:
+minimiser need to meet. Equal windows are found by comparing the symbols themselves; hashes only say who meets whom:
 
-1. describe(): each chunk of texts gives a short row for each super-k-mer: the minimiser's hash, the string's hash, its place.
-   Equal strings of a chunk are already one row, so copies shrink before the shuffle.
-2. resolve(): rows meet by minimiser. Those of a lone string are settled there, by count or by place. Where different
-   strings share a minimiser, one row for each string goes on.
-3. packed(): only those strings themselves, cut from the texts, travel to the minimiser's bucket, where a sort settles which of
-   their windows are equal. A minimiser with more than HOT different strings is split: its windows go on one by one, by hash.
+1. once(): rows that repeat a text as a whole are set apart, so one row for each text goes on.
+2. describe(): each chunk of texts gives a short row for each super-k-mer: the minimiser's hash and the place. Strings that occur
+   again in the chunk are compared there and are one row.
+3. resolve(): rows meet by minimiser, in a stream. One that nothing shares holds no repeated window and ends here.
+4. packed(): the strings of all others, cut from the texts, travel to the minimiser's bucket.
+5. sort_buckets(): a bucket's strings come sorted; equal ones are settled as neighbours, and the windows of different ones are
+   sorted. A minimiser with more than HOT strings has a bucket for each of its windows, so that it doesn't fill one task: its
+   windows travel one by one, by their hash, and are sorted and compared there in the same way.
 
 A text is known by its doc_id and a key of its own, so that texts without a doc_id, or with the same, each meet their own places only; in
-one doc_id, texts are ordered by their keys.
-
-Where only the earliest occurrence stays, a row given several times (same doc_id, same text) has the same places, none of them earlier:
-AGAIN rows name such texts, and all but one of their rows go as a whole.
-
-Symbols come as 64-bit hashes. Hashes that decide anything are 128 bits wide.
+one doc_id, texts are ordered by their keys. Symbols come as 64-bit hashes, of a byte or of a word.
 """
 
 from __future__ import annotations
@@ -27,27 +24,27 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, let_go, map_rows, stored
-from .neardup import first_of_equal, maybe_in
+from .common import arrow_schema, fresh, let_go, map_rows, slices, stored
+from .neardup import maybe_in
 from .shingles import mix, odd
 
 #: Window starts handled at a time; longer texts are cut there, with the overlap that windows need.
 CHUNK = 1 << 19
 PLACE_BITS = np.uint64(24)
 PLACES = np.uint64((1 << 24) - 1)
-#: Different strings at one minimiser beyond which its windows are dealt out singly.
-HOT = 4000
+#: Strings at one minimiser beyond which its windows have a bucket each.
+HOT = 2000
 _A, _B, _C = odd(8, 23), odd(8, 29), odd(8, 31)
 
-QUERY, SPAN, STRING, WINDOWS, AGAIN = 0, 1, 2, 3, 4
-ROW = "a long, h long, doc long, key long, start long, n int, many boolean, kind int"
-
-
-#: Covers the whole of any text.
-WHOLE = (0, 2**31 - 1)
+QUERY, SPAN, STRING, WINDOWS = 0, 1, 2, 3
+ROW = "a long, doc long, key long, start long, n int, many boolean, kind int"
+NAMES = [p.split()[0] for p in ROW.split(",")]
+STRINGS = "a long, doc long, key long, start long, n int, many boolean, packed binary"
+#: Strings that a task cuts or settles before it hands them on.
+MOST_CUT = 20_000
 
 
 class Powers:
@@ -99,7 +96,7 @@ def super_kmers(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     at = np.flatnonzero(np.cumsum(ok[:n]))
     if not len(at):
         empty = np.zeros(0, np.int64)
-        return {"text": empty, "first": empty, "n": empty, "a": empty, "b": empty, "offset": empty}
+        return {"text": empty, "first": empty, "n": empty, "a": empty, "b": empty}
     p = place[at]
     new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (at[1:] != at[:-1] + 1)]))
     count = np.diff(np.append(new, len(at)))
@@ -144,110 +141,133 @@ def merged(doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray) -
 
 def _row(kind: int, **columns: np.ndarray) -> dict[str, np.ndarray]:
     n = len(columns["doc"])
-    return {"a": np.zeros(n, np.int64), "h": np.zeros(n, np.int64), "many": np.zeros(n, bool), "kind": np.full(n, kind, np.int32)} | columns
+    return {"a": np.zeros(n, np.int64), "many": np.zeros(n, bool), "kind": np.full(n, kind, np.int32)} | columns
 
 
 def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    names = [p.split()[0] for p in ROW.split(",")]
-    return {c: np.concatenate([p[c] for p in parts]) if parts else [] for c in names}
-
-
-def local(a: np.ndarray, b: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray, keep_first: bool) -> list[dict[str, np.ndarray]]:
-    """Rows in document order to one QUERY row for each (a, b), and SPANs for what is settled already."""
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
-    first = order[new]
-    many = np.diff(np.append(np.flatnonzero(new), len(x))) > 1
-    out = [_row(QUERY, a=a[first], h=b[first], doc=doc[first], key=key[first], start=start[first], n=n[first], many=many)]
-    again = order[~new] if keep_first else order[np.repeat(many, np.diff(np.append(np.flatnonzero(new), len(x))))]
+    return {c: np.concatenate([p[c] for p in parts]) if parts else [] for c in NAMES}
+
+
+def _batch(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    target = arrow_schema(ROW)
+    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in target], schema=target)
+
+
+def once(spark: SparkSession, df: DataFrame, id_col: str, copy: str, many: str) -> DataFrame:
+    """df with two flags: `copy`, whether another row holds the same text and is the first that does (of the least id_col, which
+    has no nulls), and `many`, whether any other row holds it. Texts are compared by SHA-256; only those that may be copies are
+    shuffled."""
+    total, maybe, number, first, rows = (fresh(df, c) for c in ("_sum", "_maybe", "_number", "_first", "_rows"))
+    named = df.withColumn(total, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    counts = named.groupBy(total).agg(F.count("*").alias(rows)).where(F.col(rows) > 1)
+    counts = stored(spark, counts.select(total), "copied")
+    some = maybe_in(named, counts, (total,), (total,), maybe)
+    held = stored(spark, some.where(F.col(maybe)).drop(maybe).withColumn(number, F.monotonically_increasing_id()), "copies")
+    firsts = held.groupBy(total).agg(F.min(F.struct(F.col(id_col), F.col(number))).alias(first), F.count("*").alias(rows))
+    groups = firsts.select(F.col(f"{first}.{number}").alias(number), (F.col(rows) > 1).alias(many))
+    told = held.join(groups, number, "left").withColumn(copy, F.col(many).isNull()).withColumn(many, F.coalesce(many, F.lit(True)))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    told = stored(spark, told.select(*names, copy, many), "told")
+    return some.where(~F.col(maybe)).select(*names, F.lit(False).alias(copy), F.lit(False).alias(many)).union(told)
+
+
+def same_runs(h: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the length[i] symbols of h from x[i] on are those from y[i] on."""
+    out = np.ones(len(x), bool)
+    at = 0
+    while at < len(x):  # in pieces of some million symbols
+        end = max(at + 1, int(np.searchsorted(np.cumsum(length[at:]), 1 << 22, "right")) + at)
+        n = length[at:end]
+        begin = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(begin, n)
+        out[at:end] = np.logical_and.reduceat(h[np.repeat(x[at:end], n) + step] == h[np.repeat(y[at:end], n) + step], begin)
+        at = end
+    return out
+
+
+def local(h: np.ndarray, s: dict[str, np.ndarray], doc: np.ndarray, key: np.ndarray, start: np.ndarray, copied: np.ndarray, window: int, keep_first: bool) -> list[dict[str, np.ndarray]]:
+    """The super-k-mers s of a chunk h, in document order, to one QUERY row for each string, and SPANs for the others of each."""
+    a, n = s["a"], s["n"]
+    if not len(a):
+        return []
+    order = np.lexsort((s["b"], a))
+    x, y = a[order], s["b"][order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (n[order[1:]] != n[order[:-1]])])
+    like = np.flatnonzero(~new)
+    new[like] = ~same_runs(h, s["first"][order[like]], s["first"][order[like - 1]], n[order[like]].astype(np.int64) + window - 1)
+    first, at = order[new], np.flatnonzero(new)
+    times = np.diff(np.append(at, len(x)))
+    many = (times > 1) | np.logical_or.reduceat(copied[order], at)
+    out = [_row(QUERY, a=a[first], doc=doc[first], key=key[first], start=start[first], n=n[first], many=many)]
+    again = order[~new] if keep_first else order[np.repeat(times > 1, times)]
     some = merged(doc[again], key[again], start[again], n[again])
-    out.append(_row(SPAN, a=mix((some["doc"] * 31 + some["key"] + some["start"]).view(np.uint64)).view(np.int64), **some))
+    out.append(_row(SPAN, **some, a=mix((some["doc"] * 31 + some["key"] + some["start"]).view(np.uint64)).view(np.int64)))
     return out
 
 
 def describe(df: DataFrame, symbols: Callable[[str], np.ndarray], window: int, k: int, keep_first: bool) -> DataFrame:
-    """Step 1. df: (doc_id, text, key). keep_first: the earliest occurrence of a window isn't itself repeated."""
+    """Step 2. df: (doc_id, text, key, many), each text once. keep_first: the earliest occurrence of a window isn't itself repeated."""
 
     def make():
         def each(batch):
-            docs, texts, keys = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
-            out = []
-            if keep_first:  # each text of the batch once
-                order = np.lexsort((keys, docs))
-                equal = np.concatenate([np.zeros(min(1, len(docs)), bool), (docs[order[1:]] == docs[order[:-1]]) & (keys[order[1:]] == keys[order[:-1]])])
-                twice = np.array([i for i in order[equal] if len(symbols(texts[int(i)].as_py())) >= window], np.int64)
-                out.append(_row(AGAIN, doc=docs[twice], key=keys[twice], start=np.zeros(len(twice), np.int64), n=np.zeros(len(twice), np.int64)))
-                rows = np.sort(order[~equal])
-                docs, keys, texts = docs[rows], keys[rows], texts.take(pa.array(rows)) if equal.any() else texts
+            docs, texts, keys, many = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            out, copied = [], {(int(docs[i]), int(keys[i])) for i in np.flatnonzero(many)}
             for h, starts, ends, ids, own, bases in chunks(docs, keys, lambda i: symbols(texts[int(i)].as_py()), window):
                 s = super_kmers(h, starts, ends, window, k)
-                out += local(s["a"], s["b"], ids[s["text"]], own[s["text"]], bases[s["text"]] + s["first"] - starts[s["text"]], s["n"], keep_first)
+                twice = np.array([(int(d), int(o)) in copied for d, o in zip(ids, own)], bool) if copied else np.zeros(len(ids), bool)
+                out += local(h, s, ids[s["text"]], own[s["text"]], bases[s["text"]] + s["first"] - starts[s["text"]], twice[s["text"]], window, keep_first)
             return _joined(out)
 
         return each
 
-    return map_rows(df, make, ROW)
-
+    return map_rows(df.select("doc_id", "text", "key", "many"), make, ROW)
 
-def settle(t: dict[str, np.ndarray], keep_first: bool) -> list[dict[str, np.ndarray]]:
-    """Step 2 on the rows of whole minimisers: SPANs that are settled, STRINGs and WINDOWS that must be looked at."""
-    order = np.lexsort((t["start"], t["key"], t["doc"], t["h"], t["a"]))
-    a, h, doc, key, start, n, many = (t[c][order] for c in ("a", "h", "doc", "key", "start", "n", "many"))
-    if not len(a):
-        return []
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new = new_a | np.concatenate([[True], h[1:] != h[:-1]])
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, len(a)))
-    group_many = (np.maximum.reduceat(many, at)) | (size > 1)
-    strings = np.diff(np.append(np.flatnonzero(new_a[at]), len(at)))  # different strings at each minimiser
-    strings = np.repeat(strings, strings)
-    done = ~new if keep_first else np.repeat(group_many, size)
-    out = []
-    if keep_first:
-        same = ~new & np.concatenate([[False], (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (start[1:] == start[:-1])])
-        done &= ~same
-        i = np.flatnonzero(same)
-        i = i[np.unique(np.stack([doc[i], key[i]]), axis=1, return_index=True)[1]] if len(i) else i
-        out.append(_row(AGAIN, doc=doc[i], key=key[i], start=np.zeros(len(i), np.int64), n=np.zeros(len(i), np.int64)))
-    out += [_row(SPAN, **merged(doc[done], key[done], start[done], n[done]))]
-    for kind, which in ((STRING, (strings > 1) & (strings <= HOT)), (WINDOWS, strings > HOT)):
-        i = at[which]
-        out.append(_row(kind, a=a[i], h=h[i], doc=doc[i], key=key[i], start=start[i], n=n[i], many=group_many[which]))
-    return out
 
-
-def resolve(rows: DataFrame, keep_first: bool) -> DataFrame:
-    """Step 2. SPANs and AGAINs pass; QUERY rows meet by minimiser, sorted so that whole minimisers come in turn and memory is bounded by
-    the batch and the largest minimiser."""
-    schema = ROW
+def resolve(rows: DataFrame) -> DataFrame:
+    """Step 3. SPANs pass; QUERY rows meet by minimiser, sorted, in a stream: those that share theirs become STRINGs, or WINDOWS if there
+    are more than HOT of them. No more than HOT rows of a minimiser are held."""
     sorted_rows = rows.repartition("a").sortWithinPartitions("a")
-    names = [p.split()[0] for p in ROW.split(",")]
 
     def run(batches):
         let_go()
         held: list[dict[str, np.ndarray]] = []
+        size, hot = 0, None
 
-        def give(t):
-            made = _joined(settle({c: v[t["kind"] == QUERY] for c, v in t.items()}, keep_first) + [{c: v[np.isin(t["kind"], (SPAN, AGAIN))] for c, v in t.items()}])
-            return pa.RecordBatch.from_arrays([pa.array(made[c], type_of[c]) for c in names], schema=target)
+        def settled(t):
+            a, query = t["a"], t["kind"] == QUERY
+            q = {c: v[query] for c, v in t.items()}
+            new = np.flatnonzero(np.concatenate([[True], q["a"][1:] != q["a"][:-1]])) if query.any() else np.zeros(0, np.int64)
+            number = np.repeat(np.diff(np.append(new, len(q["a"]))), np.diff(np.append(new, len(q["a"]))))
+            shared = number > 1
+            q = {c: v[shared] for c, v in q.items()} | {"kind": np.where(number[shared] > HOT, WINDOWS, STRING).astype(np.int32)}
+            return _batch(_joined([q, {c: v[~query] for c, v in t.items()}]))
+
+        def dealt(t):
+            return _batch(t | {"kind": np.where(t["kind"] == QUERY, WINDOWS, t["kind"]).astype(np.int32)})
 
-        target = arrow_schema(schema)
-        type_of = {f.name: f.type for f in target}
         for batch in batches:
-            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in NAMES}
+            if hot is not None and len(t["a"]):
+                more = int(np.searchsorted(t["a"], hot, "right"))
+                if more:
+                    yield dealt({c: v[:more] for c, v in t.items()})
+                    t = {c: v[more:] for c, v in t.items()}
             if not len(t["a"]):
                 continue
-            cut = int(np.searchsorted(t["a"], t["a"][-1]))
-            if cut:
-                yield give(_joined([*held, {c: v[:cut] for c, v in t.items()}]))
-                held = []
+            hot, cut = None, int(np.searchsorted(t["a"], t["a"][-1]))
+            if held and t["a"][0] != held[-1]["a"][-1] or cut:
+                yield settled(_joined([*held, {c: v[:cut] for c, v in t.items()}]))
+                held, size = [], 0
             held.append({c: v[cut:] for c, v in t.items()})
+            size += len(held[-1]["a"])
+            if size > HOT + 1:
+                hot = t["a"][-1]
+                yield dealt(_joined(held))
+                held, size = [], 0
         if held:
-            yield give(_joined(held))
+            yield settled(_joined(held))
 
-    return sorted_rows.mapInArrow(run, schema)
+    return sorted_rows.mapInArrow(run, ROW)
 
 
 def by_document(rows: DataFrame, kinds: tuple[int, ...], columns: tuple[str, ...]) -> DataFrame:
@@ -256,112 +276,130 @@ def by_document(rows: DataFrame, kinds: tuple[int, ...], columns: tuple[str, ...
 
 
 def packed(docs: DataFrame, found: DataFrame, symbols: Callable[[str], np.ndarray], cut: Callable, window: int) -> DataFrame:
-    """Step 3. STRING rows to be sorted in buckets, and windows dealt out singly as QUERY rows."""
+    """Step 4. (a, doc, key, start, n, many, packed): the strings themselves; a WINDOWS row gives one for each of its windows, with
+    the window's hash for a."""
     wanted = by_document(found, (STRING, WINDOWS), ("a", "start", "n", "many", "kind"))
     met = maybe_in(docs, found.where(F.col("kind").isin(STRING, WINDOWS)).select("doc", "key"), ("doc_id", "key"), ("doc", "key"))
     met = met.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key"))).select("doc_id", "text", "rows", "key")
 
-    def make():
-        def each(batch):
-            out = {c: [] for c in ("a", "h", "doc", "key", "start", "n", "many", "kind", "packed")}
+    def run(batches):
+        let_go()
+        target = arrow_schema(STRINGS)
+        columns: list[list] = [[] for _ in target]
 
-            def put(*values):
-                for c, v in zip(out, values):
-                    out[c].append(v)
+        def give():
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+            for c in columns:
+                c.clear()
+            return made
 
-            for doc, text, rows, key in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                piece = cut(text)
-                powers = None
+        def put(*values):
+            for c, v in zip(columns, values):
+                c.append(v)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, text, rows, key = (batch.column(k)[i].as_py() for k in range(4))
+                piece, powers = cut(text), None
                 for r in rows:
+                    first, n = r["start"], r["n"]
                     if r["kind"] == STRING:
-                        put(r["a"], 0, doc, key, r["start"], r["n"], r["many"], STRING, piece(r["start"], r["start"] + r["n"] + window - 1))
+                        put(r["a"], doc, key, first, n, r["many"], piece(first, first + n + window - 1))
                         continue
                     powers = powers or Powers(symbols(text), window)
-                    at = np.arange(r["start"], r["start"] + r["n"])
-                    x, y = mix(powers.runs(at, window, _B)).view(np.int64), mix(powers.runs(at, window, _C)).view(np.int64)
-                    for i in range(len(at)):
-                        put(int(x[i]), int(y[i]), doc, key, int(at[i]), 1, r["many"], QUERY, None)
-            return out
+                    dealt = mix(powers.runs(np.arange(first, first + n), window, _B)).view(np.int64)
+                    for k, a in enumerate(dealt.tolist()):
+                        put(a, doc, key, first + k, 1, r["many"], piece(first + k, first + k + window))
+                    if len(columns[0]) > MOST_CUT:
+                        yield give()
+                if len(columns[0]) > MOST_CUT:
+                    yield give()
+        if columns[0]:
+            yield give()
 
-        return each
-
-    return map_rows(met, make, ROW + ", packed binary")
+    return met.mapInArrow(run, STRINGS)
 
 
-def sort_buckets(strings: DataFrame, repeated: Callable, most: int) -> DataFrame:
-    """SPANs of the windows that `repeated` finds in each bucket: whole minimisers, as many as make up `most` bytes.
-    repeated(list of strings, n, many, order) gives a bool for each window, string after string."""
-    rows = strings.select("a", "doc", "start", "n", "many", "packed", "key").repartition("a").sortWithinPartitions("a", "doc", "key", "start")
+def sort_buckets(strings: DataFrame, repeated: Callable, most: int, keep_first: bool) -> DataFrame:
+    """Step 5. SPANs of the windows that are repeated in each bucket. Of equal strings, which come one after the other, the first alone
+    is held; the different strings of whole minimisers, as many as make up `most` bytes, are sorted by
+    repeated(strings, n, many, order), which gives a bool for each window, string after string."""
+    rows = strings.select("a", "packed", "doc", "key", "start", "n", "many").repartition("a").sortWithinPartitions("a", "packed", "doc", "key", "start")
 
     def run(batches):
         let_go()
-        target = arrow_schema(ROW)
-        held, size = [], 0
-
-        def give(rows):
-            doc, start, n, many, key = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4, 6))
-            hit = repeated([r[5] for r in rows], n, many, np.lexsort((start, key, doc)).argsort())
-            at = np.repeat(np.arange(len(n)), n)
-            within = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            made = _row(SPAN, **merged(doc[at[hit]], key[at[hit]], (start[at] + within)[hit], np.ones(int(hit.sum()), np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in target], schema=target)
+        held: list[list] = []
+        again: list[tuple] = []
+        size = 0
+
+        def give():
+            parts = []
+            if again:
+                doc, key, start, n = (np.array(c, np.int64) for c in zip(*again))
+                parts.append(merged(doc, key, start, n))
+            if held:
+                a = np.array([r[0] for r in held], np.int64)
+                _, group, number = np.unique(a, return_inverse=True, return_counts=True)
+                lone = number[group] == 1
+                doc, key, start, n = (np.array([r[k] for r in held], np.int64) for k in (2, 3, 4, 5))
+                many = np.array([r[6] for r in held], bool)
+                if not keep_first and (whole := np.flatnonzero(lone & many)).size:
+                    parts.append(merged(doc[whole], key[whole], start[whole], n[whole]))
+                if (i := np.flatnonzero(~lone)).size:
+                    hit = repeated([held[k][1] for k in i], n[i], many[i], np.lexsort((start[i], key[i], doc[i])).argsort())
+                    at = np.repeat(i, n[i])
+                    within = np.arange(len(at)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+                    parts.append(merged(doc[at[hit]], key[at[hit]], (start[at] + within)[hit], np.ones(int(hit.sum()), np.int64)))
+            return _batch(_joined([_row(SPAN, **p) for p in parts]))
 
         for batch in batches:
             for r in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if held and held[-1][:3] == r[:3] and held[-1][6] == r[6]:  # of a repeated row
+                if held and held[-1][0] == r[0] and held[-1][1] == r[1]:
+                    again.append(r[2:6])
+                    held[-1][6] = True
+                    if len(again) > MOST_CUT:
+                        parts = [np.array(c, np.int64) for c in zip(*again)]
+                        yield _batch(_row(SPAN, **merged(*parts)))
+                        again.clear()
                     continue
                 if held and size >= most and held[-1][0] != r[0]:
-                    yield give(held)
+                    yield give()
                     held, size = [], 0
-                held.append(r)
-                size += len(r[5])
+                    again.clear()
+                held.append(list(r))
+                size += len(r[1])
         if held:
-            yield give(held)
+            yield give()
 
     return rows.mapInArrow(run, ROW)
 
 
 def spans(spark: SparkSession, docs: DataFrame, symbols: Callable, cut: Callable, repeated: Callable, window: int, k: int, keep_first: bool, most: int) -> DataFrame:
-    """SPAN rows (doc, key, start, n): n consecutive repeated windows from a place of a text."""
-    found = stored(spark, resolve(describe(docs, symbols, window, k, keep_first), keep_first), "found")
-    more = stored(spark, packed(docs, found, symbols, cut, window), "packed")
-    single = resolve(more.where(F.col("kind") == QUERY).drop("packed"), keep_first)
-    sorted_ = sort_buckets(more.where(F.col("kind") == STRING), repeated, most)
-    out = found.where(F.col("kind").isin(SPAN, AGAIN)).union(sorted_).union(single.where(F.col("kind") == SPAN))
-    return stored(spark, out.select("doc", "key", "start", "n", "kind"), "spans")
-
+    """(doc, key, start, n): n consecutive repeated windows from a place of a text. docs: (doc_id, text, key, many), each text once."""
+    found = stored(spark, resolve(describe(docs, symbols, window, k, keep_first)), "found")
+    sorted_ = sort_buckets(packed(docs, found, symbols, cut, window), repeated, most, keep_first)
+    columns = ("doc", "key", "start", "n", "kind")
+    return stored(spark, found.where(F.col("kind") == SPAN).select(*columns).union(sorted_.select(*columns)), "spans")
 
-def twice_given(found: DataFrame) -> DataFrame | None:
-    """(again, again_key) of the texts that several rows hold; None without any."""
-    out = found.where(F.col("kind") == AGAIN).select(F.col("doc").alias("again"), F.col("key").alias("again_key")).distinct()
-    return out if out.limit(1).count() else None
 
-
-def without(spark: SparkSession, docs: DataFrame, found: DataFrame, apply: Callable, window: int, schema: str) -> DataFrame:
-    """apply(text, ranges) for each row of docs: ranges are the sorted, disjoint covered [first, end) of its text. Only
-    documents that may have some are shuffled."""
+def without(docs: DataFrame, found: DataFrame, whole: Column, apply: Callable, window: int, schema: str) -> DataFrame:
+    """apply(text, ranges) for each row of docs (with the flags of once()): ranges are the sorted, disjoint covered [first, end) of its
+    text; None where `whole` says that all of it is covered. Only documents that may have some are shuffled."""
     listed = by_document(found, (SPAN,), ("start", "n"))
-    again, whole = twice_given(found), None
-    if again is not None:
-        docs = first_of_equal(spark, docs, ("doc_id", "key"), again, ("again", "again_key"), "first")
-        whole = docs.where("not first").select("doc_id", "text", F.array(F.struct(F.lit(WHOLE[0]).cast("long").alias("start"), F.lit(WHOLE[1]).alias("n"))).alias("rows"))
-        docs = docs.where("first").drop("first")
-    some = maybe_in(docs, found.select("doc", "key"), ("doc_id", "key"), ("doc", "key"), "maybe")
-    none = some.where("not maybe").select("doc_id", "text", F.array().cast("array<struct<start:bigint,n:int>>").alias("rows"))
-    met = some.where("maybe").join(listed, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key")), "left").select("doc_id", "text", "rows")
-    names = [p.split()[0] for p in schema.split(",")]
+    some = maybe_in(docs.withColumn("whole", whole), found.select("doc", "key"), ("doc_id", "key"), ("doc", "key"), "maybe")
+    none = some.where("whole or not maybe").select("doc_id", "text", F.array().cast("array<struct<start:bigint,n:int>>").alias("rows"), "whole")
+    met = some.where("maybe and not whole").join(listed, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("doc_key")), "left").select("doc_id", "text", "rows", "whole")
 
-    def make():
-        def each(batch):
+    def run(batches):
+        let_go()
+        target = arrow_schema(schema)
+        for batch in slices(batches):
             out = []
-            for doc, text, rows in zip(batch.column(0), batch.column(1), batch.column(2)):
-                out.append((doc.as_py(), *apply(text.as_py(), covered(rows.as_py() or [], window))))
-            return dict(zip(names, zip(*out)))
-
-        return each
+            for doc, text, rows, all_ in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                out.append((doc, *apply(text, None if all_ else covered(rows or [], window))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 
-    met = met.union(none) if whole is None else met.union(none).union(whole)
-    return map_rows(met, make, schema)
+    return met.union(none).mapInArrow(run, schema)
 
 
 def covered(rows: list[dict], window: int) -> list[tuple[int, int]]:
@@ -372,4 +410,3 @@ def covered(rows: list[dict], window: int) -> list[tuple[int, int]]:
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]
-

@@ -1,7 +1,7 @@
 """Exact substring dedup: repeated 100-byte strings by blockwise suffix sorting with a difference cover.
 
-The suffixes that could be equal over `window` bytes are found by their minimisers (module repeats) and dealt into suffix buckets.
-A bucket is sorted on its own, in bounded memory: suffixes are sorted by their first V bytes; ties are resolved by the ranks of a
+The suffixes that could be equal over `window` bytes are found by their minimisers (module repeats) and dealt into suffix buckets, as
+strings of bytes. A bucket is sorted on its own, in bounded memory: suffixes are sorted by their first V bytes; ties are resolved by the ranks of a
 cover sample. The sample holds the places whose remainder modulo V lies in a difference cover, so that any two places i, j have an
 offset d < V for which i + d and j + d are both sampled. Two suffixes that agree on V bytes agree on `window` bytes exactly if the
 sample suffixes at such a d have a common prefix of window - d bytes, which the sorted sample and its prefix lengths say.
@@ -9,10 +9,12 @@ sample suffixes at such a d have a common prefix of window - d bytes, which the
 A byte is removed if a `window`-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the same one
 (of several texts with one doc_id, the one of smaller key is first).
 
+Of rows with the same text the one of least doc_id goes through the buckets; the others lose all of it, if it is as long as the window.
+
 Defined cases: null or empty text: no bytes, nothing removed, the digest of nothing; texts shorter than the window are kept
 whole; a null doc_id orders before all others; texts that share a doc_id, or have none, are told apart by a hash, and each loses its own
-repeats; of a row given several times, one is treated so and the others are later, and lose all their text if it is as long as the window;
-cutting may split characters, so kept text is bytes; other columns are not read.
+repeats; of a row given several times one is the first and the others are later; cutting may split characters, so kept text is bytes;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .common import NO_ID, fresh, text_key, texts
-from .neardup import first_of_equal, maybe_in
+from .neardup import maybe_in
 from .shingles import mix, odd
 
 WINDOW, MINIMISER = 100, 24
@@ -111,20 +113,28 @@ def later(strings: list[bytes], n: np.ndarray, order: np.ndarray, window: int =
     return out
 
 
-def covered(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """SPAN rows of repeats: the windows of each document that start earlier somewhere."""
+def covered(spark: SparkSession, first: DataFrame) -> DataFrame:
+    """SPAN rows of repeats: the windows of each text that start earlier somewhere. first: (doc_id, text, key, many)."""
     return repeats.spans(
-        spark, texts(df), symbols, cut, lambda strings, n, many, order: later(strings, n, order), WINDOW, MINIMISER, True, BUCKET
+        spark, first, symbols, cut, lambda strings, n, many, order: later(strings, n, order), WINDOW, MINIMISER, True, BUCKET
     )
 
 
 def kept(spark: SparkSession, df: DataFrame, schema: str, result) -> DataFrame:
     """result(raw bytes, removed ranges) for each row, under the columns of schema after doc_id."""
 
-    def apply(text: str, ranges: list[tuple[int, int]]) -> tuple:
-        return result(text.encode("utf-8", "surrogatepass"), ranges)
+    def apply(text: str, ranges: list[tuple[int, int]] | None) -> tuple:
+        raw = text.encode("utf-8", "surrogatepass")
+        return result(raw, removed(len(raw), ranges))
+
+    docs = repeats.once(spark, texts(df), "doc_id", "copy", "many")
+    found = covered(spark, docs.where("not copy"))
+    return repeats.without(docs, found, F.col("copy"), apply, WINDOW, f"doc_id long, {schema}")
+
 
-    return repeats.without(spark, texts(df), covered(spark, df), apply, WINDOW, f"doc_id long, {schema}")
+def removed(size: int, ranges: list[tuple[int, int]] | None) -> list[tuple[int, int]]:
+    """The ranges; for None the whole text, if a window fits into it."""
+    return ranges if ranges is not None else [(0, size)] if size >= WINDOW else []
 
 
 def left_of(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
@@ -153,28 +163,27 @@ def deduplicated(spark: SparkSession, df: DataFrame) -> DataFrame:
 def rewritten(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df with what is left of each text, and all its other columns; characters cut in two go as a whole, and n_chars, if
     df has it, follows. Only documents that may have lost something are shuffled."""
-    found = covered(spark, df)
-    key, own, doc, doc_own, rows, maybe = (fresh(df, c) for c in ("_key", "_own", "_doc", "_doc_own", "_rows", "_maybe"))
+    key, own, copy, many, doc, doc_own, rows, maybe = (fresh(df, c) for c in ("_key", "_own", "_copy", "_many", "_doc", "_doc_own", "_rows", "_maybe"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    some = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_key())
+    some = repeats.once(spark, some, key, copy, many)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    found = covered(spark, some.where(~F.col(copy)).select(F.col(key).alias("doc_id"), text, F.col(own).alias("key"), F.col(many).alias("many")))
     listed = repeats.by_document(found, (repeats.SPAN,), ("start", "n")).toDF(doc, doc_own, rows)
 
     @F.pandas_udf("string")
-    def rest(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(text, some):
-            if text is None or some is None:
+    def rest(texts: pd.Series, spans: pd.Series, copies: pd.Series) -> pd.Series:
+        def one(text, some, whole):
+            if text is None or some is None and not whole:
                 return text
-            return left_of(text.encode("utf-8", "surrogatepass"), repeats.covered(list(some), WINDOW)).decode("utf-8", "ignore")
+            raw = text.encode("utf-8", "surrogatepass")
+            return left_of(raw, removed(len(raw), None if whole else repeats.covered(list(some), WINDOW))).decode("utf-8", "ignore")
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([one(t, s, c) for t, s, c in zip(texts, spans, copies)], dtype=object)
 
-    some = df.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, text_key())
-    again, names = repeats.twice_given(found), df.columns
-    if again is not None:
-        once = fresh(some, "_once")
-        some = first_of_equal(spark, some, (key, own), again, ("again", "again_key"), once)
-        more = some.where(~F.col(once)).select(*names, F.array(F.struct(F.lit(repeats.WHOLE[0]).cast("long").alias("start"), F.lit(repeats.WHOLE[1]).alias("n"))).alias(rows))
-        some = some.where(once).drop(once)
-    some = maybe_in(some, found, (key, own), ("doc", "key"), maybe)
-    met = some.where(F.col(maybe)).join(listed, (F.col(key) == F.col(doc)) & (F.col(own) == F.col(doc_own)), "left").select(*names, rows)
-    met = (met if again is None else met.union(more)).withColumn("text", rest("text", rows))
+    some = maybe_in(some, found, (key, own), ("doc", "key"), maybe).withColumn(maybe, F.col(maybe) & ~F.col(copy))
+    met = some.where(F.col(maybe)).join(listed, (F.col(key) == F.col(doc)) & (F.col(own) == F.col(doc_own)), "left").select(*names, rows, copy)
+    met = met.union(some.where(copy).select(*names, F.lit(None).cast(met.schema[rows].dataType).alias(rows), copy))
+    met = met.withColumn("text", rest(F.col("text").cast("string"), rows, copy))
     met = met.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else met
-    return some.where(~F.col(maybe)).select(*df.columns).union(met.select(*df.columns))
+    return some.where(~F.col(maybe) & ~F.col(copy)).select(*names).union(met.select(*names))

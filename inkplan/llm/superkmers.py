@@ -1,9 +1,11 @@
 """Exact substring dedup of word windows by super-k-mers.
 
 Consecutive 35-word windows that share a minimiser (the eight-word run of least hash) travel as one packed string of words to the
-minimiser's bucket. There the windows are sorted by hash and neighbours compared word for word, so they are counted exactly.
+minimiser's bucket (module repeats). There equal strings are neighbours, and the windows of different ones are sorted by hash and
+neighbours compared word for word, so they are counted exactly.
 
-A word is removed if a window that covers it occurs anywhere else as well, in the same document or another.
+A word is removed if a window that covers it occurs anywhere else as well, in the same document or another. Of rows with the same
+text one goes through the buckets, for all of them; all lose all their words, if there are as many as a window has.
 
 Defined cases: null or empty text: no words, the digest of nothing; texts shorter than a window are kept whole; a null doc_id is a
 document like others; texts that share a doc_id, or have none, are told apart by a hash, and each loses its own repeats; a row given
@@ -16,6 +18,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import repeats
 from .common import texts
@@ -67,13 +70,6 @@ def repeated(strings: list[bytes], n: np.ndarray, many: np.ndarray, window: int
     return np.bincount(classes, weight)[classes] > 1
 
 
-def covered(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """SPAN rows of repeats: the windows of each document that occur elsewhere too."""
-    return repeats.spans(
-        spark, texts(df), symbols, cut, lambda strings, n, many, order: repeated(strings, n, many), WINDOW, MINIMISER, False, BUCKET
-    )
-
-
 def left_of(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
     out, at = [], 0
     for start, end in ranges:
@@ -84,7 +80,16 @@ def left_of(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]:
 
 def kept(spark: SparkSession, df: DataFrame, schema: str, result) -> DataFrame:
     """result(words, removed ranges) for each row, under the columns of schema after doc_id."""
-    return repeats.without(spark, texts(df), covered(spark, df), lambda text, ranges: result(words_of(text), ranges), WINDOW, f"doc_id long, {schema}")
+
+    def apply(text: str, ranges: list[tuple[int, int]] | None) -> tuple:
+        words = words_of(text)
+        return result(words, ranges if ranges is not None else [(0, len(words))] if len(words) >= WINDOW else [])
+
+    docs = repeats.once(spark, texts(df), "doc_id", "copy", "many")
+    found = repeats.spans(
+        spark, docs.where("not copy"), symbols, cut, lambda strings, n, many, order: repeated(strings, n, many), WINDOW, MINIMISER, False, BUCKET
+    )
+    return repeats.without(docs, found, F.col("many"), apply, WINDOW, f"doc_id long, {schema}")
 
 
 def digests(spark: SparkSession, df: DataFrame) -> DataFrame:
