@@ -7,72 +7,111 @@ import math
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # What a character may have been, in order of preference.
-AS_TEXT = {"0": "Oo", "1": "iIl", "5": "Ss", "8": "Bb", "&": "Ee", "4": "Aa", "7": "Tt", "6": "Gg", "2": "Zz"}
+AS_TEXT = {
+    "0": ["O", "o"], "1": ["i", "I", "l"], "5": ["S", "s"], "8": ["B", "b"], "&": ["E", "e"], "4": ["A", "a"], "7": ["T", "t"], "6": ["G", "g"],
+    "2": ["Z", "z"],
+}
 AS_DIGITS = {
-    "O": "0", "o": "0", "Q": "0", "I": "1", "l": "1", "L": "1", "i": "1", "S": "5", "s": "5", "B": "8", "b": "8", "&": "28", "@": "2",
-    "Z": "2", "z": "2",
+    "O": ["0"], "o": ["0"], "Q": ["0"], "I": ["1"], "l": ["1"], "L": ["1"], "i": ["1"], "S": ["5"], "s": ["5"], "B": ["8"], "b": ["8"],
+    "&": ["2", "8"], "@": ["2"], "Z": ["2"], "z": ["2"],
 }
 # Frequent letter sequences; those of three letters only weigh in the sums.
-FREQUENT = "th en an er ou on st la le de ch re qu ai es in ss ll rr ee oo nn dd bb mm ay ia ie io iou ion eau eur ain ois".split()
-LETTERS = "".join(chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7))
+FREQUENT = [
+    "th", "en", "an", "er", "ou", "on", "st", "la", "le", "de", "ch", "re", "qu", "ai", "es", "in", "ss", "ll", "rr", "ee", "oo", "nn", "dd", "bb",
+    "mm", "ay", "ia", "ie", "io", "iou", "ion", "eau", "eur", "ain", "ois",
+]
+# Fixed values of the model: the weight of a character as read, alone and beside alternatives; the prior's power; the weight of single letters in
+# it; what a share has at least; the count that each letter starts from.
+ALONE, AS_READ, PRIOR, SINGLE, TINY, START = 0.99, 0.1, 0.5, 1.6, 1e-9, 0.5
+LETTERS = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
 SEPARATOR = re.compile(r"([^A-Za-zÀ-ÖØ-öø-ÿ0-9&@\-'']+)")
-TINY = 1e-9
+MANY_BLANKS = re.compile(r"\s{2,}")
 
 
 class Decoder:
-    """TXT13: the most likely intended characters of a reading: a channel of confusions and a prior over letter pairs, searched with a
-    beam. A character with alternatives keeps a tenth of the weight and they share the rest; others are taken as read."""
-
-    def __init__(self, beam: int = 24, longest: int = 48, pairs: dict[str, float] | None = None, confusions: dict | None = None, letters: dict | None = None):
-        self.beam, self.longest = max(2, beam), max(2, longest)
-        self.pairs = dict(pairs or dict.fromkeys(FREQUENT, 1.0))
-        self.tables = {"text": dict(AS_TEXT), "digit": dict(AS_DIGITS)}
-        for kind, more in (confusions or {}).items():
-            self.tables[kind] = self.tables.get(kind, {}) | more
-        weight = dict.fromkeys([*LETTERS, *"0123456789"], 0.5)
-        for pair, w in self.pairs.items():
-            if len(pair) == 2:
-                for c in pair.lower():
-                    weight[c] += w
-        for c, w in (letters or {}).items():
-            if c in weight:
-                weight[c] += max(0.0, w)
-        total = sum(weight.values())
-        self.share = {c: w / total for c, w in weight.items()}
-        self.norm = sum(self.share.values()) + sum(self.pairs.values()) + TINY
-        self.kept: dict[tuple[str, str], float] = {}
-
-    def step(self, left: str, right: str) -> float:
-        key = left.lower(), right.lower()
-        if key not in self.kept:
-            got = 1.6 * self.share.get(key[1], 0.0) + self.pairs.get("".join(key), 0.0)
-            self.kept[key] = 0.5 * math.log(max((got + TINY) / self.norm, TINY))
-        return self.kept[key]
-
-    def word(self, word: str, table: dict[str, str]) -> str:
-        paths = [(0.0, "")]
-        for c in word:
-            others = table.get(c, "")
-            options = {c: 0.1 if others else 0.99} | {o: 0.9 / len(others) for o in others}
-            paths = [(s + math.log(p) + (self.step(path[-1], o) if path else 0.0), path + o) for s, path in paths for o, p in options.items()]
-            paths = sorted(paths, key=lambda x: -x[0])[: self.beam]
-        return paths[0][1]
+    """TXT13, SRT6: the most likely intended characters of a reading.
+
+    A reading is a hidden chain: each intended character was read as it stands or as a character that it is confused with, and follows the one
+    before by a prior over letter pairs. The prior only looks back one character, so the best chain is found exactly, for all words of a length
+    at once: scores[word, alternative] after each position, the predecessors kept, and the best chain read back from its end. Of equally
+    good chains the one whose alternatives come first is taken. longest: cuts readings to so many characters before they are decoded."""
+
+    def __init__(self, longest: int | None = None, pairs: dict[str, float] | None = None, confusions: dict | None = None, letters: dict | None = None):
+        self.longest = longest
+        self.alternatives = {kind: dict(table) for kind, table in (("text", AS_TEXT), ("digit", AS_DIGITS))}
+        for kind, table in (confusions or {}).items():
+            self.alternatives.setdefault(kind, {}).update({c: list(others) for c, others in table.items()})
+        pairs = dict(pairs) if pairs else dict.fromkeys(FREQUENT, 1.0)
+        count = dict.fromkeys(LETTERS + "0123456789", START)
+        for c, weight in [(c, w) for p, w in pairs.items() if len(p) == 2 for c in p.lower()] + [(c, max(0.0, w)) for c, w in (letters or {}).items() if c in count]:
+            count[c] = count.get(c, 0.0) + weight
+        total = sum(count.values())
+        # A letter's number is its row and column in the table of transitions; 0 stands for all that the model doesn't know.
+        known = sorted({c for c in count if c == c.lower()} | {c for p in pairs if len(p) == 2 for c in p.lower()})
+        self.number = {c: k for k, c in enumerate(known, 1)}
+        weight = np.zeros((len(known) + 1, len(known) + 1))
+        weight[:, 1:] = [SINGLE * count.get(c, 0.0) / total for c in known]
+        for p, w in pairs.items():
+            if len(p) == 2 and p == p.lower():
+                weight[self.number[p[0]], self.number[p[1]]] += w
+        norm = sum(x / total for x in count.values()) + sum(pairs.values()) + TINY
+        self.follows = PRIOR * np.log(np.maximum((weight + TINY) / norm, TINY))
+
+    def chains(self, words: list[str], kind: str) -> list[str]:
+        """The best chains of words of one length."""
+        table = self.alternatives.get(kind, {})
+        options = {c: [c, *table.get(c, [])] for c in set("".join(words))}
+        most = max(map(len, options.values()))
+        codes = {c: k for k, c in enumerate(options)}
+        number = np.zeros((len(codes), most), np.int64)
+        read = np.full((len(codes), most), -np.inf)
+        for c, k in codes.items():
+            n = len(options[c])
+            number[k, :n] = [self.number.get(o.lower(), 0) for o in options[c]]
+            read[k, :n] = math.log(ALONE) if n == 1 else [math.log(AS_READ)] + [math.log((1 - AS_READ) / (n - 1))] * (n - 1)
+        text = np.array([[codes[c] for c in w] for w in words])
+        score, came = read[text[:, 0]], []
+        for at in range(1, text.shape[1]):
+            step = self.follows[number[text[:, at - 1]][:, :, None], number[text[:, at]][:, None, :]]
+            reached = score[:, :, None] + read[text[:, at]][:, None, :] + step
+            came.append(reached.argmax(1))
+            score = reached.max(1)
+        best = score.argmax(1)
+        picked = [best]
+        for back in reversed(came):
+            best = back[np.arange(len(words)), best]
+            picked.append(best)
+        names = list(options.values())
+        return ["".join(names[c][o] for c, o in zip(row, chosen)) for row, chosen in zip(text, np.array(picked[::-1]).T)]
+
+    def decode_all(self, texts: list[str | None], kind: str = "text") -> list[tuple[str, float, bool]]:
+        """(value, confidence, changed) of each text."""
+        plain = [(t or "").strip()[: self.longest] for t in texts]
+        parts = [SEPARATOR.split(p) for p in plain]
+        by_length: dict[int, set[str]] = {}
+        for word in {w for p in parts for w in p if w[:1].isalnum()}:
+            by_length.setdefault(len(word), set()).add(word)
+        best: dict[str, str] = {}
+        for some in map(sorted, by_length.values()):
+            best.update(zip(some, self.chains(some, kind)))
+        out = []
+        for p, words in zip(plain, parts):
+            value = "".join(best.get(w, w) for w in words)
+            known = sum(c.isdigit() or c in LETTERS for c in value)
+            ragged = len(MANY_BLANKS.findall(value))
+            sure = min(1.0, known / len(value) * (0.85 + 0.15 * math.exp(-ragged / 2))) if value else 0.0
+            out.append((value, round(sure, 4), value != p))
+        return out
 
     def decode(self, text: str | None, kind: str = "text") -> tuple[str, float, bool]:
-        """(value, confidence, changed)."""
-        plain = (text or "").strip()[: self.longest]
-        if not plain:
-            return "", 0.0, False
-        table = self.tables.get(kind, {})
-        value = "".join(self.word(part, table) if part[:1].isalnum() else part for part in SEPARATOR.split(plain) if part)
-        known = sum(c in LETTERS or c.isdigit() for c in value) / len(value)
-        runs = len(re.findall(r"\s{2,}", value))
-        return value, round(min(1.0, known * (0.85 + 0.15 * math.exp(-0.5 * runs))), 4), value != plain
+        return self.decode_all([text], kind)[0]
 
 
 DECODER = Decoder()
@@ -81,7 +120,8 @@ DECODER = Decoder()
 def decoder_column(kind: str = "text", decoder: Decoder = DECODER):
     @F.pandas_udf("struct<value:string,confidence:double,changed:boolean>")
     def decoded(texts: pd.Series) -> pd.DataFrame:
-        known = {t: decoder.decode(t, kind) for t in texts.unique()}  # each different reading once
+        different = list(texts.unique())  # each different reading once
+        known = dict(zip(different, decoder.decode_all(different, kind)))
         return pd.DataFrame([known[t] for t in texts], columns=["value", "confidence", "changed"])
 
     return decoded
@@ -94,7 +134,8 @@ def ratio(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def ratio_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
+    known = {p: ratio(p[0] or "", p[1] or "") for p in set(zip(a, b))}  # each different pair once
+    return pd.Series([known[p] for p in zip(a, b)])
 
 
 def digit_windows(text: str, length: int, slack: int = 1) -> list[tuple[str, int]]:
@@ -114,12 +155,30 @@ def digit_windows(text: str, length: int, slack: int = 1) -> list[tuple[str, int
     return out
 
 
-def digit_windows_column(length: int, slack: int = 1):
-    @F.udf("array<struct<window:string,penalty:int>>", useArrow=True)
-    def windows(text):
-        return [{"window": w, "penalty": p} for w, p in digit_windows(text or "", length, slack)]
-
-    return windows
+def digit_windows_column(text: Column, length: int, slack: int = 1) -> Column:
+    """digit_windows() as an expression: array<struct<window, penalty>>."""
+
+    def of(g: Column) -> Column:
+        runs, whole, ends = g["runs"], F.array_join(g["runs"], ""), g["ends"]
+        last = F.length(whole) - length
+        starts = F.array_insert(F.slice(ends, 1, F.size(ends) - 1), 1, F.lit(0))
+        at = F.transform(
+            F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")),
+            lambda a: F.struct(
+                F.substring(whole, a + 1, F.lit(length)).alias("window"),
+                ((~F.array_contains(starts, a)).cast("int") + (~F.array_contains(ends, a + length)).cast("int")).alias("penalty"),
+            ),
+        )
+        alone = F.transform(F.filter(runs, lambda r: F.abs(F.length(r) - length) <= slack), lambda r: F.struct(r.alias("window"), F.lit(0).alias("penalty")))
+        return F.concat(F.filter(at, lambda w: w["penalty"] < 2), alone)
+
+    def measured(g: Column) -> Column:
+        runs = F.regexp_extract_all(g, F.lit("[0-9]+"), F.lit(0))
+        ends = F.transform(runs, lambda _, k: F.aggregate(F.slice(runs, F.lit(1), k + 1), F.lit(0), lambda s, r: s + F.length(r)))
+        return F.struct(runs.alias("runs"), ends.alias("ends"))
+
+    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]+(?:[ \t./|,\-]+[0-9]+)*"), F.lit(0))
+    return F.flatten(F.transform(F.transform(groups, measured), of))
 
 
 def nearest(value: str, names: list[str], least: float) -> str | None:

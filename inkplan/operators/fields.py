@@ -37,10 +37,11 @@ TEMPLATE = ["concours", "epreuve", "date_concours", "duree", "nom", "prenom", "d
 SECTIONS = ["concours", "candidat", "codification"]
 #: Official short names of schools.
 SCHOOLS = (
-    "IPEIT IPEIN IPEIM IPEIS IPEIB IPEIK IPEIG IPEIEM FST FSB FSM FSS FSG FSGF INSAT ISSATSO ISSATK ISSATG ISSATM ISSATMH ISSATGF ESSTHS ESSTT ISI "
-    "ISIMA ISIMS ISITCOM ISAMM ISIK ISIMGB ENIT ENSI EPT SUPCOM ENICAR ENISO ENIM ENIS ENIB ENIG INAT ESIAT ESTI ISETR ISETN ISETSO ISETS ISETB ISETK "
-    "ISETG ISETGF ISETKR ISETMH ISETCOM ISETAR ISETKF ISETJ ISETSL ISETTZ ISETTT ISETMD ISETZ ISETSB AUTRE"
-).split()
+    "IPEIT", "IPEIN", "IPEIM", "IPEIS", "IPEIB", "IPEIK", "IPEIG", "IPEIEM", "FST", "FSB", "FSM", "FSS", "FSG", "FSGF", "INSAT", "ISSATSO", "ISSATK",
+    "ISSATG", "ISSATM", "ISSATMH", "ISSATGF", "ESSTHS", "ESSTT", "ISI", "ISIMA", "ISIMS", "ISITCOM", "ISAMM", "ISIK", "ISIMGB", "ENIT", "ENSI", "EPT",
+    "SUPCOM", "ENICAR", "ENISO", "ENIM", "ENIS", "ENIB", "ENIG", "INAT", "ESIAT", "ESTI", "ISETR", "ISETN", "ISETSO", "ISETS", "ISETB", "ISETK", "ISETG",
+    "ISETGF", "ISETKR", "ISETMH", "ISETCOM", "ISETAR", "ISETKF", "ISETJ", "ISETSL", "ISETTZ", "ISETTT", "ISETMD", "ISETZ", "ISETSB", "AUTRE",
+)
 SCHOOL_RATIO = 0.72
 
 ORDER = {r[0]: k for k, r in enumerate(REGISTRY)}
@@ -60,15 +61,22 @@ def dim_alias(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, key, k) for k, (a, key) in enumerate(ALIASES)], "alias string, key string, alias_ord int")
 
 
+#: By alias: its place in the registry's order; the prefixes of a text are looked up among those of four letters or more.
+EXACT = {a: k for k, (a, _) in reversed(list(enumerate(ALIASES)))}
+LONG = {a: k for a, k in EXACT.items() if len(a) >= 4}
+MOST_WORDS = max(len(a.split(" ")) for a in LONG)
+
+
 def label_key(norm):
     """JN1 as an expression over the fixed registry: exact alias, else the first alias of four letters or more that begins the text
-    as a whole word. No join: the registry is part of the plan."""
-    entries = F.split(F.lit("|".join(f"{a}={key}" for a, key in ALIASES)), r"\|")  # one folded constant, which keeps plans small
-
-    def of(n):  # bound by transform(), so that the text is normalised once and not for each alias
-        exact = F.filter(entries, lambda x: x.startswith(F.concat(n, F.lit("="))))
-        prefix = F.filter(entries, lambda x: (F.length(F.substring_index(x, "=", 1)) >= 4) & n.startswith(F.concat(F.substring_index(x, "=", 1), F.lit(" "))))
-        return F.substring_index(F.coalesce(F.get(exact, F.lit(0)), F.get(prefix, F.lit(0))), "=", -1)
+    as a whole word. No join: the registry is part of the plan, and a text is looked up by its first one, two, ... words."""
+    place = lambda table, n: F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), n)
+    keys = F.array(*[F.lit(key) for _, key in ALIASES])
+
+    def of(n):  # bound by transform(), so that the text is normalised once
+        words = F.split(n, " ")
+        begins = F.transform(F.sequence(F.lit(1), F.least(F.size(words) - 1, F.lit(MOST_WORDS))), lambda k: place(LONG, F.array_join(F.slice(words, F.lit(1), k), " ")))
+        return F.try_element_at(keys, F.coalesce(place(EXACT, n), F.when(F.size(words) > 1, F.array_min(begins))) + 1)
 
     return F.get(F.transform(F.array(norm), of), F.lit(0))
 

@@ -160,7 +160,7 @@ def numeric_harvest(labels: DataFrame, values: DataFrame, key: str, length: int,
     from ..functions.decode import digit_windows_column
 
     spaced = F.regexp_replace(text.deconfuse(F.col("clean")), r"[^0-9\s]", " ")
-    found = values.withColumn("w", F.explode(digit_windows_column(length, slack)(spaced)))
+    found = values.withColumn("w", F.explode(digit_windows_column(spaced, length, slack)))
     l = labels.where(F.col("label_key") == key).groupBy("page_id").agg(F.min_by("rect", "item_idx").alias("l"))  # noqa: E741
     score = F.col("w.penalty") * 1000.0 + geometry.distance(F.col("l"), F.col("rect")) / 2000.0
     if key == "cin":

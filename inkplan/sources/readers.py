@@ -103,7 +103,7 @@ def decoder(folders: list[str]) -> Decoder:
                 with open(os.path.join(folder, name), encoding="utf-8") as f:
                     model = json.load(f)
                 pairs = {k: float(v) for k, v in model.get("bigram", {}).items() if len(k) == 2}
-                confusions = {kind: {k: "".join(v) for k, v in t.items()} for kind, t in model.get("confusions", {}).items()}
+                confusions = {kind: {k: list(v) for k, v in t.items()} for kind, t in model.get("confusions", {}).items()}
                 return Decoder(pairs=pairs or None, confusions=confusions, letters={k: float(v) for k, v in model.get("unigram", {}).items()})
             except (OSError, ValueError, AttributeError, TypeError):
                 continue

@@ -1,10 +1,13 @@
 """Golden cases of scalar functions."""
 
+import itertools
+import math
+import random
 from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -25,6 +28,41 @@ def test_decoder(value, kind, want):
     assert decode.DECODER.decode(value, kind)[0] == want
 
 
+@given(st.text("0158&Oo@ZzSBaque", min_size=1, max_size=6), st.sampled_from(["text", "digit"]))
+@settings(deadline=None)
+def test_decoder_against_all_readings(word, kind):
+    d = decode.DECODER
+    table = d.alternatives[kind]
+    options = [[c, *table.get(c, [])] for c in word]
+
+    def score(chain) -> float:
+        total = 0.0
+        for k, c in enumerate(chain):
+            n = len(options[k])
+            total += math.log(0.99 if n == 1 else 0.1 if c == word[k] else 0.9 / (n - 1))
+            if k:
+                total += d.follows[d.number.get(chain[k - 1].lower(), 0), d.number.get(c.lower(), 0)]
+        return total
+
+    best = max(map(score, itertools.product(*options)))
+    value = d.decode(word, kind)[0]
+    if word[:1].isalnum():
+        assert abs(score(value) - best) < 1e-9
+    assert decode.Decoder(longest=3).decode(word, kind)[0] == d.decode(word[:3], kind)[0]
+
+
+def test_decoder_prior():
+    """Transitions from the model's definition: half the logarithm of 1.6 times the letter's share and the pair's weight."""
+    d, known = decode.DECODER, [*decode.LETTERS, *"0123456789"]
+    pairs = [p for p in decode.FREQUENT if len(p) == 2]
+    weight = {c: 0.5 + sum(p.count(c) for p in pairs) for c in known}
+    total = sum(weight.values())
+    norm = 1 + len(decode.FREQUENT) + 1e-9
+    for a, b in ("qu", "th", "zz", "a1"):
+        want = 0.5 * math.log((1.6 * weight[b] / total + (a + b in pairs) + 1e-9) / norm)
+        assert abs(d.follows[d.number[a], d.number[b]] - want) < 1e-12
+
+
 @pytest.mark.parametrize("value, want", [
     ("2003-12-04", "04/12/2003"), ("05.12.2003", "05/12/2003"), ("nee le 04/12/1993 a Tnus", "04/12/1993"), ("Bo/09|&00.3", "08/09/2003"), ("31/02/2003", None), ("Lundi 03 Juin 2024 à 8 H", "03/06/2024"),
     ("Mardi 12 décembre 2023", "12/12/2023"), ("6.1.421.2003", "06/01/2003"), ("12/2003", None), ("", None), (None, None),
@@ -43,6 +81,15 @@ def test_digit_windows():
     assert decode.digit_windows("abc", 3) == []
 
 
+def test_digit_windows_as_an_expression(spark):
+    rng = random.Random(3)
+    some = ["", "abc", "5140 5400 17", "12345678", *("".join(rng.choice("0123456789  .-a") for _ in range(rng.randrange(40))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    for length, slack in ((8, 1), (4, 0), (6, 1)):
+        for r in df.select("t", decode.digit_windows_column(F.col("t"), length, slack).alias("w")).collect():
+            assert [(w.window, w.penalty) for w in r.w] == decode.digit_windows(r.t, length, slack)
+
+
 @given(st.text(max_size=20), st.text(max_size=20))
 def test_ratio_is_the_standard_one(a, b):
     assert decode.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
