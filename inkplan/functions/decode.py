@@ -96,7 +96,8 @@ class Decoder:
         plain = [(t or "").strip()[: self.longest] for t in texts]
         parts = [SEPARATOR.split(p) for p in plain]
         by_length: dict[int, set[str]] = {}
-        for word in {w for p in parts for w in p if w[:1].isalnum()}:
+        unsure = self.alternatives.get(kind, {}).keys()
+        for word in {w for p in parts for w in p if w[:1].isalnum() and not unsure.isdisjoint(w)}:
             by_length.setdefault(len(word), set()).add(word)
         best: dict[str, str] = {}
         for some in map(sorted, by_length.values()):
@@ -190,6 +191,15 @@ def nearest(value: str, names: list[str], least: float) -> str | None:
     return best if ratio(probe, best) >= least else None
 
 
+def nearest_column(names: list[str], least: float):
+    @F.pandas_udf(T.StringType())
+    def near(values: pd.Series) -> pd.Series:
+        known = {v: nearest(v or "", list(names), least) for v in values.unique()}
+        return pd.Series([known[v] for v in values], dtype=object)
+
+    return near
+
+
 class UnigramTokenizer:
     """TXT15: the pieces of a vocabulary with log-probabilities whose sum is greatest; spaces are marked, unknown characters cost `unknown`."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import mean4
+
 
 def merged(bands: DataFrame, gap: int = 24) -> DataFrame:
     """GEO5: bands (page_id, y0, y1) whose distance is at most `gap`, as one: gaps and islands over a running maximum."""
@@ -61,7 +63,7 @@ def grid_reading(cells: DataFrame) -> DataFrame:
     """AGG14: digits of a grid (page_id, grid, pos, digit, confidence, x0, y0, x1, y1) in order, mean confidence and the box around them."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "digit")))
     return cells.groupBy("page_id", "grid").agg(
-        F.array_join(F.transform(ordered, lambda s: s["digit"]), "").alias("text"), F.round(F.avg("confidence"), 4).alias("confidence"),
+        F.array_join(F.transform(ordered, lambda s: s["digit"]), "").alias("text"), mean4(F.col("confidence")).alias("confidence"),
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
     )
 
@@ -72,6 +74,22 @@ def likelihood(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("line_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("confidence"))
 
 
+#: Rows whose value isn't read from the row itself.
+NOT_READ_AGAIN = ["cin", "serie", "identifiant", "zone_signature", "anonyme"]
+
+
+def readable_again(rows: DataFrame) -> DataFrame:
+    """FLT11: rows (key) that a second reading may improve."""
+    return rows.where(~F.col("key").isin(NOT_READ_AGAIN))
+
+
+def incomplete(text: Column) -> Column:
+    """REC6: a row without a value after its last colon, or without any text; it is read again."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    tail = F.element_at(F.split(t, "[:：]"), -1)
+    return (t == "") | (t.rlike("[:：]") & ~tail.rlike(r"[\p{L}\p{N}]"))
+
+
 def reading_order(column: Column) -> Column:
     """GEO10: an array of structs with y0 and x0 first, sorted."""
     return F.array_sort(column)

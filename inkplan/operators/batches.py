@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import mean4
+
 # File extensions that are taken, and how states are shown.
 EXTENSIONS = ["png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp", "pdf"]
 STATES = {"pending": "En attente", "processing": "En cours", "done": "Terminé", "error": "Erreur", "cancelled": "Annulé"}
 MOST_BYTES, MOST_PAGE = 25 << 20, 500
+#: What errors are answered with.
+HTTP = {"engine": 503, "invalid": 400, "timeout": 504, "missing": 404}
 
 
 def upload_error(name: Column, size: Column, most: int = MOST_BYTES) -> Column:
@@ -25,12 +29,12 @@ def split_uploads(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def page_confidence(items: DataFrame) -> DataFrame:
     """AGG1: mean confidence of the items (file_id, page, confidence) of each page, to four places."""
-    return items.groupBy("file_id", "page").agg(F.coalesce(F.round(F.avg("confidence"), 4), F.lit(0.0)).alias("confidence"))
+    return items.groupBy("file_id", "page").agg(F.coalesce(mean4(F.col("confidence")), F.lit(0.0)).alias("confidence"))
 
 
 def file_confidence(pages: DataFrame) -> DataFrame:
     """AGG2: the mean of the rounded page means."""
-    return pages.groupBy("file_id").agg(F.round(F.avg("confidence"), 4).alias("confidence"))
+    return pages.groupBy("file_id").agg(mean4(F.col("confidence")).alias("confidence"))
 
 
 def job_counters(files: DataFrame) -> DataFrame:
@@ -43,7 +47,18 @@ def job_counters(files: DataFrame) -> DataFrame:
 def job_average(files: DataFrame) -> DataFrame:
     """AGG2 over a job: the mean confidence of its finished files."""
     done = F.when(F.col("status") == "done", F.col("confidence"))
-    return files.groupBy("job_id").agg(F.coalesce(F.round(F.avg(done), 4), F.lit(0.0)).alias("average"))
+    return files.groupBy("job_id").agg(F.coalesce(mean4(done), F.lit(0.0)).alias("average"))
+
+
+def response_totals(items: DataFrame) -> DataFrame:
+    """AGG6: (total, ok, errors) of the items (request_id, status) of each request; what isn't ok is an error."""
+    ok = F.count_if(F.col("status") == "ok")
+    return items.groupBy("request_id").agg(F.count("*").alias("total"), ok.alias("ok"), (F.count("*") - ok).alias("errors"))
+
+
+def http_status(kind: Column) -> Column:
+    """APP1b: the status that an error of a kind is answered with; 500 for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in HTTP.items() for x in p]), kind), F.lit(500))
 
 
 def joined_text(rows: DataFrame, by: list[str], order: str, column: str, separator: str) -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import dates, decode, text
 from . import fields, pairing, rules
@@ -62,6 +61,7 @@ def school(value: str) -> str:
     return decode.nearest(packed, fields.SCHOOLS, fields.SCHOOL_RATIO) or packed if len(packed) >= 2 else value
 
 
+@lru_cache(100_000)
 def corrected(key: str, value: str) -> str:
     """TXT5: a reading as its field's kind would have it; what can't be told stays as it is."""
     kind = fields.KIND.get(key, "text")
@@ -81,25 +81,14 @@ def corrected(key: str, value: str) -> str:
     return value.translate(_TABLE) if kind in _NUMERIC and n and 2 * n >= len(value) else value
 
 
-@F.pandas_udf(T.StringType())
-def corrected_column(keys: pd.Series, values: pd.Series) -> pd.Series:
-    known = {p: corrected(*p) for p in set(zip(keys, values))}  # each different reading once
-    return pd.Series([known[p] for p in zip(keys, values)], dtype=object)
-
-
-def with_corrections(found: DataFrame) -> DataFrame:
-    """Fields with corrected values; a changed value is at least LEAST_CHANGED sure and keeps the original beside it."""
-    out = found.withColumn("new", corrected_column("key", "value"))
-    changed = F.col("new") != F.col("value")
-    note = F.when(changed, F.struct(F.col("value").alias("original"), fields.kind_of(F.col("key")).alias("kind"), F.lit("char").alias("engine")))
-    return out.select(
-        *[c for c in found.columns if c not in ("value", "confidence")], F.col("new").alias("value"),
-        F.when(changed, F.greatest("confidence", F.lit(LEAST_CHANGED))).otherwise(F.col("confidence")).alias("confidence"), note.alias("corrections"),
-    )
+def built(key: str, value: str, confidence: float) -> list:
+    """[key, value, confidence, original]: a reading with its correction. A changed value is at least LEAST_CHANGED sure and keeps the original."""
+    new = corrected(key, value)
+    return [key, new, confidence, None] if new == value else [key, new, max(confidence, LEAST_CHANGED), value]
 
 
 def harvest(found: list[list], entries: list[dict], free: dict[int, dict]) -> None:
-    """JN7, FLT6 on one page: numbers that are missing or misread, from any item that no field has taken. found: [key, value, confidence]."""
+    """JN7, FLT6 on one page: numbers that are missing or misread, from any item that no field has taken. found: rows of built()."""
     for key, length, slack in (("cin", 8, 1), ("serie", 4, 0), ("identifiant", 6, 1)):
         own = next((f for f in reversed(found) if f[0] == key), None)
         n = sum(c.isdigit() for c in own[1]) if own else 0
@@ -123,10 +112,11 @@ def harvest(found: list[list], entries: list[dict], free: dict[int, dict]) -> No
         if best:
             if sum(c.isdigit() for c in best[2]["clean"].translate(_WINDOW)) <= length + 2:
                 free.pop(best[2]["idx"])
+            new = built(key, best[1], best[2]["conf"])
             if own:
-                own[1:] = [best[1], best[2]["conf"]]
+                own[:] = new
             else:
-                found.append([key, best[1], best[2]["conf"]])
+                found.append(new)
 
 
 def printed(found: list[list], free: dict[int, dict]) -> None:
@@ -136,17 +126,41 @@ def printed(found: list[list], free: dict[int, dict]) -> None:
     if len(two) == 2 and blocks and max(blocks)[0] >= 0.5:
         for key, value in zip(("serie", "identifiant"), max(blocks)[2:]):
             if value != re.sub("[^0-9]", "", two[key][1]):
-                two[key][1:] = [value, max(two[key][2], LEAST_CHANGED)]
+                two[key][1:] = [value, max(two[key][2], LEAST_CHANGED), two[key][1]]
+
+
+def names_harvested(found: list[list], entries: list[dict], free: dict[int, dict]) -> None:
+    """JN8 on one page: a first or last name that was read as nothing is the page's surest capitalised word that no field has taken, the nearest
+    to the label among equals."""
+    for key in ("prenom", "nom"):
+        own = next((f for f in reversed(found) if f[0] == key), None)
+        label = next((e for e in entries if e["key"] == key), None)
+        if own is None or own[1] or label is None:
+            continue
+        best = None
+        for e in free.values():
+            if e["key"] or e["noise"] or e["conf"] < 0.95:
+                continue
+            word = next((w for w in re.findall("[A-Za-zÀ-ÖØ-öø-ÿ']+", e["clean"]) if w.isalpha() and len(w) >= 3 and w[0].isupper()), None)
+            if word:
+                (x0, y0, x1, y1), (a0, b0, a1, b1) = label["rect"], e["rect"]
+                score = (abs(x0 + x1 - a0 - a1) + abs(y0 + y1 - b0 - b1)) / 2 / 2000 - 10 * e["conf"]
+                if best is None or score < best[0]:
+                    best = (score, word, e)
+        if best:
+            free.pop(best[2]["idx"])
+            found.append(built(key, best[1], max(best[2]["conf"], 0.95)))
 
 
 def page_fields(entries: list[dict]) -> list[list]:
-    """Pairing, harvest and printed block of one page: [key, value, confidence] in order."""
+    """Pairing, correction, harvest of numbers, printed block and harvest of names of one page: rows of built() in order."""
     pairs = pairing.greedy(entries)
     gone = {v["idx"] for _, v in pairs} | {e["idx"] for e in entries if e["key"]}
-    found = [[key, v["raw"], v["conf"]] for key, v in pairs]
+    found = [built(key, v["raw"], v["conf"]) for key, v in pairs]
     free = {e["idx"]: e for e in entries if e["idx"] not in gone}
     harvest(found, entries, free)
     printed(found, free)
+    names_harvested(found, entries, free)
     return found
 
 
@@ -155,5 +169,6 @@ def analysed(items: DataFrame) -> DataFrame:
     items away from one another run page by page in one grouped function; the rules' windows reuse its partitioning."""
 
     rows = pairing.flat(pairing.normalised(items))
-    found = pairing.per_page(rows, page_fields, "page_id long, occurrence int, key string, value string, confidence double")
-    return rules.validated(with_corrections(found))
+    found = pairing.per_page(rows, page_fields, "page_id long, occurrence int, key string, value string, confidence double, original string")
+    note = F.when(F.col("original").isNotNull(), F.struct("original", fields.kind_of(F.col("key")).alias("kind"), F.lit("char").alias("engine")))
+    return rules.validated(found.withColumn("corrections", note).drop("original"))

@@ -43,32 +43,45 @@ def candidates(labels: DataFrame, values: DataFrame, below: bool = False) -> Dat
     """JN3 (right of the label on its line) or JN4 (below it): (label, value) pairs of a page with their gap."""
     l = labels.select("page_id", F.col("item_idx").alias("label_idx"), F.col("label_key").alias("key"), F.col("rect").alias("l"))  # noqa: E741
     v = values.select("page_id", F.col("item_idx").alias("value_idx"), "raw", "clean", "confidence", F.col("rect").alias("v"))
-    height = F.greatest(F.lit(1.0), F.col("l.y1") - F.col("l.y0"))
-    if below:
-        gap = F.col("v.y0") - F.col("l.y1")
-        most = F.when(F.col("key").isin("nom", "prenom"), NAME_BELOW_GAP).otherwise(BELOW_GAP)
-        near = (gap > 0) & (gap <= most) & (F.col("v.x1") >= F.col("l.x0") - 2 * height) & (F.col("v.x0") <= F.col("l.x1") + 2 * height)
-    else:
-        gap = F.col("v.x0") - F.col("l.x1")
-        apart = F.abs((F.col("v.y0") + F.col("v.y1")) / 2 - (F.col("l.y0") + F.col("l.y1")) / 2)
-        near = (gap >= -2) & (gap <= SAME_LINE_GAP) & (apart <= F.greatest(height, F.lit(8.0)) * 0.5)
+    near, gap = _near({"rect": F.col("l"), "key": F.col("key")}, {"rect": F.col("v")}, below)
     return l.join(v, "page_id").where(near).withColumn("gap", gap)
 
 
-def first_choice(pairs: DataFrame) -> DataFrame:
-    """JN5: for each label the nearest candidate that has the field's own form, else the nearest."""
+def paired(entries: DataFrame) -> DataFrame:
+    """JN3 + JN4 + JN5 without consumption: exact on pages where no value is the first choice of two labels. A page's labels and values meet in
+    arrays: the items are normalised once and shuffled once, by page."""
+    item = F.struct("item_idx", "raw", "clean", "confidence", "rect", F.col("label_key").alias("key"))
+    pages = entries.groupBy("page_id").agg(
+        F.collect_list(F.when(F.col("label_key").isNotNull(), item)).alias("labels"), F.collect_list(F.when(is_value(), item)).alias("values")
+    )
+    rows = pages.select("page_id", "values", F.explode("labels").alias("label"))
     form = F.create_map(*[F.lit(x) for k, p in fields.PATTERN.items() if p for x in (k, p)])
-    likes = F.coalesce(F.rlike(F.col("clean"), F.try_element_at(form, F.col("key"))), F.lit(False))
-    best = Window.partitionBy("page_id", "label_idx").orderBy(F.desc("likes"), "gap", "clean", "value_idx")
-    return pairs.withColumn("likes", likes).withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn", "likes")
+    rows = rows.withColumn("form", F.try_element_at(form, F.col("label.key")))
 
+    def choice(below: bool) -> Column:
+        def ranked(v: Column) -> Column:
+            near, gap = _near(F.col("label"), v, below)
+            odd = F.when(F.col("form").isNotNull() & F.rlike(v["clean"], F.col("form")), 0).otherwise(1)
+            return F.when(near, F.struct(odd.alias("odd"), gap.cast("double").alias("gap"), v["clean"].alias("clean"), v["item_idx"].alias("value_idx"), v["raw"].alias("raw"), v["confidence"].alias("confidence")))
 
-def paired(entries: DataFrame) -> DataFrame:
-    """JN3 + JN4 + JN5 without consumption: exact on pages where no value is the first choice of two labels."""
-    labels, values = entries.where(F.col("label_key").isNotNull()), entries.where(is_value())
-    right = first_choice(candidates(labels, values))
-    rest = labels.join(right.select("page_id", F.col("label_idx").alias("item_idx")), ["page_id", "item_idx"], "left_anti")
-    return right.unionByName(first_choice(candidates(rest, values, below=True)))
+        return F.array_min(F.array_compact(F.transform("values", ranked)))
+
+    best = F.coalesce(choice(False), choice(True))
+    out = rows.select("page_id", F.col("label.item_idx").alias("label_idx"), F.col("label.key").alias("key"), best.alias("v"))
+    return out.where("v is not null").select("page_id", "label_idx", "key", "v.value_idx", "v.raw", "v.clean", "v.confidence", "v.gap")
+
+
+def _near(label: Column, value: Column, below: bool) -> tuple[Column, Column]:
+    """Whether a value stands right of a label on its line, or below it, and how far."""
+    l, v = label["rect"], value["rect"]  # noqa: E741
+    height = F.greatest(F.lit(1.0), l["y1"] - l["y0"])
+    if below:
+        gap = v["y0"] - l["y1"]
+        most = F.when(label["key"].isin("nom", "prenom"), NAME_BELOW_GAP).otherwise(BELOW_GAP)
+        return (gap > 0) & (gap <= most) & (v["x1"] >= l["x0"] - 2 * height) & (v["x0"] <= l["x1"] + 2 * height), gap
+    gap = v["x0"] - l["x1"]
+    apart = F.abs((v["y0"] + v["y1"]) / 2 - (l["y0"] + l["y1"]) / 2)
+    return (gap >= -2) & (gap <= SAME_LINE_GAP) & (apart <= F.greatest(height, F.lit(8.0)) * 0.5), gap
 
 
 def contested_pages(pairs: DataFrame) -> DataFrame:
@@ -130,7 +143,7 @@ def per_page(rows: DataFrame, found, schema: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=types)
 
         box = pa.list_(pa.list_(pa.int32()))
-        kinds = {"page_id": pa.int64(), "occurrence": pa.int32(), "key": pa.string(), "value": pa.string(), "confidence": pa.float64(), "box": box}
+        kinds = {"page_id": pa.int64(), "occurrence": pa.int32(), "key": pa.string(), "value": pa.string(), "confidence": pa.float64(), "original": pa.string(), "box": box}
         types = pa.schema([(n, kinds[n]) for n in names])
         open_: tuple | None = None
         for batch in batches:

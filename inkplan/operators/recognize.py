@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import importlib
+import re
 import time
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prepare, raster
+
 
 class Recognizer(Protocol):
     """UDF1, UDF2: reads crops; a batch at a time, so that a model can use its own batching (O2)."""
@@ -91,6 +95,59 @@ def handwritten_kept(printed: DataFrame, handwritten: DataFrame) -> DataFrame:
     return out.select("id", F.when(better, F.col("h")).otherwise(F.col("text")).alias("text"), F.when(better, F.col("hc")).otherwise(F.col("confidence")).alias("confidence"))
 
 
+def digit(cell, classify, read=None) -> tuple[str, float] | None:
+    """REC4: (digit, confidence) of a cell by a classifier of tensors, which gives ten weights; without one, the first digit that a reader finds."""
+    if classify is not None:
+        p = raster.softmax(np.asarray(classify(raster.tensor(cell)), float))
+        return str(int(p.argmax())), float(p.max())
+    for text, sure in read(cell) if read else ():
+        if found := "".join(c for c in text if c.isdigit()):
+            return found[0], float(sure)
+    return None
+
+
+def zones(image: np.ndarray, read_row, classify=None, read_cell=None) -> list[dict]:
+    """REC6: a form zone by zone: digit grids cell by cell, then the dotted rows that no grid takes up, each as {text, confidence, box, label}.
+    read_row gives [(text, confidence)] for a list of crops. A row without a value is read again from its tight crop, unless its label says that the
+    value stands elsewhere."""
+    out, grids = [], raster.digit_grids(image)
+    for g in grids:
+        read = [(d, c) for c in g["cells"] if (d := digit(image[c[1] : c[3], c[0] : c[2]], classify, read_cell))]
+        if read:
+            x0, y0, x1, y1 = (f(c[k] for _, c in read) for k, f in enumerate((min, min, max, max)))
+            sure = round(sum(d[1] for d, _ in read) / len(read), 4)
+            out.append({"text": "".join(d[0] for d, _ in read), "confidence": sure, "box": [[x0, y0], [x1, y0], [x1, y1], [x0, y1]], "label": g["key"]})
+    inside = lambda y0, y1: any(y1 >= min(c[1] for c in g["cells"]) - 48 and y0 <= max(c[3] for c in g["cells"]) + 48 for g in grids)
+    rows = [b for b in raster.ink_rows(image) if not inside(b[0], b[1])]
+    crops = [prepare.row_crop(image, b[0], b[1], max(6, round(0.02 * image.shape[0]))) for b in rows]
+    for (y0, y1, *_), crop, (text, sure) in zip(rows, crops, read_row(crops) if crops else []):
+        if not re.search(r"\w", re.split("[:：]", text)[-1]):
+            again = read_row([prepare.ink_crop(crop)])[0]
+            text, sure = again if len(again[0]) > len(text) else (text, sure)
+        w = crop.shape[1]
+        out.append({"text": text, "confidence": sure, "box": [[0, y0], [w, y0], [w, y1], [0, y1]], "label": None})
+    return out
+
+
+def in_rois(image: np.ndarray, rois: dict[str, tuple[float, float, float, float]], read) -> list[dict]:
+    """REC11: what read(crop) finds in each named part of a page (fractions), with the label and with boxes moved to the page."""
+    h, w = image.shape[:2]
+    out = []
+    for label, (a, b, c, d) in rois.items():
+        x0, y0 = max(0, min(int(a * w), w - 1)), max(0, min(int(b * h), h - 1))
+        x1, y1 = max(x0 + 1, min(int(c * w), w)), max(y0 + 1, min(int(d * h), h))
+        whole = [[0, 0], [x1 - x0, 0], [x1 - x0, y1 - y0], [0, y1 - y0]]
+        for found in read(image[y0:y1, x0:x1]):
+            out.append(found | {"label": label, "box": [[x0 + x, y0 + y] for x, y in found.get("box") or whole]})
+    return out
+
+
+def one(spark, crop: bytes, path: str, options: dict | None = None) -> tuple[str | None, float]:
+    """REC16: a single image through the same plan as many."""
+    r = recognized(spark.createDataFrame([(0, bytearray(crop))], "id long, crop binary"), path, options).first()
+    return r.text, r.confidence
+
+
 def health() -> dict:
     """APP2: what this process has loaded."""
     return {"status": "ok", "recognizers": [p for p, _ in _made]}

@@ -1,11 +1,7 @@
-"""The report: one wide row a page, page acceptance, key figures, and a workbook writer."""
+"""The report: one wide row a page, page acceptance and key figures."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +18,13 @@ COLUMNS = {
 #: Columns whose own heading is no label, so that the strict mode leaves them blank (T19).
 NEVER_FILLED = ["Date & Lieu de Naissance", "Établissement d'origine", "Date Concours", "Nombre de Cahiers"]
 HEADINGS = list(dict.fromkeys(COLUMNS.values()))
+#: The data columns in the order of the sheet, the verdicts, and the fills of accepted pages, others and barcodes.
+SHOWN = [
+    "Nom", "Prénom", "CIN", "Identifiant", "Série", "Date & Lieu de Naissance", "Établissement d'origine", "Épreuve", "Concours", "Date Concours", "Durée",
+    "Nombre de Cahiers",
+]
+ACCEPTED, REVIEW = "Validé (Auto)", "À réviser"
+GOOD, BAD, MARKED = "FFEB9C", "FFC7CE", "C6EFCE"
 
 
 def column_of(label: Column) -> Column:
@@ -80,29 +83,34 @@ def gauge(percent: Column) -> Column:
 
 def fill(status: Column, barcode: Column) -> Column:
     """SNK3."""
-    return F.when(barcode != "", "C6EFCE").when(status == "accepted", "FFEB9C").otherwise("FFC7CE")
-
-
-def workbook(rows: list[list], sheets: str = "Data") -> bytes:
-    """SNK1: a minimal .xlsx of one sheet, from rows that already fit a person's screen (a page of a report)."""
-
-    def cell(v) -> str:
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
-
-    sheet = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    pack, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    parts = {
-        "[Content_Types].xml": f'<Types xmlns="{pack}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheets)}" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{pack}/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>',
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, body in parts.items():
-            z.writestr(name, f'<?xml version="1.0" encoding="UTF-8"?>{body}')
-    return out.getvalue()
+    return F.when(barcode != "", MARKED).when(status == "accepted", GOOD).otherwise(BAD)
+
+
+def report_rows(pages: DataFrame, found: DataFrame, stamp: str, strict: bool = False) -> DataFrame:
+    """SNK1, SNK3: the report's 18 columns for each page (page_id, file_name, page, confidence, text, barcodes), with `fill` and `marked`, how a sheet
+    shows the verdict and the barcodes. A page without fields still has its row."""
+    cells = wide(found, strict)
+    rows = pages.join(cells, "page_id", "left")
+    cell = {h: F.coalesce(F.col(f"`{h}`"), F.lit("")) for h in HEADINGS}
+    codes = barcode_summary(F.col("barcodes"))
+    payload = F.concat_ws("", *[cell[h] for h in ("Nom", "Prénom", "CIN", "Identifiant")], F.trim(F.coalesce("text", F.lit(""))))
+    wrong = page_violations(F.col("confidence"), cell["CIN"], payload, codes)
+    accepted = F.size(wrong) == 0
+    return rows.select(
+        "page_id", F.col("file_name").alias("Nom du Fichier"), F.when(F.col("page") > 0, F.col("page")).otherwise(1).alias("N° Page"), codes.alias("Code-Barres / QR"),
+        *[cell[h].alias(h) for h in SHOWN], geometry.clamp(F.col("confidence")).alias("Indice de Confiance Global (%)"),
+        F.when(accepted, ACCEPTED).otherwise(REVIEW).alias("Statut Validation"), F.lit(stamp).alias("Date Traitement"),
+        F.when(accepted, GOOD).otherwise(BAD).alias("fill"), (codes != "").alias("marked"),
+    )
+
+
+def job_report(files: DataFrame, pages: DataFrame, found: DataFrame, overrides: DataFrame, stamp: str) -> DataFrame:
+    """SNK4: report_rows() of a job's finished files (file_id, file_name, status, confidence), their pages (page_id, file_id, page, text) with the file's
+    confidence, and their fields (page_id, occurrence, label, text), where an edited text takes a read one's place and fields that were only edited are
+    added."""
+    done = files.where("status = 'done'").select("file_id", "file_name", "confidence")
+    some = pages.join(done, "file_id").withColumn("barcodes", F.array().cast("array<struct<data:string,type:string>>"))
+    edits = overrides.where(F.trim("value") != "").select("page_id", F.col("key").alias("label"), F.col("value").alias("edited"))
+    merged = found.join(edits, ["page_id", "label"], "full")
+    merged = merged.select("page_id", F.coalesce("occurrence", F.lit(999)).alias("occurrence"), "label", F.coalesce("edited", "text").alias("text"))
+    return report_rows(some, merged, stamp)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..functions.numbers import mean4
 from . import fields
 
 WARNING_BELOW, ERROR_BELOW = 0.85, 0.65
@@ -111,11 +112,12 @@ def validated(found: DataFrame, warning: float = WARNING_BELOW, error: float = E
     year = F.coalesce(dates.year_of(of("session")), dates.year_of(of("date_concours")))
     out = found.withColumn("_series", of("serie")).withColumn("_identifier", of("identifiant")).withColumn("_year", year)
     out = out.withColumn("_s", by_confidence(F.col("confidence"), warning, error))
-    k, v, s = F.col("key"), F.col("value"), F.col("_s")
-    birth = date_message(v, F.col("_year"))
+    k, v, s, d = F.col("key"), F.col("value"), F.col("_s"), F.col("_date")
+    out = out.withColumn("_date", F.when(k.isin("date_naissance", "date_concours"), dates.clean_date(v)))  # once, not wherever the rules look at it
+    out = out.withColumn("_message", F.when(k == "date_naissance", date_message(v, F.col("_year"), d)).when(k == "date_concours", date_message(v, None, d)))
     status = (
         F.when(k == "cin", F.when(cin_message(v).isNull(), s).otherwise("error"))
-        .when(k == "date_naissance", date_status(v, s, birth)).when(k == "date_concours", date_status(v, s, date_message(v)))
+        .when(k.isin("date_naissance", "date_concours"), date_status(v, s, F.col("_message")))
         .when(k == "identifiant", identifier_status(v, F.col("_series"), s)).when(k == "nombre_cahiers", F.when(count_ok(v), s).otherwise("error"))
         .when(k == "serie", F.when(series_ok(v), s).otherwise("error")).when(k == "duree", duration_status(v, s))
         .when(k == "anonyme", F.when(anonymity_ok(v, F.col("_series"), F.col("_identifier")), s).otherwise("error"))
@@ -124,7 +126,7 @@ def validated(found: DataFrame, warning: float = WARNING_BELOW, error: float = E
         .otherwise(F.when(F.length(v) >= 2, s).otherwise("error"))
     )
     out = out.withColumn("status", status)
-    return mismatch_flagged(out).drop("_series", "_identifier", "_year", "_s")
+    return mismatch_flagged(out).drop("_series", "_identifier", "_year", "_s", "_date", "_message")
 
 
 def mismatch_flagged(found: DataFrame) -> DataFrame:
@@ -157,8 +159,8 @@ def placeholders(found: DataFrame, pages: DataFrame, spark) -> DataFrame:
 
 def form_summary(found: DataFrame, least: int = 2) -> DataFrame:
     """AGG5: is_form and the mean of positive confidences of each page."""
-    mean = F.avg(F.when(F.col("confidence") > 0, F.col("confidence")))
-    return found.groupBy("page_id").agg((F.count("*") >= least).alias("is_form"), F.coalesce(F.round(mean, 4), F.lit(0.0)).alias("global_confidence"))
+    mean = mean4(F.when(F.col("confidence") > 0, F.col("confidence")))
+    return found.groupBy("page_id").agg((F.count("*") >= least).alias("is_form"), F.coalesce(mean, F.lit(0.0)).alias("global_confidence"))
 
 
 def status_counts(found: DataFrame) -> DataFrame:

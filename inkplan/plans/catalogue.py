@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, decode, geometry, text
 from ..operators import bands, batches, fields, forms, matching, pairing, report, rules, store, vision
 from . import fixtures as fx
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
+from .entries import query
 
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(replace(strip_accents(lower(trim({x}))), '&', 'et'), '[^a-z0-9]+', ' ', 'g'))"
@@ -67,6 +49,11 @@ _PAIRED = f"""r AS ({_picked(_RIGHT, 'v.x0 - l.x1')}), rest AS (SELECT * FROM la
     b AS ({_picked(_BELOW, 'v.y0 - l.y1').replace('FROM lab l', 'FROM rest l')}), p AS (SELECT * FROM r UNION ALL SELECT * FROM b)"""
 
 
+def _mean4(x: str) -> str:
+    """As numbers.mean4()."""
+    return f"CASE WHEN count({x}) > 0 THEN floor((2 * sum(CAST(round({x} * 1000000) AS BIGINT)) + 100 * count({x})) / (200.0 * count({x}))) / 10000.0 END"
+
+
 def _status(c: str = "confidence") -> str:
     return f"CASE WHEN {c} < 0.65 THEN 'error' WHEN {c} < 0.85 THEN 'warning' ELSE 'valid' END"
 
@@ -141,7 +128,7 @@ def label_longest_alias(spark, sf_dir):
 s AS (SELECT w.page_id, w.item_idx, w.clean AS value, (abs(w.cx - (l.x0 + l.x1) / 2.0) + abs(w.cy - (l.y0 + l.y1) / 2.0)) / 2000.0 + CASE WHEN regexp_matches(w.clean, '^[01]') THEN 0 ELSE 400 END AS score
 FROM w JOIN lab l ON w.page_id = l.page_id WHERE l.key = 'cin') SELECT page_id, 'cin' AS key, value FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, item_idx) AS rn FROM s) WHERE rn = 1""")
 def cin_harvest(spark, sf_dir):
-    """JN7, TXT10: of the eight-digit numbers on a page the one with a right first digit, else the nearest."""
+    """JN7: of the eight-digit numbers on a page the one with a right first digit, else the nearest."""
     e = pairing.normalised(fx.items(spark, sf_dir, fx.NUMBERS))
     eight = e.where(pairing.is_value()).where(F.col("clean").rlike("^[0-9]{8}$"))
     return pairing.numeric_harvest(e.where("label_key is not null"), eight, "cin", 8).select("page_id", "key", "value")
@@ -196,8 +183,8 @@ def date_fr_longhand(spark, sf_dir):
 SELECT id, d, CASE WHEN d IS NULL THEN 'no such day' WHEN CAST(right(d, 4) AS INT) NOT BETWEEN 1950 AND 2026 THEN 'year out of range' WHEN try_strptime(d, '%d/%m/%Y') IS NULL THEN 'no such day' WHEN CAST(right(d, 4) AS INT) > 2009 - 17 + 8 THEN 'too young for the session' END AS message FROM f""")
 def date_validate(spark, sf_dir):
     """DT2, VAL3 with a session year of 2017."""
-    rows = fx.fixture(spark, sf_dir, fx.WRITTEN)
-    return rows.select("id", dates.clean_date(F.col("value")).alias("d"), rules.date_message(F.col("value"), F.lit(2017)).alias("message"))
+    rows = fx.fixture(spark, sf_dir, fx.WRITTEN).withColumn("d", dates.clean_date(F.col("value")))
+    return rows.select("id", "d", rules.date_message(F.col("value"), F.lit(2017), F.col("d")).alias("message"))
 
 
 _SESSIONS = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '2025' WHEN 1 THEN '2024/2025' WHEN 2 THEN '2024-2025' WHEN 3 THEN '2017/2025' ELSE concat('s', CAST(o_orderkey AS VARCHAR(12))) END AS value FROM orders"
@@ -263,7 +250,7 @@ def school_and_text_rules(spark, sf_dir):
     return part.select("p_partkey", F.when(rules.school_ok(F.col("p_brand")), "valid").otherwise("warning").alias("brand_status"), F.when(F.length("p_name") < 2, "error").otherwise("valid").alias("name_status"))
 
 
-@query(f"WITH f AS ({fx.FIELDS}) SELECT page_id, count(*) >= 2 AS is_form, coalesce(round(avg(CASE WHEN confidence > 0 THEN confidence END), 4), 0.0) AS global_confidence FROM f GROUP BY page_id")
+@query(f"WITH f AS ({fx.FIELDS}) SELECT page_id, count(*) >= 2 AS is_form, coalesce({_mean4('CASE WHEN confidence > 0 THEN confidence END')}, 0.0) AS global_confidence FROM f GROUP BY page_id")
 def form_confidence(spark, sf_dir):
     """AGG5."""
     return rules.form_summary(fx.fixture(spark, sf_dir, fx.FIELDS))
@@ -297,13 +284,13 @@ def sections(spark, sf_dir):
 _ITEM_ROWS = "SELECT l_orderkey AS file_id, l_suppkey % 3 AS page, CAST((l_orderkey * 3 + l_suppkey % 3) % 50 AS DOUBLE) / 50 AS confidence FROM lineitem"
 
 
-@query(f"WITH i AS ({_ITEM_ROWS}) SELECT file_id, page, round(avg(confidence), 4) AS confidence FROM i GROUP BY file_id, page")
+@query(f"WITH i AS ({_ITEM_ROWS}) SELECT file_id, page, {_mean4('confidence')} AS confidence FROM i GROUP BY file_id, page")
 def page_confidence(spark, sf_dir):
     """AGG1."""
     return batches.page_confidence(fx.fixture(spark, sf_dir, _ITEM_ROWS))
 
 
-@query(f"WITH i AS ({_ITEM_ROWS}), p AS (SELECT file_id, page, round(avg(confidence), 4) AS confidence FROM i GROUP BY file_id, page) SELECT file_id, round(avg(confidence), 4) AS confidence FROM p GROUP BY file_id")
+@query(f"WITH i AS ({_ITEM_ROWS}), p AS (SELECT file_id, page, {_mean4('confidence')} AS confidence FROM i GROUP BY file_id, page) SELECT file_id, {_mean4('confidence')} AS confidence FROM p GROUP BY file_id")
 def file_confidence(spark, sf_dir):
     """AGG2."""
     return batches.file_confidence(batches.page_confidence(fx.fixture(spark, sf_dir, _ITEM_ROWS)))
@@ -316,7 +303,10 @@ def job_counters(spark, sf_dir):
     return batches.job_counters(fx.fixture(spark, sf_dir, fx.FILES))
 
 
-@query(f"WITH f AS ({fx.FILES}) SELECT job_id, coalesce(round(avg(CASE WHEN status = 'done' THEN confidence END), 4), 0.0) AS average FROM f GROUP BY job_id")
+_DONE = "CASE WHEN status = 'done' THEN confidence END"
+
+
+@query(f"WITH f AS ({fx.FILES}) SELECT job_id, coalesce({_mean4(_DONE)}, 0.0) AS average FROM f GROUP BY job_id")
 def job_average(spark, sf_dir):
     """AGG2 over jobs."""
     return batches.job_average(fx.fixture(spark, sf_dir, fx.FILES))
@@ -502,7 +492,7 @@ def composite_offsets(spark, sf_dir):
 
 @query(f"WITH b AS ({_BANDS}), n AS (SELECT page_id, row_no, row_number() OVER (PARTITION BY page_id ORDER BY row_no) AS number FROM b) SELECT page_id, row_no, CAST(number AS INT) AS number, CAST((number - 1) // 2 AS INT) AS chunk FROM n")
 def row_chunks(spark, sf_dir):
-    """GEO7, JN15."""
+    """GEO7."""
     return bands.chunked(fx.fixture(spark, sf_dir, _BANDS).select("page_id", "row_no"), 2)
 
 
@@ -511,7 +501,7 @@ _BOXES = f"SELECT l_orderkey AS page_id, {_ROW} AS box, CAST(floor(l_extendedpri
 
 @query(f"WITH b AS ({_BANDS}), x AS ({_BOXES}), m AS (SELECT x.page_id, x.box, b.row_no AS band, abs(x.y - (b.y0 + b.y1) / 2.0) AS distance FROM x JOIN b ON x.page_id = b.page_id) SELECT page_id, box, band, distance FROM (SELECT *, row_number() OVER (PARTITION BY page_id, box ORDER BY distance, band) AS rn FROM m) WHERE rn = 1")
 def nearest_band(spark, sf_dir):
-    """JN14, JN16."""
+    """JN14."""
     of = fx.fixture(spark, sf_dir, _BANDS).select("page_id", F.col("row_no").alias("band"), ((F.col("y0") + F.col("y1")) / 2.0).alias("y"))
     return bands.nearest(fx.fixture(spark, sf_dir, _BOXES), of)
 
@@ -535,7 +525,7 @@ def best_label_running_max(spark, sf_dir):
 _CELLS = "SELECT l_orderkey AS page_id, l_returnflag AS grid, l_linenumber AS pos, CAST(l_partkey % 10 AS VARCHAR(2)) AS digit, l_discount + 0.5 AS confidence, CAST(l_partkey % 300 AS INT) AS x0, CAST(l_suppkey % 300 AS INT) AS y0, CAST(l_partkey % 300 + 60 AS INT) AS x1, CAST(l_suppkey % 300 + 60 AS INT) AS y1 FROM lineitem"
 
 
-@query(f"WITH c AS ({_CELLS}) SELECT page_id, grid, string_agg(digit, '' ORDER BY pos, digit) AS text, round(avg(confidence), 4) AS confidence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY page_id, grid")
+@query(f"WITH c AS ({_CELLS}) SELECT page_id, grid, string_agg(digit, '' ORDER BY pos, digit) AS text, {_mean4('confidence')} AS confidence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY page_id, grid")
 def digit_grid_reading(spark, sf_dir):
     """AGG14, GEO4."""
     return bands.grid_reading(fx.fixture(spark, sf_dir, _CELLS))
@@ -556,7 +546,7 @@ _ROIS = "SELECT p_partkey AS id, CAST(p_partkey % 11 AS DOUBLE) / 10 AS fx0, CAS
 @query(f"""WITH r AS ({_ROIS}), a AS (SELECT *, greatest(0, least(CAST(trunc(fx0 * w) AS INT), w - 1)) AS px0, greatest(0, least(CAST(trunc(fy0 * h) AS INT), h - 1)) AS py0 FROM r)
 SELECT id, px0, py0, greatest(px0 + 1, least(CAST(trunc(fx1 * w) AS INT), w)) AS px1, greatest(py0 + 1, least(CAST(trunc(fy1 * h) AS INT), h)) AS py1 FROM a""")
 def roi_pixels(spark, sf_dir):
-    """GEO3, SRC11."""
+    """GEO3."""
     px = geometry.to_pixels(F.col("fx0"), F.col("fy0"), F.col("fx1"), F.col("fy1"), F.col("w"), F.col("h"))
     return fx.fixture(spark, sf_dir, _ROIS).select("id", px.alias("p")).select("id", "p.*")
 
@@ -581,22 +571,17 @@ def grid_reply_parse(spark, sf_dir):
 
 @query()
 def char_decode(spark, sf_dir):
-    """TXT13, TXT9: different values once, joined back to all rows."""
-    part = fx.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    known = part.select("p_brand").distinct().withColumn("d", decode.decoder_column("text")(F.col("p_brand")))
-    return part.join(known, "p_brand").select("p_partkey", "d.value", "d.confidence", "d.changed")
+    """TXT13, TXT9, SRT6: different values once, joined back to all rows."""
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("reading"))
+    known = part.select("reading").distinct().withColumn("d", decode.decoder_column("text")(F.col("reading")))
+    return part.join(known, "reading").select("p_partkey", "d.value", "d.confidence", "d.changed")
 
 
 @query()
 def acronym_nearest(spark, sf_dir):
-    """JN13, TXT8."""
-
-    @F.udf("string", useArrow=True)
-    def near(value):
-        return decode.nearest(value, fields.SCHOOLS, fields.SCHOOL_RATIO)
-
-    part = fx.table(spark, sf_dir, "part").select("p_partkey", text.tidy_acronym(F.substring("p_type", 1, 5)).alias("probe"))
-    known = part.select("probe").distinct().withColumn("school", near("probe"))
+    """JN13, TXT8, TXT12."""
+    part = fx.table(spark, sf_dir, "part").select("p_partkey", text.tidy_acronym(F.col("p_type")).alias("probe"))
+    known = part.select("probe").distinct().withColumn("school", decode.nearest_column(fields.SCHOOLS, fields.SCHOOL_RATIO)(F.col("probe")))
     return part.join(known, "probe").select("p_partkey", "probe", "school")
 
 
@@ -607,16 +592,26 @@ def noisy_dates(spark, sf_dir):
     return rows.select("id", dates.best_date_column("value").alias("d")).select("id", "d.*")
 
 
-@query()
+@query("SELECT o_orderkey AS page_id, CAST(0 AS INT) AS occurrence, 'nom' AS key, o_orderpriority AS value, CAST(0.9 AS DOUBLE) AS confidence FROM orders UNION ALL SELECT o_orderkey, 1, 'prenom', concat('c', CAST(o_custkey AS VARCHAR)), 0.8 FROM orders WHERE 500 + o_orderkey % 4 * 100 - 260 <= 400")
 def greedy_pairing(spark, sf_dir):
-    """JN6: pages whose labels compete for a value, in reading order."""
-    return pairing.greedy_pages(pairing.normalised(fx.items(spark, sf_dir, fx.DATED))).select("page_id", "occurrence", "key", "value", "confidence")
+    """JN6: two labels of a line compete for the nearer value; the first in reading order takes it, the other the next within reach."""
+    found = pairing.greedy_pages(pairing.normalised(fx.items(spark, sf_dir, fx.CONTESTED)))
+    return found.select("page_id", "occurrence", "key", "value", "confidence")
 
 
-@query()
+_ANALYSED = f"""WITH k AS (SELECT o_orderkey AS page_id, o_orderkey % 7 AS r7, CAST(60 + o_orderkey % 40 AS DOUBLE) / 100 AS c, lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') AS n, CAST(100 + o_orderkey % 900 AS VARCHAR) AS s,
+lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS t FROM orders),
+f AS (SELECT page_id, 'cin' AS key, concat(CASE WHEN r7 = 0 THEN '0' ELSE '1' END, n) AS value, CASE WHEN r7 = 0 THEN greatest(c, 0.92) ELSE c END AS confidence FROM k
+UNION ALL SELECT page_id, 'serie', s, CASE WHEN r7 = 1 THEN greatest(c, 0.92) ELSE c END FROM k
+UNION ALL SELECT page_id, 'identifiant', concat(s, t), CASE WHEN r7 = 1 THEN greatest(c, 0.92) ELSE c END FROM k UNION ALL SELECT page_id, 'duree', '2h30', 0.97 FROM k)
+SELECT page_id, key, value, confidence, {_status()} AS status FROM f"""
+
+
+@query(_ANALYSED)
 def form_analysis(spark, sf_dir):
-    """The chain of sections 2.4, 2.6, 2.7 and 2.10 over whole pages: JN6, JN7, JN9, TXT5, DT7, all rules."""
-    return forms.analysed(fx.items(spark, sf_dir, fx.ITEMS)).select("page_id", "key", "value", "confidence", "status")
+    """The chain of sections 2.4, 2.6, 2.7 and 2.10 over whole pages: JN6, JN7, JN9, TXT5, TXT7, all rules: numbers with a letter for their
+    head, and series and identifiers that a printed block puts right."""
+    return forms.analysed(fx.items(spark, sf_dir, fx.SHEETS)).select("page_id", "key", "value", "confidence", "status")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -627,7 +622,7 @@ def stream_counts(spark, sf_dir):
     from ..streaming import jobs
 
     schema = fx.table(spark, sf_dir, "events").schema
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or '/tmp/inkplan-streams').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{jobs.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/events.parque[t]"  # as a pattern it may be a file or a folder
     jobs.start(spark, source, schema, lambda df: df.groupBy("event_type").agg(F.count("*").alias("n")), f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Label and value items of a page for each customer: see form_pairing_risk.
@@ -101,6 +104,31 @@ GRID_REPLIES = """
 SELECT event_id AS id, concat('{"rows": [{"row": ', CAST(event_id % 6 AS VARCHAR(2)), ', "text": "', event_type, '", "confidence": 0.', CAST(10 + event_id % 80 AS VARCHAR(4)), '}, {"row": 3, "text": "x", "confidence": 7.5}]}') AS reply FROM events
 """
 
+#: Two labels on a line, and two values right of both; the farther value is out of the second label's reach on some pages.
+CONTESTED = """
+SELECT page_id, item_idx, text, confidence, x0, y0, x1, y1 FROM (
+  WITH k AS (SELECT o_orderkey AS page_id, o_orderpriority, concat('c', CAST(o_custkey AS VARCHAR(12))) AS clerk, CAST(500 + o_orderkey % 4 * 100 AS INT) AS x FROM orders)
+  SELECT page_id, 0 AS item_idx, 'Nom' AS text, CAST(0.97 AS DOUBLE) AS confidence, 50 AS x0, 100 AS y0, 150 AS x1, 134 AS y1 FROM k
+  UNION ALL SELECT page_id, 1, 'Prénom', CAST(0.97 AS DOUBLE), 160, 100, 260, 134 FROM k
+  UNION ALL SELECT page_id, 2, o_orderpriority, CAST(0.9 AS DOUBLE), 280, 100, 400, 134 FROM k
+  UNION ALL SELECT page_id, 3, clerk, CAST(0.8 AS DOUBLE), x, 100, x + 100, 134 FROM k) u
+"""
+
+#: Sheets with a national number, at times with a letter for its head; series and identifier, at times misread beside a printed block; a duration.
+SHEETS = """
+SELECT page_id, item_idx, text, confidence, x0, y0, x1, y1 FROM (
+  WITH k AS (SELECT o_orderkey AS page_id, o_orderkey % 7 AS r7, CAST(60 + o_orderkey % 40 AS DOUBLE) / 100 AS c, lpad(CAST(o_orderkey % 10000000 AS VARCHAR(10)), 7, '0') AS n,
+                    CAST(100 + o_orderkey % 900 AS VARCHAR(4)) AS s, lpad(CAST(o_orderkey % 1000 AS VARCHAR(4)), 3, '0') AS t FROM orders)
+  SELECT page_id, 0 AS item_idx, 'N° CIN' AS text, CAST(0.97 AS DOUBLE) AS confidence, 50 AS x0, 100 AS y0, 260 AS x1, 134 AS y1 FROM k
+  UNION ALL SELECT page_id, 1, concat(CASE WHEN r7 = 0 THEN 'O' ELSE '1' END, n), c, 280, 100, 520, 134 FROM k
+  UNION ALL SELECT page_id, 2, 'Série', CAST(0.97 AS DOUBLE), 50, 160, 260, 194 FROM k
+  UNION ALL SELECT page_id, 3, CASE WHEN r7 = 1 THEN '7777' ELSE s END, c, 280, 160, 520, 194 FROM k
+  UNION ALL SELECT page_id, 4, 'Identifiant', CAST(0.97 AS DOUBLE), 50, 220, 260, 254 FROM k
+  UNION ALL SELECT page_id, 5, CASE WHEN r7 = 1 THEN '777712' ELSE concat(s, t) END, c, 280, 220, 520, 254 FROM k
+  UNION ALL SELECT page_id, 6, 'Durée : 2h30', CAST(0.97 AS DOUBLE), 50, 280, 260, 314 FROM k
+  UNION ALL SELECT page_id, 7, concat(s, ' ', s, t), CAST(0.9 AS DOUBLE), 700, 20, 990, 54 FROM k) u
+"""
+
 TABLES = ("customer", "supplier", "nation", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
@@ -109,11 +137,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of one of the texts above; only the tables that it names are opened."""
-    for name in TABLES:
-        if f"FROM {name}" in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """The rows of one of the texts above; only the tables that it names are opened, under names of their own that go once the text is analysed."""
+    own = uuid.uuid4().hex
+    used = [name for name in TABLES if re.search(rf"FROM {name}\b", sql)]
+    for name in used:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"{name}_{own}")
+    try:
+        return spark.sql(re.sub(rf"FROM ({'|'.join(TABLES)})\b", rf"FROM \1_{own}", sql))
+    finally:
+        for name in used:
+            spark.catalog.dropTempView(f"{name}_{own}")
 
 
 def items(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.report import workbook
+from ..operators import report
+from .workbook import MOST_ROWS, Sheet, Style, exported, workbook
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
@@ -25,10 +26,56 @@ def write_report(wide: DataFrame, path: str) -> None:
     wide.write.mode("overwrite").option("header", True).csv(path)
 
 
-def report_workbook(wide: DataFrame, order: str, most: int = 50_000) -> bytes:
-    """SNK1: the first `most` rows as .xlsx; a sheet can't hold many more."""
-    rows = wide.orderBy(order).limit(most).collect()
-    return workbook([wide.columns, *[list(r) for r in rows]])
+HEADER = Style(fill="1F4E78", colour="FFFFFF", bold=True)
+FIGURE = Style(fill="DDEBF7", bold=True)
+VERDICT = {report.GOOD: "9C6500", report.BAD: "9C0006"}
+#: The key figures' names and remarks on the second sheet.
+FIGURES = [
+    ("files", "Nombre total de fichiers traités (TIF/PDF/Images)", None),
+    ("pages", "Nombre total de pages analysées", None),
+    ("acceptance_pct", "Taux d'acceptation automatique (%)", "Confiance >= 85 % et règles métier respectées"),
+    ("to_review", "Nombre de documents nécessitant révision", "Révision manuelle requise"),
+    ("mean_pct", "Confiance moyenne globale (%)", None),
+    ("files_with_barcode", "Fichiers avec code-barres détecté", "Données fiables à 100 %"),
+]
+
+
+def report_workbook(rows: DataFrame, order: list[str], stamp: str) -> bytes:
+    """SNK1, SNK2, SNK3: report_rows() as .xlsx: a sheet of pages with the verdicts' fills, and one of key figures. A sheet holds a bounded
+    number of rows; more are an error, and write_report() is for them."""
+    some = rows.orderBy(*order).limit(MOST_ROWS).collect()
+    if not some:
+        raise ValueError("no finished file to export")
+    if len(some) == MOST_ROWS:
+        raise ValueError("more pages than a sheet holds; use write_report()")
+    names = [c for c in rows.columns if c not in ("page_id", "fill", "marked")]
+
+    def shown(r) -> list:
+        verdict = Style(fill=r["fill"], colour=VERDICT[r["fill"]], bold=True)
+        style = {"Statut Validation": verdict, "Indice de Confiance Global (%)": Style(r["fill"], VERDICT[r["fill"]], True, "0.0%")}
+        if r["marked"]:
+            style["Code-Barres / QR"] = Style(fill=report.MARKED, colour="006100", bold=True)
+        return [(r[c], style.get(c, Style())) for c in names]
+
+    def wide(v) -> float:
+        return 0.0 if v is None else max(8.0, min(52.0, 2.0 + sum(1.0 if ord(c) < 128 else 1.7 for c in str(v))))
+
+    widths = [min(60.0, 2.0 + max(wide(c), *(wide(r[c]) for r in some))) for c in names]
+    data = Sheet("Données Extraites", [[(c, HEADER) for c in names], *map(shown, some)], widths, True)
+    pages = rows.select(
+        F.col("Nom du Fichier").alias("file_id"), F.col("`Indice de Confiance Global (%)`").alias("confidence"), (F.col("Statut Validation") == report.ACCEPTED).alias("accepted"),
+        F.col("Code-Barres / QR").alias("barcodes"),
+    )
+    found = report.key_figures(pages).first()
+    value = lambda k: round(found[k], 1) if k.endswith("_pct") else found[k]
+    lines = [[("Indicateur", HEADER), ("Valeur", HEADER), ("Remarque", HEADER)], *[[name, (value(k), FIGURE), note] for k, name, note in FIGURES], ["Date de génération du rapport", (stamp, Style(bold=True)), None]]
+    return workbook([data, Sheet("Rapport de Traitement", lines, [52.0, 16.0, 42.0])])
+
+
+def write_exports(df: DataFrame, column: str, form: str, path: str) -> None:
+    """SNK5: each row's text as a file of the form, in a column `file`, as Parquet: what a download serves by its key."""
+    make = F.udf(lambda t: bytearray(exported(t, form)) if t and t.strip() else None, "binary", useArrow=True)
+    df.withColumn("file", make(F.col(column))).write.mode("overwrite").parquet(path)
 
 
 def write_archive(df: DataFrame, path: str) -> None:

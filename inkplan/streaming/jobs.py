@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +22,16 @@ def start(spark: SparkSession, source: str, schema, process, target: str, checkp
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local folder of our own for local sessions only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/inkplan-streams"
+
+
 def progress(spark: SparkSession, target: str) -> DataFrame:
     """STR3 over the results so far (job_id, status)."""
     return job_counters(spark.read.parquet(target))
