@@ -30,9 +30,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffixes.rewritten(spark, docs)
 
 
+def key(spark: SparkSession) -> str:
+    """The session's key for pseudonyms; for the synthetic tables, where none is set, one for tests that protects nothing."""
+    return spark.conf.get(pseudonyms.SETTING, None) or "a test key"
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms for personal numbers, dates, addresses and keys."""
-    out = pseudonyms.pseudonymise(docs)
+    out = pseudonyms.pseudonymise(docs, key=key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
