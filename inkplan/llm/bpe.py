@@ -6,8 +6,8 @@ the piece turns up. Pieces between white space are independent of what surrounds
 kept too; texts with runs of white space are cut by the pattern from end to end. Decoding turns each id into its characters
 and those back into bytes; characters split over ids are whole again once their bytes are joined.
 
-Defined cases: a null or empty text has no ids and decodes to nothing; special tokens' strings are ordinary text; lone
-surrogates are encoded as three bytes each; null doc_ids stay; repeated rows get equal results.
+Defined cases: a null or empty text has no ids and decodes to nothing; strings of a JSON file's added tokens become those tokens, as
+in the library, and with a file of ranks all text is ordinary; lone surrogates are encoded as three bytes each; null doc_ids stay; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -63,6 +63,17 @@ def model_of(path: str) -> models.BPE:
     return models.BPE(vocab={mapped(t): k for t, k in ranks.items()}, merges=merges, ignore_merges=True)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers JSON file that stand for their plain strings."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens that look at their neighbours aren't supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 _tables: dict[str, dict[int, bytes]] = {}
 
 
@@ -72,9 +83,10 @@ def bytes_of(path: str) -> dict[int, bytes]:
         if path.endswith(".json"):
             with open(path, encoding="utf-8") as f:
                 vocab = json.load(f)["model"]["vocab"]
+            own = {k: t.encode() for t, k in added_tokens(path).items()}
         else:
-            vocab = {mapped(t): k for t, k in ranks_of(path).items()}
-        _tables[path] = {k: bytes(TO_BYTE[c] for c in t) for t, k in vocab.items() if all(c in TO_BYTE for c in t)}
+            vocab, own = {mapped(t): k for t, k in ranks_of(path).items()}, {}
+        _tables[path] = {k: bytes(TO_BYTE[c] for c in t) for t, k in vocab.items() if all(c in TO_BYTE for c in t)} | own
     return _tables[path]
 
 
@@ -93,6 +105,8 @@ class Bpe:
 
     def __init__(self, path: str):
         self.path, self.model = path, model_of(path)
+        self.added = added_tokens(path)
+        self.added_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
@@ -130,6 +144,13 @@ class Bpe:
         return got
 
     def encode(self, text: str) -> bytes:
+        if self.added_cut and any(t in text for t in self.added):
+            parts = self.added_cut.split(text)
+            return b"".join(self.ordinary(x) if k % 2 == 0 else self.added[x].to_bytes(4, "little") for k, x in enumerate(parts))
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        """As encode(), without added tokens."""
         if not text:
             return b""
         out, line_end = [], self.piece("\n")
@@ -151,7 +172,12 @@ class Bpe:
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, first character, end) of each token; tokens that share a split character share its place."""
         out, at = [], 0
-        for piece in PATTERN.findall(text):
+        parts = self.added_cut.split(text) if self.added_cut else [text]
+        for whole, piece in ((k % 2, x) for k, part in enumerate(parts) for x in ([part] if k % 2 else PATTERN.findall(part))):
+            if whole:
+                out.append((self.added[piece], at, at + len(piece)))
+                at += len(piece)
+                continue
             place = np.repeat(np.arange(at, at + len(piece)), [len(c.encode("utf-8", "surrogatepass")) for c in piece])
             for t in self.tokens(piece):
                 first, end = t.offsets  # the library counts in the characters it was given: by UTF-8 bytes of the mapped piece
@@ -172,7 +198,7 @@ def encoded(df: DataFrame, path: str) -> DataFrame:
         bpe = Bpe.of(path)
         return lambda batch: {"doc_id": batch.column(0), "ids": [bpe.encode(t) for t in batch.column(1).to_pylist()]}
 
-    return map_rows(id_text(df), make, "doc_id long, ids binary", "bpe")
+    return map_rows(id_text(df), make, "doc_id long, ids binary", "bpe", by=1)
 
 
 def decoded(df: DataFrame, path: str) -> DataFrame:
@@ -187,7 +213,7 @@ def decoded(df: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_rows(df.select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids binary, raw binary", "bpe")
+    return map_rows(df.select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids binary, raw binary", "bpe", by=1)
 
 
 def with_offsets(df: DataFrame, path: str) -> DataFrame:
@@ -202,7 +228,7 @@ def with_offsets(df: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_rows(id_text(df), make, "doc_id long, ids array<long>, starts array<long>, ends array<long>", "bpe")
+    return map_rows(id_text(df), make, "doc_id long, ids array<long>, starts array<long>, ends array<long>", "bpe", by=1)
 
 
 def _drop() -> None:

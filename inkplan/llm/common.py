@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +65,15 @@ def let_go(but: str | None = None) -> None:
             drop()
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, holds: str | None = None) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, holds: str | None = None, by: int | None = None) -> DataFrame:
     """Python over Arrow batches. make() runs once in each task and returns a function from a pyarrow RecordBatch to a dict of columns
-    (lists or arrays) of any length. holds: the name in HELD of what make() uses."""
+    (lists or arrays) of any length. holds: the name in HELD of what make() uses. by: the number of a string or binary column;
+    then make()'s function gets slices() of a batch, so that memory depends on neither the batch nor the number of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go(holds)
         each, target = make(), None
-        for batch in batches:
+        for batch in batches if by is None else slices(batches, by=by):
             if not batch.num_rows:
                 continue
             out = each(batch)
@@ -83,11 +87,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, holds: st
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, so that few texts at a time become Python objects."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, by: int | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that few texts at a time become Python objects; by: the number of a string or binary column,
+    of which a piece holds some `most` bytes, or one row."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        size = None if by is None else np.cumsum(pc.binary_length(batch.column(by)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = min(at + rows, batch.num_rows)
+            if size is not None:
+                end = min(end, max(at + 1, int(np.searchsorted(size, most + (size[at - 1] if at else 0), "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 _TYPES = {
@@ -104,12 +115,34 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """df written to the shared checkpoint folder and read again: lineage ends there, and lost
-    executors cost no recomputation of what went before."""
-    path = f"{shared_dir(spark)}/inkplan/{name}-{uuid.uuid4().hex}"
+    executors cost no recomputation of what went before. The folder goes with the session, or by release()."""
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_runs: set[str] = set()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Where this application stores what it reads again."""
+    path = f"{shared_dir(spark)}/inkplan/{spark.sparkContext.applicationId}"
+    if path not in _runs:
+        _runs.add(path)
+        atexit.register(release, spark)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has stored. Results of operators that haven't been written or collected can't be read after it, so it is for
+    the end of a run, or between runs of a long session."""
+    context = spark.sparkContext
+    if context._jsc is None:  # stopped
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/inkplan/{context.applicationId}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

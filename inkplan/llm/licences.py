@@ -3,11 +3,13 @@
 The automaton holds all the templates' token sequences. Streaming a text's words through it gives,
 at each word, the longest suffix of the text so far that occurs in any template (matching
 statistics). Phrases are found where the state's suffixes include a whole phrase; maximal long
-matches are chained along a template into covered spans.
+matches are chained, along each template that holds them, into covered spans. A template is a label
+where one of a span's matches occurs in no other template, or where the span covers most of it.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; overlapping
-places all count; words outside all templates end a match; repeated rows get equal results; columns
-other than doc_id and text are not read.
+places all count; words outside all templates end a match; a match in several templates counts in
+each of them, at each of its places; repeated rows get equal results; columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -41,15 +43,26 @@ TEMPLATES = {
         "following disclaimer"
     ),
     "gpl": (
-        "this work is licensed under the gnu general public license version 3 this program is free software you can redistribute it and "
+        "licensed under the gnu general public license version 3 this program is free software you can redistribute it and "
         "or modify it under the terms of the gnu general public license as published by the free software foundation"
     ),
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "bsl-1.0": "boost software license version 1.0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by": "licensed under cc by 4.0 creative commons attribution 4.0 international",
     "cc-by-nc": "licensed under cc by nc 4.0 creative commons attribution noncommercial",
     "cc-by-sa": "licensed under cc by sa 4.0 creative commons attribution sharealike",
 }
-#: Words of a match that counts towards a template, and words of a chain that give its label.
+#: Words of a match that counts towards a template, and words of a chain that is a span.
 LEAST_MATCH, LEAST_CHAIN = 4, 5
+#: The part of a template that a span covers if it gives a label without any match of that template alone.
+ENOUGH = 0.8
 #: Words that a chain may skip in the text between two matches.
 GAP = 6
 
@@ -59,30 +72,42 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Automaton:
-    """A suffix automaton of several sequences. Each state keeps a template and position at which its
+    """A suffix automaton of several sequences. Each state keeps the templates and positions at which its
     strings end, and the whole phrases among its suffixes."""
 
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.size, self.at = [-1], [0], [(-1, -1)]
+        self.link, self.size = [-1], [0]
         self.names = list(templates)
         self.lengths = []
         for k, text in enumerate(templates.values()):
             seq = words_of(text)
             self.lengths.append(len(seq))
             last = 0
-            for i, w in enumerate(seq):
-                last = self._add(last, w, (k, i))
+            for w in seq:
+                last = self._add(last, w)
         own: dict[int, list[tuple[int, str]]] = {}
         for phrase, label in phrases.items():
             last, seq = 0, words_of(phrase)
-            for i, w in enumerate(seq):
-                last = self._add(last, w, (-1, i))
+            for w in seq:
+                last = self._add(last, w)
             own.setdefault(self.walk(seq), []).append((len(seq), label))
         self.ends: list[tuple] = [()] * len(self.size)
         for v in sorted(range(len(self.size)), key=self.size.__getitem__):
             up = self.ends[self.link[v]] if self.link[v] >= 0 else ()
             self.ends[v] = up + tuple(own.get(v, ()))
+        places: list[set] = [set() for _ in self.size]
+        for k, text in enumerate(templates.values()):
+            v = 0
+            for i, w in enumerate(words_of(text)):
+                v = self.next[v][w]
+                places[v].add((k, i))
+        for v in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
+            if self.link[v] > 0:
+                places[self.link[v]] |= places[v]
+        #: (template, position) of each end of a state's strings, and what part of a template a word of them is at most.
+        self.at = [tuple(sorted(x)) for x in places]
+        self.part = [1 / min((self.lengths[k] for k, _ in x), default=float("inf")) for x in places]
 
     def walk(self, seq: list[bytes]) -> int:
         v = 0
@@ -90,17 +115,16 @@ class Automaton:
             v = self.next[v][w]
         return v
 
-    def _state(self, size: int, at: tuple[int, int]) -> int:
+    def _state(self, size: int) -> int:
         self.next.append({})
         self.link.append(-1)
         self.size.append(size)
-        self.at.append(at)
         return len(self.size) - 1
 
-    def _add(self, last: int, w: bytes, at: tuple[int, int]) -> int:
+    def _add(self, last: int, w: bytes) -> int:
         if (q := self.next[last].get(w)) is not None:
             return q if self.size[q] == self.size[last] + 1 else self._split(last, w, q)
-        new, p = self._state(self.size[last] + 1, at), last
+        new, p = self._state(self.size[last] + 1), last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = new
             p = self.link[p]
@@ -112,7 +136,7 @@ class Automaton:
         return new
 
     def _split(self, p: int, w: bytes, q: int) -> int:
-        c = self._state(self.size[p] + 1, self.at[q])
+        c = self._state(self.size[p] + 1)
         self.next[c], self.link[c] = dict(self.next[q]), self.link[q]
         self.link[q] = c
         while p >= 0 and self.next[p].get(w) == q:
@@ -136,52 +160,57 @@ class Automaton:
             out.append((i, v, n))
         return out
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, int]]]:
-        """(phrase places, spans). A place: (first word, label). A span: (template, first word, end, words
-        of the template that its chain covers)."""
-        found, places, matches = self.statistics(words), [], []
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, int, bool]], float]:
+        """(phrase places, spans, score). A place: (first word, label). A span: (template, first word, end, words of the template that
+        its chain covers, whether it gives the label). Score: the greatest part of a template that a span or a match covers."""
+        found, places, matches, score = self.statistics(words), [], [], 0.0
         for k, (i, v, n) in enumerate(found):
             if self.ends[v]:
                 places += [(i - m + 1, label) for m, label in self.ends[v] if m <= n]
-            ended = k + 1 == len(found) or found[k + 1][0] != i + 1 or found[k + 1][2] <= n
-            if n >= LEAST_MATCH and ended and self.at[v][0] >= 0:
-                matches.append((i - n + 1, i + 1, *self.at[v], n))
+            if n < 2 or k + 1 < len(found) and found[k + 1][0] == i + 1 and found[k + 1][2] > n:
+                continue
+            score = max(score, n * self.part[v])
+            if n >= LEAST_MATCH:
+                alone = len({t for t, _ in self.at[v]}) == 1
+                matches += [(i - n + 1, i + 1, t, at, n, alone) for t, at in self.at[v]]
         spans, open_ = [], {}
-        for start, end, k, at, n in matches:
-            if (s := open_.get(k)) and start - s[2] <= GAP and at > s[3]:
-                s[4] += min(n, at - s[3], end - s[2])
-                s[2], s[3] = end, at
-            else:
-                open_[k] = [k, start, end, at, n]
-                spans.append(open_[k])
-        return places, [(self.names[k], start, end, got) for k, start, end, _, got in spans if got >= LEAST_CHAIN]
+        for start, end, t, at, n, alone in matches:
+            if (s := open_.get(t)) and start - s[2] <= GAP and at > s[3]:
+                if end > s[2]:
+                    s[4] += min(n, at - s[3], end - s[2])
+                    s[2], s[3], s[5] = end, at, s[5] or alone
+            elif not s or end > s[2]:  # a match's second place in a template begins no span where its first goes on with one
+                open_[t] = [t, start, end, at, n, alone]
+                spans.append(open_[t])
+        spans = [s for s in spans if s[4] >= LEAST_CHAIN]
+        share = [min(1.0, s[4] / self.lengths[s[0]]) for s in spans]
+        return places, [(self.names[t], start, end, got, alone or p >= ENOUGH) for (t, start, end, _, got, alone), p in zip(spans, share)], max([min(1.0, score), *share])
 
 
 def scan(df: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """For each row: n_words, n_base (phrase places), first_word, last_word (their least and greatest start), base_labels, labels,
-    score (the greatest covered part of a template, or 1 for a phrase place), spans (template:first:end, comma-joined)."""
+    score (the greatest covered part of a template), spans (template:first:end of those that give labels, comma-joined)."""
     templates, phrases = templates or TEMPLATES, phrases or PHRASES
 
     def make():
         automaton = Automaton(templates, phrases)
-        length = dict(zip(automaton.names, automaton.lengths))
 
         def each(batch):
             out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                places, spans = automaton.scan(words)
-                base = {x for _, x in places}
+                places, spans, score = automaton.scan(words)
+                base, spans = {x for _, x in places}, [s for s in spans if s[4]]
                 out["n_words"].append(len(words))
                 out["n_base"].append(len(places))
                 out["first_word"].append(min((p for p, _ in places), default=None))
                 out["last_word"].append(max((p for p, _ in places), default=None))
                 out["base_labels"].append(",".join(sorted(base)))
                 out["labels"].append(",".join(sorted(base | {s[0] for s in spans})))
-                out["score"].append(1.0 if places else max((min(1.0, s[3] / length[s[0]]) for s in spans), default=0.0))
+                out["score"].append(score)
                 out["spans"].append(",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans))
             return {"doc_id": batch.column(0), **out}
 
         return each
 
-    return map_rows(id_text(df), make, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string")
+    return map_rows(id_text(df), make, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string", by=1)

@@ -2,21 +2,23 @@
 
 Counts of all words of the training documents are gathered by a shuffle. The most frequent VOCABULARY - 2 words, the end of a text
 and one symbol for all other words are what the recurrent model predicts: first the symbol's class, then the symbol within its
-class. Another word's probability is that of the symbol for all others times the word's add-one share among them, so that the
-probabilities of all words and of one unseen word sum to 1.
+class; the symbol for all other words is a class of its own. Another word's probability is that of this symbol times the word's
+add-one share among such words, so that the probabilities of all words and of one unseen word sum to 1.
 
-Training is truncated back-propagation in numpy: each task runs once through all of its training documents, carrying the state from
-window to window of a document, from the same start. The tasks' parameters, weighted by their tokens, are then averaged over a tree
-of partial sums. Scoring carries the state through each complete document too.
+Training is truncated back-propagation in numpy: each task runs once through all of its training documents, from the same start.
+Documents are laid end to end in lanes; a lane's state is carried from window to window and starts anew with each document. The
+tasks' parameters, weighted by their tokens, are then averaged over a tree of partial sums, in a fixed order: the model depends on how
+the input is split into tasks, and on nothing else. Scoring carries the state through each complete document too.
 
 Counts of the KEPT most frequent words, a fixed number, are broadcast; counts of all other words meet their texts in a join.
 
 Defined cases: a null or empty text is its end alone; a null doc_id counts as the text '' for the fold; without training documents
-all counts are 0 and the model is uniform; rows that repeat a doc_id are merged in the result; other columns are not read.
+all counts are 0 and the model is uniform; each row has a row of its own in the result, whatever its doc_id; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from itertools import repeat
 
@@ -26,35 +28,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, id_text, keyed, let_go, slices, stored, unkeyed
+from .common import arrow_schema, id_text, let_go, slices, stored
 from .shingles import lower_words
 
-VOCABULARY, CLASSES, HIDDEN = 512, 16, 16
-LANES, STEPS, RATE, CLIP = 512, 16, 0.1, 5.0
+VOCABULARY, CLASSES, HIDDEN = 1024, 32, 16
+LANES, STEPS, RATE, CLIP = 512, 16, 0.02, 5.0
+#: How long the means of gradients and of their squares remember.
+FIRST, SECOND = 0.9, 0.99
+#: Tokens of a window at least, where few lanes are left.
+LEAST_TOKENS = 1024
 #: The most frequent words whose counts are broadcast, at most so many.
-KEPT = 100_000
+KEPT = 200_000
 #: Words counted in a task before they are handed on.
 MOST_COUNTED = 300_000
-#: Tokens of documents that are sorted by length together.
-BLOCK = 1 << 20
+#: Tokens of documents that are laid out in lanes together.
+BLOCK = 1 << 22
 END, OTHER = 0, VOCABULARY - 1
+#: Symbols of a class but that of OTHER, and rows of one class that go through its weights together.
+PER_CLASS, TILE = -(-OTHER // (CLASSES - 1)), 32
 #: Logits are held within this, so that sums of exponentials stay finite without a maximum for each row.
 LOGIT = 60.0
-ONES = np.ones(VOCABULARY, np.float32)
 
 
 class Model:
     """Parameters: G (what a symbol adds to the three gates), U (what the state adds), and the output's
-    class and word weights. Symbol s is number s // CLASSES of class s % CLASSES."""
+    class and word weights. Symbol s is number s // (CLASSES - 1) of class s % (CLASSES - 1); OTHER is the last class."""
 
     def __init__(self, unigram: np.ndarray):
         rng, h = np.random.default_rng(3), HIDDEN
         share = (unigram + 0.5) / (unigram + 0.5).sum()
-        by_class = share.reshape(-1, CLASSES).T
+        by_class = np.zeros((CLASSES - 1, PER_CLASS))
+        by_class[np.arange(OTHER) % (CLASSES - 1), np.arange(OTHER) // (CLASSES - 1)] = share[:OTHER]
+        within = by_class / by_class.sum(1, keepdims=True)
         self.p = {
             "G": rng.normal(0, 0.3, (VOCABULARY, 3 * h)), "U": rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)),
-            "Wc": rng.normal(0, 0.1, (h, CLASSES)), "bc": np.log(by_class.sum(1)),
-            "Wo": rng.normal(0, 0.1, (CLASSES, h, VOCABULARY // CLASSES)), "bo": np.log(by_class / by_class.sum(1, keepdims=True)),
+            "Wc": rng.normal(0, 0.1, (h, CLASSES)), "bc": np.log(np.append(by_class.sum(1), share[OTHER])),
+            "Wo": rng.normal(0, 0.1, (CLASSES - 1, h, PER_CLASS)), "bo": np.where(within > 0, np.log(np.maximum(within, 1e-30)), -LOGIT),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
@@ -68,31 +77,41 @@ class Model:
             at += v.size
         return self
 
-    def gates(self, x: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
-        """States after each of the inputs x (steps, lanes) from the state h, the last of them, and what backward() needs."""
+    def gates(self, x: np.ndarray, go_on: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
+        """States after each of the inputs x (steps, lanes) from the state h, the last of them, and what backward() needs. go_on is 0 where
+        a document begins."""
         n, u = HIDDEN, self.p["U"]
         gx = np.take(self.p["G"], x, axis=0)
         out, held = np.empty((*x.shape, n), np.float32), []
         for t in range(len(x)):
+            h = h * go_on[t]
             hu = h @ u
-            zr = 1 / (1 + np.exp(-(gx[t, :, : 2 * n] + hu[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gx[t, :, 2 * n :] + r * hu[:, 2 * n :])
+            zr = gx[t, :, : 2 * n]
+            zr += hu[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, hn = zr[:, :n], zr[:, n:], hu[:, 2 * n :]
+            new = r * hn
+            new += gx[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep:
-                held.append((h, z, r, new, hu[:, 2 * n :]))
-            h = new + z * (h - new)
-            out[t] = h
+                held.append((h, z, r, new, hn))
+            h = np.add(new, z * (h - new), out=out[t])
         return out, h, held
 
     def output(self, s: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of the symbols y after the states s; with grad, also the states' gradient of minus their sum."""
-        c, k = y % CLASSES, y // CLASSES
+        """Natural log-probabilities of the symbols y after the states s; with grad, also the states' gradient of minus their sum. Rows go
+        through their class's weights in tiles, all tiles at once."""
+        c = np.where(y == OTHER, CLASSES - 1, y % (CLASSES - 1))
         logits = s @ self.p["Wc"] + self.p["bc"]
         np.clip(logits, -LOGIT, LOGIT, out=logits)
-        e = np.exp(logits)
-        total = e @ ONES[: e.shape[1]]
         rows = np.arange(len(y))
-        logp = logits[rows, c] - np.log(total)
+        logp = logits[rows, c]
+        e = np.exp(logits, out=logits)
+        total = e.sum(1)
+        logp -= np.log(total)
         ds = None
         if grad is not None:
             e /= total[:, None]
@@ -100,41 +119,58 @@ class Model:
             ds = e @ self.p["Wc"].T
             grad["Wc"] += s.T @ e
             grad["bc"] += e.sum(0)
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for j in range(CLASSES):
-            i = order[ends[j] : ends[j + 1]]
-            if not len(i):
-                continue
-            w, sj = self.p["Wo"][j], s[i]
-            a = sj @ w + self.p["bo"][j]
-            np.clip(a, -LOGIT, LOGIT, out=a)
-            e = np.exp(a)
-            total = e @ ONES[: e.shape[1]]
-            m = np.arange(len(i))
-            logp[i] += a[m, k[i]] - np.log(total)
-            if grad is not None:
-                e /= total[:, None]
-                e[m, k[i]] -= 1
-                ds[i] += e @ w.T
-                grad["Wo"][j] += sj.T @ e
-                grad["bo"][j] += e.sum(0)
+        order = np.argsort(c.astype(np.int8 if CLASSES < 128 else np.int16), kind="stable")
+        times = np.bincount(c, minlength=CLASSES)[: CLASSES - 1]
+        order = order[: times.sum()]
+        if not len(order):
+            return logp, ds
+        tiles = -(-times // TILE)
+        first = np.cumsum(tiles) - tiles
+        place = np.arange(len(order)) + np.repeat(first * TILE - (np.cumsum(times) - times), times)  # where each row is in the tiles
+        of = np.repeat(np.arange(CLASSES - 1), tiles)
+        st = np.zeros((len(of) * TILE, HIDDEN), np.float32)
+        st[place] = s[order]
+        st = st.reshape(len(of), TILE, HIDDEN)
+        w = self.p["Wo"][of]
+        a = st @ w
+        a += self.p["bo"][of][:, None, :]
+        np.clip(a, -LOGIT, LOGIT, out=a)
+        flat, k = a.reshape(-1, PER_CLASS), y[order] // (CLASSES - 1)
+        own = flat[place, k]
+        e = np.exp(flat, out=flat)
+        total = e.sum(1)
+        logp[order] += own - np.log(total[place])
+        if grad is not None:
+            scale = np.zeros(len(e), np.float32)
+            scale[place] = 1 / total[place]
+            e *= scale[:, None]
+            e[place, k] -= 1
+            e = e.reshape(a.shape)
+            ds[order] += (e @ w.transpose(0, 2, 1)).reshape(-1, HIDDEN)[place]
+            some = np.flatnonzero(tiles)
+            grad["Wo"][some] += np.add.reduceat(st.transpose(0, 2, 1) @ e, first[some], axis=0)
+            grad["bo"][some] += np.add.reduceat(e.sum(1), first[some], axis=0)
         return logp, ds
 
-    def backward(self, x: np.ndarray, held: list, dout: np.ndarray, grad: dict) -> None:
-        n, ut = HIDDEN, self.p["U"].T
+    def backward(self, x: np.ndarray, go_on: np.ndarray, held: list, dout: np.ndarray, grad: dict) -> None:
+        n, ut = HIDDEN, self.p["U"].T.copy()
         dg = np.empty((*x.shape, 3 * n), np.float32)
         dh = np.zeros_like(dout[0])
+        du = np.empty((x.shape[1], 3 * n), np.float32)
         for t in range(len(x) - 1, -1, -1):
             h, z, r, new, hn = held[t]
             dh = dh + dout[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (h - new) * z * (1 - z)
-            dr = dnew * hn * r * (1 - r)
-            du = np.concatenate([dz, dr, dnew * r], 1)
-            dg[t, :, :n], dg[t, :, n : 2 * n], dg[t, :, 2 * n :] = dz, dr, dnew
+            dhz = dh * z
+            dnew = dh - dhz
+            dnew *= 1 - new * new
+            dhz_ = dhz * (1 - z)
+            np.multiply(dhz_, h - new, out=du[:, :n])
+            dr = dnew * r
+            np.multiply(dr, (1 - r) * hn, out=du[:, n : 2 * n])
+            du[:, 2 * n :] = dr
+            dg[t, :, : 2 * n], dg[t, :, 2 * n :] = du[:, : 2 * n], dnew
             grad["U"] += h.T @ du
-            dh = dh * z + du @ ut
+            dh = (dhz + du @ ut) * go_on[t]
         flat = x.ravel()
         order = np.argsort(flat, kind="stable")
         sorted_x = flat[order]
@@ -142,58 +178,89 @@ class Model:
         grad["G"][sorted_x[new]] += np.add.reduceat(dg.reshape(-1, 3 * n)[order], new, axis=0)
 
 
-def lanes(docs: list[np.ndarray], width: int):
-    """Groups of at most `width` documents of like length, longest first: (rows of docs, inputs, targets,
-    lengths), the inputs and targets by step and lane."""
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    for k in range(0, len(order), width):
-        rows = order[k : k + width]
-        size = np.array([len(docs[i]) for i in rows])
-        y = np.zeros((size[0], len(rows)), np.int16)
-        for lane, i in enumerate(rows):
-            y[: size[lane], lane] = docs[i]
-        x = np.full_like(y, END)
-        x[1:] = y[:-1]
-        yield rows, x, y, size
-
-
-def train(model: Model, docs: list[np.ndarray], memory: dict[str, np.ndarray]) -> None:
+def lanes(size: np.ndarray, most: int) -> list[list[int]]:
+    """Documents of these sizes, laid end to end in lanes: the longest first, each into the shortest lane; the longest lane first."""
+    width = int(min(len(size), most, max(8, size.sum() // (256 * STEPS))))  # few documents get narrow windows, and so as many of them
+    heap, of = [(0, k) for k in range(width)], [[] for _ in range(width)]
+    for i in np.argsort(-size, kind="stable").tolist():
+        length, k = heap[0]
+        of[k].append(i)
+        heapq.heapreplace(heap, (length + int(size[i]), k))
+    return sorted(of, key=lambda some: -int(size[some].sum()))
+
+
+def windows(docs: list[np.ndarray], most: int, steps: int):
+    """(inputs, targets, which of them count, documents, go_on, lanes) by step and lane for each window, in order; lanes that have ended fall
+    away, and where few are left windows are longer. Memory is some bytes a token, whatever the lanes' lengths."""
+    size = np.array([len(d) for d in docs])
+    of = lanes(size, most)
+    order = [i for some in of for i in some]
+    total = np.array([int(size[some].sum()) for some in of])
+    first = np.cumsum(total) - total
+    y, doc, go_on = np.concatenate([docs[i] for i in order]), np.repeat(order, size[order]).astype(np.int32), np.ones(int(total.sum()), np.int8)
+    go_on[np.cumsum(size[order]) - size[order]] = 0
+    t = 0
+    while t < total[0]:
+        n = int(np.count_nonzero(total > t))
+        at = np.arange(t, min(t + max(steps, LEAST_TOKENS // n), total[0]))[:, None]
+        on = at < total[:n]
+        place = first[:n] + np.minimum(at, total[:n] - 1)
+        on_going = go_on[place]
+        x = y[np.maximum(place - 1, 0)].astype(np.int64) * on_going  # END is 0: what a document begins after
+        yield x, y[place].astype(np.int64), on, doc[place], on_going.astype(np.float32)[:, :, None], n
+        t += len(at)
+
+
+class Steps:
+    """Step sizes from running means of each parameter's gradients and of their squares."""
+
+    def __init__(self, model: Model):
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
+        self.n = 0
+
+    def take(self, model: Model, grad: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        rate = RATE * np.sqrt(1 - SECOND**self.n) / (1 - FIRST**self.n)
+        for k, g in grad.items():
+            m, v = self.first[k], self.second[k]
+            m *= FIRST
+            m += (1 - FIRST) * g
+            g *= g
+            v *= SECOND
+            v += (1 - SECOND) * g
+            np.sqrt(v, out=g)
+            g += 1e-6
+            np.divide(m, g, out=g)
+            g *= rate
+            model.p[k] -= g
+
+
+def train(model: Model, docs: list[np.ndarray], steps: Steps) -> None:
     """One pass over docs (symbols, each ended by END): back-propagation through STEPS steps at a time."""
-    for _, x, y, size in lanes(docs, LANES):
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(x), STEPS):
-            n = int(np.count_nonzero(size > t))
-            h = h[:n]
-            xs, ys = x[t : t + STEPS, :n], y[t : t + STEPS, :n]
-            on = np.arange(t, t + len(xs))[:, None] < size[:n]
-            out, h, held = model.gates(xs, h, True)
-            grad = {k: np.zeros_like(v) for k, v in model.p.items()}
-            _, ds = model.output(out[on], ys[on].astype(np.int64), grad)
+    h = np.zeros((LANES, HIDDEN), np.float32)
+    for xs, ys, on, _, go_on, n in windows(docs, LANES, STEPS):
+        out, h, held = model.gates(xs, go_on, h[:n], True)
+        grad = {k: np.zeros_like(v) for k, v in model.p.items()}
+        if on.all():
+            dout = model.output(out.reshape(-1, HIDDEN), ys.ravel(), grad)[1].reshape(out.shape)
+        else:
             dout = np.zeros_like(out)
-            dout[on] = ds
-            model.backward(xs.astype(np.int64), held, dout, grad)
-            scale = 1 / max(1, int(on.sum()))
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
-            scale *= min(1, CLIP / max(norm, 1e-9))
-            for k, g in grad.items():  # step sizes fall with each parameter's own past gradients
-                g *= scale
-                memory[k] += g * g
-                model.p[k] -= RATE * g / np.sqrt(memory[k])
+            dout[on] = model.output(out[on], ys[on], grad)[1]
+        model.backward(xs, go_on, held, dout, grad)
+        scale = 1 / max(1, int(on.sum()))
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
+        scale *= min(1, CLIP / max(norm, 1e-9))
+        for g in grad.values():
+            g *= scale
+        steps.take(model, grad)
 
 
 def likelihoods(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each document, its state carried through from its first symbol to its last."""
-    out = np.zeros(len(docs))
-    for rows, x, y, size in lanes(docs, 2 * LANES):
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(x), 2 * STEPS):
-            n = int(np.count_nonzero(size > t))
-            xs, ys = x[t : t + 2 * STEPS, :n], y[t : t + 2 * STEPS, :n]
-            on = np.arange(t, t + len(xs))[:, None] < size[:n]
-            s, h, _ = model.gates(xs, h[:n], False)
-            logp = np.zeros(xs.shape)
-            logp[on] = model.output(s[on], ys[on].astype(np.int64))[0]
-            out[rows[:n]] += logp.sum(0)
+    out, h = np.zeros(len(docs)), np.zeros((LANES, HIDDEN), np.float32)
+    for xs, ys, on, doc, go_on, n in windows(docs, LANES, 2 * STEPS):
+        s, h, _ = model.gates(xs, go_on, h[:n], False)
+        out += np.bincount(doc[on], model.output(s[on], ys[on])[0], len(docs))
     return out
 
 
@@ -263,17 +330,17 @@ def fitted(spark: SparkSession, docs: DataFrame, number: dict[bytes, int], start
 
     def learn(batches):
         model = Model(np.ones(VOCABULARY)).load(first)
-        memory = {k: np.full_like(v, 1e-3) for k, v in model.p.items()}
+        steps = Steps(model)
         held, size, tokens = [], 0, 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 held.append(to_symbols(symbols(lower_words(text), number)))
                 size += len(held[-1])
                 if size >= BLOCK:
-                    train(model, held, memory)
+                    train(model, held, steps)
                     tokens, held, size = tokens + size, [], 0
         if held:
-            train(model, held, memory)
+            train(model, held, steps)
         if tokens + size:
             yield row(float(tokens + size), model.flat().astype(np.float64) * (tokens + size), TaskContext.get().partitionId())
 
@@ -281,21 +348,23 @@ def fitted(spark: SparkSession, docs: DataFrame, number: dict[bytes, int], start
         return pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary()), pa.array([part])], schema=arrow_schema(schema))
 
     def add(batches):
-        weight, total = 0.0, None
+        weight, total, first = 0.0, None, 0
         for batch in batches:
-            for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for w, v, part in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if total is None:
+                    first = part
                 weight, total = weight + w, np.frombuffer(v) if total is None else total + np.frombuffer(v)
         if total is not None:
-            yield row(weight, total, TaskContext.get().partitionId())
+            yield row(weight, total, first)
 
     schema = "weight double, total binary, part long"
     rows = stored(spark, docs.where("not held_out").select("text").mapInArrow(learn, schema), "replicas")
     left = rows.count()
     while left > 16:  # sums of sixteen, of sums of sixteen, ...
         left = -(-left // 16)
-        rows = stored(spark, rows.repartition(left, "part").mapInArrow(add, schema), "replicas")
+        rows = stored(spark, rows.repartition(left, F.col("part") % left).sortWithinPartitions("part").mapInArrow(add, schema), "replicas")
         left = min(left, rows.count())
-    found = rows.collect()  # at most sixteen rows of the model's fixed size
+    found = sorted(rows.collect(), key=lambda r: r.part)  # at most sixteen rows of the model's fixed size
     if not found:
         return start
     return start.load(sum(np.frombuffer(r.total) for r in found) / sum(r.weight for r in found))
@@ -320,20 +389,28 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
     flat = model.flat()
     log_c = np.append(np.log10(c + 1), 0.0)  # the last for words that are not in `number`
 
-    names = "doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double"
+    names = "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double"
 
     def score(batches):
         own, schema = Model(np.ones(VOCABULARY)).load(flat), arrow_schema(names)
         let_go()
-        held, kept, rare, size = [], [], [], 0
+        held, kept, size = [], [], 0
+        rare: tuple[list, list, list] = ([], [], [])
 
-        def give():
-            likes = likelihoods(own, held)
-            rows = [(*r[:7], r[7] + float(like) / np.log(10)) for r, like in zip(kept, likes)] + rare
-            return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), schema)], schema=schema)
+        def batch_of(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for batch in slices(batches):
-            for doc, text, fold in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        def give():
+            *columns, part = zip(*kept)
+            more = np.array(part) + likelihoods(own, held) / np.log(10)
+            yield batch_of(columns[0], columns[1], columns[2], [b"\0"] * len(held), np.zeros(len(held), np.int64), *columns[3:], more)
+            n = len(rare[1])
+            if n:
+                none, zero, nothing = np.full(n, None), np.zeros(n, np.int64), np.zeros(n)
+                yield batch_of(np.repeat(*map(np.array, zip(*rare[0]))), none, none, rare[1], rare[2], zero, zero, nothing, nothing)
+
+        for batch in slices(batches, by=1):
+            for doc, text, fold, row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words = lower_words(text)
                 ranks = symbols(words, number)
                 away = np.flatnonzero(ranks < 0)
@@ -341,25 +418,29 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
                 held.append(to_symbols(ranks))
                 size += len(held[-1])
                 kept.append((
-                    doc, fold, b"\0" + str(doc).encode(), 0, len(words) + 1, len(words) - len(away) + end_known,
+                    row, doc, fold, len(words) + 1, len(words) - len(away) + end_known,
                     float(log_c[ranks].sum()) + end_log - base * (len(words) + 1), float(log_c[ranks[beyond]].sum()) - float(others) * int(beyond.sum()),
                 ))
-                rare += [(doc, fold, w, times, 0, 0, 0.0, 0.0) for w, times in Counter([words[i] for i in away]).items()]
+                if len(away):
+                    seen = Counter([words[i] for i in away])
+                    rare[0].append((row, len(seen)))
+                    rare[1].extend(seen.keys())
+                    rare[2].extend(seen.values())
                 if size >= BLOCK:
-                    yield give()
-                    held, kept, rare, size = [], [], [], 0
+                    yield from give()
+                    held, kept, rare, size = [], [], ([], [], []), 0
         if held:
-            yield give()
+            yield from give()
 
-    rows = keyed(docs).mapInArrow(score, names)
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, names)
     met = rows.join(counts, "word", "left")
     known = F.when(F.col("c") > 0, F.col("times")).otherwise(0)
     more = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    out = met.groupBy("doc_id").agg(
-        F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + known).alias("n_known"),
+    out = met.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + known).alias("n_known"),
         F.sum(F.col("base_score") + more).alias("base_score"), F.sum(F.col("score") + more).alias("score"),
     )
-    return out.select(unkeyed(), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def number_of(number: dict[bytes, int]) -> dict[bytes, int]:

@@ -1,9 +1,11 @@
 """Sequence packing by patterns: non-negative least squares over a length histogram.
 
 Documents become pieces of at most `size` tokens. The histogram of piece lengths (at most `size`
-numbers, whatever the input) goes to the driver, which enumerates the patterns of up to three lengths
-that fill a sequence, fits how often to use each by non-negative least squares, rounds those counts,
-and packs what is left best-fit, also on counts. Each piece then finds its place from its length and
+numbers, whatever the input) goes to the driver, which enumerates patterns of up to three lengths, fits
+how often to use each by non-negative least squares, rounds those counts, and packs what is left
+best-fit, into the room of the patterns first, also on counts. Patterns that fill a sequence and
+those that leave some room are fitted apart; of these plans and of best fit alone the one with the fewest
+sequences is taken. Each piece then finds its place from its length and
 its rank among the pieces of that length: a sum of counts over partitions, not a global sort.
 
 Defined cases: a null or empty text is its end token alone; pieces of a document longer than `size`
@@ -27,7 +29,7 @@ from .common import id_text, map_rows, stored
 
 SIZE = 1024
 END = 2
-STEPS = 400  # of the least-squares fit
+STEPS = 120  # of each least-squares fit
 
 
 def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -53,20 +55,30 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
 
         return each
 
-    return map_rows(id_text(df), make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long", "bpe")
-
-
-def patterns(size: int) -> np.ndarray:
-    """All (a, b, c) with a >= b >= c >= 0, a + b + c = size and b > 0; c = 0 is a pair."""
-    a, b = np.meshgrid(np.arange(size + 1), np.arange(size + 1), indexing="ij")
-    c = size - a - b
-    keep = (c >= 0) & (a >= b) & (b >= c) & (b > 0)
+    return map_rows(id_text(df), make, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long", "bpe", by=1)
+
+
+def patterns(present: np.ndarray, full: bool) -> np.ndarray:
+    """(a, b, c) with a >= b >= c >= 0 and b > 0, of lengths that are present; c = 0 is a pair. full: those that fill a sequence; else for
+    each a and b that with the greatest c that there is room for."""
+    size = len(present) - 1
+    a, b = np.meshgrid(*[np.flatnonzero(present[1:]) + 1] * 2, indexing="ij")
+    keep = (a >= b) & (a + b <= size)
+    a, b = a[keep], b[keep]
+    if full:
+        c = size - a - b
+        keep = (c <= b) & ((c == 0) | present[c])
+    else:
+        least = np.maximum.accumulate(np.where(present, np.arange(size + 1), 0))
+        least[0] = 0
+        c = least[np.minimum(size - a - b, b)]
+        keep = np.ones(len(c), bool)
     return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
 def fit(histogram: np.ndarray, rows: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """x >= 0 that makes the patterns' lengths, each repeated x times, come nearest to the histogram
-    (accelerated projected gradient; the patterns are kept as three columns, never as a matrix)."""
+    """x >= 0 that makes the patterns' lengths, each repeated x times, come nearest to the histogram, where room that a pattern leaves
+    counts a little against it (accelerated projected gradient; the patterns are kept as three columns, never as a matrix)."""
     size = len(histogram) - 1
 
     def made(x: np.ndarray) -> np.ndarray:
@@ -86,8 +98,9 @@ def fit(histogram: np.ndarray, rows: np.ndarray, steps: int = STEPS) -> np.ndarr
     t = 1.0
     target = histogram.astype(float)
     target[0] = 0
+    cost = (size - rows.sum(1)) * (0.01 * target.max() / size)
     for _ in range(steps):
-        new = np.maximum(0, y - rate * back(made(y) - target))
+        new = np.maximum(0, y - rate * (back(made(y) - target) + cost))
         if ((y - new) * (new - x)).sum() > 0:  # the momentum points uphill
             t = 1.0
         ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -95,11 +108,13 @@ def fit(histogram: np.ndarray, rows: np.ndarray, steps: int = STEPS) -> np.ndarr
     return x
 
 
-def best_fit(left: np.ndarray) -> Counter:
-    """{lengths of a sequence: how often}, longest pieces first, each into the least room that takes it.
-    Works on counts: as many steps as there are different (room, contents), not pieces."""
+def best_fit(left: np.ndarray, begun: Counter | None = None) -> Counter:
+    """{lengths of a sequence: how often}, longest pieces first, each into the least room that takes it; begun: sequences that there are
+    already. Works on counts: as many steps as there are different (room, contents), not pieces."""
     size = len(left) - 1
     room: list[dict[tuple, int]] = [{} for _ in range(size + 1)]
+    for key, times in (begun or {}).items():
+        room[size - sum(key)][key] = times
     for length in range(size, 0, -1):
         n, at = int(left[length]), length
         while n:
@@ -123,33 +138,34 @@ def best_fit(left: np.ndarray) -> Counter:
     return Counter({k: v for r in room for k, v in r.items()})
 
 
+def fitted(left: np.ndarray, full: bool) -> Counter:
+    """The plan from one kind of patterns, with the residuals packed best-fit."""
+    rows, left, out = patterns(left > 0, full), left.copy(), Counter()
+    if len(rows):
+        total = np.floor(np.cumsum(fit(left, rows)) + 0.5)
+        whole = np.diff(total, prepend=0).astype(np.int64)  # rounded so that neighbours' sums are kept
+        for k in np.lexsort((-whole, rows.sum(1).max() - rows.sum(1))):
+            if not whole[k]:
+                continue
+            key = tuple(int(v) for v in rows[k] if v)
+            need = Counter(key)
+            n = min(int(whole[k]), *(int(left[v]) // m for v, m in need.items()))
+            if n:
+                out[key] += n
+                for v, m in need.items():
+                    left[v] -= n * m
+    return best_fit(left, out)
+
+
 def plan(histogram: np.ndarray) -> Counter:
     """{lengths of a sequence: how often} for histogram[length] pieces of each length."""
     size = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
-    out: Counter = Counter()
-    if left[size]:
-        out[(size,)] += int(left[size])
-        left[size] = 0
-    if left.any():
-        rows = patterns(size)
-        present = ((left[rows] > 0) | (rows == 0)).all(1)
-        rows = rows[present]
-        if len(rows):
-            x = fit(left, rows)
-            total = np.floor(np.cumsum(x) + 0.5)
-            whole = np.diff(total, prepend=0).astype(np.int64)  # rounded so that neighbours' sums are kept
-            for k in np.argsort(-whole, kind="stable"):
-                if not whole[k]:
-                    break
-                key = tuple(int(v) for v in rows[k] if v)
-                need = Counter(key)
-                n = min(int(whole[k]), *(int(left[v]) // m for v, m in need.items()))
-                if n:
-                    out[key] += n
-                    for v, m in need.items():
-                        left[v] -= n * m
-    out.update(best_fit(left))
+    whole, left[size] = int(left[size]), 0
+    plans = [best_fit(left), *(fitted(left, full) for full in (True, False) if left.any())]
+    out = min(plans, key=lambda p: sum(p.values()))
+    if whole:
+        out[(size,)] += whole
     return out
 
 

@@ -95,7 +95,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
         return each
 
-    return map_rows(id_text(df, id_col, text_col), make, f"doc_id long, {COUNTS}")
+    return map_rows(id_text(df, id_col, text_col), make, f"doc_id long, {COUNTS}", by=1)
 
 
 def labelled(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -107,7 +107,9 @@ def labelled(df: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Data
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     # The sample's size is bounded by `most`, so it may be broadcast.
-    docs = id_text(df).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    docs = id_text(df).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")  # of several texts with one doc_id, always the same
+    docs = docs.groupBy("doc_id").agg(first).select("doc_id", "first.text")
     return measure(docs).join(F.broadcast(sample), "doc_id")
 
 
@@ -150,8 +152,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
 
 
 def fit(x: dict[str, np.ndarray], good: np.ndarray, precision: float = 0.99, least: int = 5, rules: int = 12, conditions: int = 4) -> list[Rule]:
-    """Rules for bad documents, in order. A rule is taken only if on the pruning rows at least
-    `precision` of what it covers is bad and it covers at least `least` rows; so clean documents stay."""
+    """Rules for bad documents, in order. A rule is taken only if on the pruning rows it covers some, and at least `precision` of them
+    are bad, as on the rows it grew from, and if it covers at least `least` rows in all; so clean documents stay."""
     rng = np.random.default_rng(7)
     bad = np.asarray(good) == 0
     left, found = np.ones(len(bad), bool), []
@@ -164,10 +166,10 @@ def fit(x: dict[str, np.ndarray], good: np.ndarray, precision: float = 0.99, lea
 
         def pure(r: Rule, rows: np.ndarray) -> bool:
             c = _holds(r, x, len(bad)) & rows
-            return not c.any() or bad[c].mean() >= precision
+            return bool(c.any()) and bad[c].mean() >= precision
 
-        # Pruning: the shortest beginning of the rule that is as pure as asked for on the rows it grew from and on all rows.
-        rule = next((rule[:k] for k in range(1, len(rule) + 1) if pure(rule[:k], g) and pure(rule[:k], g | p)), None)
+        # Pruning: the shortest beginning of the rule that is as pure as asked for on the pruning rows and on those it grew from.
+        rule = next((rule[:k] for k in range(1, len(rule) + 1) if pure(rule[:k], p) and pure(rule[:k], g)), None)
         if rule is None:
             break
         whole = _holds(rule, x, len(bad)) & left

@@ -7,7 +7,7 @@ comes back bit for bit. read() takes such files, gives the payload and the expan
 
 Defined cases: a null or empty text is the 192-byte payload of spaces; equal texts give equal
 files; a null doc_id stays null; other columns are dropped; a file that isn't one of these three
-kinds has null payload and feature.
+kinds, or is cut short, or whose blocks have another size, has null payload and feature.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from .common import id_text, map_rows
 UNIT = 192  # bytes of payload in a block
 MULAW, ALAW, ADPCM = 7, 6, 17  # WAV format tags
 NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
-#: Bytes of payload decoded at a time; bounds the memory of a task.
-CHUNK = 4 << 20
 
 # The ADPCM step sizes and index moves of the IMA recommendation.
 STEPS = np.array([
@@ -88,16 +86,21 @@ def pack(payload: bytes) -> bytes:
 
 
 def unpack(media: bytes) -> tuple[int, bytes]:
-    """(format tag, sample data) of a WAV file."""
+    """(format tag, sample data) of a WAV file of one channel and one of the three kinds."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, tag = 12, 0
+    at, tag, align = 12, 0, 0
     while at + 8 <= len(media):
         kind, size = struct.unpack_from("<4sI", media, at)
         if kind == b"fmt ":
-            tag = struct.unpack_from("<H", media, at + 8)[0]
+            tag, channels, _, _, align, _ = struct.unpack_from("<HHIIHH", media, at + 8)
+            if tag not in NAMES or channels != 1 or align != (4 + UNIT if tag == ADPCM else 1):
+                raise ValueError("another format")
         elif kind == b"data":
-            return tag, media[at + 8 : at + 8 + size]
+            data = media[at + 8 : at + 8 + size]
+            if not tag or len(data) < size or size % align:
+                raise ValueError("no whole blocks")
+            return tag, data
         at += 8 + size + size % 2
     raise ValueError("no data")
 
@@ -166,7 +169,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         return each
 
     docs = id_text(df, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return map_rows(docs, make, "doc_id long, n_bytes long, media binary")
+    return map_rows(docs, make, "doc_id long, n_bytes long, media binary", by=1)
 
 
 def read(df: DataFrame, media_col: str = "media", pcm: bool = True) -> DataFrame:
@@ -176,39 +179,32 @@ def read(df: DataFrame, media_col: str = "media", pcm: bool = True) -> DataFrame
     def make():
         def each(batch):
             out = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256", "pcm")}
-            files = batch.column(2).to_pylist()
-            at = 0
-            while at < len(files):
-                parts, size, end = [], 0, at
-                while end < len(files) and (end == at or size < CHUNK):
-                    try:
-                        parts.append(unpack(files[end]))
-                        parts[-1][0] in NAMES or parts.__setitem__(-1, None)
-                    except (ValueError, TypeError, struct.error):
-                        parts.append(None)
-                    size += len(files[end] or b"")
-                    end += 1
-                sounds = iter(decode_all([p for p in parts if p]))
-                for part, media in zip(parts, files[at:end]):
-                    out["media_bytes"].append(None if media is None else len(media))
-                    out["media_sha256"].append(None if media is None else hashlib.sha256(media).hexdigest())
-                    if not part:
-                        for k in ("payload_bytes", "payload_sha256", "tail_crc32", "feature", "pcm_bytes", "pcm_sha256", "pcm"):
-                            out[k].append(None)
-                        continue
-                    back, sound = payload_in(*part), next(sounds)
-                    wide = doubled(sound) if len(sound) else sound
-                    file = wav(1, 16000, wide.astype("<i2").tobytes(), 16, 2)
-                    for k, v in (
-                        ("payload_bytes", len(back)), ("payload_sha256", hashlib.sha256(back).hexdigest()), ("tail_crc32", zlib.crc32(back[-16:])),
-                        ("feature", measures(part[0], wide) if len(wide) else f"{NAMES[part[0]]};samples=0"),
-                        ("pcm_bytes", len(file)), ("pcm_sha256", hashlib.sha256(file).hexdigest()), ("pcm", file if pcm else None),
-                    ):
-                        out[k].append(v)
-                at = end
+            files, parts = batch.column(2).to_pylist(), []
+            for media in files:
+                try:
+                    parts.append(unpack(media))
+                except (ValueError, TypeError, struct.error):
+                    parts.append(None)
+            sounds = iter(decode_all([p for p in parts if p]))
+            for part, media in zip(parts, files):
+                out["media_bytes"].append(None if media is None else len(media))
+                out["media_sha256"].append(None if media is None else hashlib.sha256(media).hexdigest())
+                if not part:
+                    for k in ("payload_bytes", "payload_sha256", "tail_crc32", "feature", "pcm_bytes", "pcm_sha256", "pcm"):
+                        out[k].append(None)
+                    continue
+                back, sound = payload_in(*part), next(sounds)
+                wide = doubled(sound) if len(sound) else sound
+                file = wav(1, 16000, wide.astype("<i2").tobytes(), 16, 2)
+                for k, v in (
+                    ("payload_bytes", len(back)), ("payload_sha256", hashlib.sha256(back).hexdigest()), ("tail_crc32", zlib.crc32(back[-16:])),
+                    ("feature", measures(part[0], wide) if len(wide) else f"{NAMES[part[0]]};samples=0"),
+                    ("pcm_bytes", len(file)), ("pcm_sha256", hashlib.sha256(file).hexdigest()), ("pcm", file if pcm else None),
+                ):
+                    out[k].append(v)
             return {"doc_id": batch.column(0), "n_bytes": batch.column(1), **out}
 
         return each
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
-    return map_rows(df.select("doc_id", "n_bytes", df[media_col].alias("media")), make, schema + (", pcm binary" if pcm else ""))
+    return map_rows(df.select("doc_id", "n_bytes", df[media_col].alias("media")), make, schema + (", pcm binary" if pcm else ""), by=2)

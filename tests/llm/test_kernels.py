@@ -54,7 +54,7 @@ def test_adpcm_against_scalar():
 def test_licence_places(words):
     a = licences.Automaton(licences.TEMPLATES, licences.PHRASES)
     raw = [w.encode() for w in words]
-    places, _ = a.scan(raw)
+    places, _, _ = a.scan(raw)
     want = [(i, label) for phrase, label in licences.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     assert sorted(places) == sorted(want)
 
@@ -75,6 +75,53 @@ def test_matching_statistics_and_spans():
     assert [s[0] for s in a.scan(words)[1]] == ["mit"] and a.scan(words)[1][0][1:3] == (1, 17)
 
 
+def labels(text: str) -> set[str]:
+    a = licences.Automaton(licences.TEMPLATES, licences.PHRASES)
+    places, spans, _ = a.scan(licences.words_of(text))
+    return {x for _, x in places} | {s[0] for s in spans if s[4]}
+
+
+def test_licence_labels():
+    assert labels("under CC BY 4.0 Creative Commons Attribution licence") == {"cc-by"}
+    assert labels("This work is licensed under CC BY-NC 4.0 Creative Commons Attribution NonCommercial") == {"cc-by", "cc-by-nc"}
+    assert labels("it is free software: you can redistribute it and/or modify it under the terms of the") == set()  # in three notices alike
+    for name, text in licences.TEMPLATES.items():
+        assert name in labels("some words before " + text + " and after") and licences.Automaton(licences.TEMPLATES, {}).scan(licences.words_of(text))[2] == 1.0
+
+
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=5, max_size=12), min_size=1, max_size=3), st.lists(st.sampled_from("abcde"), max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_licence_scan_against_all_places(templates, text):
+    """Score, spans and labels from matches found by trying every place of every template."""
+    text = [w.encode() for w in text]
+    a = licences.Automaton({str(k): " ".join(t) for k, t in enumerate(templates)}, {})
+    every = [[w.encode() for w in t] for t in templates]
+
+    def ends(i: int, n: int) -> list:
+        return [(k, j + n - 1) for k, t in enumerate(every) for j in range(len(t) - n + 1) if t[j : j + n] == text[i - n + 1 : i + 1]]
+
+    longest = [max((n for n in range(i + 2) if n and ends(i, n)), default=0) for i in range(len(text))] + [0]
+    score, chains, open_ = 0.0, [], {}
+    for i, n in enumerate(longest[:-1]):
+        if n < 2 or longest[i + 1] > n:
+            continue
+        found = ends(i, n)
+        score = max(score, max(n / len(every[k]) for k, _ in found))
+        for k, at in found if n >= licences.LEAST_MATCH else []:
+            c = open_.get(k)
+            if c and i - n + 1 - c["end"] <= licences.GAP and at > c["at"]:
+                if i + 1 > c["end"]:
+                    c.update(got=c["got"] + min(n, at - c["at"], i + 1 - c["end"]), end=i + 1, at=at, alone=c["alone"] or len({x for x, _ in found}) == 1)
+            elif not c or i + 1 > c["end"]:
+                open_[k] = {"k": k, "first": i - n + 1, "end": i + 1, "at": at, "got": n, "alone": len({x for x, _ in found}) == 1}
+                chains.append(open_[k])
+    chains = [c for c in chains if c["got"] >= licences.LEAST_CHAIN]
+    share = [min(1.0, c["got"] / len(every[c["k"]])) for c in chains]
+    want = [(str(c["k"]), c["first"], c["end"], c["got"], c["alone"] or p >= licences.ENOUGH) for c, p in zip(chains, share)]
+    _, spans, got = a.scan(text)
+    assert spans == want and abs(got - max([min(1.0, score), *share])) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def vocabularies():
     return bpe.Bpe.of(public_tokenizers.path("byte_bpe_50k.json")), bpe.Bpe.of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -86,7 +133,6 @@ def test_bpe_against_libraries(vocabularies):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rng = random.Random(2)
     texts = ["", " ", "\n\n", "a\n", "x  y", " a", "a ", "<|endoftext|>", "it's we'll", " x ", "é"]
     texts += ["".join(rng.choice("abé 漢🙂\n\t'1٣\xa0.,|") for _ in range(rng.randrange(60))) for _ in range(1500)]
@@ -118,7 +164,7 @@ def test_plan_uses_every_piece_once(counts):
         for v in lengths:
             used[v] += times
     assert (used == h).all()
-    assert sum(found.values()) <= sum(packing.best_fit(h).values()) * 1.05 + 2
+    assert sum(found.values()) <= sum(packing.best_fit(h).values())
 
 
 def test_plan_near_the_bound():
@@ -157,7 +203,7 @@ def test_signature_of_like_sets(n, changed):
     if j >= 0.85 and len(b):
         x, y = neardup.signature(a), neardup.signature(b)
         assert set(neardup.bands(x)) & set(neardup.bands(y))
-        assert (x == y).mean() >= j - neardup.SLACK - 0.15
+        assert (x == y).sum() >= neardup.least_shared(85, np.array([min(len(a), len(b))]))[0]
 
 
 @given(st.lists(st.binary(min_size=6, max_size=14).map(lambda b: bytes(97 + c % 2 for c in b)), min_size=1, max_size=8), st.randoms())
@@ -202,16 +248,18 @@ def test_language_model_gradient():
     model = lm.Model(np.ones(lm.VOCABULARY))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     x, y = rng.integers(0, 20, (4, 3)), rng.integers(0, 20, (4, 3))
+    y[0, 0], go_on = lm.OTHER, np.ones((4, 3, 1))
+    go_on[2, 1] = 0
     h = np.zeros((3, lm.HIDDEN))
 
     def loss() -> float:
-        out, _, _ = model.gates(x, h, False)
-        return -model.output(out.reshape(-1, lm.HIDDEN).astype(np.float64), y.ravel())[0].sum()
+        out, _, _ = model.gates(x, go_on, h, False)
+        return -model.output(out.reshape(-1, lm.HIDDEN), y.ravel())[0].astype(np.float64).sum()
 
     grad = {k: np.zeros_like(v) for k, v in model.p.items()}
-    out, _, held = model.gates(x, h, True)
+    out, _, held = model.gates(x, go_on, h, True)
     _, ds = model.output(out.reshape(-1, lm.HIDDEN), y.ravel(), grad)
-    model.backward(x, held, ds.reshape(out.shape), grad)
+    model.backward(x, go_on, held, ds.reshape(out.shape), grad)
     for k in grad:
         at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
         old = model.p[k][at]
@@ -233,7 +281,7 @@ def test_language_model_sums_to_one_and_carries_state():
     with_others = lm.likelihoods(model, [doc[:3], doc, np.repeat(doc, 2)])[1]
     assert abs(one - with_others) < 1e-2
     x = np.concatenate([[lm.END], doc[:-1]])[:, None]
-    out, _, _ = model.gates(x, np.zeros((1, lm.HIDDEN), np.float32), False)
+    out, _, _ = model.gates(x, np.ones((len(x), 1, 1), np.float32), np.zeros((1, lm.HIDDEN), np.float32), False)
     assert abs(model.output(out[:, 0], doc.astype(int))[0].sum() - one) < 1e-2
 
 

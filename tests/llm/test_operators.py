@@ -2,20 +2,26 @@
 clashing names, empty tables."""
 
 import hashlib
+import os
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkplan.llm import bpe, common, licences, lm, neardup, packing, pseudonyms, quality, registry, shingles, suffixes, superkmers, telephony
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, stats string, _hits int, maybe int, rows string"
 LONG = 3_000_000
+KEY = "a key"
 
 
 def texts() -> list[tuple]:
@@ -28,7 +34,7 @@ def texts() -> list[tuple]:
     base, passage = prose(120), prose(60)
     out = ["", None, " \n\t ", "one", "a b c d", "a b c d", base, base, base.replace("a", "a", 1) + " tail", base + " " + passage, prose(80) + " " + passage + " " + prose(80)]
     out += [base.rsplit(" ", k)[0] for k in (1, 2, 3, 30)]
-    out += [prose(5) + " " + passage for _ in range(20)] + ["é漢🙂 " * 80, "ab" * 300, "x" * 500, "CC BY all rights reserved General Public License"]
+    out += [prose(5) + " " + passage for _ in range(20)] + ["é漢🙂 " * 80, "ab" * 300, "x" * 500, "CC BY all rights reserved General Public License", "a <|endoftext|> b<|endoftext|><|endoftext|>"]
     out += [prose(rng.randint(1, 90)) for _ in range(40)]
     return [(k, t) for k, t in enumerate(out)]
 
@@ -60,6 +66,52 @@ def raw(t) -> bytes:
     return (t or "").encode()
 
 
+def plain_sound(media: bytes) -> tuple[str, list[int]]:
+    """A decoder of its own, sample by sample, from the codes' definitions."""
+    tag, data = struct.unpack_from("<H", media, 20)[0], media[media.index(b"data") + 8 :]
+    out = []
+    if tag == telephony.ADPCM:
+        for at in range(0, len(data), 196):
+            value, index = struct.unpack_from("<hB", data, at)
+            out.append(value)
+            for code in (c for b in data[at + 4 : at + 196] for c in (b & 15, b >> 4)):
+                step = int(telephony.STEPS[index])
+                change = sum(x for bit, x in ((4, step), (2, step >> 1), (1, step >> 2)) if code & bit) + (step >> 3)
+                value = max(-32768, min(32767, value - change if code & 8 else value + change))
+                index = max(0, min(88, index + (-1 if code & 7 < 4 else 2 * (code & 7) - 6)))
+                out.append(value)
+        return "adpcm", out
+    for b in data:
+        if tag == telephony.MULAW:
+            b ^= 0xFF
+            size = ((b & 15) * 8 + 132) * 2 ** (b >> 4 & 7) - 132
+            out.append(-size if b & 128 else size)
+        else:
+            b ^= 0x55
+            e, m = b >> 4 & 7, b & 15
+            size = 16 * m + 8 if e == 0 else (16 * m + 264) * 2 ** (e - 1)
+            out.append(size if b & 128 else -size)
+    return ("mulaw" if tag == telephony.MULAW else "alaw"), out
+
+
+def test_telephony_query_against_a_plain_decoder(spark, sf_dir):
+    got = registry.op1_telephony(spark, sf_dir).collect()
+    text = {r.doc_id: r.text for r in common.documents(spark, sf_dir).collect()}
+    assert len(got) == len(text)
+    for r in sorted(got, key=lambda r: r.payload_bytes)[:60]:
+        media = telephony.pack(telephony.payload_of(text[r.doc_id] or ""))
+        kind, x = plain_sound(media)
+        y = [x[0], *x, x[-1], x[-1]]
+        wide = [v for k in range(len(x)) for v in (x[k], max(-32768, min(32767, (9 * (y[k + 1] + y[k + 2]) - y[k] - y[k + 3] + 8) >> 4)))]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))
+        level = int((sum(float(v) * v for v in wide) / len(wide)) ** 0.5)
+        assert r.feature == f"{kind};samples={len(wide)};peak={max(map(abs, wide))};rms={level};turns={turns}"
+        sound = struct.pack(f"<{len(wide)}h", *wide)
+        head = b"RIFF" + struct.pack("<I", 36 + len(sound)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16)
+        head = head[:4] + struct.pack("<I", 38 + len(sound)) + b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 1, 1, 16000, 32000, 2, 16, 0)
+        assert r.pcm_sha256 == hashlib.sha256(head + b"data" + struct.pack("<I", len(sound)) + sound).hexdigest()
+
+
 def test_telephony(docs, rows):
     got = by_id(telephony.read(telephony.store(docs), pcm=True))
     for i, t in rows:
@@ -70,8 +122,11 @@ def test_telephony(docs, rows):
 
 
 def test_broken_files(spark):
-    df = spark.createDataFrame([(1, 1, bytearray(b"junk")), (2, 2, None)], "doc_id long, n_bytes long, media binary")
-    assert [(r.payload_sha256, r.feature) for r in telephony.read(df, pcm=False).collect()] == [(None, None)] * 2
+    whole = {tag: next(f for k in range(99) if telephony.unpack(f := telephony.pack(telephony.payload_of("x" * k)))[0] == tag) for tag in telephony.NAMES}
+    odd = [b"junk", None, b"", b"RIFF", b"RIFF1234WAVE", *[f[:-k] for f in whole.values() for k in (1, 100, 150, 180)]]
+    odd += [telephony.wav(telephony.ADPCM, 8000, bytes(100), 4, 196, b"\0\0"), telephony.wav(telephony.ADPCM, 8000, bytes(256), 4, 256, b"\0\0"), telephony.wav(1, 8000, bytes(4), 16, 2)]
+    df = spark.createDataFrame([(k, 1, None if f is None else bytearray(f)) for k, f in enumerate(odd)], "doc_id long, n_bytes long, media binary")
+    assert {(r.payload_sha256, r.feature) for r in telephony.read(df, pcm=False).collect()} == {(None, None)}
 
 
 def test_licences(docs, rows):
@@ -87,8 +142,8 @@ def test_licences(docs, rows):
 def test_packing(spark, docs, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(spark, docs, path).collect()
-    own = bpe.Bpe.of(path)
-    ids = {i: np.append(np.frombuffer(own.encode(t or ""), "<u4"), 2).astype("<u4") for i, t in rows}
+    library = Tokenizer.from_file(path)
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in rows}
     at = {}
     for r in got:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.length <= 1024
@@ -103,6 +158,12 @@ def test_packing(spark, docs, rows):
     assert len(at) <= -(-sum(map(len, ids.values())) // 1024) + 1
 
 
+def test_packing_takes_the_better_plan():
+    for counts in ({336: 6, 352: 3, 518: 9}, {600: 100, 300: 100, 424: 100, 124: 100}, {1024: 3, 1: 1}, {513: 7}):
+        h = np.bincount([k for k, n in counts.items() for _ in range(n)], minlength=1025)
+        assert sum(packing.plan(h).values()) == {336: 9, 600: 142, 1024: 4, 513: 7}[next(iter(counts))]
+
+
 def test_quality_counts(docs, rows):
     got = by_id(quality.measure(docs))
     for i, t in rows:
@@ -131,7 +192,7 @@ def test_quality_learning(spark, sf_dir):
 def test_accepted_keeps_columns(docs, nothing):
     rules = [[("symbol_share", ">=", 0.05)], [("length", "<", 1.0), ("mean_word", "<", 0.5)]]
     got = quality.accepted(docs, rules)
-    assert got.columns == docs.columns and got.count() == docs.count() - 3
+    assert got.columns == docs.columns and got.count() == docs.count() - 4  # three without words, one of symbols
     assert quality.accepted(docs, []).count() == docs.count() and quality.accepted(nothing, rules).count() == 0
 
 
@@ -158,16 +219,16 @@ def test_pseudonyms(spark):
     found = ["mail a.b@x.example.com.", "+1 (017) 555-7713", "4845168114407329", "4845 1681 1440 7329", "9807915762804490", "97.51.17.173", "2003-12-04", "31/02/2003", "05.12.2003", "123-45-6789",
              'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', None, "", "no data 12", "999.1.1.1", "x" * LONG + " 97.51.17.173"]
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in enumerate(found)], "doc_id long, text string, _hits int, _new int")
-    rows = pseudonyms.pseudonymise(df, count_col="n").orderBy("doc_id").collect()
+    rows = pseudonyms.pseudonymise(df, key=KEY, count_col="n").orderBy("doc_id").collect()
     got = [r.text for r in rows]
     assert [r.n for r in rows] == [1, 1, 1, 1, 0, 1, 1, 0, 1, 1, 1, 0, 0, 0, 0, 1] and rows[0]._hits == 1
     assert got[2].isdigit() and got[3].replace(" ", "") == got[2] and len(got[2]) == 16
-    body = python_pseudonym_digits("484516811440732", pseudonyms.KEY, "card15")
+    body = python_pseudonym_digits("484516811440732", KEY, "card15")
     assert got[2][:15] == body
     total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(got[2])))
     assert total % 10 == 0
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]) and got[1] != found[1]
-    assert got[1] == "+1 (%s) %s-%s" % (lambda d: (d[:3], d[3:6], d[6:]))(python_pseudonym_digits("0175557713", pseudonyms.KEY, "phone10"))
+    assert got[1] == "+1 (%s) %s-%s" % (lambda d: (d[:3], d[3:6], d[6:]))(python_pseudonym_digits("0175557713", KEY, "phone10"))
     assert got[4] == found[4] and got[7] == found[7] and got[11] is None and got[12] == ""
     assert all(0 <= int(x) < 256 for x in got[5].split(".")) and got[15].endswith(got[5])
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", got[6]) and re.fullmatch(r"\d\d\.\d\d\.\d{4}", got[8])
@@ -176,9 +237,45 @@ def test_pseudonyms(spark):
 
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(1000).selectExpr("id", "concat('10.0.', id div 256, '.', id % 256) as text")
-    assert pseudonyms.pseudonymise(df).select("text").distinct().count() == 1000
-    days = spark.range(2000).selectExpr("id", "date_format(date_add(date'1999-01-01', cast(id as int)), 'yyyy-MM-dd') as text")
-    assert pseudonyms.pseudonymise(days).select("text").distinct().count() == 2000
+    assert pseudonyms.pseudonymise(df, key=KEY).select("text").distinct().count() == 1000
+    day = "date_add(date'1900-01-01', cast(id as int))"
+    dates = spark.range(73049).selectExpr(f"date_format({day}, 'yyyy-MM-dd') as text", f"case when day({day}) > 12 then date_format({day}, 'MM/dd/yyyy') end as us")
+    both = pseudonyms.pseudonymise(pseudonyms.pseudonymise(dates, key=KEY), "us", KEY).collect()
+    assert len({r.text for r in both}) == 73049 and all("1900" <= r.text[:4] <= "2099" for r in both)
+    us = [r.us for r in both if r.us]
+    assert len(set(us)) == len(us) and all(int(x[:2]) <= 12 < int(x[3:5]) for x in us)
+
+
+def test_social_numbers_stay_valid(spark):
+    rng = random.Random(14)
+    old = list({f"{rng.choice([a for a in range(1, 900) if a != 666]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for _ in range(20_000)}) + ["001-01-0001", "899-99-9999", "665-01-0001", "667-01-0001"]
+    new = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(x,) for x in old], "text string"), key=KEY).collect()]
+    assert len(set(new)) == len(set(old)) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in new)
+
+
+def test_pseudonyms_of_very_long_finds(spark):
+    """No pattern recurses on its repeats, and none has an upper limit beyond which data stays."""
+    n = 100_000
+    some = ["a@b" + ".c" * n, "a" * n + "@b.c", "a.b-" * n + "@b.c", "1." * n, "12" * n, "0a" * n, "1-" * n, "1 " * n, "12-12-" * n, "+1" * n, "(123)" * n, "2001-01-01 " * 1000, "x@" * n]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(some)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(df, key=KEY).collect()}
+    assert re.fullmatch(r"p[0-9a-f]{12}@d[0-9a-f]{8}\.c", got[0]) and all(got[k].endswith(".c") and "aa" * 20 not in got[k] and "a.b" not in got[k] for k in (1, 2))
+    assert len(got[5]) == 2 * n and got[5] != some[5] and got[3] == some[3] and "2001-01-01" not in got[11]
+
+
+def test_other_formats(spark):
+    some = ["+33 6 12 34 56 78", "12/25/1980", "25/12/1980", "call +49-170-555-1234 now", "5551234567", "+1 2 3 4"]
+    got = [r.text for r in pseudonyms.pseudonymise(spark.createDataFrame([(k, t) for k, t in enumerate(some)], "k int, text string"), key=KEY).orderBy("k").collect()]
+    assert re.fullmatch(r"\+33 \d \d\d \d\d \d\d \d\d", got[0]) and re.fullmatch(r"call \+49-\d{3}-\d{3}-\d{4} now", got[3])
+    assert all(a != b for a, b in zip(got[:4], some)) and got[4:] == some[4:]
+
+
+def test_pseudonyms_need_a_key(spark, docs):
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonymise(docs)
+    spark.conf.set(pseudonyms.SETTING, "one")
+    assert pseudonyms.pseudonymise(docs).columns == docs.columns
+    spark.conf.unset(pseudonyms.SETTING)
 
 
 def brute_components(rows, percent: int) -> dict:
@@ -361,6 +458,58 @@ def test_language_model(spark, docs, rows, monkeypatch):
             assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
 
 
+def test_language_model_gives_a_row_for_each_row(spark):
+    """Rows that share a doc_id, or have none, are scored apart; equal rows get equal scores."""
+    rows = [(1, "a b c"), (1, "a b c"), (1, "x"), (None, "a"), (None, None), (None, "rare words here and there " * 200)]
+    got = sorted((r.doc_id or 0, r.n_tokens, round(r.base_score, 9), round(r.score, 6)) for r in lm.scores(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert [g[:2] for g in got] == sorted((i or 0, len((t or "").split()) + 1) for i, t in rows)
+    assert len(set(got)) == 5
+
+
+def test_stored_folders_go(spark, tmp_path):
+    path = common.run_dir(spark)
+    df = common.stored(spark, spark.range(3), "some")
+    assert df.count() == 3 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.exists(path)
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(7)), "t": ["x" * n for n in (1, 1, 50, 1, 1, 1, 1)]})
+    got = [b.column(0).to_pylist() for b in common.slices([batch], rows=3, by=1, most=10)]
+    assert got == [[0, 1], [2], [3, 4, 5], [6]]
+
+
+def test_quality_query(spark, sf_dir):
+    """base_failed and kept of the whole query against the counts and the learned rules."""
+    docs, labels = common.documents(spark, sf_dir), common.documents(spark, sf_dir, "labels")
+    rules = quality.learn(docs, labels)
+    verdict = {r.doc_id: r.rule for r in quality.judge(docs, rules).collect()}
+    got = registry.op5_quality(spark, sf_dir).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert r.base_failed == failed and r.kept == (not failed and not verdict[r.doc_id])
+
+
+def test_rules_are_the_same_whatever_the_order(spark, sf_dir):
+    docs, labels = common.documents(spark, sf_dir), common.documents(spark, sf_dir, "labels")
+    twice = docs.union(docs.withColumn("text", F.reverse("text")))
+    assert quality.learn(twice.repartition(5), labels) == quality.learn(twice.repartition(3), labels)
+
+
+def test_licence_query(spark, sf_dir):
+    """Every column of the whole query against the automaton's plain version on each text, and templates written into texts are found."""
+    a = licences.Automaton(licences.TEMPLATES, licences.PHRASES)
+    text = {r.doc_id: r.text for r in common.documents(spark, sf_dir).collect()}
+    for r in registry.op2_licences(spark, sf_dir).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[r.doc_id] or ""))
+        places, spans, score = a.scan([w.encode() for w in words])
+        base = {x for _, x in places}
+        assert (r.n_words, r.n_base, r.base_labels, r.score) == (len(words), len(places), ",".join(sorted(base)), score)
+        assert r.labels == ",".join(sorted(base | {s[0] for s in spans if s[4]}))
+
+
 def test_language_model_beats_counts(spark, sf_dir):
     docs = common.documents(spark, sf_dir.replace("0.001", "0.01"))
     r = lm.scores(spark, docs).where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
@@ -371,7 +520,7 @@ def test_empty_tables(spark, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for df in (
         telephony.read(telephony.store(nothing)), licences.scan(nothing), packing.pack(spark, nothing, path), lm.scores(spark, nothing), quality.judge(nothing, []),
-        bpe.decoded(bpe.encoded(nothing, path), path), pseudonyms.pseudonymise(nothing), neardup.groups(spark, nothing), suffixes.digests(spark, nothing),
+        bpe.decoded(bpe.encoded(nothing, path), path), pseudonyms.pseudonymise(nothing, key=KEY), neardup.groups(spark, nothing), suffixes.digests(spark, nothing),
         superkmers.digests(spark, nothing),
     ):
         assert df.count() == 0
@@ -401,7 +550,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     label = brute_components(rows, 80)
     rows = [(i, t) for i, t in rows if label[i] == i]
     left = {i: t.decode("utf-8", "ignore") for i, t in brute_bytes(rows).items()}
-    new = {r.doc_id: r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(left.items()), "doc_id long, text string")).collect()}
+    new = {r.doc_id: r.text for r in pseudonyms.pseudonymise(spark.createDataFrame(list(left.items()), "doc_id long, text string"), key=corpus_pipeline.key(spark)).collect()}
     own = bpe.Bpe.of(public_tokenizers.path("byte_bpe_50k.json"))
     want = {i: len(own.encode(t)) // 4 + 1 for i, t in new.items()}
     got = corpus_pipeline.run(spark, sf_dir).groupBy("doc_id").sum("length").collect()
@@ -415,5 +564,5 @@ def test_registry_matches_the_entry(spark):
     names = [n for n in registry.QUERIES if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registry.QUERIES
     assert set(registry.QUERIES) <= set(entry.queries())
-    nodes = pseudonyms.pseudonymise(common.documents(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    nodes = pseudonyms.pseudonymise(common.documents(spark, "/root/testdata/sf0.001"), key=KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", nodes)
