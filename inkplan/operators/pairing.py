@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
+from ..functions.decode import digit_windows_column
 from . import fields
 
 LEAST_CONFIDENCE = 0.50
@@ -167,19 +168,27 @@ def greedy_pages(entries: DataFrame) -> DataFrame:
     return per_page(flat(entries), found, "page_id long, occurrence int, key string, value string, confidence double, box array<array<int>>")
 
 
-def numeric_harvest(labels: DataFrame, values: DataFrame, key: str, length: int, slack: int = 1) -> DataFrame:
+def numeric_harvest(entries: DataFrame, value: Column, key: str, length: int, slack: int = 1) -> DataFrame:
     """JN7 for one field: the digit window of the page with the least score: 1000 for a window off its run's border, the distance to the
-    label / 2000, and for national numbers 400 if the first digit isn't 0 or 1."""
-    from ..functions.decode import digit_windows_column
-
+    label / 2000, and for national numbers 400 if the first digit isn't 0 or 1. value: which entries are looked through. One grouping by page."""
     spaced = F.regexp_replace(text.deconfuse(F.col("clean")), r"[^0-9\s]", " ")
-    found = values.withColumn("w", F.explode(digit_windows_column(spaced, length, slack)))
-    l = labels.where(F.col("label_key") == key).groupBy("page_id").agg(F.min_by("rect", "item_idx").alias("l"))  # noqa: E741
-    score = F.col("w.penalty") * 1000.0 + geometry.distance(F.col("l"), F.col("rect")) / 2000.0
-    if key == "cin":
-        score = score + F.when(F.col("w.window").rlike("^[01]"), 0.0).otherwise(400.0)
-    best = F.struct(score.alias("score"), "item_idx", F.col("w.window").alias("value"), "confidence")
-    return found.join(l, "page_id").groupBy("page_id").agg(F.min(best).alias("b")).select("page_id", F.lit(key).alias("key"), "b.value", "b.confidence", "b.score")
+    item = F.struct("item_idx", "confidence", "rect", digit_windows_column(spaced, length, slack).alias("windows"))
+    label = F.min_by("rect", F.when(F.col("label_key") == key, F.col("item_idx"))).alias("label")
+    pages = entries.groupBy("page_id").agg(label, F.collect_list(F.when(value, item)).alias("values")).where("label is not null")
+
+    def ranked(v: Column) -> Column:
+        far = geometry.distance(F.col("label"), v["rect"]) / 2000.0
+
+        def of(w: Column) -> Column:
+            score = w["penalty"] * 1000.0 + far
+            if key == "cin":
+                score = score + F.when(w["window"].rlike("^[01]"), 0.0).otherwise(400.0)
+            return F.struct(score.alias("score"), v["item_idx"].alias("item_idx"), w["window"].alias("value"), v["confidence"].alias("confidence"))
+
+        return F.transform(v["windows"], of)
+
+    best = F.array_min(F.flatten(F.transform("values", ranked)))
+    return pages.select("page_id", best.alias("b")).where("b is not null").select("page_id", F.lit(key).alias("key"), "b.value", "b.confidence", "b.score")
 
 
 def printed_block(values: DataFrame) -> DataFrame:

@@ -76,8 +76,8 @@ def ink_rows(image: np.ndarray, least: float = 0.10, gap: int = 3, extent: float
     return out
 
 
-def text_lines(image: np.ndarray, least: int = 8, most: int = 32) -> list[tuple[int, int]]:
-    """IMG13: runs of rows with ink, at least `least` high, at most `most` of them."""
+def text_lines(image: np.ndarray, least: int = 8, most: int | None = None) -> list[tuple[int, int]]:
+    """IMG13, SRT7: runs of rows with ink, at least `least` high; with `most`, the first so many of them."""
     rows = np.flatnonzero((grey(image) < DARK).any(1))
     parts = np.split(rows, np.flatnonzero(np.diff(rows) > 1) + 1) if len(rows) else []
     return [(int(p[0]), int(p[-1]) + 1) for p in parts if len(p) >= least][:most]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -15,25 +18,43 @@ def last_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upserted(current: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """SET2, SET3: current without the keys of new, and the last row of each key of new. Parquet has no MERGE; write the result to a new
-    folder and swap (replace())."""
+    """SET2, SET3: current without the keys of new, and the last row of each key of new. Parquet has no MERGE; put the result
+    in place by replace()."""
     last = last_of_each(new, keys, order)
     return current.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*current.columns))
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes df as the new version of a table folder: first all of it beside the old one, then a rename. Not a transaction: a reader between
-    the two renames finds no folder."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.new")
+    """REG1: writes df as the new version of a table: all of it in a folder of its own, then the pointer to it, by one rename that takes the old
+    pointer's place. Readers through current() see the old version or the new one, whole; the version before stays for those that still read it."""
+    spark, version = df.sparkSession, f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{version}")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    hadoop = jvm.org.apache.hadoop.fs
+    new, pointer = hadoop.Path(f"{path}/_{version}"), hadoop.Path(f"{path}/_current")
     fs = new.getFileSystem(conf)
-    fs.delete(gone, True)
-    if fs.exists(old):
-        fs.rename(old, gone)
-    fs.rename(new, old)
-    fs.delete(gone, True)
+    before = _versions(fs, hadoop, path)
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(pointer), options)
+    for old in before[:-2]:
+        fs.delete(hadoop.Path(f"{path}/{old}"), True)
+
+
+def _versions(fs, hadoop, path: str) -> list[str]:
+    return sorted(s.getPath().getName() for s in fs.listStatus(hadoop.Path(path)) if s.getPath().getName().startswith("v-"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a table that replace() last put in place."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    stream = pointer.getFileSystem(spark._jsc.hadoopConfiguration()).open(pointer)
+    version = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def statistics(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import decode, geometry, text
 from ..operators import bands, batches, report, rules
 from ..sources import readers
+from ..streaming import jobs
 from . import fixtures as fx
 from .catalogue import _ROW, _status
 from .entries import query
@@ -171,6 +172,12 @@ def item_json(spark, sf_dir):
     return readers.item_json(fx.fixture(spark, sf_dir, _ITEM_JSON), "body").select("id", "item_idx", "text", "confidence")
 
 
+@query("SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    """Windows with a watermark, on a batch: counts of events by half hours."""
+    return jobs.windowed(fx.table(spark, sf_dir, "events"))
+
+
 # -- the report ----------------------------------------------------------------------------------
 
 _JOB_PAGES = "SELECT o_orderkey AS page_id, o_orderkey AS file_id, CAST(o_orderkey % 3 AS INT) AS page, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS text FROM orders"

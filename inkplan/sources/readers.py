@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.decode import Decoder
 from ..operators.batches import upload_error
 from ..schemas import ITEM
+from .images import split as split_file
 
 PREFIX = "INKPLAN_"
 
@@ -54,9 +55,9 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
 
 
-def pages(df: DataFrame, split) -> DataFrame:
-    """SRC4, SRC5, SRC6: one row for each page of a file (name, content). split(content, name) yields (page, BGR array); TIFF and PDF readers are not
-    part of this library, so they are passed in. A file that can't be read gives one row with an error."""
+def pages(df: DataFrame, split=split_file) -> DataFrame:
+    """SRC4, SRC5, SRC6: one row for each page of a file (name, content). split(content, name) yields (page, BGR array); that of this library reads PNG
+    and TIFF files, for PDF files one is passed in. A file that can't be read gives one row with an error."""
     import pyarrow as pa
 
     def run(batches):

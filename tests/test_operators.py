@@ -1,6 +1,11 @@
 """Golden and property tests of the form engine's operators."""
 
+import io
+import os
 import random
+import zipfile
+from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -127,8 +132,13 @@ def test_upsert_is_idempotent_and_keeps_the_last(spark, tmp_path):
     assert {(r.k, r.v) for r in once.collect()} == want == {(r.k, r.v) for r in store.upserted(once, new, ["k"], "seq").collect()}
     path = str(tmp_path / "t")
     store.replace(current, path)
+    before = store.current(spark, path)
     store.replace(once, path)
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == want
+    assert {(r.k, r.v) for r in store.current(spark, path).collect()} == want and before.count() == 2
+    for _ in range(3):
+        store.replace(store.current(spark, path), path)
+    assert {(r.k, r.v) for r in store.current(spark, path).collect()} == want
+    assert len([n for n in os.listdir(path) if n.startswith("v-")]) <= 4
 
 
 def test_overlay_then_delete_is_identity(spark):
@@ -182,12 +192,23 @@ def test_sources_and_sinks(spark, tmp_path):
     s = readers.Settings.from_env({"INKPLAN_MAX_FILE_MB": "5000", "INKPLAN_RENDER_DPI": "x"})
     assert s.max_file_mb == 1024 and s.render_dpi == 160
     (tmp_path / "char_lm_1.json").write_text('{"bigram": {"zz": 2.0}}')
-    assert readers.decoder([str(tmp_path)]).pairs == {"zz": 2.0} and readers.decoder([]).decode("D1d1")[0] == "Didi"
+    d = readers.decoder([str(tmp_path)])
+    assert d.follows[d.number["z"], d.number["z"]] > d.follows[d.number["t"], d.number["h"]] and readers.decoder([]).decode("D1d1")[0] == "Didi"
     assert {r.key: r.status for r in forms.analysed(readers.demo_items(spark)).collect()}["cin"] == "valid"
     writers.write_text(spark.createDataFrame([("a",)], "t string"), "t", str(tmp_path / "t"))
     with pytest.raises(ValueError):
         writers.write_text(spark.createDataFrame([(" ",)], "t string"), "t", str(tmp_path / "u"))
-    assert writers.report_workbook(spark.createDataFrame([(2, "b"), (1, "a")], "k int, v string"), "k")[:2] == b"PK"
+    pages = spark.createDataFrame([(k, f"f{k // 2}.tif", k % 2, 0.5 + k / 10, "t", [("D", "QR")] if k == 3 else []) for k in range(4)], "page_id int, file_name string, page int, confidence double, text string, barcodes array<struct<data:string,type:string>>")
+    fields_ = spark.createDataFrame([(0, 0, "Nom", "Eya"), (3, 0, "CIN", "K!")], "page_id int, occurrence int, label string, text string")
+    rows = report.report_rows(pages, fields_, "01/01/2026 10:00")
+    assert [(r["Statut Validation"], r["N° Page"], r["Nom"], r["marked"]) for r in rows.orderBy("page_id").collect()] == [("À réviser", 1, "Eya", False), ("À réviser", 1, "", False), ("À réviser", 1, "", False), ("À réviser", 1, "", True)]
+    assert len(rows.columns) == 1 + 18 + 2
+    z = zipfile.ZipFile(io.BytesIO(writers.report_workbook(rows, ["page_id"], "01/01/2026 10:00")))
+    assert z.read("xl/worksheets/sheet1.xml").decode().count("<row ") == 5 and "Nombre total de pages" in z.read("xl/worksheets/sheet2.xml").decode()
+    with pytest.raises(ValueError):
+        writers.report_workbook(rows.where("page_id < 0"), ["page_id"], "x")
+    writers.write_exports(spark.createDataFrame([(1, "a"), (2, " ")], "k int, t string"), "t", "docx", str(tmp_path / "d"))
+    assert {r.k: r.file is not None for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {1: True, 2: False}
 
 
 def test_stream_equals_batch(spark, tmp_path, sf_dir):
@@ -206,10 +227,50 @@ def test_report(spark):
 
 
 def test_plans_have_no_nested_loops_and_push_filters(spark, sf_dir):
-    from inkplan.plans import catalogue
+    from inkplan.plans import catalogue, entries
 
+    assert catalogue
     for name in ("form_pairing_risk", "nearest_band", "candidate_match_exact", "overlay_export"):
-        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        plan = entries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
     q = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey = 5").select("o_custkey")
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,5)]" in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fuzzy_match_over_whole_tables(spark, sf_dir):
+    """candidate_match_fuzzy against a plain loop over all candidates."""
+    from inkplan.plans import catalogue, fixtures
+
+    some = [r.asDict() for r in fixtures.fixture(spark, sf_dir, fixtures.IDENTITIES).collect()]
+    registry = [r.asDict() for r in fixtures.fixture(spark, sf_dir, fixtures.REGISTRY).collect()]
+    by_cin = {r["cin"]: r for r in registry}
+    want = {}
+    for i in some:
+        up = lambda r: (r["nom"].upper(), r["prenom"].upper())
+        met = [by_cin[i["cin"]]] if i["cin"] in by_cin else [] if i["cin"] else [r for r in registry if up(r) == up(i)]
+        best = None
+        for r in met:
+            like = {n: SequenceMatcher(None, i[n].upper(), r[n].upper()).ratio() for n in ("nom", "prenom")}
+            score = 40.0 * (i["cin"] == r["cin"]) + sum(w if like[n] >= 0.9 else round(w * like[n], 1) for n, w in (("nom", 30.0), ("prenom", 20.0))) + 10.0 * (i["session_year"] == r["session_year"])
+            best = max(best or (0.0, ""), (score, r["cin"]), key=lambda x: x[0])
+        score, cin = best or (0.0, None)
+        status = "reject" if i["cin"] and not best else "valid" if score >= 85 else "review" if score >= 60 else "reject"
+        want[i["id"]] = (round(score, 2), status, cin)
+    got = {r.id: (r.match_score, r.status, r.matched_cin) for r in catalogue.candidate_match_fuzzy(spark, sf_dir).collect()}
+    assert got == want and len(Counter(r[1] for r in got.values())) > 1
+
+
+def test_decoded_words_over_whole_tables(spark, sf_dir):
+    """char_decode and acronym_nearest against one value at a time."""
+    from inkplan.functions import decode
+    from inkplan.operators import fields
+    from inkplan.plans import catalogue
+
+    part = {r.p_partkey: r for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    for r in catalogue.char_decode(spark, sf_dir).collect():
+        p = part[r.p_partkey]
+        assert (r.value, r.confidence, r.changed) == decode.DECODER.decode(f"{p.p_name} {p.p_brand} {p.p_type}")
+    for r in catalogue.acronym_nearest(spark, sf_dir).collect():
+        probe = "".join(c for c in part[r.p_partkey].p_type if c.isalnum()).upper()
+        like = [SequenceMatcher(None, probe, s).ratio() for s in fields.SCHOOLS]
+        assert r.school == (fields.SCHOOLS[like.index(max(like))] if max(like) >= fields.SCHOOL_RATIO else None)
