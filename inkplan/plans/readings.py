@@ -56,7 +56,7 @@ _SIDE = "sqrt(({0}x - {1}x) * ({0}x - {1}x) + ({0}y - {1}y) * ({0}y - {1}y))"
 
 
 @query(f"""WITH q AS (SELECT *, row_number() OVER () AS n FROM ({_QUADS})), p AS ({" UNION ALL ".join(f"SELECT id, line, e, n, {k} AS k, {x} AS x, {y} AS y FROM q" for k, (x, y) in enumerate(_POINTS))}),
-s AS (SELECT id, line, e, n, {", ".join(f"arg_min(x, ({by}) * 8 + k) AS c{i}x, arg_min(y, ({by}) * 8 + k) AS c{i}y" for i, by in enumerate(_CORNERS))} FROM p GROUP BY ALL)
+s AS (SELECT id, line, e, n, {", ".join(f"arg_min(x, ({by}) * 64 + k) AS c{i}x, arg_min(y, ({by}) * 64 + k) AS c{i}y" for i, by in enumerate(_CORNERS))} FROM p GROUP BY ALL)
 SELECT id, line, e, {", ".join(f"c{i}x, c{i}y" for i in range(4))}, CAST(floor(greatest({_SIDE.format("c0", "c1")}, {_SIDE.format("c2", "c3")})) AS INT) AS width, CAST(floor(greatest({_SIDE.format("c0", "c3")}, {_SIDE.format("c1", "c2")})) AS INT) AS height FROM s""")
 def crop_corners(spark, sf_dir):
     """GEO8."""
