@@ -50,6 +50,22 @@ def job_average(files: DataFrame) -> DataFrame:
     return files.groupBy("job_id").agg(F.coalesce(mean4(done), F.lit(0.0)).alias("average"))
 
 
+def assembled(items: DataFrame, timing: DataFrame) -> DataFrame:
+    """PRJ4: pages from their items (file_id, page, item_idx, text, confidence) and what reading took (file_id, page, elapsed_ms): the text, line by
+    line, the mean confidence and the time to two places. A page without items has an empty text and confidence 0."""
+    pages = items.groupBy("file_id", "page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("item_idx", "text")))), lambda s: s["text"]), "\n").alias("text"),
+        mean4(F.col("confidence")).alias("confidence"),
+    )
+    out = timing.join(pages, ["file_id", "page"], "left")
+    return out.select("file_id", "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.round("elapsed_ms", 2).alias("elapsed_ms"))
+
+
+def job_summary(files: DataFrame) -> DataFrame:
+    """PRJ3: a job's counters, progress and average in one row; files (job_id, status, confidence)."""
+    return job_counters(files).join(job_average(files), "job_id")
+
+
 def response_totals(items: DataFrame) -> DataFrame:
     """AGG6: (total, ok, errors) of the items (request_id, status) of each request; what isn't ok is an error."""
     ok = F.count_if(F.col("status") == "ok")

@@ -106,6 +106,21 @@ def digit(cell, classify, read=None) -> tuple[str, float] | None:
     return None
 
 
+def greedy_decode(step, start: int, stop: int, most: int) -> tuple[list[int], float]:
+    """REC3: the tokens of a sequence model, the likeliest each time, until `stop` or `most` of them, and their mean probability. step(token, cache)
+    gives (weights of all tokens, cache); what it keeps in the cache spares it the tokens before."""
+    token, cache, out, sure = start, None, [], []
+    while len(out) < most:
+        weights, cache = step(token, cache)
+        p = raster.softmax(np.asarray(weights, float))
+        token = int(p.argmax())
+        if token == stop:
+            break
+        out.append(token)
+        sure.append(float(p[token]))
+    return out, float(np.mean(sure)) if sure else 0.0
+
+
 def zones(image: np.ndarray, read_row, classify=None, read_cell=None) -> list[dict]:
     """REC6: a form zone by zone: digit grids cell by cell, then the dotted rows that no grid takes up, each as {text, confidence, box, label}.
     read_row gives [(text, confidence)] for a list of crops. A row without a value is read again from its tight crop, unless its label says that the

@@ -24,6 +24,12 @@ def upserted(current: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return current.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*current.columns))
 
 
+def upsert_counts(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG15: how many keys an upsert adds and how many it changes."""
+    given = new.select(*keys).distinct().join(current.select(*keys, F.lit(True).alias("_known")).distinct(), keys, "left")
+    return given.agg(F.count_if(F.col("_known").isNull()).alias("inserted"), F.count_if(F.col("_known").isNotNull()).alias("updated"))
+
+
 def replace(df: DataFrame, path: str) -> None:
     """REG1: writes df as the new version of a table: all of it in a folder of its own, then the pointer to it, by one rename that takes the old
     pointer's place. Readers through current() see the old version or the new one, whole; the version before stays for those that still read it."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import decode, geometry, text
-from ..operators import bands, batches, report, rules
+from ..operators import bands, batches, report, rules, store
 from ..sources import readers
 from ..streaming import jobs
 from . import fixtures as fx
-from .catalogue import _ROW, _status
+from .catalogue import _ROW, _mean4, _status
 from .entries import query
 
 _REQUESTS = "SELECT user_id AS request_id, CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' ELSE 'ok' END AS status, CASE event_id % 5 WHEN 0 THEN 'engine' WHEN 1 THEN 'invalid' WHEN 2 THEN 'timeout' WHEN 3 THEN 'missing' ELSE 'other' END AS kind, event_id FROM events"
@@ -34,6 +34,34 @@ def client_filter(spark, sf_dir):
     return rows.where(batches.upload_error(F.col("name"), F.lit(1)).isNull())
 
 
+_PAGE_ITEMS = "SELECT l_orderkey AS file_id, l_suppkey % 3 AS page, l_partkey AS item_idx, CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE concat('t', CAST(l_partkey AS VARCHAR(12))) END AS text, CAST(l_partkey % 50 AS DOUBLE) / 50 AS confidence FROM lineitem"
+_PAGE_TIMES = "SELECT o_orderkey AS file_id, o_custkey % 3 AS page, CAST(o_custkey AS DOUBLE) * 1.25 AS elapsed_ms FROM orders"
+
+
+@query(f"""WITH i AS ({_PAGE_ITEMS}), t AS ({_PAGE_TIMES}), p AS (SELECT file_id, page, string_agg(text, chr(10) ORDER BY item_idx, text) FILTER (text <> '') AS text, {_mean4('confidence')} AS confidence FROM i GROUP BY file_id, page)
+SELECT t.file_id, t.page, coalesce(p.text, '') AS text, coalesce(p.confidence, 0.0) AS confidence, round(t.elapsed_ms, 2) AS elapsed_ms FROM t LEFT JOIN p ON t.file_id = p.file_id AND t.page = p.page""")
+def page_assembly(spark, sf_dir):
+    """PRJ4."""
+    return batches.assembled(fx.fixture(spark, sf_dir, _PAGE_ITEMS), fx.fixture(spark, sf_dir, _PAGE_TIMES))
+
+
+@query(f"""WITH f AS ({fx.FILES}) SELECT job_id, count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'processing') AS processing, count(*) FILTER (status = 'pending') AS pending,
+CAST(count(*) FILTER (status IN ('done', 'error')) AS DOUBLE) / greatest(1, count(*)) AS progress, coalesce({_mean4("CASE WHEN status = 'done' THEN confidence END")}, 0.0) AS average FROM f GROUP BY job_id""")
+def job_summaries(spark, sf_dir):
+    """PRJ3."""
+    return batches.job_summary(fx.fixture(spark, sf_dir, fx.FILES))
+
+
+_KNOWN = "SELECT c_custkey AS cin FROM customer WHERE c_custkey % 2 = 0"
+_GIVEN = "SELECT o_custkey AS cin FROM orders"
+
+
+@query(f"WITH k AS ({_KNOWN}), g AS (SELECT DISTINCT cin FROM ({_GIVEN})) SELECT count(*) FILTER (cin NOT IN (SELECT cin FROM k)) AS inserted, count(*) FILTER (cin IN (SELECT cin FROM k)) AS updated FROM g")
+def upsert_counts(spark, sf_dir):
+    """AGG15."""
+    return store.upsert_counts(fx.fixture(spark, sf_dir, _KNOWN), fx.fixture(spark, sf_dir, _GIVEN), ["cin"])
+
+
 # -- geometry ------------------------------------------------------------------------------------
 
 _QUADS = "SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_partkey % 97 AS DOUBLE) AS a, CAST(l_suppkey % 89 AS DOUBLE) AS b, CAST(l_partkey % 83 AS DOUBLE) / 4 AS c, CAST(l_suppkey % 79 AS DOUBLE) / 4 AS d, l_extendedprice AS e FROM lineitem"

@@ -219,6 +219,43 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     assert key(jobs.progress(spark, str(tmp_path / "out"))) == key(batches.job_counters(events))
 
 
+def test_bad_files_in_a_stream(spark, tmp_path):
+    """STR4: a file that can't be read is a row with an error; the stream and the other files go on."""
+    from inkplan.operators import prepare
+
+    image = prepare.png(np.zeros((4, 5, 3), np.uint8))
+    for k, content in enumerate((image, b"junk", image[:40], image)):
+        spark.createDataFrame([(f"{k}.png", bytearray(content))], "name string, content binary").write.parquet(str(tmp_path / "in" / str(k)))
+    schema = "name string, content binary"
+    jobs.start(spark, str(tmp_path / "in" / "*"), schema, readers.pages, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r.name: (r.width, r.error is not None) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"0.png": (5, False), "1.png": (None, True), "2.png": (None, True), "3.png": (5, False)}
+
+
+def test_states_as_a_stream(spark, tmp_path):
+    """STR2: the same states as in a batch, from a stream of events."""
+    rng = random.Random(5)
+    rows = [(f, s, rng.choice(["pending", "processing", "done", "error", "cancelled"])) for f in range(30) for s in range(rng.randint(1, 6))]
+    events = spark.createDataFrame(rows, "file_id int, seq int, state string")
+    events.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = jobs.state_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(spark.table("states")) == key(batches.latest_state(events))
+
+
+def test_greedy_decode():
+    words = {0: 3, 3: 5, 5: 1}
+    seen = []
+
+    def step(token, cache):
+        seen.append((token, cache))
+        return np.eye(6)[words.get(token, 1)] * 5, (cache or 0) + 1
+
+    assert recognize.greedy_decode(step, 0, 1, 10)[0] == [3, 5] and seen == [(0, None), (3, 1), (5, 2)]
+    assert recognize.greedy_decode(step, 0, 9, 3)[0] == [3, 5, 1] and recognize.greedy_decode(step, 5, 1, 3) == ([], 0.0)
+
+
 def test_report(spark):
     df = spark.createDataFrame([(1, 0, "Nom", "a"), (1, 1, "name", "b"), (1, 2, "NOM", "a"), (1, 3, "ecole", "x")], "page_id int, occurrence int, label string, text string")
     r = report.wide(df).first()
