@@ -82,11 +82,12 @@ def label_key(norm):
 
 
 def longest_label(df: DataFrame, norm: str, out: str = "key") -> DataFrame:
-    """JN2: the key of the longest alias that the text contains; ties go to the registry's order."""
-    by_length = sorted(ALIASES, key=lambda x: -len(x[0]))
-    entries = F.split(F.lit("|".join(f"{a}={key}" for a, key in by_length)), r"\|")
-    best = F.transform(F.array(F.col(norm)), lambda n: F.substring_index(F.get(F.filter(entries, lambda x: F.contains(n, F.substring_index(x, "=", 1))), F.lit(0)), "=", -1))
-    return df.withColumn(out, F.get(best, F.lit(0)))
+    """JN2: the key of the longest alias that the text contains; ties go to the registry's order. One CASE, which stops at the first that is found."""
+    key = None
+    for alias, name in sorted(ALIASES, key=lambda x: -len(x[0])):
+        found = F.contains(F.col(norm), F.lit(alias))
+        key = F.when(found, name) if key is None else key.when(found, name)
+    return df.withColumn(out, key)
 
 
 def kind_of(key):
