@@ -566,3 +566,37 @@ def test_registry_matches_the_entry(spark):
     assert set(registry.QUERIES) <= set(entry.queries())
     nodes = pseudonyms.pseudonymise(common.documents(spark, "/root/testdata/sf0.001"), key=KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", nodes)
+
+
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_minimisers_over_the_ends_of_batches(spark, monkeypatch, hot):
+    """Groups of rows that go on from one small Arrow batch to the next, some of them hot, are settled as in one batch."""
+    monkeypatch.setattr("inkplan.llm.repeats.HOT", hot)
+    rng = random.Random(15)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passage = prose(45)
+    rows = [(k, prose(rng.randint(0, 9)) + " " + passage + " " + prose(rng.randint(0, 9))) for k in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert {r.doc_id: bytes(r.kept) for r in suffixes.deduplicated(spark, df).collect()} == brute_bytes(rows)
+        words = {i: raw(t).split() for i, t in rows}
+        seen = Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
+        for r in superkmers.deduplicated(spark, df).collect():
+            w = words[r.doc_id]
+            gone = {j for k in range(len(w) - 34) if seen[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+            assert r.kept == b" ".join(x for j, x in enumerate(w) if j not in gone).decode()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_text_in_many_rows(spark):
+    """Equal texts under many ids, and repeated rows: the first row keeps its text, in operators 9 and 10 alike counted as occurrences."""
+    rng = random.Random(16)
+    text = " ".join(f"w{rng.getrandbits(30)}" for _ in range(60))
+    rows = [(5, text), (5, text), (3, text), (None, text), (9, "short"), (8, "short"), (7, text + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter((None if r.doc_id == common.NO_ID else r.doc_id, bytes(r.kept)) for r in suffixes.deduplicated(spark, df).collect())
+    assert left == Counter({(None, raw(text)): 1, (3, b""): 1, (5, b""): 2, (9, b"short"): 1, (8, b"short"): 1, (7, b" tail"): 1})
+    left = Counter((None if r.doc_id == common.NO_ID else r.doc_id, r.kept) for r in superkmers.deduplicated(spark, df).collect())
+    assert left == Counter({(None, ""): 1, (3, ""): 1, (5, ""): 2, (9, "short"): 1, (8, "short"): 1, (7, "tail"): 1})
