@@ -82,12 +82,16 @@ def label_key(norm):
 
 
 def longest_label(df: DataFrame, norm: str, out: str = "key") -> DataFrame:
-    """JN2: the key of the longest alias that the text contains; ties go to the registry's order. One CASE, which stops at the first that is found."""
-    key = None
-    for alias, name in sorted(ALIASES, key=lambda x: -len(x[0])):
-        found = F.contains(F.col(norm), F.lit(alias))
-        key = F.when(found, name) if key is None else key.when(found, name)
-    return df.withColumn(out, key)
+    """JN2: the key of the longest alias that the text contains; ties go to the registry's order. One CASE, which stops at the first that is found; the
+    text is bound by transform(), for a filter on the key would else put its expression in place of each mention."""
+
+    def first(n):
+        key = F.when(F.lit(False), "")
+        for alias, name in sorted(ALIASES, key=lambda x: -len(x[0])):
+            key = key.when(F.contains(n, F.lit(alias)), name)
+        return key
+
+    return df.withColumn(out, F.get(F.transform(F.array(F.col(norm)), first), F.lit(0)))
 
 
 def kind_of(key):
