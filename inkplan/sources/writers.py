@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import report
+from ..operators.prepare import png
+from ..operators.raster import resized
 from .workbook import MOST_ROWS, Sheet, Style, exported, workbook
 
 
@@ -72,6 +76,21 @@ def report_workbook(rows: DataFrame, order: list[str], stamp: str) -> bytes:
     return workbook([data, Sheet("Rapport de Traitement", lines, [52.0, 16.0, 42.0])])
 
 
+def write_previews(pages: DataFrame, path: str, longest: int = 1000) -> None:
+    """SNK9: pages (name, page, width, height, pixels) as scaled-down PNG files in a column, by name and page; pages that have one are left as they are."""
+
+    @F.pandas_udf("binary")
+    def small(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        return pd.Series([png(resized(np.frombuffer(p, np.uint8).reshape(int(h), int(w), -1), longest)) for p, w, h in zip(pixels, width, height)])
+
+    spark = pages.sparkSession
+    some = pages.where("pixels is not null").dropDuplicates(["name", "page"])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        some = some.join(spark.read.parquet(path).select("name", "page"), ["name", "page"], "left_anti")
+    some.select("name", "page", small("pixels", "width", "height").alias("preview")).write.mode("append").parquet(path)
+
+
 def write_exports(df: DataFrame, column: str, form: str, path: str) -> None:
     """SNK5: each row's text as a file of the form, in a column `file`, as Parquet: what a download serves by its key."""
     make = F.udf(lambda t: bytearray(exported(t, form)) if t and t.strip() else None, "binary", useArrow=True)

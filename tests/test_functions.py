@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkplan.functions import dates, decode, geometry, security, text
-from inkplan.operators import fields, forms, prepare, raster, recognize, vision
+from inkplan.operators import barcodes, fields, forms, prepare, raster, recognize, vision
 from inkplan.sources import images, workbook
 
 
@@ -419,3 +419,34 @@ def test_png_filters():
     part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + b"0000"
     file = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 9, 6, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows))
     assert np.array_equal(images.png(file), image)
+
+
+def bars(digits: str, unit: int = 2) -> np.ndarray:
+    """A code as an image, built from the digits' definition: seven modules each."""
+    half = 6 if len(digits) == 13 else 4
+    body = digits[1:] if half == 6 else digits
+    which = barcodes.MIRRORED[int(digits[0])] if half == 6 else "0000"
+
+    def modules(d: str, mirrored: bool, dark_first: bool) -> str:
+        widths = [int(c) for c in barcodes.WIDTHS[int(d)]]
+        return "".join(str(int((k % 2 == 0) == dark_first)) * w for k, w in enumerate(widths[::-1] if mirrored else widths))
+
+    bits = "101" + "".join(modules(d, m == "1", False) for d, m in zip(body, which)) + "01010" + "".join(modules(d, False, True) for d in body[half:]) + "101"
+    row = np.repeat([0 if b == "1" else 255 for b in bits], unit).astype(np.uint8)
+    page = np.full((120, len(row) + 80, 3), 255, np.uint8)
+    page[30:90, 40 : 40 + len(row)] = row[None, :, None]
+    return page
+
+
+@pytest.mark.parametrize("digits, kind", [("4006381333931", "EAN_13"), ("9780201379624", "EAN_13"), ("96385074", "EAN_8"), ("0036000291452", "UPC_A")])
+@pytest.mark.parametrize("unit", [2, 3])
+def test_barcodes(digits, kind, unit):
+    page = bars(digits, unit)
+    rng = np.random.default_rng(0)
+    noisy = np.clip(page.astype(int) + rng.integers(-40, 40, page.shape), 0, 255).astype(np.uint8)
+    for image in (page, noisy):
+        [(found, what, (x0, y0, x1, y1))] = barcodes.scan(image)
+        assert (found, what) == (digits[1:] if kind == "UPC_A" else digits, kind)
+        assert x0 == 40 and 28 <= y0 <= 34 and x1 == page.shape[1] - 40
+    assert barcodes.scan(barcodes.masked(page, [(x0, y0, x1, y1 + 3)])) == [] and barcodes.scan(page, budget_s=0.0) in ([], barcodes.scan(page))
+    assert barcodes.scan(lines()) == [] and not barcodes.check_ok("4006381333932")

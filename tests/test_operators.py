@@ -232,6 +232,18 @@ def test_bad_files_in_a_stream(spark, tmp_path):
     assert got == {"0.png": (5, False), "1.png": (None, True), "2.png": (None, True), "3.png": (5, False)}
 
 
+def test_previews_are_written_once(spark, tmp_path):
+    from inkplan.sources import images
+
+    page = np.arange(40 * 60 * 3, dtype=np.uint8).reshape(40, 60, 3)
+    rows = [("a", k, 60, 40, bytearray(page.tobytes())) for k in (0, 1, 1)] + [("b", 0, None, None, None)]
+    df = spark.createDataFrame(rows, "name string, page int, width int, height int, pixels binary")
+    for _ in range(2):
+        writers.write_previews(df, str(tmp_path / "p"), longest=30)
+    got = spark.read.parquet(str(tmp_path / "p")).collect()
+    assert sorted((r.name, r.page) for r in got) == [("a", 0), ("a", 1)] and images.png(bytes(got[0].preview)).shape == (20, 30, 3)
+
+
 def test_states_as_a_stream(spark, tmp_path):
     """STR2: the same states as in a batch, from a stream of events."""
     rng = random.Random(5)
