@@ -17,6 +17,7 @@ from .text import CONFUSED, MEANT, strip_accents
 # French month names without accents.
 MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
 DAY_NAMES = "lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche"
+# The forms that dates are written in, and years.
 LONGHAND = rf"(?i)(?:{DAY_NAMES})?\s*(\d{{1,2}})\s*([A-Za-zÀ-ÖØ-öø-ÿ]+)\s*((?:19|20)\d{{2}})"
 ISO = r"(\d{4})\s*[/.\-]\s*(\d{1,2})\s*[/.\-]\s*(\d{1,2})"
 PLAIN = r"(\d{1,2})\s*[/.\-]\s*(\d{1,2})\s*[/.\-]\s*((?:19|20)\d{2})"
