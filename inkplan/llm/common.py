@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,10 +60,14 @@ HELD: dict[str, Callable[[], None]] = {}
 
 
 def let_go(but: str | None = None) -> None:
-    """Frees what other operators keep in this worker: workers are reused, and their memory adds up over the stages of a pipeline."""
+    """Frees what other operators keep in this worker, and gives what earlier tasks freed back to the system: workers are reused, and their
+    memory adds up over the stages of a pipeline."""
     for name, drop in HELD.items():
         if name != but:
             drop()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, holds: str | None = None, by: int | None = None) -> DataFrame:

@@ -38,11 +38,11 @@ FIRST, SECOND = 0.9, 0.99
 #: Tokens of a window at least, where few lanes are left.
 LEAST_TOKENS = 1024
 #: The most frequent words whose counts are broadcast, at most so many.
-KEPT = 200_000
+KEPT = 100_000
 #: Words counted in a task before they are handed on.
 MOST_COUNTED = 300_000
 #: Tokens of documents that are laid out in lanes together.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 END, OTHER = 0, VOCABULARY - 1
 #: Symbols of a class but that of OTHER, and rows of one class that go through its weights together.
 PER_CLASS, TILE = -(-OTHER // (CLASSES - 1)), 32
