@@ -600,3 +600,30 @@ def test_one_text_in_many_rows(spark):
     assert left == Counter({(None, raw(text)): 1, (3, b""): 1, (5, b""): 2, (9, b"short"): 1, (8, b"short"): 1, (7, b" tail"): 1})
     left = Counter((None if r.doc_id == common.NO_ID else r.doc_id, r.kept) for r in superkmers.deduplicated(spark, df).collect())
     assert left == Counter({(None, ""): 1, (3, ""): 1, (5, ""): 2, (9, "short"): 1, (8, "short"): 1, (7, "tail"): 1})
+
+
+def test_pipeline_stages_on_an_empty_table(spark, nothing, sf_dir):
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, nothing, sf_dir)
+        assert got.count() == 0 and (name == "packing" or got.columns == nothing.columns)
+
+
+def test_very_long_texts(spark):
+    """One text of some million characters among short ones, in each operator."""
+    rng = random.Random(17)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(LONG // 30))
+    rows = [(1, long), (2, "a b c d e f"), (3, long[: len(long) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert {r.doc_id: r.n_bytes for r in telephony.read(telephony.store(df), pcm=False).collect()} == {i: len(t) for i, t in rows}
+    words = {i: len(t.split()) for i, t in rows}
+    assert {r.doc_id: r.n_words for r in licences.scan(df).collect()} == words == {r.doc_id: r.n_words for r in quality.measure(df).collect()}
+    ids = {i: len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r.doc_id: r[1] for r in packing.pack(spark, df, path).groupBy("doc_id").sum("length").collect()} == ids
+    assert all(bytes(r.raw) == raw(dict(rows)[r.doc_id]) for r in bpe.decoded(bpe.encoded(df, path), path).collect())
+    assert {r.doc_id: r.n_tokens for r in lm.scores(spark, df).collect()} == {i: n + 1 for i, n in words.items()}
+    assert {r.doc_id: r.component_id for r in neardup.groups(spark, df, 85).collect()} == {1: 1, 2: 2, 3: 3}
+    left = {r.doc_id: bytes(r.kept) for r in suffixes.deduplicated(spark, df).collect()}
+    assert left[1] == raw(long) and left[2] == b"a b c d e f" and left[3] == b""
+    cut = {r.doc_id: r.n_removed for r in superkmers.digests(spark, df).collect()}
+    assert cut[2] == 0 and cut[3] >= words[3] - 1 and cut[1] >= words[3] - 1
