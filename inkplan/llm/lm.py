@@ -403,7 +403,8 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
         def give():
             *columns, part = zip(*kept)
             more = np.array(part) + likelihoods(own, held) / np.log(10)
-            yield batch_of(columns[0], columns[1], columns[2], [b"\0"] * len(held), np.zeros(len(held), np.int64), *columns[3:], more)
+            own_key = [b"\0%d" % row for row in columns[0]]  # met by no word, and no two rows' alike, so that the join spreads them
+            yield batch_of(columns[0], columns[1], columns[2], own_key, np.zeros(len(held), np.int64), *columns[3:], more)
             n = len(rare[1])
             if n:
                 none, zero, nothing = np.full(n, None), np.zeros(n, np.int64), np.zeros(n)
