@@ -132,10 +132,10 @@ class Bpe:
     def _unit(self, unit: str, lead: str, kept: dict[str, bytes]) -> bytes:
         if not unit or unit[0].isspace() or unit[-1].isspace():
             raise _Spaces
-        if unit.isascii() and unit.isalpha():
-            got = self.piece(lead + unit)
-        elif unit[-1] in TAIL and unit.isascii() and unit[:-1].isalpha():
-            got = self.piece(lead + unit[:-1]) + self.piece(unit[-1])
+        if unit.isalpha() and unit.isascii():  # a piece of its own, kept once, as a unit
+            got = array("I", [t.id for t in self.model.tokenize("\u0120" + unit if lead else unit)]).tobytes()
+        elif unit[-1] in TAIL and unit[:-1].isalpha() and unit.isascii():
+            got = (kept.get(unit[:-1]) or self._unit(unit[:-1], lead, kept)) + self.piece(unit[-1])
         else:
             got = b"".join(map(self.piece, PATTERN.findall(lead + unit)))
         if len(kept) >= MOST_KEPT:
