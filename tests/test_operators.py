@@ -286,6 +286,23 @@ def test_plans_have_no_nested_loops_and_push_filters(spark, sf_dir):
     assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,5)]" in q._jdf.queryExecution().executedPlan().toString()
 
 
+def test_merged_bands_with_equal_and_missing_ends(spark, tmp_path):
+    """band_merge against its SQL on one thread; equal bands, which its ORDER BY leaves open, are numbered once."""
+    import duckdb
+
+    from inkplan.plans import catalogue, entries
+
+    part = [(1, 10, None), (1, 10, 30.0), (1, 10, 30.0), (1, 300, 5.0), (2, None, 4.0), (2, 7, 9.0), (3, 56, 26.0), (3, 56, 26.0), (4, 5, None), (4, 90, 2.0), (4, None, None)]
+    rows = [(page, p, 1, 1 + k, q, 1.0) for k, (page, p, q) in enumerate(part)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double")
+    df.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalogue.band_merge(spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [page_id") == 1
+    assert Counter(map(tuple, got.collect())) == Counter(con.execute(entries.ORACLE_SQL["band_merge"]).fetchall())
+
+
 def test_fuzzy_match_over_whole_tables(spark, sf_dir):
     """candidate_match_fuzzy against a plain loop over all candidates."""
     from inkplan.plans import catalogue, fixtures
