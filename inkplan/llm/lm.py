@@ -19,17 +19,15 @@ all counts are 0 and the model is uniform; each row has a row of its own in the
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, id_text, let_go, slices, stored
-from .shingles import lower_words
 
 VOCABULARY, CLASSES, HIDDEN = 1024, 32, 16
 LANES, STEPS, RATE, CLIP = 512, 16, 0.02, 5.0
@@ -39,19 +37,21 @@ FIRST, SECOND = 0.9, 0.99
 LEAST_TOKENS = 1024
 #: The most frequent words whose counts are broadcast, at most so many.
 KEPT = 100_000
-#: Words counted in a task before they are handed on.
-MOST_COUNTED = 300_000
+#: Rows of slices' word counts that a task adds up before it hands them on.
+MOST_COUNTED = 600_000
 #: Tokens of documents that are laid out in lanes together.
 BLOCK = 1 << 21
 END, OTHER = 0, VOCABULARY - 1
 #: Symbols of a class but that of OTHER, and rows of one class that go through its weights together.
 PER_CLASS, TILE = -(-OTHER // (CLASSES - 1)), 32
+#: The class of each symbol.
+CLASS = np.append(np.arange(OTHER) % (CLASSES - 1), CLASSES - 1).astype(np.int8 if CLASSES < 128 else np.int16)
 #: Logits are held within this, so that sums of exponentials stay finite without a maximum for each row.
 LOGIT = 60.0
 
 
 class Model:
-    """Parameters: G (what a symbol adds to the three gates), U (what the state adds), and the output's
+    """Parameters: G (what a symbol adds to the three gates, by gate), U (what the state adds), and the output's
     class and word weights. Symbol s is number s // (CLASSES - 1) of class s % (CLASSES - 1); OTHER is the last class."""
 
     def __init__(self, unigram: np.ndarray):
@@ -65,7 +65,9 @@ class Model:
             "Wc": rng.normal(0, 0.1, (h, CLASSES)), "bc": np.log(np.append(by_class.sum(1), share[OTHER])),
             "Wo": rng.normal(0, 0.1, (CLASSES - 1, h, PER_CLASS)), "bo": np.where(within > 0, np.log(np.maximum(within, 1e-30)), -LOGIT),
         }
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        for k in ("G", "U"):  # by gate, so that each gate's numbers lie side by side
+            self.p[k] = self.p[k].reshape(-1, 3, h).transpose(1, 0, 2)
+        self.p = {k: np.ascontiguousarray(v, np.float32) for k, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -80,37 +82,42 @@ class Model:
     def gates(self, x: np.ndarray, go_on: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, list]:
         """States after each of the inputs x (steps, lanes) from the state h, the last of them, and what backward() needs. go_on is 0 where
         a document begins."""
-        n, u = HIDDEN, self.p["U"]
-        gx = np.take(self.p["G"], x, axis=0)
-        out, held = np.empty((*x.shape, n), np.float32), []
+        u, half = self.p["U"], np.float32(0.5)
+        gx, begins = np.take(self.p["G"], x, axis=1), go_on[:, :, 0] == 0
+        out, held = np.empty((*x.shape, HIDDEN), np.float32), []
         for t in range(len(x)):
-            h = h * go_on[t]
-            hu = h @ u
-            zr = gx[t, :, : 2 * n]
-            zr += hu[:, : 2 * n]
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            z, r, hn = zr[:, :n], zr[:, n:], hu[:, 2 * n :]
+            if begins[t].any():
+                h = h.copy()
+                h[begins[t]] = 0
+            hu = np.matmul(h, u)
+            zr = hu[:2]
+            zr += gx[:2, t]
+            zr *= half  # the logistic function by way of tanh
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            z, r, hn = zr[0], zr[1], hu[2]
             new = r * hn
-            new += gx[t, :, 2 * n :]
+            new += gx[2, t]
             np.tanh(new, out=new)
             if keep:
                 held.append((h, z, r, new, hn))
-            h = np.add(new, z * (h - new), out=out[t])
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
         return out, h, held
 
     def output(self, s: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the symbols y after the states s; with grad, also the states' gradient of minus their sum. Rows go
         through their class's weights in tiles, all tiles at once."""
-        c = np.where(y == OTHER, CLASSES - 1, y % (CLASSES - 1))
-        logits = s @ self.p["Wc"] + self.p["bc"]
+        s, c = np.ascontiguousarray(s), CLASS[y]
+        logits = s @ self.p["Wc"]
+        logits += self.p["bc"]
         np.clip(logits, -LOGIT, LOGIT, out=logits)
         rows = np.arange(len(y))
         logp = logits[rows, c]
         e = np.exp(logits, out=logits)
-        total = e.sum(1)
+        total = e @ np.ones(CLASSES, e.dtype)
         logp -= np.log(total)
         ds = None
         if grad is not None:
@@ -118,8 +125,8 @@ class Model:
             e[rows, c] -= 1
             ds = e @ self.p["Wc"].T
             grad["Wc"] += s.T @ e
-            grad["bc"] += e.sum(0)
-        order = np.argsort(c.astype(np.int8 if CLASSES < 128 else np.int16), kind="stable")
+            grad["bc"] += np.ones(len(e), e.dtype) @ e
+        order = np.argsort(c, kind="stable")
         times = np.bincount(c, minlength=CLASSES)[: CLASSES - 1]
         order = order[: times.sum()]
         if not len(order):
@@ -138,7 +145,7 @@ class Model:
         flat, k = a.reshape(-1, PER_CLASS), y[order] // (CLASSES - 1)
         own = flat[place, k]
         e = np.exp(flat, out=flat)
-        total = e.sum(1)
+        total = e @ np.ones(PER_CLASS, e.dtype)
         logp[order] += own - np.log(total[place])
         if grad is not None:
             scale = np.zeros(len(e), np.float32)
@@ -153,29 +160,39 @@ class Model:
         return logp, ds
 
     def backward(self, x: np.ndarray, go_on: np.ndarray, held: list, dout: np.ndarray, grad: dict) -> None:
-        n, ut = HIDDEN, self.p["U"].T.copy()
-        dg = np.empty((*x.shape, 3 * n), np.float32)
-        dh = np.zeros_like(dout[0])
-        du = np.empty((x.shape[1], 3 * n), np.float32)
+        back = self.p["U"][[2, 0, 1]].transpose(0, 2, 1).copy()
+        d = np.empty((4, *x.shape, HIDDEN), np.float32)  # of the new state's part in U, of z, of r, of the new state's part in G
+        dh, begins = np.zeros_like(dout[0]), go_on[:, :, 0] == 0
         for t in range(len(x) - 1, -1, -1):
             h, z, r, new, hn = held[t]
-            dh = dh + dout[t]
+            dr, dz, dn = d[0, t], d[1, t], d[3, t]
+            dh += dout[t]
             dhz = dh * z
-            dnew = dh - dhz
-            dnew *= 1 - new * new
-            dhz_ = dhz * (1 - z)
-            np.multiply(dhz_, h - new, out=du[:, :n])
-            dr = dnew * r
-            np.multiply(dr, (1 - r) * hn, out=du[:, n : 2 * n])
-            du[:, 2 * n :] = dr
-            dg[t, :, : 2 * n], dg[t, :, 2 * n :] = du[:, : 2 * n], dnew
-            grad["U"] += h.T @ du
-            dh = (dhz + du @ ut) * go_on[t]
-        flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        sorted_x = flat[order]
-        new = np.flatnonzero(np.concatenate([[True], sorted_x[1:] != sorted_x[:-1]]))
-        grad["G"][sorted_x[new]] += np.add.reduceat(dg.reshape(-1, 3 * n)[order], new, axis=0)
+            np.subtract(dh, dhz, out=dn)
+            np.multiply(new, new, out=dh)
+            dn *= np.subtract(1, dh, out=dh)
+            np.subtract(h, new, out=dz)
+            dz *= dhz
+            dz *= np.subtract(1, z, out=dh)
+            np.multiply(dn, r, out=dr)
+            np.subtract(1, r, out=dh)
+            dh *= hn
+            np.multiply(dr, dh, out=d[2, t])
+            by_gate = np.matmul(d[:3, t], back)
+            dh = dhz
+            for part in by_gate:
+                dh += part
+            dh[begins[t]] = 0
+        hs = np.concatenate([h for h, *_ in held])
+        grad["U"][[2, 0, 1]] += np.matmul(hs.T, d[:3].reshape(3, -1, HIDDEN))
+        flat, dg = x.ravel(), d[1:].reshape(3, -1, HIDDEN)
+        other = flat == OTHER
+        grad["G"][:, OTHER] += np.matmul(other.astype(np.float32), dg)
+        order = np.argsort(flat.astype(np.int16), kind="stable")[: len(flat) - np.count_nonzero(other)]  # OTHER is the last
+        if len(order):
+            sorted_x = flat[order]
+            new = np.flatnonzero(np.concatenate([[True], sorted_x[1:] != sorted_x[:-1]]))
+            grad["G"][:, sorted_x[new]] += np.add.reduceat(np.take(dg, order, axis=1), new, axis=1)
 
 
 def lanes(size: np.ndarray, most: int) -> list[list[int]]:
@@ -248,7 +265,7 @@ def train(model: Model, docs: list[np.ndarray], steps: Steps) -> None:
             dout[on] = model.output(out[on], ys[on], grad)[1]
         model.backward(xs, go_on, held, dout, grad)
         scale = 1 / max(1, int(on.sum()))
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values())) * scale
         scale *= min(1, CLIP / max(norm, 1e-9))
         for g in grad.values():
             g *= scale
@@ -270,26 +287,37 @@ def folds(df: DataFrame) -> DataFrame:
     return id_text(df).withColumn("held_out", held)
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order, as binary, A-Z in lower case, and the number of each one's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = lists.flatten().cast(pa.binary())
+    text = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends makes empty ones
+    return flat.filter(some), text[some.to_numpy(zero_copy_only=False)]
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(word, c) over training documents; the word b'' stands for the end of a text."""
 
     def make(batches):
-        seen: Counter = Counter()
         schema = arrow_schema("word binary, n long")
+        held, ends = [], 0
 
         def give():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
-            seen.clear()
-            return out
+            ended = pa.Table.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], schema=schema)
+            sums = pa.concat_tables([ended, *held]).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return sums.select(["word", "n_sum"]).rename_columns(schema.names).cast(schema).to_batches()
 
         let_go()
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(lower_words(text))
-                if len(seen) > MOST_COUNTED:
-                    yield give()
-            seen[b""] += batch.num_rows
-        yield give()
+        for batch in slices(batches, by=0):
+            counts = words_of(batch.column(0))[0].value_counts()
+            held.append(pa.Table.from_arrays([counts.field("values"), counts.field("counts")], schema=schema))
+            ends += batch.num_rows
+            if sum(map(len, held)) > MOST_COUNTED:
+                yield from give()
+                held, ends = [], 0
+        if ends:
+            yield from give()
 
     rows = docs.where("not held_out").select("text").mapInArrow(make, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("c"))
@@ -311,20 +339,20 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))
 
 
-def symbols(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    """Ranks of words among the most frequent, -1 for others."""
-    return np.fromiter(map(number.get, words, repeat(-1)), np.int32, len(words))
+def ranked(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Each word's place in `known`, -1 for others."""
+    return pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def to_symbols(ranks: np.ndarray) -> np.ndarray:
-    out = np.full(len(ranks) + 1, OTHER, np.int16)
-    known = (ranks >= 0) & (ranks < VOCABULARY - 2)
-    out[:-1][known] = ranks[known] + 1
-    out[-1] = END
-    return out
+def to_symbols(ranks: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    """Symbols of each of n texts, from the ranks of all of their words and the number of each one's text."""
+    ends = np.cumsum(np.bincount(text, minlength=n) + 1)
+    out = np.full(len(ranks) + n, END, np.int16)
+    out[np.arange(len(ranks)) + text] = np.where((ranks >= 0) & (ranks < VOCABULARY - 2), ranks + 1, OTHER)
+    return np.split(out, ends[:-1])
 
 
-def fitted(spark: SparkSession, docs: DataFrame, number: dict[bytes, int], start: Model) -> Model:
+def fitted(spark: SparkSession, docs: DataFrame, known: pa.Array, start: Model) -> Model:
     """The average of what each task learns from all of its training documents."""
     first = start.flat()
 
@@ -332,10 +360,11 @@ def fitted(spark: SparkSession, docs: DataFrame, number: dict[bytes, int], start
         model = Model(np.ones(VOCABULARY)).load(first)
         steps = Steps(model)
         held, size, tokens = [], 0, 0
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                held.append(to_symbols(symbols(lower_words(text), number)))
-                size += len(held[-1])
+        for batch in slices(batches, by=0):
+            words, text = words_of(batch.column(0))
+            for doc in to_symbols(ranked(words, known), text, batch.num_rows):
+                held.append(doc)
+                size += len(doc)
                 if size >= BLOCK:
                     train(model, held, steps)
                     tokens, held, size = tokens + size, [], 0
@@ -377,17 +406,17 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
     words = F.col("word") != F.lit(b"")
     n, v, docs_n = counts.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(~words, F.col("c"))), F.lit(0))).first()
     top = most_frequent(counts.where(words), KEPT)
-    number = {bytes(r.word): k for k, r in enumerate(top)}
+    known = pa.array([bytes(r.word) for r in top], pa.binary())
     c = np.array([r.c for r in top] or [0], np.float64)
     shown = c[: VOCABULARY - 2] if top else c[:0]
     unigram = np.zeros(VOCABULARY)
     unigram[END], unigram[1 : 1 + len(shown)], unigram[OTHER] = docs_n, shown, max(0.0, n - docs_n - shown.sum())
     others = np.log10(max(0.0, n - docs_n - shown.sum()) + max(0, v - 1 - len(shown)) + 1)  # words under OTHER, and one unseen
-    model = fitted(spark, docs, number_of(number), Model(unigram))
+    model = fitted(spark, docs, known[: VOCABULARY - 2], Model(unigram))
     base = float(np.log10(n + v + 1))
     end_known, end_log = int(docs_n > 0), float(np.log10(docs_n + 1))
     flat = model.flat()
-    log_c = np.append(np.log10(c + 1), 0.0)  # the last for words that are not in `number`
+    log_c = np.append(np.log10(c + 1), 0.0)  # the last for words that are not in `known`
 
     names = "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double"
 
@@ -395,43 +424,42 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
         own, schema = Model(np.ones(VOCABULARY)).load(flat), arrow_schema(names)
         let_go()
         held, kept, size = [], [], 0
-        rare: tuple[list, list, list] = ([], [], [])
 
         def batch_of(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, (list, np.ndarray)) else c for c, f in zip(columns, schema)], schema=schema)
 
         def give():
-            *columns, part = zip(*kept)
-            more = np.array(part) + likelihoods(own, held) / np.log(10)
-            own_key = [b"\0%d" % row for row in columns[0]]  # met by no word, and no two rows' alike, so that the join spreads them
-            yield batch_of(columns[0], columns[1], columns[2], own_key, np.zeros(len(held), np.int64), *columns[3:], more)
-            n = len(rare[1])
-            if n:
-                none, zero, nothing = np.full(n, None), np.zeros(n, np.int64), np.zeros(n)
-                yield batch_of(np.repeat(*map(np.array, zip(*rare[0]))), none, none, rare[1], rare[2], zero, zero, nothing, nothing)
+            doc, fold = (pa.concat_arrays([k[i] for k in kept]) for i in range(2))
+            row, n_words, n_known, by_counts, part = (np.concatenate([k[i] for k in kept]) for i in range(2, 7))
+            own_key = [b"\0%d" % r for r in row.tolist()]  # met by no word, and no two rows' alike, so that the join spreads them
+            more = part + likelihoods(own, held) / np.log(10)
+            return batch_of(row, doc, fold, own_key, np.zeros(len(row), np.int64), n_words + 1, n_known + end_known, by_counts, more)
 
         for batch in slices(batches, by=1):
-            for doc, text, fold, row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                words = lower_words(text)
-                ranks = symbols(words, number)
-                away = np.flatnonzero(ranks < 0)
-                beyond = (ranks < 0) | (ranks >= VOCABULARY - 2)
-                held.append(to_symbols(ranks))
-                size += len(held[-1])
-                kept.append((
-                    row, doc, fold, len(words) + 1, len(words) - len(away) + end_known,
-                    float(log_c[ranks].sum()) + end_log - base * (len(words) + 1), float(log_c[ranks[beyond]].sum()) - float(others) * int(beyond.sum()),
-                ))
-                if len(away):
-                    seen = Counter([words[i] for i in away])
-                    rare[0].append((row, len(seen)))
-                    rare[1].extend(seen.keys())
-                    rare[2].extend(seen.values())
-                if size >= BLOCK:
-                    yield from give()
-                    held, kept, rare, size = [], [], ([], [], []), 0
+            m, row = batch.num_rows, batch.column(3).to_numpy()
+            words, text = words_of(batch.column(1))
+            ranks = ranked(words, known)
+            away = ranks < 0
+            beyond = np.flatnonzero(away | (ranks >= VOCABULARY - 2))
+            n_words, of = np.bincount(text, minlength=m), text[beyond]
+            kept.append((
+                batch.column(0), batch.column(2), row, n_words, n_words - np.bincount(text[away], minlength=m),
+                np.bincount(text, log_c[ranks], m) + end_log - base * (n_words + 1), np.bincount(of, log_c[ranks[beyond]], m) - float(others) * np.bincount(of, minlength=m),
+            ))
+            held += to_symbols(ranks, text, m)
+            size += len(words) + m
+            if away.any():
+                coded = words.filter(pa.array(away)).dictionary_encode()
+                n = len(coded.dictionary)
+                pair, times = np.unique(text[away] * n + coded.indices.to_numpy(), return_counts=True)  # a text's word, and how often it is there
+                zero, nothing = np.zeros(len(pair), np.int64), np.zeros(len(pair))
+                none = (pa.nulls(len(pair), t) for t in (pa.int64(), pa.bool_()))
+                yield batch_of(row[pair // n], *none, coded.dictionary.take(pa.array(pair % n)), times, zero, zero, nothing, nothing)
+            if size >= BLOCK:
+                yield give()
+                held, kept, size = [], [], 0
         if held:
-            yield from give()
+            yield give()
 
     rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, names)
     met = rows.join(counts, "word", "left")
@@ -442,8 +470,3 @@ def scores(spark: SparkSession, df: DataFrame) -> DataFrame:
         F.sum(F.col("base_score") + more).alias("base_score"), F.sum(F.col("score") + more).alias("score"),
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def number_of(number: dict[bytes, int]) -> dict[bytes, int]:
-    """The ranks that the recurrent model tells apart."""
-    return {w: k for w, k in number.items() if k < VOCABULARY - 2}

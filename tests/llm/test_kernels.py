@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -285,6 +286,18 @@ def test_language_model_sums_to_one_and_carries_state():
     assert abs(model.output(out[:, 0], doc.astype(int))[0].sum() - one) < 1e-2
 
 
+def test_language_model_words_and_symbols():
+    """Words split, counted and ranked by column, against one text at a time."""
+    texts = ["", " ", "\t a\x0bB\x0c\r\n", "É é İ ß K\x1c\x1f x\x85y z\xa0w \x00 q", "  ABC  abc ", "a" * 5000, *("x%sY b" % chr(i) for i in range(0x2100))]
+    words, text = lm.words_of(pa.array(["left out", *texts]).slice(1))
+    want = [shingles.lower_words(t) for t in texts]
+    assert [(w, k) for k, some in enumerate(want) for w in some] == list(zip(words.to_pylist(), text.tolist()))
+    known = [b"b", b"abc", b"a"]
+    got = lm.to_symbols(lm.ranked(words, pa.array(known, pa.binary())), text, len(texts))
+    assert [g.tolist() for g in got] == [[known.index(w) + 1 if w in known else lm.OTHER for w in some] + [lm.END] for some in want]
+    assert [g.tolist() for g in lm.to_symbols(np.zeros(0, np.int32), np.zeros(0, np.int64), 2)] == [[lm.END], [lm.END]]
+
+
 def test_shingle_sets():
     assert len(shingles.shingle_set([])) == 0 and len(shingles.shingle_set([b"a", b"b"])) == 1
     assert len(shingles.shingle_set([b"a"] * 9)) == 1 and len(shingles.shingle_set([b"%d" % i for i in range(9)])) == 5
