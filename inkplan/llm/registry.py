@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, licences, lm, neardup, packing, pseudonyms, quality, suffixes, superkmers, telephony
+from . import bpe, licences, lm, neardup, packing, periods, pseudonyms, quality, spelling, suffixes, superkmers, telephony, tokencounts
 from .common import documents, unkeyed
 
 
@@ -63,6 +63,18 @@ def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(spark, documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(documents(spark, sf_dir))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.forms(spark, documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_licences": op2_licences,
@@ -74,6 +86,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_super_kmers": op10_super_kmers,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling": op12_spelling,
+    "op13_token_counts": op13_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -90,6 +105,12 @@ def _runs(width: int) -> str:
     v AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS e FROM u UNION ALL SELECT d.r, coalesce(max(b), 0), any_value(d.n) FROM d LEFT JOIN u ON d.r = u.r GROUP BY d.r)"""
 
 
+#: The CRC-32 table, and the CRC-32 of a string of ASCII characters and code points U+00C0 to U+00FF, with table t's list t.
+_CRC_TABLE = "SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) AS r(b))"
+_BYTES = "flatten(list_transform(string_split({}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, CAST(ord(x) - 64 AS BIGINT)] END))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c >> 8, t.t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
+
+
 #: Equal windows are found by their MD5 here, so that the oracle's hash is another than the operators'.
 ORACLE_SQL: dict[str, str] = {
     "op8_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS l FROM documents),
@@ -112,4 +133,28 @@ ORACLE_SQL: dict[str, str] = {
     hit AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY m) AS k FROM w) WHERE k > 1), {_runs(superkmers.WINDOW)},
     q AS (SELECT v.r, string_agg(array_to_string(l[f + 1:e], ' '), ' ' ORDER BY f, e) FILTER (e > f) AS left, sum(e - f) AS n FROM v JOIN d ON d.r = v.r GROUP BY v.r)
     SELECT doc_id, d.n AS n_words, CAST(d.n - q.n AS BIGINT) AS n_removed, sha256(coalesce(q.left, '')) AS kept_sha256 FROM d JOIN q ON d.r = q.r""",
+    "op11_periodic_runs": f"""WITH t AS ({_CRC_TABLE}), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, {_WORDS.format("coalesce(text, '')")} AS l, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents, t),
+    c AS (SELECT *, len(l) AS n, h % 10 = 0 AS ch, h // 10 AS g, CASE WHEN len(l) > 0 THEN (h // 10) % len(l) END AS a FROM b), d AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM c),
+    w AS (SELECT r, n, i, CASE WHEN ch AND i >= a THEN l[a + (i - a) % p + 1] ELSE l[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+    g AS (SELECT r, n, i, md5_number(w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o) AS m FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+    e AS (SELECT x.r, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.r = y.r AND x.m = y.m AND y.i > x.i WHERE 4 * (y.i - x.i) <= x.n),
+    k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e),
+    u AS (SELECT r, min(i) AS s, q, count(*) + 2 + q AS n FROM k GROUP BY r, q, island HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+    v AS (SELECT r, s, n, min(q) AS q FROM u GROUP BY r, s, n),
+    f AS (SELECT r, count(*) AS n_runs, first(s ORDER BY n DESC, s, q) AS s, first(n ORDER BY n DESC, s, q) AS n, first(q ORDER BY n DESC, s, q) AS q, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM v GROUP BY r),
+    x AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM v),
+    y AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS left FROM w ANTI JOIN x USING (r, i) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, f.n AS length, q AS period, 1000 * f.n // q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(y.left, '')) AS collapsed_sha256
+    FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN y ON y.r = d.r""",
+    "op12_spelling": f"""WITH RECURSIVE t AS ({_CRC_TABLE}),
+    b AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]{{7,}}')) AS run FROM documents) GROUP BY ALL),
+    h AS (SELECT run, n, {_CRC.format("doc_id || ':' || run")} AS h FROM b, t),
+    c AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM c WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    e AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.i = y.i AND x.v = y.v AND x.word <> y.word UNION SELECT d.word, w.word FROM d JOIN w ON d.v = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.v = w.word),
+    s AS (SELECT a, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS b, max(w.n) AS m FROM e JOIN w ON w.word = e.b GROUP BY a),
+    f AS (SELECT a, s.b AS form, m FROM s JOIN w ON w.word = s.a WHERE m >= 10 * w.n),
+    far AS (SELECT a, form, 1 AS k FROM f UNION ALL SELECT far.a, f.form, k + 1 FROM far JOIN f ON f.a = far.form), l AS (SELECT a, arg_max(form, k) AS root FROM far GROUP BY a)
+    SELECT w.word, f.form, coalesce(l.root, w.word) AS root, w.n, coalesce(s.n_near, 0) AS n_near, f.m AS form_n FROM w LEFT JOIN s ON s.a = w.word LEFT JOIN f ON f.a = w.word LEFT JOIN l ON l.a = w.word""",
 }
