@@ -9,12 +9,15 @@ from ..functions.numbers import mean4
 
 
 def merged(bands: DataFrame, gap: int = 24) -> DataFrame:
-    """GEO5: bands (page_id, y0, y1) whose distance is at most `gap`, as one: gaps and islands over a running maximum."""
-    order = Window.partitionBy("page_id").orderBy(F.asc_nulls_last("y0"), F.asc_nulls_last("y1"))  # both windows over one sort: equal bands stay in order
+    """GEO5: bands (page_id, y0, y1) whose distance is at most `gap`, as one, with their number: gaps and islands over a running maximum. Equal bands
+    become one row with their number first, so that the windows' order has no ties and a page with many bands is no larger than its
+    different ones. Bands with a missing end come last."""
+    different = bands.groupBy("page_id", "y0", "y1").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("page_id").orderBy(F.asc_nulls_last("y0"), F.asc_nulls_last("y1"))
     before = F.max("y1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = bands.withColumn("new", F.when(before.isNull() | (F.col("y0") - before > gap), 1).otherwise(0))
+    marked = different.withColumn("new", F.when(before.isNull() | (F.col("y0") - before > gap), 1).otherwise(0))
     grouped = marked.withColumn("band", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("page_id", "band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+    return grouped.groupBy("page_id", "band").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("n").alias("n"))
 
 
 def stacked(rows: DataFrame, gap: int = 48) -> DataFrame:
