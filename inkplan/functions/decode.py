@@ -30,7 +30,8 @@ FREQUENT = [
 # Fixed values of the model: the weight of a character as read, alone and beside alternatives; the prior's power; the weight of single letters in
 # it; what a share has at least; the count that each letter starts from.
 ALONE, AS_READ, PRIOR, SINGLE, TINY, START = 0.99, 0.1, 0.5, 1.6, 1e-9, 0.5
-LETTERS = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha() and c not in (0xAA, 0xB5, 0xBA))
+# Fixed values of the model: the characters that it counts as letters, and what parts the words of a reading.
+LETTERS = "abcdefghijklmnopqrstuvwxyz" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "àâäéèêëîïôöùûüçœ" "ÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ" "' -"
 SEPARATOR = re.compile(r"([^A-Za-zÀ-ÖØ-öø-ÿ0-9&@\-'']+)")
 MANY_BLANKS = re.compile(r"\s{2,}")
 

@@ -480,8 +480,10 @@ _ROW = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l
 _BANDS = f"SELECT l_orderkey AS page_id, {_ROW} AS row_no, CAST(l_partkey % 400 AS INT) AS y0, CAST(l_partkey % 400 + l_quantity AS INT) AS y1, CAST(l_quantity AS INT) AS height FROM lineitem"
 
 
-@query(f"""WITH b AS ({_BANDS}), m AS (SELECT *, max(y1) OVER (PARTITION BY page_id ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b), g AS (SELECT *, sum(CASE WHEN p IS NULL OR y0 - p > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM m)
-SELECT page_id, CAST(band AS BIGINT) AS band, min(y0) AS y0, max(y1) AS y1, count(*) AS n FROM g GROUP BY page_id, band""")
+@query(f"""WITH b AS ({_BANDS}), c AS (SELECT page_id, y0, y1, count(*) AS n FROM b GROUP BY ALL),
+m AS (SELECT *, max(y1) OVER (PARTITION BY page_id ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM c),
+g AS (SELECT *, sum(CASE WHEN p IS NULL OR y0 - p > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM m)
+SELECT page_id, CAST(band AS BIGINT) AS band, min(y0) AS y0, max(y1) AS y1, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY page_id, band""")
 def band_merge(spark, sf_dir):
     """GEO5."""
     return bands.merged(fx.fixture(spark, sf_dir, _BANDS))
@@ -572,10 +574,32 @@ def grid_reply_parse(spark, sf_dir):
 # -- functions without SQL -----------------------------------------------------------------------
 
 
-@query()
+def _alternatives() -> str:
+    return ", ".join(f"('{c}', {k}, '{o}')" for c, others in decode.AS_TEXT.items() for k, o in enumerate(others, 1))
+
+
+_READ_AS = "SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS reading FROM part"
+_WORDLIKE = "A-Za-zÀ-ÖØ-öø-ÿ0-9&@''-"
+_OPTIONS = "SELECT x.c, 0 AS k, x.c AS o FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM word) x UNION ALL SELECT * FROM alt"
+
+
+@query(f"""WITH RECURSIVE r AS ({_READ_AS}), alt(c, k, o) AS (VALUES {_alternatives()}), pair(p) AS (VALUES {", ".join(f"('{p}')" for p in decode.FREQUENT)}),
+start AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäéèêëîïôöùûüçœÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ'' -0123456789', '')) AS c),
+weight AS (SELECT c, 0.5 + (SELECT count(*) FROM (SELECT unnest(string_split(p, '')) AS l FROM pair WHERE length(p) = 2) WHERE l = c) AS w FROM start),
+share AS (SELECT c, w / (SELECT sum(w) FROM weight) AS s FROM weight),
+part_of AS (SELECT reading, k, piece FROM (SELECT reading, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS piece FROM (SELECT DISTINCT reading, regexp_extract_all(reading, '[{_WORDLIKE}]+|[^{_WORDLIKE}]+') AS l FROM r))),
+word AS (SELECT DISTINCT piece AS word FROM part_of WHERE regexp_matches(piece, '^[\\p{{L}}\\p{{N}}]') AND regexp_matches(piece, '[{"".join(decode.AS_TEXT)}]')),
+opt AS (SELECT c, k, o, CAST(CASE WHEN n = 1 THEN ln(0.99) WHEN k = 0 THEN ln(0.1) ELSE ln(0.9 / (n - 1)) END AS DOUBLE) AS e FROM (SELECT *, count(*) OVER (PARTITION BY c) AS n FROM ({_OPTIONS}))),
+chain AS (SELECT word, 1 AS i, o AS text, [k] AS ks, e AS score FROM word JOIN opt ON opt.c = word[1]
+ UNION ALL SELECT word, i + 1, text || o, list_append(ks, opt.k), score + e + 0.5 * ln(greatest(((1.6 * coalesce(s, 0) + CASE WHEN p IS NULL THEN 0 ELSE 1 END) + 1e-9) / (1 + {len(decode.FREQUENT)} + 1e-9), 1e-9))
+ FROM chain JOIN opt ON opt.c = word[i + 1] LEFT JOIN share ON share.c = lower(o) LEFT JOIN pair ON p = lower(text[i]) || lower(o) WHERE i < length(word)),
+best AS (SELECT word, text FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(score, 9) DESC, ks) AS rn FROM chain WHERE i = length(word)) WHERE rn = 1),
+v AS (SELECT reading, string_agg(coalesce(text, piece), '' ORDER BY k) AS value FROM part_of LEFT JOIN best ON word = piece GROUP BY reading),
+f AS (SELECT reading, value, length(regexp_replace(value, '[^abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZàâäéèêëîïôöùûüçœÀÂÄÉÈÊËÎÏÔÖÙÛÜÇ'' 0-9-]', '', 'g')) AS known, len(regexp_extract_all(value, '\\s{{2,}}')) AS ragged FROM v)
+SELECT p_partkey, value, round_even(least(1.0, known / length(value) * (0.85 + 0.15 * exp(-0.5 * ragged))), 4) AS confidence, value <> r.reading AS changed FROM r JOIN f ON f.reading = r.reading""")
 def char_decode(spark, sf_dir):
-    """TXT13, TXT9, SRT6: different values once, joined back to all rows."""
-    part = fx.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("reading"))
+    """TXT13, TXT9, SRT6: different values once, joined back to all rows. Its SQL tries all chains of a word."""
+    part = fx.fixture(spark, sf_dir, _READ_AS)
     known = part.select("reading").distinct().withColumn("d", decode.decoder_column("text")(F.col("reading")))
     return part.join(known, "reading").select("p_partkey", "d.value", "d.confidence", "d.changed")
 

@@ -54,15 +54,21 @@ def test_decoder_against_all_readings(word, kind):
 
 
 def test_decoder_prior():
-    """Transitions from the model's definition: half the logarithm of 1.6 times the letter's share and the pair's weight."""
-    d, known = decode.DECODER, [*decode.LETTERS, *"0123456789"]
-    pairs = [p for p in decode.FREQUENT if len(p) == 2]
-    weight = {c: 0.5 + sum(p.count(c) for p in pairs) for c in known}
-    total = sum(weight.values())
-    norm = 1 + len(decode.FREQUENT) + 1e-9
-    for a, b in ("qu", "th", "zz", "a1"):
-        want = 0.5 * math.log((1.6 * weight[b] / total + (a + b in pairs) + 1e-9) / norm)
-        assert abs(d.follows[d.number[a], d.number[b]] - want) < 1e-12
+    """Transitions worked out by hand. The alphabet has 52 plain letters, 31 with accents, apostrophe, blank, hyphen and ten digits: 96 halves are 48. The 29
+    pairs add 58 letters, so all weigh 106. The norm is 1 and the 35 sequences."""
+    for pair, letter, known in (("qu", 2.5, 1), ("th", 2.5, 1), ("zz", 0.5, 0), ("a1", 0.5, 0), ("n-", 0.5, 0), ("a ", 0.5, 0), ("lœ", 0.5, 0), ("ré", 0.5, 0), ("se", 9.5, 0), ("dÿ", 0.0, 0)):
+        want = 0.5 * math.log((1.6 * letter / 106 + known + 1e-9) / (36 + 1e-9))
+        d = decode.DECODER
+        assert abs(d.follows[d.number[pair[0]], d.number.get(pair[1], 0)] - max(want, 0.5 * math.log(1e-9))) < 1e-9, pair
+    assert abs(decode.DECODER.follows[decode.DECODER.number["q"], decode.DECODER.number["u"]] + 1.773239) < 1e-6
+
+
+@pytest.mark.parametrize("value, want", [
+    ("Ben Ali", 1.0), ("Jean-Paul", 1.0), ("O'Neil", 1.0), ("œuvre", 1.0), ("Œuvre", 0.8), ("12", 1.0), ("ÿa", 0.5), ("a#b", 0.6667), ("a  b", 0.941), ("a  b  c", 0.9052), ("a_b_c_d", 0.5714), ("", 0.0), (None, 0.0),
+])
+def test_decoder_confidence(value, want):
+    """The share of known characters, times 0.85 + 0.15 exp(-n / 2) for n runs of blanks."""
+    assert decode.Decoder(confusions={"none": {}}).decode(value, "none")[1] == want
 
 
 @pytest.mark.parametrize("value, want", [
