@@ -1,11 +1,11 @@
-"""Recognition as a plug-in: a class path made once in each worker, errors and time limits as columns, fallbacks in order. No models are included."""
+"""Recognition as a plug-in: a class path made once in a process beside each worker, errors and time limits as columns, fallbacks in order. No models
+are included."""
 
 from __future__ import annotations
 
-import importlib
 import re
 import time
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import prepare, raster
+from . import prepare, raster, supervise
 
 
 class Recognizer(Protocol):
@@ -23,68 +23,64 @@ class Recognizer(Protocol):
 
 
 class Stub:
-    """A deterministic recognizer for tests: the text is the crop's bytes."""
+    """A deterministic recognizer for tests: the text is the crop's bytes. It fails on one text, hangs on another and ends its process on a third."""
 
-    def __init__(self, confidence: float = 0.9, fail_on: str = "\0", delay_s: float = 0.0):
-        self.confidence, self.fail_on, self.delay_s = confidence, fail_on, delay_s
+    def __init__(self, confidence: float = 0.9, fail_on: str = "\0", delay_s: float = 0.0, hang_on: str = "\0", die_on: str = "\0", up: bool = True):
+        self.confidence, self.fail_on, self.delay_s, self.hang_on, self.die_on, self.up = confidence, fail_on, delay_s, hang_on, die_on, up
+
+    def available(self) -> bool:
+        return self.up
 
     def read(self, crops: list[bytes]) -> list[tuple[str, float]]:
-        time.sleep(self.delay_s)
+        time.sleep(self.delay_s * len(crops))
         texts = [c.decode("utf-8", "replace") for c in crops]
+        if any(self.hang_on in t for t in texts):
+            time.sleep(3600)
+        if any(self.die_on in t for t in texts):
+            raise SystemExit
         if any(self.fail_on in t for t in texts):
             raise ValueError("unreadable crop")
         return [(t, self.confidence) for t in texts]
 
 
-_made: dict[tuple, Recognizer] = {}
+def recognized(df: DataFrame, path: str, options: dict | None = None, size: int = 32, timeout_s: float = 120.0) -> DataFrame:
+    """REC1-REC5, REC10: (id, crop) to (id, text, confidence, error, source). Crops are read in batches; a batch that fails is halved until the bad
+    crops stand alone, and one that hangs is ended with its process after timeout_s, so each bad crop costs only itself."""
+    return cascade(df, [(path, options or {})], 0.0, size, timeout_s, any_text=True)
 
 
-def made(path: str, options: tuple) -> Recognizer:
-    """REC15, O7: one recognizer for each worker and set of options."""
-    if (path, options) not in _made:
-        module, name = path.rsplit(".", 1)
-        _made[path, options] = getattr(importlib.import_module(module), name)(**dict(options))
-    return _made[path, options]
+#: Batches that a task takes in at once, so that later stages have enough crops for batches of their own.
+ROUND = 8
 
 
-def recognized(df: DataFrame, path: str, options: dict | None = None, size: int = 32, timeout_s: float = 120.0) -> DataFrame:
-    """REC1-REC5, REC10: (id, crop) to (id, text, confidence, error, source). A batch that fails is read again crop by crop, so that one bad crop
-    costs only itself; a crop over its time is an error."""
-    fixed = tuple(sorted((options or {}).items()))
+def cascade(df: DataFrame, stages: list[tuple[str, dict]], least: float = 0.5, size: int = 32, timeout_s: float = 120.0, any_text: bool = False) -> DataFrame:
+    """REC7, REC12, REC13, REC14: (id, crop) to (id, text, confidence, error, source), in one pass over the crops. Each stage only sees those that the ones
+    before left without a sure text (any_text: with an error), so a crop is read once by each stage at most, but for halved batches. What no stage
+    read keeps the last reading or error. A stage that isn't available leaves all to the next. Null and empty crops go to the recognizers as empty."""
+    fixed = [(path, tuple(sorted(options.items())), path.rsplit(".", 1)[-1]) for path, options in stages]
 
-    def run(batches):
-        pool = ThreadPoolExecutor(1)
-
-        def read(crops):
-            return pool.submit(made(path, fixed).read, crops).result(timeout_s)
+    def sure(reading: tuple) -> bool:
+        text, confidence, error = reading
+        return error is None and (any_text or bool((text or "").strip()) and confidence >= least)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, crops = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = []
-            for k in range(0, len(crops), size):
-                try:
-                    rows += [(t, c, None) for t, c in read(crops[k : k + size])]
-                except Exception:
-                    for crop in crops[k : k + size]:
-                        try:
-                            rows.append((*read([crop])[0], None))
-                        except Exception as e:
-                            rows.append((None, 0.0, f"{type(e).__name__}: {e}"[:200]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string()))], pa.array([path.rsplit(".", 1)[-1]] * len(ids))], names=["id", "text", "confidence", "error", "source"])
-
-    return df.select("id", "crop").mapInArrow(run, "id long, text string, confidence double, error string, source string")
-
-
-def cascade(df: DataFrame, stages: list[tuple[str, dict]], least: float = 0.5) -> DataFrame:
-    """REC7, REC12, REC13: each stage only sees the crops that the ones before left without a sure text. What no stage read keeps its last error."""
-    out, left = None, df.select("id", "crop")
-    for k, (path, options) in enumerate(stages):
-        read = recognized(left, path, options)
-        good = read.where((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("confidence") >= least))
-        taken = read if k == len(stages) - 1 else good
-        out = taken if out is None else out.unionByName(taken)
-        left = left.join(good.select("id"), "id", "left_anti")
-    return out
+            for start in range(0, b.num_rows, ROUND * size):
+                part = b.slice(start, ROUND * size)
+                crops, rows = [c or b"" for c in part.column(1).to_pylist()], [(None, 0.0, None, None)] * part.num_rows
+                left = list(range(part.num_rows))
+                for path, options, name in fixed:
+                    child = supervise.child(path, options)
+                    for k in range(0, len(left), size):
+                        some = left[k : k + size]
+                        for i, r in zip(some, supervise.settled(child, [crops[i] for i in some], timeout_s)):
+                            rows[i] = (*r, name)
+                    left = [i for i in left if not sure(rows[i][:3])]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "text", "confidence", "error", "source"])
+
+    rows = df.select(F.col("id").cast("long").alias("id"), F.col("crop").cast("binary").alias("crop"))
+    return rows.mapInArrow(run, "id long, text string, confidence double, error string, source string")
 
 
 def handwritten_kept(printed: DataFrame, handwritten: DataFrame) -> DataFrame:
@@ -164,5 +160,5 @@ def one(spark, crop: bytes, path: str, options: dict | None = None) -> tuple[str
 
 
 def health() -> dict:
-    """APP2: what this process has loaded."""
-    return {"status": "ok", "recognizers": [p for p, _ in _made]}
+    """APP2: what runs beside this process."""
+    return {"status": "ok", "recognizers": supervise.running()}

@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import time
 import zipfile
 from collections import Counter
 from difflib import SequenceMatcher
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkplan.operators import bands, batches, forms, matching, pairing, recognize, report, rules, store, vision
+from inkplan.operators import bands, batches, forms, matching, pairing, recognize, report, rules, store, supervise, vision
 from inkplan.sources import readers, writers
 from inkplan.streaming import jobs
 
@@ -160,15 +161,76 @@ def test_states_and_replies(spark):
     assert [(r.row, r.text, r.confidence) for r in vision.grid_reply(grid, "reply", 1, 4).collect()] == [(3, "c", 0.4)]
 
 
+STUB = "inkplan.operators.recognize.Stub"
+
+
 def test_recognizers(spark):
     df = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in enumerate(["good", "bad!", "fine"])], "id long, crop binary")
-    stub = "inkplan.operators.recognize.Stub"
+    stub = STUB
     got = {r.id: r for r in recognize.recognized(df, stub, {"fail_on": "!"}).collect()}
     assert got[0].text == "good" and got[1].error and got[2].text == "fine"
     both = {r.id: r for r in recognize.cascade(df, [(stub, {"fail_on": "!"}), (stub, {"confidence": 0.7})]).collect()}
     assert (both[0].confidence, both[1].text, both[1].confidence) == (0.9, "bad!", 0.7) and len(both) == 3
     slow = recognize.recognized(df.limit(1), stub, {"delay_s": 0.5}, timeout_s=0.05).first()
     assert slow.text is None and "Timeout" in slow.error
+    assert recognize.recognized(df.limit(0), stub).collect() == []
+
+
+def test_supervised_recognizers(spark):
+    """Of 1,000 crops with three that hang, one that ends the process and two that fail, these six are errors."""
+    bad = {17: "hang", 18: "hang", 900: "hang", 400: "!", 401: "!", 777: "die"}
+    df = spark.createDataFrame([(k, bytearray(bad.get(k, f"text {k}").encode())) for k in range(1000)], "id long, crop binary").repartition(2)
+    start = time.time()
+    got = {r.id: r for r in recognize.recognized(df, STUB, {"fail_on": "!", "hang_on": "hang", "die_on": "die"}, timeout_s=1.0).collect()}
+    assert time.time() - start < 60  # six time limits for each that hangs, and a start after each
+    assert {k for k, r in got.items() if r.error} == set(bad) and all(got[k].text == f"text {k}" for k in range(1000) if k not in bad)
+    assert "Timeout" in got[17].error and "unreadable" in got[400].error and "ended" in got[777].error and got[1].source == "Stub"
+
+
+def test_halving():
+    class Counted(supervise.Child):
+        calls = 0
+
+        def read(self, crops, limit_s):
+            self.calls += 1
+            if b"bad" in crops:
+                raise RuntimeError("ValueError: bad")
+            if b"slow" in crops or len(crops) > 100:
+                raise TimeoutError
+            return [(c.decode(), 1.0) for c in crops]
+
+    child = Counted("", ())
+    out = supervise.settled(child, [b"a"] * 40 + [b"bad"] + [b"b"] * 23, 1.0)
+    assert [r[2] for r in out].count(None) == 63 and out[40] == (None, 0.0, "ValueError: bad") and child.calls == 1 + 2 * 6
+    assert all(r[2] is None for r in supervise.settled(child, [b"a"] * 128, 1.0)) and child.size == 64  # too large, not hung
+    before = child.calls
+    supervise.settled(child, [b"a"] * 128, 1.0)
+    assert child.calls == before + 2
+
+
+def test_cascade_in_one_pass(spark):
+    df = spark.createDataFrame([(k, None if k == 7 else bytearray(t.encode())) for k, t in enumerate(["a", "b!", "c?", "d!?", "", "hang", "d", "x"])], "id long, crop binary")
+    stages = [(STUB, {"up": False}), (STUB, {"fail_on": "!", "hang_on": "hang", "confidence": 0.4}), (STUB, {"fail_on": "?", "confidence": 0.7}), (STUB, {"confidence": 0.3, "fail_on": "!?"})]
+    out = recognize.cascade(df, stages, timeout_s=0.5)
+    got = {r.id: r for r in out.collect()}
+    assert [got[k].confidence for k in range(8)] == [0.7, 0.7, 0.3, 0.0, 0.3, 0.7, 0.7, 0.3] and got[3].error == "ValueError: unreadable crop"
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    down = recognize.cascade(df.limit(2), [(STUB, {"up": False})]).collect()
+    assert len(down) == 2 and all("not available" in r.error for r in down)
+    missing = recognize.recognized(df.limit(1), "inkplan.operators.recognize.Absent").first()
+    assert missing.text is None and "Absent" in missing.error
+
+
+def test_recognizer_lifecycle():
+    assert supervise.available(STUB, {"confidence": 0.1}) and not supervise.available(STUB, {"up": False})
+    assert recognize.health()["recognizers"] == [STUB]
+    first = supervise.child(STUB, (("confidence", 0.1),)).process.pid
+    assert supervise.child(STUB, (("confidence", 0.1),)).process.pid == first
+    for k in range(supervise.MOST):
+        assert supervise.available(STUB, {"confidence": k / 10 + 0.2})
+    assert len(supervise.running()) == supervise.MOST
+    supervise.close()
+    assert supervise.running() == []
 
 
 def test_sources_and_sinks(spark, tmp_path):
