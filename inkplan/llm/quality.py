@@ -1,8 +1,9 @@
 """Quality rules: an ordered list of threshold conjunctions learned from labelled statistics.
 
 measure() gives the statistics of each text, learn() fits a decision list to labelled ones by
-sequential covering (grow a conjunction on two thirds of the rows, prune it on the rest, remove what
-it covers, repeat), and condition() turns the list into one Spark CASE expression.
+sequential covering (grow a conjunction on two thirds of the rows, prune it on the rest, move a threshold or go on growing
+it where it still takes good rows, remove what it covers and repeat; a rule must shorten the description of rules and
+exceptions), and condition() turns the list into one Spark CASE expression.
 
 Defined cases: a null or empty text has no words and all counts 0; a label that is null or
 contradicted by another row of the same doc_id is not used; without labels of both kinds the list is
@@ -12,6 +13,8 @@ threshold; repeated rows get equal results; columns that clash with ours are not
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 
 import numpy as np
@@ -123,10 +126,10 @@ def _holds(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int, rule: Rule | None = None) -> Rule:
     """Adds the condition of greatest information gain until only bad rows are covered."""
-    rule: Rule = []
-    inside = np.ones(len(bad), bool)
+    rule = list(rule or [])
+    inside = _holds(rule, x, len(bad))
     while len(rule) < most and inside.any() and not bad[inside].all():
         p0, best = bad[inside].mean(), (0.0, None)
         if p0 == 0:
@@ -151,32 +154,86 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
     return rule
 
 
-def fit(x: dict[str, np.ndarray], good: np.ndarray, precision: float = 0.99, least: int = 5, rules: int = 12, conditions: int = 4) -> list[Rule]:
-    """Rules for bad documents, in order. A rule is taken only if on the pruning rows it covers some, and at least `precision` of them
-    are bad, as on the rows it grew from, and if it covers at least `least` rows in all; so clean documents stay."""
-    rng = np.random.default_rng(7)
-    bad = np.asarray(good) == 0
-    left, found = np.ones(len(bad), bool), []
-    fold = rng.permutation(len(bad)) % 3
-    while len(found) < rules and bad[left].any():
-        g, p = left & (fold != 2), left & (fold == 2)
-        rule = _grow({k: v[g] for k, v in x.items()}, bad[g], conditions)
-        if not rule:
-            break
+def _pruned(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+    """The conditions of the rule whose (bad - good) / (bad + good) on these rows is greatest; of equals those that cover more, then the fewest."""
+    held = [_holds([c], x, len(bad)) for c in rule]
+    best = None
+    for keep in itertools.chain.from_iterable(itertools.combinations(range(len(rule)), k) for k in range(1, len(rule) + 1)):
+        inside = np.logical_and.reduce([held[k] for k in keep])
+        n, wrong = int(inside.sum()), int((inside & ~bad).sum())
+        worth = ((n - 2 * wrong) / n if n else -1.0, n, -len(keep))
+        if best is None or worth > best[0]:
+            best = (worth, keep)
+    return [rule[k] for k in best[1]]
+
+
+def _moved(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray, precision: float, least: int) -> Rule | None:
+    """The rule with one threshold moved so that it covers the most rows of which `precision` are bad, and at least `least`; None: none does."""
+    best = (least - 1, None)
+    for k, (name, sign, _) in enumerate(rule):
+        inside = _holds(rule[:k] + rule[k + 1 :], x, len(bad))
+        v, b = x[name][inside], bad[inside]
+        order = np.argsort(v if sign == "<" else -v, kind="stable")
+        v, n = v[order], np.arange(1, len(order) + 1)
+        ends = np.append(v[1:] != v[:-1], True) & (np.cumsum(b[order]) >= precision * n) if len(v) else np.zeros(0, bool)
+        if ends.any() and n[ends][-1] > best[0]:
+            last = int(np.flatnonzero(ends)[-1])
+            beyond = v[last + 1] if last + 1 < len(v) else v[last] + (1 if sign == "<" else -1)
+            best = (n[last], [*rule[:k], (name, sign, float((v[last] + beyond) / 2)), *rule[k + 1 :]])
+    return best[1]
+
+
+def _merged(rule: Rule) -> Rule:
+    """Of conditions on the same side of a statistic, the narrowest."""
+    out: dict[tuple[str, str], float] = {}
+    for name, sign, at in rule:
+        out[name, sign] = at if (name, sign) not in out else (min if sign == "<" else max)(out[name, sign], at)
+    return [(name, sign, at) for (name, sign), at in out.items()]
+
 
-        def pure(r: Rule, rows: np.ndarray) -> bool:
-            c = _holds(r, x, len(bad)) & rows
-            return bool(c.any()) and bad[c].mean() >= precision
+def _bits(n: int, k: int) -> float:
+    """What it takes to say how many and which k of n rows are exceptions."""
+    return math.log2(n + 1) + (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)) / math.log(2)
 
-        # Pruning: the shortest beginning of the rule that is as pure as asked for on the pruning rows and on those it grew from.
-        rule = next((rule[:k] for k in range(1, len(rule) + 1) if pure(rule[:k], p) and pure(rule[:k], g)), None)
-        if rule is None:
+
+def _length(rules: list[Rule], x: dict[str, np.ndarray], bad: np.ndarray) -> float:
+    """The description length of the rules and of the rows that they get wrong."""
+    covered = np.zeros(len(bad), bool)
+    for r in rules:
+        covered |= _holds(r, x, len(bad))
+    condition = math.log2(len(x)) + 1 + math.log2(max(2, len(bad)))
+    return sum(1 + len(r) * condition for r in rules) + _bits(int(covered.sum()), int((covered & ~bad).sum())) + _bits(int((~covered).sum()), int((~covered & bad).sum()))
+
+
+def fit(x: dict[str, np.ndarray], good: np.ndarray, precision: float = 0.99, least: int = 5, rules: int = 12, conditions: int = 4) -> list[Rule]:
+    """Rules for bad documents, in order. Of the rows that a rule takes from those left by the rules before, at least `precision` are bad, and it
+    takes at least `least`; so clean documents stay. Of a rule that isn't as pure a threshold is moved, or it is grown further on the rows it takes; if
+    neither helps, or if the rule takes more to describe than the rows that it settles, its rows are set aside, and the rest is covered."""
+    bad = np.asarray(good) == 0
+    fold = np.random.default_rng(7).permutation(len(bad)) % 3
+    left, aside, found = np.ones(len(bad), bool), np.zeros(len(bad), bool), []
+    shortest = _length([], x, bad)
+    for _ in range(4 * rules):
+        open_ = left & ~aside
+        if len(found) == rules or not bad[open_].any():
             break
-        whole = _holds(rule, x, len(bad)) & left
-        if whole.sum() < least:
+        part = lambda rows: ({k: v[rows] for k, v in x.items()}, bad[rows])
+        rule = _grow(*part(open_ & (fold != 2)), conditions)
+        if not rule:
             break
-        found.append(rule)
-        left &= ~whole
+        rule = _pruned(rule, *part(open_ & (fold == 2))) if bad[open_ & (fold == 2)].any() else rule
+        broad, taken = rule, lambda r: _holds(r, x, len(bad)) & left
+        pure = lambda r: (rows := taken(r)).sum() >= least and bad[rows].mean() >= precision
+        if not pure(rule):
+            rule = _moved(rule, *part(left), precision, least) or rule
+        if not pure(rule):
+            rule = _grow(*part(open_), 2 * conditions, rule) or rule
+        if not pure(rule) or (length := _length([*found, _merged(rule)], x, bad)) >= shortest:
+            aside |= taken(broad) if (taken(broad) & open_ & bad).any() else open_ & bad
+            continue
+        found.append(_merged(rule))
+        left &= ~_holds(rule, x, len(bad))
+        shortest = length
     return found
 
 
