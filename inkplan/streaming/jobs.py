@@ -1,4 +1,4 @@
-"""STR1, STR2, STR5: a folder of result files as a stream; progress is a query over what has been written."""
+"""STR1: a folder of result files as a stream; progress is a query over what has been written."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.batches import job_counters, latest_state
+from ..operators.batches import job_counters
 
 
 def start(spark: SparkSession, source: str, schema, process, target: str, checkpoint: str) -> StreamingQuery:
@@ -37,11 +37,6 @@ def progress(spark: SparkSession, target: str) -> DataFrame:
     return job_counters(spark.read.parquet(target))
 
 
-def state_stream(events: DataFrame) -> DataFrame:
-    """STR2: the latest state of each file, for a stream of (file_id, seq, state) in complete mode."""
-    return latest_state(events)
-
-
 def windowed(events: DataFrame, late: str = "10 minutes", length: str = "30 minutes") -> DataFrame:
     """Counts of events by type and window with a watermark; ts without a zone is taken as UTC."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

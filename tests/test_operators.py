@@ -306,18 +306,6 @@ def test_previews_are_written_once(spark, tmp_path):
     assert sorted((r.name, r.page) for r in got) == [("a", 0), ("a", 1)] and images.png(bytes(got[0].preview)).shape == (20, 30, 3)
 
 
-def test_states_as_a_stream(spark, tmp_path):
-    """STR2: the same states as in a batch, from a stream of events."""
-    rng = random.Random(5)
-    rows = [(f, s, rng.choice(["pending", "processing", "done", "error", "cancelled"])) for f in range(30) for s in range(rng.randint(1, 6))]
-    events = spark.createDataFrame(rows, "file_id int, seq int, state string")
-    events.repartition(4).write.parquet(str(tmp_path / "in"))
-    stream = jobs.state_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    key = lambda df: sorted(tuple(r) for r in df.collect())
-    assert key(spark.table("states")) == key(batches.latest_state(events))
-
-
 def test_greedy_decode():
     words = {0: 3, 3: 5, 5: 1}
     seen = []
