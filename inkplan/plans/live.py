@@ -35,9 +35,9 @@ _FOUND = "SELECT o_orderkey AS page_id, CASE WHEN o_custkey % 2 = 0 THEN 'nom' E
 _CHANGED = "SELECT l_orderkey AS page_id, CASE WHEN l_partkey % 3 = 0 THEN 'nom' WHEN l_partkey % 3 = 1 THEN 'cin' ELSE 'serie' END AS key, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE l_returnflag || l_linestatus END AS value, l_linenumber * 1000000 + l_partkey AS seq, l_shipdate AS ts FROM lineitem"
 
 
-@query(f"""WITH f AS ({_FOUND}), c AS ({_CHANGED}), e AS (SELECT f.page_id, f.key, arg_max(c.value, (c.seq, c.value)) AS value FROM f JOIN c ON c.page_id = f.page_id AND c.key = f.key AND c.ts >= f.ts AND c.ts <= f.ts + INTERVAL 60 DAY GROUP BY ALL)
+@query(f"""WITH f AS ({_FOUND}), c AS ({_CHANGED}), e AS (SELECT f.page_id, f.key, arg_max(c.value, (c.seq, c.value)) AS value FROM f JOIN c ON c.page_id = f.page_id AND c.key = f.key GROUP BY ALL)
 SELECT f.page_id, f.key, coalesce(nullif(e.value, ''), f.value) AS value, CASE WHEN coalesce(e.value, '') <> '' THEN 'valid' ELSE f.status END AS status, coalesce(e.value, '') <> '' AS edited FROM f LEFT JOIN e ON e.page_id = f.page_id AND e.key = f.key""")
 def results_with_edits(spark, sf_dir):
-    """STR1, OVL1: readings and their edits of the sixty days after."""
+    """STR1, OVL1: readings and their edits. Edits of the sixty days after a reading meet it in the join, all others where its rows are read."""
     timed = lambda sql: fx.fixture(spark, sf_dir, sql).withColumn("ts", F.col("ts").cast("timestamp"))
     return overlay.detail(overlay.joined(timed(_FOUND), timed(_CHANGED), within=states.timedelta(days=60)))
