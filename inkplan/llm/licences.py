@@ -2,9 +2,11 @@
 
 The automaton holds all the templates' token sequences. Streaming a text's words through it gives,
 at each word, the longest suffix of the text so far that occurs in any template (matching
-statistics). Phrases are found where the state's suffixes include a whole phrase; maximal long
-matches are chained, along each template that holds them, into covered spans. A template is a label
-where one of a span's matches occurs in no other template, or where the span covers most of it.
+statistics). Phrases and names are found where the state's suffixes include a whole one; maximal long
+matches are chained, along each template that holds them, into covered spans. A span gives its
+template's label if it covers enough of the template, and if no span of another label that lies over
+it covers more of its own: so what licences have in common goes to the one that it fits best, and a
+sentence of one gives nothing. A name gives its label where it stands whole, with its version.
 
 Defined cases: a null or empty text has no words, no places, empty labels and score 0; overlapping
 places all count; words outside all templates end a match; a match in several templates counts in
@@ -50,19 +52,47 @@ TEMPLATES = {
     "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
     "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+        "arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be "
+        "misrepresented you must not claim that you wrote the original software"
+    ),
     "bsl-1.0": "boost software license version 1.0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
     "epl-2.0": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at",
     "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "cc-by": "licensed under cc by 4.0 creative commons attribution 4.0 international",
-    "cc-by-nc": "licensed under cc by nc 4.0 creative commons attribution noncommercial",
-    "cc-by-sa": "licensed under cc by sa 4.0 creative commons attribution sharealike",
+    "cc-by-nc": "licensed under cc by nc 4.0 creative commons attribution noncommercial 4.0 international",
+    "cc-by-sa": "licensed under cc by sa 4.0 creative commons attribution sharealike 4.0 international",
 }
+# What two whole licences go on with after their notices.
+MIT_END = (
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is "
+    "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+    "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+    "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+BSD_END = (
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+    "materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+    "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright "
+    "holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"
+)
+#: Whole licences: a text counts for its label like the notice of the same label.
+WHOLE = {"mit": TEMPLATES["mit"].removeprefix("released under the mit license ") + " " + MIT_END, "bsd": TEMPLATES["bsd"] + " " + BSD_END}
+# Names that stand for a licence, with the version where it has one.
+NAMES = {
+    "apache license version 2.0": "apache-2.0", "apache license 2.0": "apache-2.0", "the mit license": "mit", "bsd 2 clause license": "bsd", "bsd 3 clause license": "bsd",
+    "gnu general public license version 2": "gpl", "gnu general public license version 3": "gpl", "gnu affero general public license": "agpl",
+    "gnu lesser general public license": "lgpl", "mozilla public license version 2.0": "mpl-2.0", "mozilla public license v 2.0": "mpl-2.0", "the isc license": "isc",
+    "the zlib license": "zlib", "boost software license version 1.0": "bsl-1.0", "eclipse public license version 2.0": "epl-2.0", "eclipse public license 2.0": "epl-2.0",
+    "cc0 1.0 universal": "cc0", "cc by 4.0": "cc-by", "cc by nc 4.0": "cc-by-nc", "cc by sa 4.0": "cc-by-sa",
+}
 #: Words of a match that counts towards a template, and words of a chain that is a span.
 LEAST_MATCH, LEAST_CHAIN = 4, 5
-#: The part of a template that a span covers if it gives a label without any match of that template alone.
-ENOUGH = 0.8
+#: The part of a template that a span covers if it gives a label.
+ENOUGH = 0.5
 #: Words that a chain may skip in the text between two matches.
 GAP = 6
 
@@ -73,31 +103,31 @@ def words_of(text: str) -> list[bytes]:
 
 class Automaton:
     """A suffix automaton of several sequences. Each state keeps the templates and positions at which its
-    strings end, and the whole phrases among its suffixes."""
+    strings end, and the whole phrases and names among its suffixes. templates: (label, text)."""
 
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
+    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], names: dict[str, str] | None = None):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.size = [-1], [0]
-        self.names = list(templates)
+        self.names = [label for label, _ in templates]
         self.lengths = []
-        for k, text in enumerate(templates.values()):
+        for _, text in templates:
             seq = words_of(text)
             self.lengths.append(len(seq))
             last = 0
             for w in seq:
                 last = self._add(last, w)
-        own: dict[int, list[tuple[int, str]]] = {}
-        for phrase, label in phrases.items():
+        own: dict[int, list[tuple[int, str, bool]]] = {}
+        for phrase, label, base in [(p, x, True) for p, x in phrases.items()] + [(p, x, False) for p, x in (names or {}).items()]:
             last, seq = 0, words_of(phrase)
             for w in seq:
                 last = self._add(last, w)
-            own.setdefault(self.walk(seq), []).append((len(seq), label))
+            own.setdefault(self.walk(seq), []).append((len(seq), label, base))
         self.ends: list[tuple] = [()] * len(self.size)
         for v in sorted(range(len(self.size)), key=self.size.__getitem__):
             up = self.ends[self.link[v]] if self.link[v] >= 0 else ()
             self.ends[v] = up + tuple(own.get(v, ()))
         places: list[set] = [set() for _ in self.size]
-        for k, text in enumerate(templates.values()):
+        for k, (_, text) in enumerate(templates):
             v = 0
             for i, w in enumerate(words_of(text)):
                 v = self.next[v][w]
@@ -161,39 +191,59 @@ class Automaton:
         return out
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[str, int, int, int, bool]], float]:
-        """(phrase places, spans, score). A place: (first word, label). A span: (template, first word, end, words of the template that
-        its chain covers, whether it gives the label). Score: the greatest part of a template that a span or a match covers."""
-        found, places, matches, score = self.statistics(words), [], [], 0.0
+        """(phrase places, spans, score). A place: (first word, label). A span: (label, first word, end, words of the template that
+        its chain covers, whether it gives the label). Score: the greatest part of a template that a span or a match covers, a name being one."""
+        found, places, named, matches, score = self.statistics(words), [], [], [], 0.0
         for k, (i, v, n) in enumerate(found):
-            if self.ends[v]:
-                places += [(i - m + 1, label) for m, label in self.ends[v] if m <= n]
+            for m, label, base in self.ends[v]:
+                if m <= n:
+                    (places if base else named).append((i - m + 1, label) if base else (label, i - m + 1, i + 1, m, 1.0))
             if n < 2 or k + 1 < len(found) and found[k + 1][0] == i + 1 and found[k + 1][2] > n:
                 continue
             score = max(score, n * self.part[v])
             if n >= LEAST_MATCH:
-                alone = len({t for t, _ in self.at[v]}) == 1
-                matches += [(i - n + 1, i + 1, t, at, n, alone) for t, at in self.at[v]]
+                matches += [(i - n + 1, i + 1, t, at, n) for t, at in self.at[v]]
         spans, open_ = [], {}
-        for start, end, t, at, n, alone in matches:
+        for start, end, t, at, n in matches:
             if (s := open_.get(t)) and start - s[2] <= GAP and at > s[3]:
                 if end > s[2]:
                     s[4] += min(n, at - s[3], end - s[2])
-                    s[2], s[3], s[5] = end, at, s[5] or alone
+                    s[2], s[3] = end, at
             elif not s or end > s[2]:  # a match's second place in a template begins no span where its first goes on with one
-                open_[t] = [t, start, end, at, n, alone]
+                open_[t] = [t, start, end, at, n]
                 spans.append(open_[t])
-        spans = [s for s in spans if s[4] >= LEAST_CHAIN]
-        share = [min(1.0, s[4] / self.lengths[s[0]]) for s in spans]
-        return places, [(self.names[t], start, end, got, alone or p >= ENOUGH) for (t, start, end, _, got, alone), p in zip(spans, share)], max([min(1.0, score), *share])
+        chains = [(self.names[t], start, end, got, min(1.0, got / self.lengths[t])) for t, start, end, _, got in spans if got >= LEAST_CHAIN]
+        return places, contrasted(chains + named), max([min(1.0, score), *(s[4] for s in chains + named)])
+
+
+def contrasted(spans: list[tuple[str, int, int, int, float]]) -> list[tuple[str, int, int, int, bool]]:
+    """Spans (label, first word, end, words covered, part covered), by place, with whether they give their label: they cover ENOUGH, and no span of
+    another label that overlaps them covers as great a part with as many words, or a greater one; what fits two licences alike is neither's."""
+    spans, out = sorted(spans, key=lambda s: (s[1], s[2], s[0], -s[3])), []
+    longest = max((s[2] - s[1] for s in spans), default=0)
+    for k, (label, first, end, got, part) in enumerate(spans):
+        better = False
+        for step in (-1, 1):
+            j = k + step
+            while part >= ENOUGH and not better and 0 <= j < len(spans) and (spans[j][1] < end if step > 0 else spans[j][1] > first - longest):
+                other = spans[j]
+                better = other[0] != label and other[1] < end and other[2] > first and (other[4], other[3]) >= (part, got)
+                j += step
+        out.append((label, first, end, got, part >= ENOUGH and not better))
+    return out
+
+
+def known() -> list[tuple[str, str]]:
+    return [*TEMPLATES.items(), *WHOLE.items()]
 
 
-def scan(df: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
+def scan(df: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """For each row: n_words, n_base (phrase places), first_word, last_word (their least and greatest start), base_labels, labels,
-    score (the greatest covered part of a template), spans (template:first:end of those that give labels, comma-joined)."""
-    templates, phrases = templates or TEMPLATES, phrases or PHRASES
+    score (the greatest covered part of a template), spans (label:first:end of those that give labels, comma-joined)."""
+    templates, phrases, names = templates or known(), phrases or PHRASES, NAMES if names is None else names
 
     def make():
-        automaton = Automaton(templates, phrases)
+        automaton = Automaton(templates, phrases, names)
 
         def each(batch):
             out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}

@@ -531,7 +531,7 @@ def test_rules_are_the_same_whatever_the_order(spark, sf_dir):
 
 def test_licence_query(spark, sf_dir):
     """Every column of the whole query against the automaton's plain version on each text, and templates written into texts are found."""
-    a = licences.Automaton(licences.TEMPLATES, licences.PHRASES)
+    a = licences.Automaton(licences.known(), licences.PHRASES, licences.NAMES)
     text = {r.doc_id: r.text for r in common.documents(spark, sf_dir).collect()}
     for r in registry.op2_licences(spark, sf_dir).collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[r.doc_id] or ""))
