@@ -73,7 +73,7 @@ def test_matching_statistics_and_spans():
             best = max((n for n in range(i + 2) if any(words[i - n + 1 : i + 1] == t[j : j + n] for t in sequences for j in range(len(t) - n + 1))), default=0)
             assert got.get(i, 0) == best
     words = licences.words_of("Text. Permission is hereby granted, free of charge, to any person obtaining a copy of this software. End")
-    assert [s[0] for s in a.scan(words)[1]] == ["mit"] and a.scan(words)[1][0][1:3] == (1, 17)
+    assert {s[:3] for s in a.scan(words)[1]} == {("mit", 1, 17)}  # of the notice and of the whole licence
 
 
 def labels(text: str) -> set[str]:
