@@ -13,8 +13,9 @@ allows it. Only the links found leave the block; no pair is emitted, and a pair
 A pair at similarity 0.85 shares no bucket with probability (1 - 0.85^4)^32 = 6e-11, at 0.8 with 5e-8.
 
 Defined cases: null or empty text, or one without words: an empty set, linked with nothing; fewer than five words: the whole
-sequence is the one shingle; a null doc_id counts as the least id and comes back as null; rows without a doc_id, or with the same, are
-linked by their texts alone, and of each component exactly one row is kept; other columns are not read.
+sequence is the one shingle; rows without a doc_id, or with the same, are linked by their texts alone; a null doc_id comes after all others, so
+component_id is null only where no row of the component has a doc_id; of each component exactly one row is kept, of rows with its least doc_id the one with the
+least text_key(); other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ BANDS = BINS // ROWS
 SHINGLE = 5
 #: The signature's share of equal values may fall short of the similarity by so many standard deviations.
 DEVIATIONS = 5
-#: Bits of the filter over the documents in links; its size, 1 MB, is the same for every input.
-FILTER_BITS = 1 << 23
+#: Bits of a filter over keys: at least LEAST_BITS (1 MB), KEY_BITS for each key, at most MOST_BITS (32 MB, which may be broadcast). Beyond MOST_KEYS, where
+#: the largest filter would let every fifth stranger through, keys are joined.
+LEAST_BITS, KEY_BITS, MOST_BITS = 1 << 23, 16, 1 << 28
+MOST_KEYS = MOST_BITS // 4
 #: Rows of a bucket compared with one another in one piece, and the shingles of these.
 BLOCK, ITEMS = 2000, 2_000_000
 
@@ -134,13 +137,21 @@ def close(links: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_rows(met.select("a", "b", "hub", "sig_a", "sig_b", F.least("n_a", "n_b").alias("n")), make, "a long, b long, hub long")
 
 
-def slot(columns: tuple[str, ...]) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+def filter_bits(keys: int) -> int:
+    bits = LEAST_BITS
+    while bits < min(KEY_BITS * keys, MOST_BITS):
+        bits *= 2
+    return bits
 
 
 def maybe_in(df: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("doc_id",), others: tuple[str, ...] = ("doc_id",), flag: str | None = None) -> DataFrame:
-    """Rows of df whose `columns` may be in `others` of ids (flag: all rows, with that as a column of this name): a filter of FILTER_BITS bits,
-    whatever the number of ids, is broadcast, so that df is neither shuffled nor sorted. Rows let through in error do no harm."""
+    """Rows of df whose `columns` may be in `others` of ids (flag: all rows, with that as a column of this name): a bit filter, sized by the
+    number of ids and bounded, is broadcast, so that df is neither shuffled nor sorted. Rows let through in error do no harm. For more than MOST_KEYS ids
+    the rows are joined with them, which shuffles both by key. Null keys are in no ids."""
+    keys = ids.agg(F.approx_count_distinct(F.xxhash64(*others))).first()[0]
+    if keys > MOST_KEYS:
+        return joined_in(df, ids, columns, others, flag)
+    slot = lambda of: F.pmod(F.xxhash64(*of), F.lit(filter_bits(keys)))
     bits = ids.select(slot(others).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("number"))
     bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     number, place = fresh(df, "number"), fresh(df, "place")
@@ -154,6 +165,17 @@ def maybe_in(df: DataFrame, ids: DataFrame, columns: tuple[str, ...] = ("doc_id"
     return out.select(*names, hit.alias(flag)) if flag else out.where(hit).select(*names)
 
 
+def joined_in(df: DataFrame, ids: DataFrame, columns: tuple[str, ...], others: tuple[str, ...], flag: str | None) -> DataFrame:
+    """As maybe_in(), by a join."""
+    names = [fresh(df, f"_key{k}") for k in range(len(others))]
+    hit = fresh(df, "_hit")
+    keys = ids.select(*[F.col(c).alias(n) for c, n in zip(others, names)]).distinct().withColumn(hit, F.lit(True))
+    on = [df[f"`{c}`"] == keys[n] for c, n in zip(columns, names)]
+    if flag is None:
+        return df.join(keys, on, "left_semi")
+    return df.join(keys, on, "left").select(*[df[f"`{c}`"] for c in df.columns], F.coalesce(F.col(hit), F.lit(False)).alias(flag))
+
+
 def first_of_equal(spark: SparkSession, df: DataFrame, keys: tuple[str, str], again: DataFrame, others: tuple[str, str], name: str) -> DataFrame:
     """df with the column `name`: false for all but one of the rows with equal `keys`, where these are in `others` of again."""
     maybe, number = fresh(df, "_again"), fresh(df, "_number")
@@ -305,7 +327,7 @@ def grouped(spark: SparkSession, df: DataFrame, percent: int, shingle: int) -> D
     sets, by the number of one of its rows; in each component one row is kept, of the least doc_id."""
     sigs = stored(spark, signatures(df, shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = sigs.where("n > 0")
-    first = F.min(F.struct("doc_id", "key", "row"))
+    first = F.min(F.struct((F.col("doc_id") == NO_ID).alias("none"), "doc_id", "key", "row"))
     classes = some.groupBy("set_a", "set_b", "n").agg(first.alias("rep")).select("set_a", "set_b", "n", F.col("rep.row").alias("node"), F.col("rep.doc_id").alias("least"))
     classes = stored(spark, classes, "reps")
     nodes = some.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")

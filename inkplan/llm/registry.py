@@ -93,6 +93,8 @@ QUERIES = {
 }
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+#: What orders texts of one doc_id, as common.text_key().
+_KEY = "CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT)"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -113,22 +115,22 @@ _CRC = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(c
 
 #: Equal windows are found by their MD5 here, so that the oracle's hash is another than the operators'.
 ORACLE_SQL: dict[str, str] = {
-    "op8_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS l FROM documents),
-    s AS (SELECT doc_id, md5(array_to_string(l[i:i + 4], ' ')) AS s FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 4, least(len(l), 1)) + 1)) AS i FROM w) GROUP BY ALL),
-    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-    x AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY a, b),
-    e AS (SELECT a, b FROM x JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 85 * (m.n + o.n - c)),
+    "op8_near_duplicates": f"""WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, {_KEY}) AS r, {_WORDS.format(_LOWER)} AS l FROM documents),
+    s AS (SELECT r, md5(array_to_string(l[i:i + 4], ' ')) AS s FROM (SELECT r, l, unnest(range(1, greatest(len(l) - 4, least(len(l), 1)) + 1)) AS i FROM w) GROUP BY ALL),
+    n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+    x AS (SELECT p.r AS a, q.r AS b, count(*) AS c FROM s p JOIN s q ON p.s = q.s AND p.r < q.r GROUP BY a, b),
+    e AS (SELECT a, b FROM x JOIN n m ON m.r = a JOIN n o ON o.r = b WHERE 100 * c >= 85 * (m.n + o.n - c)),
     g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     reach AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM reach r JOIN g ON r.b = g.a),
     c AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
-    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(c.b, w.doc_id)) AS component_id, w.doc_id <= coalesce(c.b, w.doc_id) AS kept
-    FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id""",
-    "op9_suffix_dedup": f"""WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents), d AS (SELECT *, length(h) // 2 AS n FROM t),
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, h.doc_id AS component_id, h.r = w.r AS kept
+    FROM w LEFT JOIN n ON n.r = w.r LEFT JOIN c ON c.a = w.r JOIN w h ON h.r = least(w.r, coalesce(c.b, w.r))""",
+    "op9_suffix_dedup": f"""WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, {_KEY}) AS r, hex(encode(coalesce(text, ''))) AS h FROM documents), d AS (SELECT *, length(h) // 2 AS n FROM t),
     w AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, {2 * suffixes.WINDOW})) AS m FROM (SELECT r, h, unnest(range(n - {suffixes.WINDOW - 1})) AS p FROM d)),
     hit AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY m ORDER BY r, p) AS k FROM w) WHERE k > 1), {_runs(suffixes.WINDOW)},
     q AS (SELECT v.r, string_agg(substr(h, 2 * f + 1, 2 * (e - f)), '' ORDER BY f, e) AS left FROM v JOIN d ON d.r = v.r GROUP BY v.r)
     SELECT doc_id, n AS n_bytes, n - length(q.left) // 2 AS n_removed, (SELECT count(*) FROM u WHERE u.r = d.r) AS n_spans, sha256(unhex(q.left)) AS kept_sha256 FROM d JOIN q ON d.r = q.r""",
-    "op10_super_kmers": f"""WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS r, {_WORDS.format("coalesce(text, '')")} AS l FROM documents), d AS (SELECT *, len(l) AS n FROM t),
+    "op10_super_kmers": f"""WITH t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST, {_KEY}) AS r, {_WORDS.format("coalesce(text, '')")} AS l FROM documents), d AS (SELECT *, len(l) AS n FROM t),
     w AS (SELECT r, p, md5_number(array_to_string(l[p + 1:p + {superkmers.WINDOW}], ' ')) AS m FROM (SELECT r, l, unnest(range(n - {superkmers.WINDOW - 1})) AS p FROM d)),
     hit AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY m) AS k FROM w) WHERE k > 1), {_runs(superkmers.WINDOW)},
     q AS (SELECT v.r, string_agg(array_to_string(l[f + 1:e], ' '), ' ' ORDER BY f, e) FILTER (e > f) AS left, sum(e - f) AS n FROM v JOIN d ON d.r = v.r GROUP BY v.r)
