@@ -33,10 +33,19 @@ def chunked(rows: DataFrame, size: int = 16) -> DataFrame:
 
 
 def nearest(boxes: DataFrame, bands: DataFrame) -> DataFrame:
-    """JN14: the band (page_id, band, y) of each box (page_id, box, y) with the least distance, the first of equals."""
-    met = boxes.join(bands.withColumnRenamed("y", "band_y"), "page_id")
-    near = F.min(F.struct(F.abs(F.col("y") - F.col("band_y")).alias("d"), "band"))
-    return met.groupBy("page_id", "box").agg(near.alias("b")).select("page_id", "box", "b.band", F.col("b.d").alias("distance"))
+    """JN14: the band (page_id, band, y) of each box (page_id, box, y) with the least distance, the first of equals. Bands and boxes of a page are merged by y
+    and looked at once from above and once from below; no box meets more than the band before it and the one after it. Boxes without y, and of pages
+    without bands, have no nearest band."""
+    first = bands.where("y is not null").groupBy("page_id", F.col("y").cast("double").alias("y")).agg(F.min("band").alias("band"))
+    none = lambda column, df: F.lit(None).cast(df.schema[column].dataType).alias(column)
+    merged_ = boxes.where("y is not null").select("page_id", "box", F.col("y").cast("double").alias("y"), none("band", bands)).unionByName(first.select("page_id", none("box", boxes), "y", "band"))
+    page, near = Window.partitionBy("page_id"), F.when(F.col("band").isNotNull(), F.struct("y", "band"))
+    seen = lambda order: F.last(near, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    of_box = F.col("box").isNotNull()  # bands come first where y is equal
+    met = merged_.select("page_id", "box", "y", "band", seen(page.orderBy("y", of_box)).alias("above")).withColumn("below", seen(page.orderBy(F.desc("y"), of_box)))
+    side = lambda name: F.when(F.col(name).isNotNull(), F.struct(F.abs(F.col("y") - F.col(f"{name}.y")).alias("d"), F.col(f"{name}.band").alias("band")))
+    best = F.least(side("above"), side("below"))
+    return met.where(of_box).select("page_id", "box", best.alias("b")).where("b is not null").select("page_id", "box", "b.band", F.col("b.d").alias("distance"))
 
 
 def with_metadata(readings: DataFrame, bands: DataFrame) -> DataFrame:
@@ -45,9 +54,15 @@ def with_metadata(readings: DataFrame, bands: DataFrame) -> DataFrame:
 
 
 def same_row(items: DataFrame, rows: DataFrame, within: int = 8) -> DataFrame:
-    """JN16: the first row (page_id, row_no, top) whose top is less than `within` from the item's (page_id, item, top)."""
-    met = items.join(rows.withColumnRenamed("top", "row_top"), "page_id").where(F.abs(F.col("top") - F.col("row_top")) < within)
-    return met.groupBy("page_id", "item").agg(F.min("row_no").alias("row_no"))
+    """JN16: the first row (page_id, row_no, top) whose top is less than `within` from the item's (page_id, item, top). Tops of a page become one row each
+    first, so that a window over whole pixels holds 2 * within - 1 of them at most, however many items and rows a page has."""
+    tops = rows.where("top is not null").groupBy("page_id", F.col("top").cast("double").alias("top")).agg(F.min("row_no").alias("row_no"))
+    asked = items.select("page_id", F.col("top").cast("double").alias("top"), F.lit(None).cast(rows.schema["row_no"].dataType).alias("row_no")).where("top is not null")
+    each = tops.unionByName(asked).groupBy("page_id", "top").agg(F.min("row_no").alias("row_no"))
+    reach = within - 1e-6  # tops are pixels; a range takes its ends in
+    near = each.select("page_id", "top", F.expr(f"min(row_no) over (partition by page_id order by top range between {reach!r}D preceding and {reach!r}D following) as row_no")).where("row_no is not null")
+    out = items.select("page_id", "item", F.col("top").cast("double").alias("top")).distinct().join(near, ["page_id", "top"])
+    return out.groupBy("page_id", "item").agg(F.min("row_no").alias("row_no"))
 
 
 def improvements(rows: DataFrame) -> DataFrame:

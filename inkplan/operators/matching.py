@@ -33,14 +33,23 @@ def violations(rules: Column) -> Column:
 
 def blocked(identities: DataFrame, registry: DataFrame) -> DataFrame:
     """JN10: identities (id, cin, nom, prenom, session_year) with their candidates: by CIN where there is one, else by name as written in capitals
-    (accents count, T10), the first MOST_BY_NAME by CIN. Two equality joins; no identity meets the whole registry."""
-    c = registry.select(*[F.col(n).alias(f"c_{n}") for n in ("cin", "nom", "prenom", "session_year")])
+    (accents count, T10), the first MOST_BY_NAME by CIN. The registry's rows are numbered within each name, and within each name and first name, before
+    they meet anyone, so a frequent name brings MOST_BY_NAME rows to each identity and no more. Three equality joins."""
+    names = ("cin", "nom", "prenom", "session_year")
+    up = lambda n: F.upper(F.trim(F.coalesce(n, F.lit(""))))
+    c = registry.select(*[F.col(n).alias(f"c_{n}") for n in names])
     given = F.trim(F.coalesce("cin", F.lit("")))
     by_cin = identities.where(given != "").join(c, given == F.col("c_cin"))
-    up = lambda n: F.upper(F.trim(F.coalesce(n, F.lit(""))))
-    named = identities.where((given == "") & (up("nom") != "")).join(c, (up("nom") == up("c_nom")) & ((up("prenom") == "") | (up("prenom") == up("c_prenom"))))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("c_cin"))
-    return by_cin.unionByName(named.withColumn("rn", first).where(F.col("rn") <= MOST_BY_NAME).drop("rn"))
+    named = identities.where((given == "") & (up("nom") != ""))
+
+    def first(*by: str) -> DataFrame:
+        keyed = c.select("*", *[up(f"c_{n}").alias(f"_{n}") for n in by])
+        rank = F.row_number().over(Window.partitionBy(*[f"_{n}" for n in by]).orderBy("c_cin"))
+        return keyed.where("_nom <> ''").withColumn("_rank", rank).where(F.col("_rank") <= MOST_BY_NAME).drop("_rank")
+
+    by_name = named.where(up("prenom") == "").join(first("nom"), up("nom") == F.col("_nom")).drop("_nom")
+    both = named.where(up("prenom") != "").join(first("nom", "prenom"), (up("nom") == F.col("_nom")) & (up("prenom") == F.col("_prenom"))).drop("_nom", "_prenom")
+    return by_cin.unionByName(by_name).unionByName(both)
 
 
 def scored(pairs: DataFrame, ratio=decode.ratio_column) -> DataFrame:

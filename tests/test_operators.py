@@ -390,3 +390,39 @@ def test_decoded_words_over_whole_tables(spark, sf_dir):
         probe = "".join(c for c in part[r.p_partkey].p_type if c.isalnum()).upper()
         like = [SequenceMatcher(None, probe, s).ratio() for s in fields.SCHOOLS]
         assert r.school == (fields.SCHOOLS[like.index(max(like))] if max(like) >= fields.SCHOOL_RATIO else None)
+
+
+def test_nearest_by_merging(spark):
+    rng = random.Random(3)
+    boxes = [(p, k, rng.choice([None, *range(30)])) for p in range(6) for k in range(15)]
+    of = [(p, k, rng.choice([None, *(x / 2 for x in range(60))])) for p in range(5) for k in range(rng.randint(0, 8))]
+    got = {(r.page_id, r.box): (r.distance, r.band) for r in bands.nearest(spark.createDataFrame(boxes, "page_id long, box int, y int"), spark.createDataFrame(of, "page_id long, band int, y double")).collect()}
+    want = {(p, k): min((abs(y - z), b) for q, b, z in of if q == p and z is not None) for p, k, y in boxes if y is not None and any(q == p and z is not None for q, _, z in of)}
+    assert got == want
+    tops = [(p, k, rng.choice([None, *range(60)])) for p in range(5) for k in range(12)]
+    got = {(r.page_id, r.item): r.row_no for r in bands.same_row(spark.createDataFrame(boxes, "page_id long, item int, top int"), spark.createDataFrame(tops, "page_id long, row_no int, top int")).collect()}
+    want = {(p, k): min(n for q, n, z in tops if q == p and z is not None and abs(y - z) < 8) for p, k, y in boxes if y is not None and any(q == p and z is not None and abs(y - z) < 8 for q, _, z in tops)}
+    assert got == want
+
+
+def test_a_page_of_many_boxes_and_bands(spark):
+    """100,000 of each on one page: all pairs would be ten thousand million."""
+    n = 100_000
+    ids = spark.range(n)
+    boxes, of = ids.select(F.lit(1).alias("page_id"), F.col("id").alias("box"), (F.col("id") * 7 % 50_000).alias("y")), ids.select(F.lit(1).alias("page_id"), F.col("id").alias("band"), (F.col("id") * 3 % 40_000).alias("y"))
+    got = bands.nearest(boxes, of)
+    assert got.count() == n and got.agg(F.max("distance")).first()[0] == 10_000
+    assert bands.same_row(boxes.withColumnsRenamed({"box": "item", "y": "top"}), of.withColumnsRenamed({"band": "row_no", "y": "top"})).count() == n * 40_007 // 50_000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_a_frequent_name_brings_few_candidates(spark):
+    registry = spark.range(5000).select(F.format_string("%08d", F.lit(5000) - F.col("id")).alias("cin"), F.lit("Ben").alias("nom"), F.when(F.col("id") % 2 == 0, "Ali").otherwise("Eya").alias("prenom"), F.lit("2024").alias("session_year"))
+    asked = [(1, None, "ben", ""), (2, "", " BEN", "eya"), (3, "00000007", "x", "y"), (4, None, "", ""), (5, None, "Bén", "")]
+    identities = spark.createDataFrame([(*a, "2024") for a in asked], "id long, cin string, nom string, prenom string, session_year string")
+    got = Counter()
+    for r in matching.blocked(identities, registry).collect():
+        got[r.id, int(r.c_cin)] += 1
+    every = [(1, k) for k in range(1, 21)] + [(2, k) for k in range(1, 41) if (5000 - k) % 2 == 1] + [(3, 7)]
+    assert got == Counter(every)
