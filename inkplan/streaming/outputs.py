@@ -20,53 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import commits
+
 MOST_ATTEMPTS = 3
 #: Takes rows and gives them back with a string column `error`, null where a row is accepted.
 Judge = Callable[[DataFrame], DataFrame]
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place, jvm
-
-
-def _names(spark: SparkSession, path: str) -> list[str]:
-    fs, place, _ = _files(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
-
-
 def manifests(spark: SparkSession, target: str) -> list[dict]:
     """One small file for each batch, in order of commit numbers."""
-    names = [n for n in _names(spark, f"{target}/manifests") if n.endswith(".json")]
+    names = [n for n in commits.names(spark, f"{target}/manifests") if n.endswith(".json")]
     if not names:
         return []
     lines = spark.read.option("wholetext", True).text([f"{target}/manifests/{n}" for n in names]).collect()
     return sorted((json.loads(r.value) for r in lines), key=lambda m: m["batch"])
 
 
-def committed(spark: SparkSession, target: str, batch: str) -> bool:
-    fs, place, _ = _files(spark, f"{target}/manifests/{batch}.json")
-    return fs.exists(place)
-
-
-def _commit(spark: SparkSession, target: str, manifest: dict) -> bool:
-    """False if a manifest of that batch is there already: rename doesn't replace a file."""
-    fs, place, jvm = _files(spark, f"{target}/manifests/{manifest['batch']}.json")
-    _, draft, _ = _files(spark, f"{target}/drafts/{uuid.uuid4().hex}")
-    fs.mkdirs(place.getParent())
-    out = fs.create(draft, False)
-    out.write(bytearray(json.dumps(manifest).encode()))
-    out.close()
-    done = not fs.exists(place) and fs.rename(draft, place)
-    if not done:
-        fs.delete(draft, False)
-    return done
-
-
 def commit(spark: SparkSession, rows: DataFrame, judge: Judge, target: str, batch: str, replaces: list[str] | None = None, between: Callable[[], None] = lambda: None) -> bool:
     """Judges the rows and commits both outputs; whether this run did. between: called between the two writes, for tests."""
-    if committed(spark, target, batch):
+    if commits.exists(spark, f"{target}/manifests/{batch}.json"):
         return False
     before = F.coalesce(F.col("attempts"), F.lit(0)) if "attempts" in rows.columns else F.lit(0)
     judged = judge(rows.withColumn("attempts", (before + 1).cast("int")).drop("error"))
@@ -79,7 +51,7 @@ def commit(spark: SparkSession, rows: DataFrame, judge: Judge, target: str, batc
         judged.where("error is not null").write.parquet(f"{target}/{names['refused']}")
     finally:
         judged.unpersist()
-    return _commit(spark, target, {"batch": batch, **names, "replaces": replaces or []})
+    return commits.put_once(spark, f"{target}/manifests/{batch}.json", json.dumps({"batch": batch, **names, "replaces": replaces or []}))
 
 
 def start(spark: SparkSession, stream: DataFrame, judge: Judge, target: str, checkpoint: str) -> StreamingQuery:
@@ -130,9 +102,8 @@ def swept(spark: SparkSession, target: str) -> int:
     found = manifests(spark, target)
     gone = {name for m in found for name in m["replaces"]}
     kept, n = {m[k] for m in found for k in ("accepted", "refused")} - gone, 0
-    for kind in ("accepted", "refused", "drafts"):
-        for name in _names(spark, f"{target}/{kind}"):
+    for kind in ("accepted", "refused"):
+        for name in commits.names(spark, f"{target}/{kind}"):
             if f"{kind}/{name}" not in kept:
-                fs, place, _ = _files(spark, f"{target}/{kind}/{name}")
-                n += fs.delete(place, True)
+                n += commits.delete(spark, f"{target}/{kind}/{name}")
     return n
