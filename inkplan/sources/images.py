@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -59,33 +59,45 @@ def unpacked_lzw(data: bytes) -> bytes:
 UNPACK = {1: bytes, 5: unpacked_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: unpacked_bits}
 
 
-def tiff(content: bytes) -> Iterator[np.ndarray]:
-    """SRC4: each page of a TIFF file of strips: 1, 8 or 16 bits, grey, RGB, palette or CMYK."""
-    order = {b"II": "<", b"MM": ">"}[content[:2]]
-    at = struct.unpack_from(order + "I", content, 4)[0]
-    seen = set()
+#: Gives so many bytes from an offset on.
+Cut = Callable[[int, int], bytes]
+
+
+def directory(cut: Cut) -> Iterator[tuple[str, dict[int, tuple]]]:
+    """SRC4: (byte order, tags) of each page of a TIFF file; only the pages' heads are read."""
+    head = cut(0, 8)
+    order = {b"II": "<", b"MM": ">"}[head[:2]]
+    at, seen = struct.unpack_from(order + "I", head, 4)[0], set()
     while at and at not in seen:
         seen.add(at)
-        n, tags = struct.unpack_from(order + "H", content, at)[0], {}
+        n, tags = struct.unpack(order + "H", cut(at, 2))[0], {}
+        body = cut(at + 2, 12 * n + 4)
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
+            tag, kind, count = struct.unpack_from(order + "HHI", body, 12 * k)
             if kind in TYPES:
                 form = f"{order}{count}{TYPES[kind]}"
-                place = at + 10 + 12 * k
-                if struct.calcsize(form) > 4:
-                    place = struct.unpack_from(order + "I", content, place)[0]
-                tags[tag] = struct.unpack_from(form, content, place)
-        yield _page(content, tags, order)
-        at = struct.unpack_from(order + "I", content, at + 2 + 12 * n)[0]
+                size = struct.calcsize(form)
+                place = cut(struct.unpack_from(order + "I", body, 12 * k + 8)[0], size) if size > 4 else body[12 * k + 8 : 12 * k + 12]
+                tags[tag] = struct.unpack_from(form, place)
+        yield order, tags
+        at = struct.unpack_from(order + "I", body, 12 * n)[0]
+
+
+def tiff(content: bytes) -> Iterator[np.ndarray]:
+    """SRC4: each page of a TIFF file of strips: 1, 8 or 16 bits, grey, RGB, palette or CMYK."""
+    cut = lambda at, n: content[at : at + n]
+    for order, tags in directory(cut):
+        yield page(cut, tags, order)
 
 
-def _page(content: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
+def page(cut: Cut, tags: dict[int, tuple], order: str) -> np.ndarray:
+    """One page, by its tags from directory()."""
     one = lambda tag, default: tags.get(tag, (default,))[0]
     w, h, bits, samples, kind = one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 1), one(SAMPLES, 1), one(PHOTOMETRIC, 0)
     unpack = UNPACK.get(one(COMPRESSION, 1))
     if unpack is None or bits not in (1, 8, 16):
         raise ValueError("a TIFF of another compression or depth")
-    raw = b"".join(unpack(content[o : o + c]) for o, c in zip(tags[OFFSETS], tags[COUNTS]))
+    raw = b"".join(unpack(cut(o, c)) for o, c in zip(tags[OFFSETS], tags[COUNTS]))
     if bits == 1:
         line = (w * samples + 7) // 8
         px = np.unpackbits(np.frombuffer(raw, np.uint8, line * h).reshape(h, line), axis=1)[:, : w * samples].reshape(h, w, samples) * 255

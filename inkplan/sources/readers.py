@@ -60,17 +60,17 @@ def pages(df: DataFrame, split=split_file) -> DataFrame:
     and TIFF files, for PDF files one is passed in. A file that can't be read gives one row with an error."""
     import pyarrow as pa
 
+    schema = pa.schema([("name", pa.string()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())])
+
     def run(batches):
         for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for name, content in zip(b.column(0), b.column(1)):
+                name = name.as_py()
                 try:
-                    for k, image in split(content, name):
-                        rows.append((name, k, image.shape[1], image.shape[0], image.tobytes(), None))
+                    for k, image in split(content.as_py(), name):  # each page goes out before the next is read
+                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (name, k, image.shape[1], image.shape[0], image.tobytes(), None)))], schema=schema)
                 except Exception as e:  # an unreadable file is data, not a failed task
-                    rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"[:300]))
-            yield pa.RecordBatch.from_pylist([dict(zip(("name", "page", "width", "height", "pixels", "error"), r)) for r in rows], schema=pa.schema(
-                [("name", pa.string()), ("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())]))
+                    yield pa.RecordBatch.from_pylist([{"name": name, "error": f"{type(e).__name__}: {e}"[:300]}], schema=schema)
 
     return df.select("name", "content").mapInArrow(run, "name string, page int, width int, height int, pixels binary, error string")
 

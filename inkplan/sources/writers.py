@@ -44,28 +44,30 @@ FIGURES = [
 ]
 
 
+def shown_row(r, names: list[str]) -> list:
+    """A report row's cells, with the verdict's fill."""
+    verdict = Style(fill=r["fill"], colour=VERDICT[r["fill"]], bold=True)
+    style = {"Statut Validation": verdict, "Indice de Confiance Global (%)": Style(r["fill"], VERDICT[r["fill"]], True, "0.0%")}
+    if r["marked"]:
+        style["Code-Barres / QR"] = Style(fill=report.MARKED, colour="006100", bold=True)
+    return [(r[c], style.get(c, Style())) for c in names]
+
+
 def report_workbook(rows: DataFrame, order: list[str], stamp: str) -> bytes:
     """SNK1, SNK2, SNK3: report_rows() as .xlsx: a sheet of pages with the verdicts' fills, and one of key figures. A sheet holds a bounded
-    number of rows; more are an error, and write_report() is for them."""
+    number of rows; more are an error, and reportsink.write_report() is for them."""
     some = rows.orderBy(*order).limit(MOST_ROWS).collect()
     if not some:
         raise ValueError("no finished file to export")
     if len(some) == MOST_ROWS:
-        raise ValueError("more pages than a sheet holds; use write_report()")
+        raise ValueError("more pages than a sheet holds; use reportsink.write_report()")
     names = [c for c in rows.columns if c not in ("page_id", "fill", "marked")]
 
-    def shown(r) -> list:
-        verdict = Style(fill=r["fill"], colour=VERDICT[r["fill"]], bold=True)
-        style = {"Statut Validation": verdict, "Indice de Confiance Global (%)": Style(r["fill"], VERDICT[r["fill"]], True, "0.0%")}
-        if r["marked"]:
-            style["Code-Barres / QR"] = Style(fill=report.MARKED, colour="006100", bold=True)
-        return [(r[c], style.get(c, Style())) for c in names]
-
     def wide(v) -> float:
         return 0.0 if v is None else max(8.0, min(52.0, 2.0 + sum(1.0 if ord(c) < 128 else 1.7 for c in str(v))))
 
     widths = [min(60.0, 2.0 + max(wide(c), *(wide(r[c]) for r in some))) for c in names]
-    data = Sheet("Données Extraites", [[(c, HEADER) for c in names], *map(shown, some)], widths, True)
+    data = Sheet("Données Extraites", [[(c, HEADER) for c in names], *[shown_row(r, names) for r in some]], widths, True)
     pages = rows.select(
         F.col("Nom du Fichier").alias("file_id"), F.col("`Indice de Confiance Global (%)`").alias("confidence"), (F.col("Statut Validation") == report.ACCEPTED).alias("accepted"),
         F.col("Code-Barres / QR").alias("barcodes"),
