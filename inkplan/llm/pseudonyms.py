@@ -7,7 +7,9 @@ dates from 1900 to 2099. A value is split into two numbers that are changed in t
 number's own range, so the network is a bijection of exactly that format's values. Mail addresses and key-like hexadecimal tokens
 have no such small range: they become keyed hashes of the same shape.
 
-The key is a secret: it comes from the argument or from the session's setting SETTING, and without one nothing runs.
+The key is a secret: it comes from the argument or from the session's setting SETTING, and without one nothing runs. It doesn't enter the plan: what
+does are keys derived from it, one for each use, as literals that begin with MARK, which spark.redaction.string.regex=inkplan-key-[0-9a-f]+ hides in
+plans, the UI and event logs.
 
 Defined cases: null text stays null and empty text empty; numbers that fail their check (card numbers by the Luhn sum, phone numbers by seven digits, dates by
 the calendar and the years 1900 to 2099, social numbers and addresses by their ranges) are left as they are, and so are plain runs of
@@ -18,6 +20,9 @@ the text and, at one place, to the first kind of KINDS; all other columns pass u
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +52,17 @@ DAYS = (17, 4297)
 AREAS, SERIALS = 898, 9999
 
 
+#: What derived keys begin with, and how many hexadecimal digits stand for a mail address's name and host: 80 bits each.
+MARK, MAIL_DIGITS = "inkplan-key-", 20
+
+
+def derived(key: str, use: str) -> str:
+    return MARK + hmac.new(key.encode(), use.encode(), hashlib.sha256).hexdigest()
+
+
 def _sum(key: str, kind: Column, turn: Column, half: Column) -> Column:
     """The keyed round function: a number under 2^56."""
-    text = F.concat_ws("|", F.lit(key), kind, turn.cast("string"), half.cast("string"))
+    text = F.concat_ws("|", F.lit(derived(key, "feistel")), kind, turn.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 14), 16, 10).cast("long")
 
 
@@ -159,14 +172,14 @@ def _written(x: Column, key: str) -> Column:
 
 
 def _hashed(found: Column, key: str, kind: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), found), 256)
+    return F.sha2(F.concat_ws("|", F.lit(derived(key, kind)), found), 256)
 
 
 def _mail(found: Column, key: str) -> Column:
     host = F.substring_index(found, "@", -1)
     return F.concat(
-        F.lit("p"), F.substring(_hashed(F.lower(found), key, "mail"), 1, 12), F.lit("@d"),
-        F.substring(_hashed(F.lower(host), key, "host"), 1, 8), F.lit("."), F.substring_index(host, ".", -1),
+        F.lit("p"), F.substring(_hashed(F.lower(found), key, "mail"), 1, MAIL_DIGITS), F.lit("@d"),
+        F.substring(_hashed(F.lower(host), key, "host"), 1, MAIL_DIGITS), F.lit("."), F.substring_index(host, ".", -1),
     )
 
 

@@ -2,6 +2,7 @@
 clashing names, empty tables."""
 
 import hashlib
+import hmac
 import os
 import random
 import re
@@ -238,7 +239,8 @@ def python_pseudonym_digits(digits: str, key: str, kind: str) -> str:
     a, b, over_a, over_b = int(digits[:left]), int(digits[left:]), 10**left, 10 ** (len(digits) - left)
     for k in range(pseudonyms.ROUNDS):
         other = b if k % 2 == 0 else a
-        f = int(hashlib.sha256(f"{key}|{kind}|{k}|{other}".encode()).hexdigest()[:14], 16)
+        own = "inkplan-key-" + hmac.new(key.encode(), b"feistel", hashlib.sha256).hexdigest()
+        f = int(hashlib.sha256(f"{own}|{kind}|{k}|{other}".encode()).hexdigest()[:14], 16)
         if k % 2 == 0:
             a = (a + f) % over_a
         else:
@@ -246,6 +248,20 @@ def python_pseudonym_digits(digits: str, key: str, kind: str) -> str:
     return f"{a:0{left}d}{b:0{len(digits) - left}d}"
 
 
+def test_mail_and_secret_pseudonyms_and_the_plan(spark):
+    """Recomputed from the definition: 80 bits for a name and for a host; the key itself isn't in the plan."""
+    use = lambda what: "inkplan-key-" + hmac.new(KEY.encode(), what, hashlib.sha256).hexdigest()
+    sha = lambda *x: hashlib.sha256("|".join(x).encode()).hexdigest()
+    secret = "9f" * 40
+    df = spark.createDataFrame([("Ask Ann.Lee@Mail.Example.org now",), (f"token {secret} end",)], "text string")
+    out = pseudonyms.pseudonymise(df, key=KEY)
+    mail = f"Ask p{sha(use(b'mail'), 'ann.lee@mail.example.org')[:20]}@d{sha(use(b'host'), 'mail.example.org')[:20]}.org now"
+    token = "".join(sha(use(b"secret"), str(k), secret) for k in range(2))[:80]
+    assert [r.text for r in out.collect()] == [mail, f"token {token} end"]
+    plan = out._jdf.queryExecution().toString()
+    assert KEY not in plan.replace("inkplan-key-", "") and "inkplan-key-" in plan
+
+
 def test_pseudonyms(spark):
     found = ["mail a.b@x.example.com.", "+1 (017) 555-7713", "4845168114407329", "4845 1681 1440 7329", "9807915762804490", "97.51.17.173", "2003-12-04", "31/02/2003", "05.12.2003", "123-45-6789",
              'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', None, "", "no data 12", "999.1.1.1", "x" * LONG + " 97.51.17.173"]
@@ -290,7 +306,7 @@ def test_pseudonyms_of_very_long_finds(spark):
     some = ["a@b" + ".c" * n, "a" * n + "@b.c", "a.b-" * n + "@b.c", "1." * n, "12" * n, "0a" * n, "1-" * n, "1 " * n, "12-12-" * n, "+1" * n, "(123)" * n, "2001-01-01 " * 1000, "x@" * n]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(some)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pseudonyms.pseudonymise(df, key=KEY).collect()}
-    assert re.fullmatch(r"p[0-9a-f]{12}@d[0-9a-f]{8}\.c", got[0]) and all(got[k].endswith(".c") and "aa" * 20 not in got[k] and "a.b" not in got[k] for k in (1, 2))
+    assert re.fullmatch(r"p[0-9a-f]{20}@d[0-9a-f]{20}\.c", got[0]) and all(got[k].endswith(".c") and "aa" * 20 not in got[k] and "a.b" not in got[k] for k in (1, 2))
     assert len(got[5]) == 2 * n and got[5] != some[5] and got[3] == some[3] and "2001-01-01" not in got[11]
 
 
