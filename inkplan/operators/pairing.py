@@ -188,7 +188,7 @@ def numeric_harvest(entries: DataFrame, value: Column, key: str, length: int, sl
         return F.transform(v["windows"], of)
 
     best = F.array_min(F.flatten(F.transform("values", ranked)))
-    return pages.select("page_id", best.alias("b")).where("b is not null").select("page_id", F.lit(key).alias("key"), "b.value", "b.confidence", "b.score")
+    return pages.select("page_id", best.alias("b")).where("b is not null").select("page_id", F.lit(key).alias("key"), "b.item_idx", "b.value", "b.confidence", "b.score")
 
 
 def printed_block(values: DataFrame) -> DataFrame:

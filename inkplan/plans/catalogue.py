@@ -134,6 +134,32 @@ def cin_harvest(spark, sf_dir):
     return pairing.numeric_harvest(e, eight, "cin", 8).select("page_id", "key", "value")
 
 
+#: Numbers as scans give them: whole, with letters for digits, in groups, a digit too many or too few, beside other digits, and none at all.
+_SPREAD = """
+SELECT page_id, item_idx, text, confidence, x0, y0, x1, y1 FROM (
+  WITH k AS (SELECT o_orderkey AS page_id, o_orderkey % 9 AS r9, o_custkey % 5 AS r5, lpad(CAST((o_orderkey * 104729) % 10000000 AS VARCHAR(10)), 7, '0') AS n FROM orders)
+  SELECT page_id, 0 AS item_idx, 'N° CIN' AS text, CAST(0.97 AS DOUBLE) AS confidence, 50 AS x0, 100 AS y0, 260 AS x1, 134 AS y1 FROM k
+  UNION ALL SELECT page_id, 1, CASE r9 WHEN 0 THEN concat('O', n) WHEN 1 THEN concat('1', n, '7') WHEN 2 THEN n WHEN 3 THEN concat(substr(n, 1, 3), ' ', substr(n, 4, 4), ' 1') WHEN 4 THEN concat('x', n, 'y', n) ELSE concat('8', n) END,
+    CAST(0.9 AS DOUBLE), 280, 100, 520, 134 FROM k
+  UNION ALL SELECT page_id, 2, CASE r5 WHEN 0 THEN concat('0', substr(n, 1, 2), '.', substr(n, 3, 5)) WHEN 1 THEN concat('l', n) WHEN 2 THEN concat('12 0', n) WHEN 3 THEN 'rien' ELSE concat('77', n, '77') END, CAST(0.8 AS DOUBLE), 280, 400, 520, 434 FROM k) u
+"""
+
+
+@query(f"""WITH {_labelled(_SPREAD)}, groups AS (SELECT page_id, item_idx, confidence, x0, y0, x1, y1, unnest(regexp_extract_all(regexp_replace(translate(clean, 'OoIliSsBb', '001115588'), '[^0-9\\s]', ' ', 'g'), '[0-9]+(?:[ \t./|,-]+[0-9]+)*')) AS grp FROM val),
+parts AS (SELECT *, regexp_extract_all(grp, '[0-9]+') AS runs FROM groups), edges AS (SELECT *, array_to_string(runs, '') AS whole, list_transform(range(1, len(runs) + 1), lambda k: length(array_to_string(runs[1:k], ''))) AS ends FROM parts),
+starts AS (SELECT *, unnest(range(0, greatest(0, length(whole) - 7))) AS a FROM edges),
+win AS (SELECT page_id, item_idx, confidence, x0, y0, x1, y1, substr(whole, CAST(a AS INT) + 1, 8) AS value, CAST(a > 0 AND NOT list_contains(ends, a) AS INT) + CAST(NOT list_contains(ends, a + 8) AS INT) AS penalty FROM starts
+ UNION ALL SELECT page_id, item_idx, confidence, x0, y0, x1, y1, value, 0 FROM (SELECT *, unnest(runs) AS value FROM parts) WHERE abs(length(value) - 8) <= 1),
+rated AS (SELECT w.page_id, w.item_idx, w.value, penalty * 1000.0 + (abs((w.x0 + w.x1) / 2.0 - (l.x0 + l.x1) / 2.0) + abs((w.y0 + w.y1) / 2.0 - (l.y0 + l.y1) / 2.0)) / 2000.0 + CASE WHEN regexp_matches(w.value, '^[01]') THEN 0.0 ELSE 400.0 END AS score
+ FROM win w JOIN lab l ON w.page_id = l.page_id WHERE l.key = 'cin' AND penalty < 2)
+SELECT page_id, item_idx, value, CAST(round(score, 4) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score, item_idx, value) AS rn FROM (SELECT DISTINCT * FROM rated)) WHERE rn = 1""")
+def number_windows(spark, sf_dir):
+    """JN7, TXT10: the best window of eight digits of a page, over runs that stand whole, in groups, or beside other digits."""
+    e = pairing.normalised(fx.items(spark, sf_dir, _SPREAD))
+    found = pairing.numeric_harvest(e, pairing.is_value(), "cin", 8)
+    return found.select("page_id", "item_idx", "value", F.round("score", 4).alias("score"))
+
+
 @query(f"""WITH {_labelled(fx.NUMBERS)}, m AS (SELECT *, regexp_extract(clean, '(?:^|[^0-9])([0-9]{{3}})[\\s./|-]*([0-9]{{6}})(?:[^0-9]|$)', 1) AS serie, regexp_extract(clean, '(?:^|[^0-9])([0-9]{{3}})[\\s./|-]*([0-9]{{6}})(?:[^0-9]|$)', 2) AS identifiant FROM val)
 SELECT page_id, serie, identifiant FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, item_idx) AS rn FROM m WHERE serie <> '' AND starts_with(identifiant, serie)) WHERE rn = 1 AND confidence >= 0.5""")
 def printed_block(spark, sf_dir):
