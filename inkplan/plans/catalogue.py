@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, decode, geometry, text
-from ..operators import bands, batches, fields, forms, matching, pairing, report, rules, store, vision
+from ..operators import bands, batches, fields, forms, matching, pairing, report, rules, similar, store, vision
 from . import fixtures as fx
 from .entries import query
 
@@ -630,7 +630,24 @@ def char_decode(spark, sf_dir):
     return part.join(known, "reading").select("p_partkey", "d.value", "d.confidence", "d.changed")
 
 
-@query()
+def _ratios(pairs: str) -> str:
+    """CTEs seg and ratio(p, n, ratio): the Ratcliff-Obershelp ratio of the pairs (p, n): the longest common block, the first in p and then in n, and the
+    same on either side of it."""
+    return f"""seg AS (SELECT p, n, 0 AS a0, length(p) AS a1, 0 AS b0, length(n) AS b1, 0 AS size FROM (SELECT DISTINCT p, n FROM {pairs})
+ UNION ALL SELECT p, n, c.a0, c.a1, c.b0, c.b1, c.size FROM (
+  SELECT p, n, unnest([{{'a0': a0, 'a1': i, 'b0': b0, 'b1': j, 'size': k}}, {{'a0': i + k, 'a1': a1, 'b0': j + k, 'b1': b1, 'size': 0}}]) AS c FROM (
+   SELECT *, row_number() OVER (PARTITION BY p, n, a0, a1, b0, b1 ORDER BY k DESC, i, j) AS rn FROM (
+    SELECT *, unnest(range(1, least(a1 - i, b1 - j) + 1)) AS k FROM (SELECT *, unnest(range(b0, b1)) AS j FROM (SELECT *, unnest(range(a0, a1)) AS i FROM seg)))
+   WHERE substr(p, i + 1, k) = substr(n, j + 1, k)) WHERE rn = 1)),
+ratio AS (SELECT p, n, 2.0 * sum(size) / (length(p) + length(n)) AS ratio FROM seg GROUP BY p, n)"""
+
+
+_SCHOOLS = ", ".join(f"('{n}', {k})" for k, n in enumerate(fields.SCHOOLS))
+
+
+@query(f"""WITH RECURSIVE school(n, ord) AS (VALUES {_SCHOOLS}), t AS (SELECT p_partkey, upper(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')) AS probe FROM part), pairs AS (SELECT DISTINCT probe AS p, n FROM t, school WHERE length(probe) >= 2), {_ratios('pairs')},
+best AS (SELECT p, first(n ORDER BY ratio DESC, ord) AS school FROM ratio JOIN school USING (n) WHERE ratio >= {fields.SCHOOL_RATIO} GROUP BY p)
+SELECT p_partkey, probe, school FROM t LEFT JOIN best ON p = probe""")
 def acronym_nearest(spark, sf_dir):
     """JN13, TXT8, TXT12."""
     part = fx.table(spark, sf_dir, "part").select("p_partkey", text.tidy_acronym(F.col("p_type")).alias("probe"))
@@ -638,6 +655,20 @@ def acronym_nearest(spark, sf_dir):
     return part.join(known, "probe").select("p_partkey", "probe", "school")
 
 
+_SLIPS = f"""SELECT p_partkey, concat(CASE p_partkey % 4 WHEN 0 THEN translate(name, 'IOE', '103') WHEN 1 THEN substr(name, 1, CAST(p_partkey % 7 AS INT) + 2) WHEN 2 THEN concat(substr(name, 2), substr(p_type, 1, 1)) ELSE name END,
+CASE WHEN p_size % 5 = 0 THEN CAST(p_size AS VARCHAR(3)) ELSE '' END) AS probe FROM (SELECT p_partkey, p_type, p_size, {"CASE p_partkey % " + str(len(fields.SCHOOLS)) + " " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(fields.SCHOOLS))} END AS name FROM part) x"""
+
+
+@query(f"""WITH RECURSIVE school(n, ord) AS (VALUES {_SCHOOLS}), t AS ({_SLIPS}), pairs AS (SELECT DISTINCT probe AS p, n FROM t, school), {_ratios('pairs')},
+best AS (SELECT p, first(n ORDER BY ratio DESC, ord) AS name, max(ratio) AS ratio FROM ratio JOIN school USING (n) WHERE ratio >= {fields.SCHOOL_RATIO} GROUP BY p)
+SELECT p_partkey, probe, name, CAST(round(ratio, 6) AS DOUBLE) AS ratio FROM t JOIN best ON p = probe""")
+def acronym_slips(spark, sf_dir):
+    """JN11, JN13: acronyms with slips, their nearest official one by bounds: different probes once, joined back to all rows."""
+    rows = fx.fixture(spark, sf_dir, _SLIPS)
+    names = spark.createDataFrame([(n, k) for k, n in enumerate(fields.SCHOOLS)], "name string, ord int")
+    return rows.join(similar.best(spark, rows, names, fields.SCHOOL_RATIO), "probe").select("p_partkey", "probe", "name", F.round("ratio", 6).alias("ratio"))
+
+
 @query()
 def noisy_dates(spark, sf_dir):
     """DT2, DT4, DT5, DT6."""
