@@ -51,8 +51,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a packed sequence. A null or empty text is one piece, its end; repeated rows are packed once each; equal lengths are placed in
-    an order that the result doesn't depend on beyond the numbers of sequences."""
+    """A row for each piece of a packed sequence. A null or empty text is one piece, its end; repeated rows are packed once each; which of equal lengths goes to
+    which sequence is open."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
