@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ LEAST_CHANGED = 0.92
 _NUMERIC = ("cin", "serie", "identifiant", "anonyme")
 _TABLE = str.maketrans(text.CONFUSED, text.MEANT)
 _WINDOW = str.maketrans(text.WINDOW_CONFUSED, text.WINDOW_MEANT)
+#: The numbers that are harvested, their digits, and how many more or fewer a whole run may have.
+NUMBERS = (("cin", 8, 1), ("serie", 4, 0), ("identifiant", 6, 1))
 #: Labels that readings of schools may begin with, longest first.
 SCHOOL_LABELS = ("ETABLISSEMENTDORIGINE", "ETABLISSEMENTSCOLAIRE", "ETABLISSEMENT", "INSTITUT", "LYCEE")
 
@@ -31,6 +34,7 @@ def nearest_digits(value: str, length: int, leading: str) -> str | None:
     return min(found)[3] if found else None
 
 
+@lru_cache(100_000)
 def birth(value: str) -> str:
     """DT7: the date and place of a birth; a year alone says that the rest can't be read."""
     found = dates.best_date(value)
@@ -45,12 +49,13 @@ def birth(value: str) -> str:
     return f"{found[0]} · {place}" if len(place) > 1 else found[0]
 
 
-def name(value: str) -> str:
+def name(value: str, decoded: str) -> str:
     """TXT9."""
-    new = re.sub(r"\s+", " ", decode.DECODER.decode(value)[0]).strip().strip(".'-")
+    new = re.sub(r"\s+", " ", decoded).strip().strip(".'-")
     return new[0].upper() + new[1:] if len(new) >= 2 else value
 
 
+@lru_cache(100_000)
 def school(value: str) -> str:
     """TXT8, JN13."""
     import unicodedata
@@ -61,8 +66,12 @@ def school(value: str) -> str:
     return decode.nearest(packed, fields.SCHOOLS, fields.SCHOOL_RATIO) or packed if len(packed) >= 2 else value
 
 
-@lru_cache(100_000)
-def corrected(key: str, value: str) -> str:
+def decoded_as(key: str) -> str | None:
+    """The decoder's table for a field, if its readings are decoded."""
+    return "digit" if fields.KIND.get(key) == "cin" else "text" if key in ("nom", "prenom") else None
+
+
+def corrected(key: str, value: str, decoded: str | None) -> str:
     """TXT5: a reading as its field's kind would have it; what can't be told stays as it is."""
     kind = fields.KIND.get(key, "text")
     if not value:
@@ -70,30 +79,44 @@ def corrected(key: str, value: str) -> str:
     if key == "date_naissance":
         return birth(value)
     if key in ("nom", "prenom"):
-        return name(value)
+        return name(value, decoded)
     if kind == "etablissement":
         return school(value)
     if kind == "date":
         return (dates.best_date(value) or (value,))[0]
-    if kind == "cin" and (near := nearest_digits(decode.DECODER.decode(value, "digit")[0] or value, 8, "01")):
+    if kind == "cin" and (near := nearest_digits(decoded or value, 8, "01")):
         return near
     n = sum(c.isdigit() for c in value)
     return value.translate(_TABLE) if kind in _NUMERIC and n and 2 * n >= len(value) else value
 
 
-def built(key: str, value: str, confidence: float) -> list:
+def all_corrected(readings: list[tuple[str, str]]) -> list[str]:
+    """corrected() of readings (key, value): each different one once, and those that are decoded together, which is what the decoder is made for."""
+    decoded, different = {}, list(dict.fromkeys(readings))
+    for kind in ("digit", "text"):
+        some = [r for r in different if decoded_as(r[0]) == kind]
+        decoded |= zip(some, (d[0] for d in decode.DECODER.decode_all([v for _, v in some], kind)))
+    known = {r: corrected(*r, decoded.get(r)) for r in different}
+    return [known[r] for r in readings]
+
+
+def built(key: str, value: str, confidence: float, new: str | None = None) -> list:
     """[key, value, confidence, original]: a reading with its correction. A changed value is at least LEAST_CHANGED sure and keeps the original."""
-    new = corrected(key, value)
+    new = all_corrected([(key, value)])[0] if new is None else new
     return [key, new, confidence, None] if new == value else [key, new, max(confidence, LEAST_CHANGED), value]
 
 
+def right(key: str, length: int, value: str) -> bool:
+    """Whether a number needs no harvest."""
+    n = sum(c.isdigit() for c in value)
+    return n in (3, 4) if key == "serie" else n == length and (key != "cin" or bool(re.fullmatch("[01][0-9]{7}", value.replace(" ", ""))))
+
+
 def harvest(found: list[list], entries: list[dict], free: dict[int, dict]) -> None:
     """JN7, FLT6 on one page: numbers that are missing or misread, from any item that no field has taken. found: rows of built()."""
-    for key, length, slack in (("cin", 8, 1), ("serie", 4, 0), ("identifiant", 6, 1)):
+    for key, length, slack in NUMBERS:
         own = next((f for f in reversed(found) if f[0] == key), None)
-        n = sum(c.isdigit() for c in own[1]) if own else 0
-        packed = own[1].replace(" ", "") if own else ""
-        if own and (n in (3, 4) if key == "serie" else n == length and (key != "cin" or bool(re.fullmatch("[01][0-9]{7}", packed)))):
+        if own and right(key, length, own[1]):
             continue
         label = next((e for e in entries if e["key"] == key), None)
         if label is None:
@@ -152,23 +175,48 @@ def names_harvested(found: list[list], entries: list[dict], free: dict[int, dict
             found.append(built(key, best[1], max(best[2]["conf"], 0.95)))
 
 
-def page_fields(entries: list[dict]) -> list[list]:
-    """Pairing, correction, harvest of numbers, printed block and harvest of names of one page: rows of built() in order."""
-    pairs = pairing.greedy(entries)
-    gone = {v["idx"] for _, v in pairs} | {e["idx"] for e in entries if e["key"]}
-    found = [built(key, v["raw"], v["conf"]) for key, v in pairs]
-    free = {e["idx"]: e for e in entries if e["idx"] not in gone}
-    harvest(found, entries, free)
-    printed(found, free)
-    names_harvested(found, entries, free)
-    return found
+def page_fields(batch) -> dict:
+    """Pairing, correction, harvest of numbers, printed block and harvest of names of whole pages: columns of built() rows in order. Pairing and correction
+    are done for all pages at once; the other steps look at pages that lack something, or have both fields of a printed block."""
+    page, (label, value, both) = pairing.page_numbers(batch), pairing.greedy(batch)
+    keys = batch.column("key").to_pylist()
+    begins = np.searchsorted(page, np.arange(page[-1] + 2)).tolist()
+    conf, taken = batch.column("confidence").to_pylist(), set(value.tolist())
+    shown, read = (batch.column("inline_key").take(label).to_pylist(), batch.column("inline_value").take(value).to_pylist())
+    raw = batch.column("raw").take(value).to_pylist()
+    pairs = [(shown[k], read[k]) if b else (keys[at], raw[k]) for k, (at, b) in enumerate(zip(label.tolist(), both.tolist()))]
+    found: list[list[list]] = [[] for _ in begins[1:]]
+    for p, (key, old), new, at in zip(page[label].tolist(), pairs, all_corrected(pairs), value.tolist()):
+        found[p].append(built(key, old, conf[at], new))
+    clean, noise = batch.column("clean").to_pylist(), batch.column("noise").to_pylist()
+    rects = list(zip(*(batch.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))))
+
+    def entry(at: int) -> dict:
+        return {"idx": at, "clean": clean[at], "conf": conf[at], "key": keys[at], "noise": noise[at], "rect": rects[at]}
+
+    for rows, begin, end in zip(found, begins, begins[1:]):
+        last, named = {f[0]: f[1] for f in rows}, set(keys[begin:end])
+        lacks = any(key in named and not (key in last and right(key, length, last[key])) for key, length, _ in NUMBERS) or "" in (last.get("nom"), last.get("prenom"))
+        if lacks or ("serie" in last and "identifiant" in last):
+            free = {at: entry(at) for at in range(begin, end) if at not in taken and not keys[at]}
+            if lacks:
+                entries = [entry(at) for at in range(begin, end)]
+                harvest(rows, entries, free)
+            printed(rows, free)
+            if lacks:
+                names_harvested(rows, entries, free)
+    flat = [f for rows in found for f in rows]
+    many = [len(rows) for rows in found]
+    first = np.repeat(begins[:-1], many)
+    out = {"page_id": batch.column("page_id").take(first), "occurrence": np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)}
+    return out | dict(zip(("key", "value", "confidence", "original"), zip(*flat) if flat else [()] * 4))
 
 
 def analysed(items: DataFrame) -> DataFrame:
     """Items (page_id, item_idx, text, confidence, box) to (page_id, occurrence, key, value, confidence, corrections, status). The steps that take
     items away from one another run page by page in one grouped function; the rules' windows reuse its partitioning."""
 
-    rows = pairing.flat(pairing.normalised(items))
+    rows = pairing.flat(pairing.normalised(items).drop("box"))
     found = pairing.per_page(rows, page_fields, "page_id long, occurrence int, key string, value string, confidence double, original string")
     note = F.when(F.col("original").isNotNull(), F.struct("original", fields.kind_of(F.col("key")).alias("kind"), F.lit("char").alias("engine")))
     return rules.validated(found.withColumn("corrections", note).drop("original"))

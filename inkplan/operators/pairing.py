@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,82 +91,124 @@ def contested_pages(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("page_id", "value_idx").agg(F.count("*").alias("n")).where("n > 1").select("page_id").distinct()
 
 
-def greedy(entries: list[dict]) -> list[tuple[str, dict]]:
-    """JN6 for one page: labels in reading order, each taking a value that no earlier one took. entries: dicts with raw, clean, norm, key,
-    rect, noise, inline. Returns (key, value entry)."""
-    free = {e["idx"]: e for e in entries}
-    out = []
-    for e in entries:
-        if e["inline"]:
-            free.pop(e["idx"])
-            out.append((e["inline"][0], e | {"raw": e["inline"][1]}))
-    for e in [e for e in entries if e["key"] and e["idx"] in free]:
-        free.pop(e["idx"])
-        x0, y0, x1, y1 = e["rect"]
-        height, middle = max(1.0, y1 - y0), (y0 + y1) / 2
-        values = [v for v in free.values() if not v["key"] and not v["noise"]]
-        line = [(v["rect"][0] - x1, v) for v in values if abs((v["rect"][1] + v["rect"][3]) / 2 - middle) <= max(height, 8.0) / 2 and -2 <= v["rect"][0] - x1 <= SAME_LINE_GAP]
-        if not line:
-            most = NAME_BELOW_GAP if e["key"] in ("nom", "prenom") else BELOW_GAP
-            line = [(v["rect"][1] - y1, v) for v in values if 0 < v["rect"][1] - y1 <= most and v["rect"][2] >= x0 - 2 * height and v["rect"][0] <= x1 + 2 * height]
-        if not line:
-            continue
-        form = fields.PATTERN[e["key"]]
-        line.sort(key=lambda g: (not (form and re.match(form, g[1]["clean"])), g[0], g[1]["clean"]))
-        chosen = line[0][1]
-        free.pop(chosen["idx"])
-        out.append((e["key"], chosen))
-    return out
+def page_numbers(batch) -> np.ndarray:
+    """The number of each row's page in a batch that is sorted by page, from 0; rows without page_id are one page."""
+    page = batch.column("page_id")
+    there, ids = page.is_valid().to_numpy(zero_copy_only=False), page.fill_null(0).to_numpy()
+    return np.cumsum(np.r_[False, (ids[1:] != ids[:-1]) | (there[1:] != there[:-1])])
+
+
+def greedy(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """JN6 for whole pages: labels in reading order, each taking a value that no earlier one took. The first labels of all pages choose together, then
+    the second ones, and so on; a label meets its page's values only. batch: flat() rows by page and item. Returns the row of the label, the row of
+    its value and whether both are in one item, by page; items with both come first."""
+    page, clean = page_numbers(batch), batch.column("clean")
+    x0, y0, x1, y1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+    keys = batch.column("key").dictionary_encode()
+    names, code = keys.dictionary.to_pylist(), keys.indices.fill_null(-1).to_numpy()
+    both = batch.column("inline_key").is_valid().to_numpy(zero_copy_only=False)
+    free = (code < 0) & ~both & ~batch.column("noise").fill_null(False).to_numpy(zero_copy_only=False)
+    labels, values = np.flatnonzero((code >= 0) & ~both), np.flatnonzero(free)
+    most = np.array([NAME_BELOW_GAP if n in ("nom", "prenom") else BELOW_GAP for n in names])
+    turn = np.arange(len(labels)) - np.searchsorted(page[labels], page[labels])
+    order = np.argsort(turn, kind="stable")
+    rounds = np.split(labels[order], np.flatnonzero(np.diff(turn[order])) + 1) if len(labels) else []
+    took = [(np.flatnonzero(both),) * 2]
+    for own in rounds:
+        begin, end = (np.searchsorted(page[values], page[own], side) for side in ("left", "right"))
+        n = end - begin
+        who = np.repeat(np.arange(len(own)), n)
+        v = values[np.arange(len(who)) + np.repeat(begin - (np.cumsum(n) - n), n)]
+        who, v = who[free[v]], v[free[v]]
+        l = own[who]  # noqa: E741
+        height, right, under = np.maximum(1.0, y1[l] - y0[l]), x0[v] - x1[l], y0[v] - y1[l]
+        line = (np.abs((y0[v] + y1[v]) / 2 - (y0[l] + y1[l]) / 2) <= np.maximum(height, 8.0) / 2) & (right >= -2) & (right <= SAME_LINE_GAP)
+        below = (under > 0) & (under <= most[code[l]]) & (x1[v] >= x0[l] - 2 * height) & (x0[v] <= x1[l] + 2 * height)
+        near = line | (below & (np.bincount(who[line], minlength=len(own)) == 0)[who])
+        who, v, gap = who[near], v[near], np.where(line, right, under)[near]
+        odd, choice = np.ones(len(v), bool), np.bincount(who, minlength=len(own))[who] > 1
+        for k in np.unique(code[own[who[choice]]]):
+            if form := fields.PATTERN[names[k]]:
+                at = np.flatnonzero(choice & (code[own[who]] == k))
+                odd[at] = [not re.match(form, c) for c in clean.take(v[at]).to_pylist()]
+        best = np.lexsort((gap, odd, who))
+        if any_equal(who[best], odd[best], gap[best]):
+            texts = clean.take(v).to_pylist()
+            place = {t: k for k, t in enumerate(sorted(set(texts)))}
+            best = np.lexsort(([place[t] for t in texts], gap, odd, who))
+        best = best[np.r_[True, np.diff(who[best]) > 0][: len(best)]]
+        free[v[best]] = False
+        took.append((own[who[best]], v[best]))
+    label, value = (np.concatenate(x) for x in zip(*took))
+    order = np.lexsort((label, ~both[label], page[label]))
+    return label[order], value[order], both[label[order]]
+
+
+def any_equal(*columns: np.ndarray) -> bool:
+    """Whether two rows that follow one another agree in all columns."""
+    return bool(np.logical_and.reduce([c[1:] == c[:-1] for c in columns]).any())
 
 
 def flat(entries: DataFrame) -> DataFrame:
-    """Entries with all that greedy() needs, for a grouped function."""
+    """Entries with all that greedy() needs, for a grouped function; with their box if they have it."""
     value = text.value_part(F.col("raw"))
     inl = F.when(text.has_colon(F.col("raw")) & (value != ""), fields.label_key(text.keyword(text.label_part(F.col("raw")))))
     noise = text.is_noise(F.col("clean")) | F.col("raw").rlike("[:：]$")
-    return entries.select("page_id", "item_idx", "raw", "clean", "confidence", "box", F.col("label_key").alias("key"), noise.alias("noise"), inl.alias("inline_key"), value.alias("inline_value"), "rect.*")
+    box = [c for c in entries.columns if c == "box"]
+    return entries.select(F.col("page_id").cast("long").alias("page_id"), "item_idx", "raw", "clean", "confidence", *box, F.col("label_key").alias("key"), noise.alias("noise"), inl.alias("inline_key"), value.alias("inline_value"), "rect.*")
 
 
 def per_page(rows: DataFrame, found, schema: str) -> DataFrame:
-    """found(entries) for each page of flat() rows: pages are sorted together by one shuffle and come as they are in the Arrow batches, which costs
-    far less than a pandas frame for each page. found gives tuples after (page_id, occurrence)."""
-    names = [p.split(":")[0] if ":" in p else p.split()[0] for p in re.split(r",(?![^<]*>)\s*", schema)]
-
-    def entry(r: dict) -> dict:
-        inline = (r["inline_key"], r["inline_value"]) if r["inline_key"] else None
-        rect = (r["x0"], r["y0"], r["x1"], r["y1"])
-        return {"idx": r["item_idx"], "raw": r["raw"], "clean": r["clean"], "conf": r["confidence"], "box": r["box"], "key": r["key"], "noise": r["noise"], "inline": inline, "rect": rect}
+    """found(batch) for Arrow batches of flat() rows that hold whole pages: pages are sorted together by one shuffle, and one that goes on from a batch to the
+    next waits for its end. found gives a dict of columns."""
 
     def run(batches):
         import pyarrow as pa
 
-        def give(pages):
-            out = [(p, k, *f) for p, entries in pages for k, f in enumerate(found(entries))]
-            return pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=types)
-
         box = pa.list_(pa.list_(pa.int32()))
         kinds = {"page_id": pa.int64(), "occurrence": pa.int32(), "key": pa.string(), "value": pa.string(), "confidence": pa.float64(), "original": pa.string(), "box": box}
-        types = pa.schema([(n, kinds[n]) for n in names])
-        open_: tuple | None = None
+
+        def give(pages):
+            columns = found(pa.concat_batches(pages))
+            arrays = [x.cast(kinds[n]) if isinstance(x, pa.Array) else pa.array(x, kinds[n]) for n, x in columns.items()]
+            return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+        waiting: list = []
         for batch in batches:
-            pages = [open_] if open_ is not None else []  # a page may go on from one batch to the next
-            for r in batch.to_pylist():
-                if open_ is None or open_[0] != r["page_id"]:
-                    open_ = (r["page_id"], [])
-                    pages.append(open_)
-                open_[1].append(entry(r))
-            if pages[:-1]:
-                yield give(pages[:-1])
-        if open_ is not None:
-            yield give([open_])
+            if not batch.num_rows:
+                continue
+            page = page_numbers(batch)
+            last = int(np.searchsorted(page, page[-1]))  # where its last page begins
+            if last:
+                yield give([*waiting, batch.slice(0, last)])
+                waiting = []
+            elif waiting and waiting[-1].column("page_id")[0].as_py() != batch.column("page_id")[0].as_py():
+                yield give(waiting)
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield give(waiting)
 
     return rows.repartition("page_id").sortWithinPartitions("page_id", "item_idx").mapInArrow(run, schema)
 
 
 def greedy_pages(entries: DataFrame) -> DataFrame:
-    """JN6 over whole pages: (page_id, occurrence, key, value, confidence, box)."""
-    found = lambda page: [(key, v["raw"], v["conf"], v["box"]) for key, v in greedy(page)]
-    return per_page(flat(entries), found, "page_id long, occurrence int, key string, value string, confidence double, box array<array<int>>")
+    """JN6 over whole pages: (page_id, occurrence, key, value, confidence), and box if entries have it."""
+
+    def found(batch) -> dict:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        label, value, both = greedy(batch)
+        page = page_numbers(batch)[label]
+        of = lambda name, at: batch.column(name).take(at)
+        out = {"page_id": of("page_id", label), "occurrence": np.arange(len(page)) - np.searchsorted(page, page)}
+        out["key"] = pc.if_else(pa.array(both), of("inline_key", label), of("key", label))
+        out["value"] = pc.if_else(pa.array(both), of("inline_value", value), of("raw", value))
+        return out | {c: of(c, value) for c in ("confidence", "box") if c in batch.schema.names}
+
+    box = ", box array<array<int>>" if "box" in entries.columns else ""
+    return per_page(flat(entries), found, f"page_id long, occurrence int, key string, value string, confidence double{box}")
 
 
 def numeric_harvest(entries: DataFrame, value: Column, key: str, length: int, slack: int = 1) -> DataFrame:

@@ -87,6 +87,49 @@ def test_greedy_is_one_to_one_and_agrees_where_uncontested(spark):
     assert want == {(r.page_id, r.key, r.raw) for r in plain.collect() if r.page_id not in contested}
 
 
+def test_greedy_is_that_of_one_page_after_another(spark):
+    """Many pages at once against a plain loop: contested values, equal gaps and texts, forms, labels with their value, pages over the ends of batches, and items that share
+    their number."""
+    import re
+
+    from inkplan.operators import fields
+
+    rng = random.Random(8)
+    labels = ["Nom", "Prénom", "Série", "Durée", "Date", "Nom : Eya", "Série : 12", "Date :"]
+    texts = ["123", "4567", "2h30", "x", "y", "03/06/2024", "nombre", "b", "b"]
+    pages = []
+    for _ in range(120):
+        page = [(rng.choice(labels), 0.97, box(x := 50 + 110 * rng.randrange(3), y := 40 * rng.randrange(4), x + 100, y + 34)) for _ in range(rng.randrange(5))]
+        page += [(rng.choice(texts), 0.9, box(x := 200 + 50 * rng.randrange(8), y := 40 * rng.randrange(9), x + 100, y + 34)) for _ in range(rng.randrange(7))]
+        pages.append(rng.sample(page, len(page)))
+    entries = pairing.normalised(items(spark, *pages)).cache()
+    one_by_one = set()
+    by_page = {}
+    for r in pairing.flat(entries).orderBy("page_id", "item_idx").collect():
+        by_page.setdefault(r.page_id, []).append(r)
+    for p, rows in by_page.items():
+        got = [(r.inline_key, r.inline_value) for r in rows if r.inline_key]
+        free = [r for r in rows if not r.inline_key and not r.key and not r.noise]
+        for e in [r for r in rows if r.key and not r.inline_key]:
+            height, most = max(1.0, e.y1 - e.y0), 80 if e.key in ("nom", "prenom") else 300
+            near = [(v.x0 - e.x1, v) for v in free if abs(v.y0 + v.y1 - e.y0 - e.y1) <= max(height, 8) and -2 <= v.x0 - e.x1 <= 400]
+            near = near or [(v.y0 - e.y1, v) for v in free if 0 < v.y0 - e.y1 <= most and v.x1 >= e.x0 - 2 * height and v.x0 <= e.x1 + 2 * height]
+            if near:
+                form = fields.PATTERN[e.key]
+                best = min(near, key=lambda g: (not (form and re.match(form, g[1].clean)), g[0], g[1].clean))[1]
+                free.remove(best)
+                got.append((e.key, best.raw))
+        one_by_one |= {(p, k, *g) for k, g in enumerate(got)}
+    for size in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = pairing.greedy_pages(entries).collect()
+        assert len(got) == len(one_by_one) and {(r.page_id, r.occurrence, r.key, r.value) for r in got} == one_by_one
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    twice = items(spark, [("Nom", 0.97, box(50, 100, 260, 134)), ("Eya", 0.9, box(280, 100, 520, 134))])
+    got = pairing.greedy_pages(pairing.normalised(twice.union(twice))).collect()
+    assert [(r.occurrence, r.key, r.value) for r in got] == [(0, "nom", "Eya"), (1, "nom", "Eya")] and list(map(list, got[0].box)) == box(280, 100, 520, 134)
+
+
 @pytest.mark.parametrize("confidence, want", [(0.60, "error"), (0.649, "error"), (0.65, "warning"), (0.849, "warning"), (0.85, "valid")])
 def test_thresholds(spark, confidence, want):
     assert spark.range(1).select(rules.by_confidence(F.lit(confidence)).alias("s")).first().s == want
