@@ -87,6 +87,29 @@ def test_greedy_is_one_to_one_and_agrees_where_uncontested(spark):
     assert want == {(r.page_id, r.key, r.raw) for r in plain.collect() if r.page_id not in contested}
 
 
+def test_pages_analysed_together_as_alone(spark, monkeypatch):
+    """Whole forms: many pages in one batch against each alone; readings are decoded by the batch, not one by one; items that share their number."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    pages = []
+    for k in range(60):
+        page = [(name, 0.97, box(50, y := 60 * rng.randrange(9), 260, y + 34)) for name in rng.sample(["N° CIN", "Série", "Identifiant", "Nom", "Prénom", "Durée : 2h30", "Établissement"], 5)]
+        words = [f"O97{rng.randrange(10**5):05}", f"K9{rng.randrange(10**6):06}", "7777", "514", "514017", "514 514017", "D1d1", "Trabelsi", "ENI7", f"0{rng.randrange(10**7):07} x"]
+        page += [(w, rng.choice([0.6, 0.9, 0.96]), box(x := rng.choice([280, 700]), y := 60 * rng.randrange(9), x + 200, y + 34)) for w in rng.sample(words, 6)]
+        pages.append(page)
+    table = pairing.flat(pairing.normalised(items(spark, *pages)).drop("box")).orderBy("page_id", "item_idx").toArrow()
+    calls, decode_all = [], forms.decode.DECODER.decode_all
+    monkeypatch.setattr(forms.decode.DECODER, "decode_all", lambda texts, kind="text": calls.append(len(texts)) or decode_all(texts, kind))
+    rows = lambda t: list(zip(*(list(c.to_pylist() if isinstance(c, pa.Array) else c) for c in forms.page_fields(t.combine_chunks().to_batches()[0]).values())))
+    together = rows(table)
+    assert max(calls) > 20
+    alone = [r for p in range(len(pages)) for r in rows(table.filter(pa.compute.equal(table["page_id"], p)))]
+    assert together == alone and len({r[2] for r in together}) == 7 and any(r[5] for r in together)
+    twice = items(spark, [("N° CIN", 0.97, box(50, 100, 260, 134)), ("09728320", 0.9, box(280, 100, 520, 134))])
+    assert [r.value for r in forms.analysed(twice.union(twice)).collect()] == ["09728320"] * 2
+
+
 def test_greedy_is_that_of_one_page_after_another(spark):
     """Many pages at once against a plain loop: contested values, equal gaps and texts, forms, labels with their value, pages over the ends of batches, and items that share
     their number."""
