@@ -471,6 +471,16 @@ def test_nearest_by_merging(spark):
     assert got == want
 
 
+def test_nearest_sorts_boxes_once(spark):
+    """Boxes before the first band, after the last, at a band and halfway; pages without page_id meet nothing, as in SQL."""
+    boxes = [(1, k, y) for k, y in enumerate([0, 9, 10, 15, 16, 99])] + [(2, 0, 5), (None, 0, 5), (3, 0, 7), (1, None, 3)]
+    of = [(1, 7, 10.0), (1, 4, 20.0), (1, 5, 20.0), (1, None, 16.0), (None, 1, 5.0), (3, 2, None), (3, 1, 8.0)]
+    got = bands.nearest(spark.createDataFrame(boxes, "page_id long, box int, y int"), spark.createDataFrame(of, "page_id long, band int, y double"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    want = {(1, 0, 7, 10.0), (1, 1, 7, 1.0), (1, 2, 7, 0.0), (1, 3, 4, 5.0), (1, 4, 4, 4.0), (1, 5, 4, 79.0), (3, 0, 1, 1.0)}
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_a_page_of_many_boxes_and_bands(spark):
     """100,000 of each on one page: all pairs would be ten thousand million."""
     n = 100_000
