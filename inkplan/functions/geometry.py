@@ -10,7 +10,8 @@ def rect(box: Column) -> Column:
     """GEO1: struct<x0, y0, x1, y1> around a polygon; zeros for fewer than two points."""
 
     def side(k: int, end) -> Column:
-        return F.when(F.size(box) >= 2, end(F.transform(box, lambda p: p[k].cast("double")))).otherwise(0.0)
+        all_k = F.when(F.size(box) >= 2, F.transform(box, lambda p: p[k].cast("double")))  # once for both ends, as the condition looks at it too
+        return F.when(all_k.isNotNull(), end(all_k)).otherwise(0.0)
 
     return F.struct(side(0, F.array_min).alias("x0"), side(1, F.array_min).alias("y0"), side(0, F.array_max).alias("x1"), side(1, F.array_max).alias("y1"))
 

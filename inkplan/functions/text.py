@@ -32,13 +32,17 @@ def _foldings(upper: bool) -> tuple[str, str]:
 
 def strip_accents(c: Column, upper: bool = False) -> Column:
     source, target = _foldings(upper)
-    return F.translate(c, source, target)
+    return F.when(ascii_only(c), c).otherwise(F.translate(c, source, target))
+
+
+def ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def keyword(c: Column) -> Column:
     """TXT1: lower case, no accents, & as et, everything but letters and digits to single spaces."""
     plain = strip_accents(F.lower(F.trim(c)))
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, "&", "et"), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.replace(plain, F.lit("&"), F.lit("et")), "[^a-z0-9]+", " "))
 
 
 def folded(c: Column) -> Column:
@@ -73,9 +77,14 @@ def deconfused_if_numeric(c: Column) -> Column:
 
 
 def is_noise(c: Column) -> Column:
-    """FLT3: pieces of labels and foreign glyphs, never a value."""
+    """FLT3: pieces of labels and foreign glyphs, never a value. A pattern is only tried where the text has some of its characters."""
     low = F.lower(F.trim(c))
-    return low.rlike("[:：]$") | low.rlike(r"\bnombre\b|\bnumber\b|\bn?0?m8?re\b") | c.rlike(FOREIGN)
+    pieces = (F.contains(low, F.lit("re")) | F.contains(low, F.lit("number"))) & low.rlike(r"\bnombre\b|\bnumber\b|\bn?0?m8?re\b")
+    return ends_with_colon(low) | pieces | (~ascii_only(c) & c.rlike(FOREIGN))
+
+
+def ends_with_colon(c: Column) -> Column:
+    return has_colon(c) & c.rlike(f"{COLONS}$")
 
 
 def value_part(c: Column) -> Column:
@@ -88,7 +97,7 @@ def label_part(c: Column) -> Column:
 
 
 def has_colon(c: Column) -> Column:
-    return c.rlike(COLONS)
+    return F.contains(c, F.lit(":")) | F.contains(c, F.lit("："))
 
 
 def has_value(c: Column) -> Column:

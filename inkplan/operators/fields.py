@@ -65,18 +65,20 @@ def dim_alias(spark: SparkSession) -> DataFrame:
 EXACT = {a: k for k, (a, _) in reversed(list(enumerate(ALIASES)))}
 LONG = {a: k for a, k in EXACT.items() if len(a) >= 4}
 MOST_WORDS = max(len(a.split(" ")) for a in LONG)
+FIRST_WORDS = sorted({a.split(" ")[0] for a in LONG})
 
 
 def label_key(norm):
     """JN1 as an expression over the fixed registry: exact alias, else the first alias of four letters or more that begins the text
-    as a whole word. No join: the registry is part of the plan, and a text is looked up by its first one, two, ... words."""
+    as a whole word. No join: the registry is part of the plan, and a text is looked up by its first one, two, ... words, if any alias begins with its first."""
     place = lambda table, n: F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), n)
     keys = F.array(*[F.lit(key) for _, key in ALIASES])
 
     def of(n):  # bound by transform(), so that the text is normalised once
         words = F.split(n, " ")
         begins = F.transform(F.sequence(F.lit(1), F.least(F.size(words) - 1, F.lit(MOST_WORDS))), lambda k: place(LONG, F.array_join(F.slice(words, F.lit(1), k), " ")))
-        return F.try_element_at(keys, F.coalesce(place(EXACT, n), F.when(F.size(words) > 1, F.array_min(begins))) + 1)
+        exact = F.when(n.isin(*EXACT), place(EXACT, n))
+        return F.try_element_at(keys, F.coalesce(exact, F.when(F.substring_index(n, " ", 1).isin(*FIRST_WORDS) & F.contains(n, F.lit(" ")), F.array_min(begins))) + 1)
 
     return F.get(F.transform(F.array(norm), of), F.lit(0))
 

@@ -1,11 +1,14 @@
-"""Whole forms: OCR items to corrected, validated fields, with one shuffle by page for the pairing and windows on the same key after it."""
+"""Whole forms: OCR items to corrected, validated fields, with one shuffle by page."""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,10 @@ _TABLE = str.maketrans(text.CONFUSED, text.MEANT)
 _WINDOW = str.maketrans(text.WINDOW_CONFUSED, text.WINDOW_MEANT)
 #: The numbers that are harvested, their digits, and how many more or fewer a whole run may have.
 NUMBERS = (("cin", 8, 1), ("serie", 4, 0), ("identifiant", 6, 1))
+#: Their forms that need no harvest, where they are plain digits.
+PLAIN = {"cin": "^[01][0-9]{7}$", "serie": "^[0-9]{3,4}$", "identifiant": "^[0-9]{6}$"}
+#: The pattern of printed() for Arrow, whose blanks are ASCII only unless named.
+PRINTED = r"(?:^|[^0-9])(?P<serie>[0-9]{3})[\s\pZ\x0b\x1c-\x1f\x{85}./|-]*(?P<identifier>[0-9]{6})(?:[^0-9]|$)"
 #: Labels that readings of schools may begin with, longest first.
 SCHOOL_LABELS = ("ETABLISSEMENTDORIGINE", "ETABLISSEMENTSCOLAIRE", "ETABLISSEMENT", "INSTITUT", "LYCEE")
 
@@ -175,48 +182,137 @@ def names_harvested(found: list[list], entries: list[dict], free: dict[int, dict
             found.append(built(key, best[1], max(best[2]["conf"], 0.95)))
 
 
+def all_corrected_columns(keys: pa.Array, values: pa.Array) -> pa.Array:
+    """all_corrected() of columns. Plain digits stay as they are, in national numbers if they are eight; Python only sees the others."""
+    numeric = pc.is_in(keys, pa.array([k for k, kind in fields.KIND.items() if kind in _NUMERIC and kind != "cin"]))
+    eight = pc.is_in(keys, pa.array([k for k, kind in fields.KIND.items() if kind == "cin"]))
+    plain = pc.or_(pc.and_(numeric, pc.match_substring_regex(values, "^[0-9]+$")), pc.and_(eight, pc.match_substring_regex(values, "^[0-9]{8}$")))
+    rest = pc.invert(plain)
+    new = all_corrected(list(zip(keys.filter(rest).to_pylist(), values.filter(rest).to_pylist())))
+    return pc.replace_with_mask(values, rest, pa.array(new, pa.string()))
+
+
+def last_rows(page: np.ndarray, keys: pa.Array, pages: int) -> dict[str, np.ndarray]:
+    """By key: the last row of each page that has it, else -1."""
+    code, found = keys.dictionary_encode(), {}
+    for k, key in enumerate(code.dictionary.to_pylist()):
+        at = np.flatnonzero(code.indices.to_numpy() == k)
+        found[key] = np.full(pages, -1)
+        found[key][page[at]] = at  # of equal places the last one stays
+    return defaultdict(lambda: np.full(pages, -1), found)
+
+
+def all_right(key: str, length: int, values: pa.Array) -> np.ndarray:
+    """right() of a column; Python only sees what isn't plain digits."""
+    out = pc.match_substring_regex(values, PLAIN[key]).to_numpy(zero_copy_only=False).copy()
+    for at in np.flatnonzero(~out):
+        out[at] = right(key, length, values[int(at)].as_py())
+    return out
+
+
+def all_printed(batch, page: np.ndarray, free: np.ndarray, rows: list, last: dict) -> list:
+    """printed() of all pages of free items at once. rows: columns value, confidence, original; last: the rows of pages with their fields."""
+    at = np.flatnonzero(free)
+    block = pc.extract_regex(batch.column("clean").take(at), PRINTED)
+    serie, identifier = block.flatten()
+    there = pc.equal(pc.utf8_slice_codeunits(identifier, 0, 3), serie).fill_null(False)
+    serie, identifier, at = serie.filter(there), identifier.filter(there), at[there.to_numpy(zero_copy_only=False)]
+    sure = batch.column("confidence").take(at).to_numpy(zero_copy_only=False)
+    order = np.lexsort((-at, sure, page[at]))
+    order = order[np.r_[np.diff(page[at][order]) > 0, True][: len(order)]]
+    order = order[sure[order] >= 0.5]
+    for key, printed_as in (("serie", serie.take(order)), ("identifiant", identifier.take(order))):
+        own = last[key][page[at[order]]]
+        other = pc.not_equal(pc.replace_substring_regex(rows[0].take(own), "[^0-9]", ""), printed_as).to_numpy(zero_copy_only=False)
+        mask = np.zeros(len(rows[0]), bool)
+        mask[own[other]] = True
+        given = pa.array(mask)
+        old, most = rows[0].filter(given), pc.max_element_wise(rows[1].filter(given), LEAST_CHANGED)
+        rows = [pc.replace_with_mask(c, given, x) for c, x in zip(rows, (printed_as.filter(pa.array(other)), most, old))]
+    return rows
+
+
+def page_context(page: np.ndarray, keys: pa.Array, values: pa.Array, pages: int) -> dict:
+    """What rules.in_context() asks of a row's page, on the rows whose rules look at it."""
+    last = last_rows(page, keys, pages)
+    of = {k: pc.equal(keys, k).to_numpy(zero_copy_only=False) for k in ("serie", "identifiant", "anonyme", "date_naissance")}
+    numbers, both = of["serie"] | of["identifiant"], of["serie"] | of["identifiant"] | of["anonyme"]
+
+    def shown(key: str, where: np.ndarray) -> pa.Array:
+        at = last[key][page]
+        return values.take(pa.array(at, mask=~where | (at < 0)))
+
+    out = {"_series": shown("serie", both), "_identifier": shown("identifiant", both)}
+    out |= {"_session": shown("session", of["date_naissance"]), "_exam": shown("date_concours", of["date_naissance"])}
+    earlier: dict[int, list] = {}
+    for at in np.flatnonzero(of["identifiant"] & (last["identifiant"][page] != np.arange(len(page)))):
+        earlier.setdefault(int(page[at]), []).append(values[int(at)].as_py())
+    rows = np.flatnonzero(numbers & np.isin(page, list(earlier))) if earlier else ()
+    lists: list = [None] * len(page)
+    for at in rows:
+        lists[at] = earlier[int(page[at])]
+    return out | {"_earlier": pa.array(lists, pa.list_(pa.string())) if earlier else pa.nulls(len(page), pa.list_(pa.string()))}
+
+
 def page_fields(batch) -> dict:
-    """Pairing, correction, harvest of numbers, printed block and harvest of names of whole pages: columns of built() rows in order. Pairing and correction
-    are done for all pages at once; the other steps look at pages that lack something, or have both fields of a printed block."""
+    """Pairing, correction, harvest of numbers, printed block and harvest of names of whole pages: columns of built() rows in order, and of page_context().
+    All is done in columns for all pages at once, but for pages that lack something: harvests look at these one by one."""
     page, (label, value, both) = pairing.page_numbers(batch), pairing.greedy(batch)
-    keys = batch.column("key").to_pylist()
-    begins = np.searchsorted(page, np.arange(page[-1] + 2)).tolist()
-    conf, taken = batch.column("confidence").to_pylist(), set(value.tolist())
-    shown, read = (batch.column("inline_key").take(label).to_pylist(), batch.column("inline_value").take(value).to_pylist())
-    raw = batch.column("raw").take(value).to_pylist()
-    pairs = [(shown[k], read[k]) if b else (keys[at], raw[k]) for k, (at, b) in enumerate(zip(label.tolist(), both.tolist()))]
-    found: list[list[list]] = [[] for _ in begins[1:]]
-    for p, (key, old), new, at in zip(page[label].tolist(), pairs, all_corrected(pairs), value.tolist()):
-        found[p].append(built(key, old, conf[at], new))
-    clean, noise = batch.column("clean").to_pylist(), batch.column("noise").to_pylist()
-    rects = list(zip(*(batch.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))))
-
-    def entry(at: int) -> dict:
-        return {"idx": at, "clean": clean[at], "conf": conf[at], "key": keys[at], "noise": noise[at], "rect": rects[at]}
-
-    for rows, begin, end in zip(found, begins, begins[1:]):
-        last, named = {f[0]: f[1] for f in rows}, set(keys[begin:end])
-        lacks = any(key in named and not (key in last and right(key, length, last[key])) for key, length, _ in NUMBERS) or "" in (last.get("nom"), last.get("prenom"))
-        if lacks or ("serie" in last and "identifiant" in last):
-            free = {at: entry(at) for at in range(begin, end) if at not in taken and not keys[at]}
-            if lacks:
-                entries = [entry(at) for at in range(begin, end)]
-                harvest(rows, entries, free)
-            printed(rows, free)
-            if lacks:
-                names_harvested(rows, entries, free)
-    flat = [f for rows in found for f in rows]
-    many = [len(rows) for rows in found]
-    first = np.repeat(begins[:-1], many)
-    out = {"page_id": batch.column("page_id").take(first), "occurrence": np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)}
-    return out | dict(zip(("key", "value", "confidence", "original"), zip(*flat) if flat else [()] * 4))
+    pages, inline, column = int(page[-1]) + 1, pa.array(both), batch.column
+    keys = pc.if_else(inline, column("inline_key").take(label), column("key").take(label))
+    old = pc.if_else(inline, column("inline_value").take(value), column("raw").take(value))
+    new, sure, own = all_corrected_columns(keys, old), column("confidence").take(value), page[label]
+    changed = pc.not_equal(new, old)
+    rows = [new, pc.if_else(changed, pc.max_element_wise(sure, LEAST_CHANGED), sure), pc.if_else(changed, old, None)]
+    last, lacks = last_rows(own, keys, pages), np.zeros(pages, bool)
+    for key, length, _ in NUMBERS:
+        have = np.flatnonzero(last[key] >= 0)
+        wrong = np.zeros(pages, bool)
+        wrong[page[pc.equal(column("key"), key).fill_null(False).to_numpy(zero_copy_only=False)]] = True
+        wrong[have[all_right(key, length, new.take(last[key][have]))]] = False
+        lacks |= wrong
+    for key in ("nom", "prenom"):
+        have = np.flatnonzero(last[key] >= 0)
+        lacks[have[pc.equal(new.take(last[key][have]), "").to_numpy(zero_copy_only=False)]] = True
+    free = column("key").is_null().to_numpy(zero_copy_only=False)
+    free[value] = False
+    rows = all_printed(batch, page, free & (~lacks & (last["serie"] >= 0) & (last["identifiant"] >= 0))[page], rows, last)
+    if lacks.any():
+        own, keys, *rows = harvested(batch, page, free, lacks, own, keys, rows)
+    out = {"page_id": column("page_id").take(np.searchsorted(page, own)), "occurrence": np.arange(len(own)) - np.searchsorted(own, own)}
+    return out | dict(zip(("key", "value", "confidence", "original"), (keys, *rows))) | page_context(own, keys, rows[0], pages)
+
+
+def harvested(batch, page: np.ndarray, free: np.ndarray, lacks: np.ndarray, own: np.ndarray, keys: pa.Array, rows: list) -> list:
+    """Pages that lack something, one by one: page numbers, keys and rows of all pages with what was found for these."""
+    at = np.flatnonzero(lacks[page])
+    some = {c: batch.column(c).take(at).to_pylist() for c in ("clean", "confidence", "key", "noise", "x0", "y0", "x1", "y1")}
+    rects, items = zip(*(some[c] for c in ("x0", "y0", "x1", "y1"))), {}
+    for row, clean, conf, key, noise, rect in zip(at.tolist(), some["clean"], some["confidence"], some["key"], some["noise"], rects):
+        items.setdefault(int(page[row]), []).append({"idx": row, "clean": clean, "conf": conf, "key": key, "noise": noise, "rect": rect})
+    theirs = lacks[own]
+    found: dict[int, list[list]] = {p: [] for p in items}
+    for p, *row in zip(own[theirs].tolist(), *(c.filter(pa.array(theirs)).to_pylist() for c in (keys, *rows))):
+        found[p].append(row)
+    for p, entries in items.items():
+        left = {e["idx"]: e for e in entries if free[e["idx"]]}
+        harvest(found[p], entries, left)
+        printed(found[p], left)
+        names_harvested(found[p], entries, left)
+    flat, many = [f for more in found.values() for f in more], [len(more) for more in found.values()]
+    own = np.r_[own[~theirs], np.repeat(list(found), many)]
+    order = np.argsort(own, kind="stable")
+    mine = zip(*flat) if flat else [()] * 4
+    columns = (pa.concat_arrays([c.filter(pa.array(~theirs)), pa.array(list(x), c.type)]).take(order) for c, x in zip((keys, *rows), mine))
+    return [own[order], *columns]
 
 
 def analysed(items: DataFrame) -> DataFrame:
     """Items (page_id, item_idx, text, confidence, box) to (page_id, occurrence, key, value, confidence, corrections, status). The steps that take
-    items away from one another run page by page in one grouped function; the rules' windows reuse its partitioning."""
+    items away from one another see whole pages after the only shuffle, and give the rules what these look at on other rows of the page."""
 
     rows = pairing.flat(pairing.normalised(items).drop("box"))
-    found = pairing.per_page(rows, page_fields, "page_id long, occurrence int, key string, value string, confidence double, original string")
+    context = "_series string, _identifier string, _session string, _exam string, _earlier array<string>"
+    found = pairing.per_page(rows, page_fields, f"page_id long, occurrence int, key string, value string, confidence double, original string, {context}")
     note = F.when(F.col("original").isNotNull(), F.struct("original", fields.kind_of(F.col("key")).alias("kind"), F.lit("char").alias("engine")))
-    return rules.validated(found.withColumn("corrections", note).drop("original"))
+    return rules.in_context(found.withColumn("corrections", note).drop("original"))

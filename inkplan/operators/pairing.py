@@ -31,7 +31,7 @@ def normalised(items: DataFrame) -> DataFrame:
 
 def is_value(c: Column = None) -> Column:
     """Items that may be a value: no label, no noise, no row that ends with a colon."""
-    return F.col("label_key").isNull() & ~text.is_noise(F.col("clean")) & ~F.col("raw").rlike("[:：]$")
+    return F.col("label_key").isNull() & ~text.is_noise(F.col("clean")) & ~text.ends_with_colon(F.col("raw"))
 
 
 def inline(entries: DataFrame) -> DataFrame:
@@ -151,9 +151,9 @@ def any_equal(*columns: np.ndarray) -> bool:
 
 def flat(entries: DataFrame) -> DataFrame:
     """Entries with all that greedy() needs, for a grouped function; with their box if they have it."""
-    value = text.value_part(F.col("raw"))
+    value = F.when(text.has_colon(F.col("raw")), text.value_part(F.col("raw")))
     inl = F.when(text.has_colon(F.col("raw")) & (value != ""), fields.label_key(text.keyword(text.label_part(F.col("raw")))))
-    noise = text.is_noise(F.col("clean")) | F.col("raw").rlike("[:：]$")
+    noise = text.is_noise(F.col("clean")) | text.ends_with_colon(F.col("raw"))
     box = [c for c in entries.columns if c == "box"]
     return entries.select(F.col("page_id").cast("long").alias("page_id"), "item_idx", "raw", "clean", "confidence", *box, F.col("label_key").alias("key"), noise.alias("noise"), inl.alias("inline_key"), value.alias("inline_value"), "rect.*")
 
@@ -167,6 +167,7 @@ def per_page(rows: DataFrame, found, schema: str) -> DataFrame:
 
         box = pa.list_(pa.list_(pa.int32()))
         kinds = {"page_id": pa.int64(), "occurrence": pa.int32(), "key": pa.string(), "value": pa.string(), "confidence": pa.float64(), "original": pa.string(), "box": box}
+        kinds |= dict.fromkeys(("_series", "_identifier", "_session", "_exam"), pa.string()) | {"_earlier": pa.list_(pa.string())}
 
         def give(pages):
             columns = found(pa.concat_batches(pages))
@@ -189,7 +190,7 @@ def per_page(rows: DataFrame, found, schema: str) -> DataFrame:
         if waiting:
             yield give(waiting)
 
-    return rows.repartition("page_id").sortWithinPartitions("page_id", "item_idx").mapInArrow(run, schema)
+    return rows.repartition("page_id").sortWithinPartitions("page_id", "item_idx").drop("item_idx").mapInArrow(run, schema)
 
 
 def greedy_pages(entries: DataFrame) -> DataFrame:

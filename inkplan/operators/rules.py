@@ -111,10 +111,29 @@ def validated(found: DataFrame, warning: float = WARNING_BELOW, error: float = E
 
     year = F.coalesce(dates.year_of(of("session")), dates.year_of(of("date_concours")))
     out = found.withColumn("_series", of("serie")).withColumn("_identifier", of("identifiant")).withColumn("_year", year)
+    return mismatch_flagged(_judged(out, warning, error)).drop("_series", "_identifier", "_year")
+
+
+def in_context(found: DataFrame, warning: float = WARNING_BELOW, error: float = ERROR_BELOW) -> DataFrame:
+    """validated() without windows, for fields that bring what their rules look at on their page: the last _series and _identifier (fields serie, identifiant,
+    anonyme), _session and _exam (date_naissance), and _earlier, all identifiers before the last one (serie, identifiant)."""
+    year = F.coalesce(dates.year_of(F.col("_session")), dates.year_of(F.col("_exam")))
+    out = _judged(found.withColumn("_year", year), warning, error)
+    own = identifier_mismatch(F.col("_identifier"), F.col("_series"))
+    earlier = F.col("_earlier").isNotNull() & F.exists("_earlier", lambda v: identifier_mismatch(v, F.col("_series")))
+    wrong = F.col("key").isin("serie", "identifiant") & (F.coalesce(own, F.lit(False)) | F.coalesce(earlier, F.lit(False)))
+    return out.withColumn("status", F.when(wrong, "error").otherwise(F.col("status"))).drop("_series", "_identifier", "_session", "_exam", "_earlier", "_year")
+
+
+def _judged(out: DataFrame, warning: float, error: float) -> DataFrame:
+    """Each field's own rules: status of fields with _series, _identifier and _year of their page."""
     out = out.withColumn("_s", by_confidence(F.col("confidence"), warning, error))
-    k, v, s, d = F.col("key"), F.col("value"), F.col("_s"), F.col("_date")
-    out = out.withColumn("_date", F.when(k.isin("date_naissance", "date_concours"), dates.clean_date(v)))  # once, not wherever the rules look at it
-    out = out.withColumn("_message", F.when(k == "date_naissance", date_message(v, F.col("_year"), d)).when(k == "date_concours", date_message(v, None, d)))
+    k, v, s = F.col("key"), F.col("value"), F.col("_s")
+
+    def dated(year: Column | None) -> Column:  # the date is read once, not wherever the rule looks at it; and apart, for all the rules in one method are too long to be compiled
+        return F.get(F.transform(F.array(dates.clean_date(v)), lambda d: date_message(v, year, d)), F.lit(0))
+
+    out = out.withColumn("_message", F.when(k == "date_naissance", dated(F.col("_year"))).when(k == "date_concours", dated(None)))
     status = (
         F.when(k == "cin", F.when(cin_message(v).isNull(), s).otherwise("error"))
         .when(k.isin("date_naissance", "date_concours"), date_status(v, s, F.col("_message")))
@@ -125,8 +144,7 @@ def validated(found: DataFrame, warning: float = WARNING_BELOW, error: float = E
         .when(k == "etablissement", F.when(~school_ok(v) & (s == "valid"), "warning").otherwise(s))
         .otherwise(F.when(F.length(v) >= 2, s).otherwise("error"))
     )
-    out = out.withColumn("status", status)
-    return mismatch_flagged(out).drop("_series", "_identifier", "_year", "_s", "_date", "_message")
+    return out.withColumn("status", status).drop("_s", "_message")
 
 
 def mismatch_flagged(found: DataFrame) -> DataFrame:

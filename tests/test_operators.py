@@ -110,6 +110,50 @@ def test_pages_analysed_together_as_alone(spark, monkeypatch):
     assert [r.value for r in forms.analysed(twice.union(twice)).collect()] == ["09728320"] * 2
 
 
+def test_rules_of_whole_pages_need_no_windows(spark):
+    """One shuffle and no window; each status is that of the rules with windows: pages with several series or identifiers, sessions, dates and schools."""
+    rng = random.Random(11)
+    names = ["N° CIN", "Série", "Série", "Identifiant", "Identifiant", "Nom", "Date de naissance", "Session", "Date", "Identifiant anonymat", "Établissement", "Durée : 2h30", "Session : 2019/2020", "Identifiant : 999017"]
+    words = ["O9728320", "514", "614", "514017", "614017", "51", "20/03/2001", "20/03/2008", "31/02/2001", "2024/2025", "05/06/2026", "514514017", "ENI7", "D1d1", "Béji"]
+    pages = []
+    for _ in range(80):
+        page = [(n, 0.97, box(50, 60 * k, 260, 60 * k + 34)) for k, n in enumerate(rng.sample(names, 7))]
+        pages.append(page + [(rng.choice(words), rng.choice([0.6, 0.8, 0.96]), box(280, 60 * k, 520, 60 * k + 34)) for k in range(7)])
+    found = forms.analysed(items(spark, *pages))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    rows = found.collect()
+    assert len(rows) > 300 and {r.status for r in rows} == {"valid", "warning", "error"}
+    again = rules.validated(spark.createDataFrame([r[:5] for r in rows], "page_id long, occurrence int, key string, value string, confidence double"))
+    assert {(r.page_id, r.occurrence): r.status for r in again.collect()} == {(r.page_id, r.occurrence): r.status for r in rows}
+    several = [p for p in {r.page_id for r in rows} if sum(r.page_id == p and r.key == "identifiant" for r in rows) > 1]
+    assert len(several) > 5
+
+
+def test_printed_blocks_of_a_batch_are_those_of_each_page(spark, monkeypatch):
+    """Blanks of all kinds, blocks that are not sure, equally sure, or taken; readings that are plain digits are not corrected one by one."""
+    texts = ["514 514017", "514\u00a0514017", "514\u2003|514017", "514\x85514017", "514514017", "x514./-514017y", "5145514017", "514 515017", "612 612017"]
+    pages = [
+        [("Série", 0.97, box(50, 160, 260, 194)), (s, 0.9, box(280, 160, 520, 194)), ("Identifiant", 0.97, box(50, 220, 260, 254)), ("777712", 0.9, box(280, 220, 520, 254))]
+        + [(t, c, box(900, 20, 990, 54)), ("612 612019", d, box(900, 320, 990, 354))]
+        for s in ("7777", "S14") for t in texts for c, d in ((0.9, 0.6), (0.6, 0.9), (0.7, 0.7))
+    ]
+    table = pairing.flat(pairing.normalised(items(spark, *pages)).drop("box")).orderBy("page_id", "item_idx").toArrow().combine_chunks().to_batches()[0]
+    seen, corrected = set(), forms.corrected
+    monkeypatch.setattr(forms, "corrected", lambda key, value, decoded: seen.add(value) or corrected(key, value, decoded))
+    got = forms.page_fields(table)
+    assert seen == {"S14"}
+    clean, conf, page = table.column("clean").to_pylist(), table.column("confidence").to_pylist(), table.column("page_id").to_pylist()
+    want = []
+    for p in sorted(set(page)):
+        at = [k for k, x in enumerate(page) if x == p]
+        rows = [forms.built("serie", clean[at[1]], 0.9), forms.built("identifiant", clean[at[3]], 0.9)]
+        forms.printed(rows, {k: {"idx": k, "clean": clean[k], "conf": conf[k], "key": None} for k in at[4:]})
+        want += rows
+    assert [list(r) for r in zip(*(got[c].to_pylist() for c in ("key", "value", "confidence", "original")))] == want
+    assert {w[1] for w in want} == {"514", "514017", "612", "612017", "612019"}
+
+
 def test_greedy_is_that_of_one_page_after_another(spark):
     """Many pages at once against a plain loop: contested values, equal gaps and texts, forms, labels with their value, pages over the ends of batches, and items that share
     their number."""
